@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from farebox.llm.pii import op4_anchor_pii
+from farebox.llm.simhash import op3_golay_simhash
 
 QUERIES = {
+    "op3_golay_simhash": op3_golay_simhash,
     "op4_anchor_pii": op4_anchor_pii,
 }
 ORACLES: dict[str, str] = {}
