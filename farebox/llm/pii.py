@@ -197,12 +197,16 @@ def _digest(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))))
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long")
+
+
 def op4_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in BASE),
+        *(_count(k).alias(f"n_{k}") for k in BASE),
         F.sha2(_digest(base).cast("binary"), 256).alias("base_sha256"),
         _digest(F.col("spans")).alias("spans"),
     )
