@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from farebox.llm.bitpack import op5_bit_packing
 from farebox.llm.pii import op4_anchor_pii
 from farebox.llm.simhash import op3_golay_simhash
 
 QUERIES = {
     "op3_golay_simhash": op3_golay_simhash,
     "op4_anchor_pii": op4_anchor_pii,
+    "op5_bit_packing": op5_bit_packing,
 }
 ORACLES: dict[str, str] = {}
