@@ -5,10 +5,15 @@ from __future__ import annotations
 from farebox.llm.bitpack import op5_bit_packing
 from farebox.llm.pii import op4_anchor_pii
 from farebox.llm.simhash import op3_golay_simhash
+from farebox.llm.warc import ORACLE as WARC_SQL
+from farebox.llm.warc import op2_content_addressed_warc
 
 QUERIES = {
     "op3_golay_simhash": op3_golay_simhash,
     "op4_anchor_pii": op4_anchor_pii,
     "op5_bit_packing": op5_bit_packing,
+    "op2_content_addressed_warc": op2_content_addressed_warc,
+}
+ORACLES: dict[str, str] = {
+    "op2_content_addressed_warc": WARC_SQL,
 }
-ORACLES: dict[str, str] = {}
