@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from farebox.llm.bitpack import op5_bit_packing
 from farebox.llm.gif import op8_gif
+from farebox.llm.mixing import op6_pivotal_mixing
 from farebox.llm.pii import op4_anchor_pii
 from farebox.llm.simhash import op3_golay_simhash
 from farebox.llm.warc import ORACLE as WARC_SQL
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_anchor_pii": op4_anchor_pii,
     "op5_bit_packing": op5_bit_packing,
     "op2_content_addressed_warc": op2_content_addressed_warc,
+    "op6_pivotal_mixing": op6_pivotal_mixing,
     "op8_gif": op8_gif,
 }
 ORACLES: dict[str, str] = {
