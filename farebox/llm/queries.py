@@ -5,6 +5,7 @@ from __future__ import annotations
 from farebox.llm.bitpack import op5_bit_packing
 from farebox.llm.gif import op8_gif
 from farebox.llm.mixing import op6_pivotal_mixing
+from farebox.llm.packing import op9_lexical_packing
 from farebox.llm.pii import op4_anchor_pii
 from farebox.llm.simhash import op3_golay_simhash
 from farebox.llm.warc import ORACLE as WARC_SQL
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_content_addressed_warc": op2_content_addressed_warc,
     "op6_pivotal_mixing": op6_pivotal_mixing,
     "op8_gif": op8_gif,
+    "op9_lexical_packing": op9_lexical_packing,
 }
 ORACLES: dict[str, str] = {
     "op2_content_addressed_warc": WARC_SQL,
