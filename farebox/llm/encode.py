@@ -23,6 +23,8 @@ _BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words and parts of words that are remembered. The frequent ones come early; once it is full, others are encoded for each batch.
 REMEMBERED = 800_000
+#: Ids are below 2 ** 24, so neither this nor a separator's id is found across two ids.
+_CUT = b"\xff" * 4
 
 
 class Encoder:
@@ -35,9 +37,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
-        self.split = regex.compile(_BYTE_SPLIT if spaced else _WORD_SPLIT).findall
+        self.split = regex.compile(r"\r|" + (_BYTE_SPLIT if spaced else _WORD_SPLIT)).findall
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"\r": _CUT}
+        self.mark, self.between = ("\n", "\n") if spaced else ("|", " | ")
+        (self.separator,) = self._whole([self.mark])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -53,16 +57,30 @@ class Encoder:
         first, *rest = text.replace("\n", " \n").split(" ")
         return [first, *[w if w[0] == "\n" else " " + w for w in rest]]
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part. Many go through the library as one text, with separators that give an id of their own."""
+        plain = [p for p in parts if self.mark not in p]
+        rest = [p for p in parts if self.mark in p]
+        lines = [self.between.join(plain[i : i + 1000]) for i in range(0, len(plain), 1000)]
+        found = [x for ids in self._whole(lines) for x in ids.split(self.separator)]
+        if len(found) != len(plain):
+            raise ValueError("a separator met its neighbour")
+        got = dict(zip(plain, found, strict=True)) | dict(zip(rest, self._whole(rest), strict=True))
+        return [got[p] for p in parts]
+
     def _learn(self, new: list[str]) -> None:
         """Puts new words into the memory; their parts go through the library in one batch."""
-        split = {w: self.split(w if self.spaced else w.lower()) if _PLAIN(w) else [w] for w in new}
+        plain = [w for w in new if _PLAIN(w)]
+        odd = [w for w in new if not _PLAIN(w)]
+        line = "\r".join(plain)
+        flat = self.split(line if self.spaced else line.lower()) if plain else []
         known = self.parts
-        parts = list({p for s in split.values() for p in s} - known.keys())
+        parts = list(set(flat) - known.keys())
         full = len(known) >= REMEMBERED
-        for i in range(0, len(parts), 1000):
-            known.update(zip(parts[i : i + 1000], self._whole(parts[i : i + 1000]), strict=True))
-        for w, s in split.items():
-            self.words[w] = known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s])
+        if parts:
+            known.update(zip(parts, self._parts(parts), strict=True))
+        self.words.update(zip(plain, b"".join(map(known.__getitem__, flat)).split(_CUT), strict=True) if plain else ())
+        self.words.update(zip(odd, self._whole(odd), strict=True))
         if full:
             for p in parts:
                 del known[p]

@@ -8,6 +8,7 @@ from farebox.llm.mixing import op6_pivotal_mixing
 from farebox.llm.packing import op9_lexical_packing
 from farebox.llm.pii import op4_anchor_pii
 from farebox.llm.simhash import op3_golay_simhash
+from farebox.llm.toxicity import op7_nearest_toxicity
 from farebox.llm.warc import ORACLE as WARC_SQL
 from farebox.llm.warc import op2_content_addressed_warc
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_bit_packing": op5_bit_packing,
     "op2_content_addressed_warc": op2_content_addressed_warc,
     "op6_pivotal_mixing": op6_pivotal_mixing,
+    "op7_nearest_toxicity": op7_nearest_toxicity,
     "op8_gif": op8_gif,
     "op9_lexical_packing": op9_lexical_packing,
 }
