@@ -5,6 +5,7 @@ from __future__ import annotations
 from farebox.llm.bitpack import op5_bit_packing
 from farebox.llm.gif import op8_gif
 from farebox.llm.mixing import op6_pivotal_mixing
+from farebox.llm.neighbours import op10_pruned_graph
 from farebox.llm.packing import op9_lexical_packing
 from farebox.llm.pii import op4_anchor_pii
 from farebox.llm.simhash import op3_golay_simhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op7_nearest_toxicity": op7_nearest_toxicity,
     "op8_gif": op8_gif,
     "op9_lexical_packing": op9_lexical_packing,
+    "op10_pruned_graph": op10_pruned_graph,
 }
 ORACLES: dict[str, str] = {
     "op2_content_addressed_warc": WARC_SQL,
