@@ -30,8 +30,8 @@ KEPT = K + 1
 SHARD = 3072
 BLOCK = 1024
 DEGREE = 28
-BEAM = 96
-BUILD_BEAM = 64
+BEAM = 64
+BUILD_BEAM = 48
 ALPHA = 1.2
 #: Nodes that a search expands at once.
 WIDE = 4
@@ -109,15 +109,15 @@ def robust_prune(x: np.ndarray, at: np.ndarray, found: np.ndarray, degree: int,
     found, away = np.take_along_axis(found, order, 1), np.take_along_axis(away, order, 1)
     alive = np.take_along_axis(here, order, 1)
     out = np.full((len(at), degree), -1, np.int64)
-    rows = np.arange(len(at))
+    rows, place = np.arange(len(at)), x[np.where(found >= 0, found, 0)]
     for k in range(degree):
         some = alive.any(axis=1)
         if not some.any():
             break
         pick = alive.argmax(axis=1)
         out[some, k] = found[rows, pick][some]
-        between = _closest(x, x[np.where(some, found[rows, pick], 0)], np.where(found >= 0, found, 0))
-        alive &= alpha * alpha * between > away
+        apart = place - place[rows, pick][:, None, :]
+        alive &= alpha * alpha * np.einsum("pcd,pcd->pc", apart, apart) > away
         alive[rows, pick] = False
     return out
 

@@ -9,11 +9,14 @@ from farebox.llm.neighbours import op10_pruned_graph
 from farebox.llm.packing import op9_lexical_packing
 from farebox.llm.pii import op4_anchor_pii
 from farebox.llm.simhash import op3_golay_simhash
+from farebox.llm.toolcalls import ORACLE as CALLS_SQL
+from farebox.llm.toolcalls import op1_tool_call_linking
 from farebox.llm.toxicity import op7_nearest_toxicity
 from farebox.llm.warc import ORACLE as WARC_SQL
 from farebox.llm.warc import op2_content_addressed_warc
 
 QUERIES = {
+    "op1_tool_call_linking": op1_tool_call_linking,
     "op3_golay_simhash": op3_golay_simhash,
     "op4_anchor_pii": op4_anchor_pii,
     "op5_bit_packing": op5_bit_packing,
@@ -25,5 +28,6 @@ QUERIES = {
     "op10_pruned_graph": op10_pruned_graph,
 }
 ORACLES: dict[str, str] = {
+    "op1_tool_call_linking": CALLS_SQL,
     "op2_content_addressed_warc": WARC_SQL,
 }
