@@ -22,11 +22,10 @@ def work_dir(spark: SparkSession) -> str:
 
     Only a session that names none (a test on one machine) gets a temporary one.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="farebox-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="farebox-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 

@@ -31,7 +31,7 @@ from farebox.llm.common import table
 
 PER_CLASS = 1024
 TERMS = 512
-LEAST_CHI2 = 25.0
+LEAST_CHI2 = 10.83
 PREFIXES = range(4, 9)
 K = 15
 REST = 0.3
