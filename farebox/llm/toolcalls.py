@@ -11,8 +11,9 @@ on) and results (call_id, content). Output, one row for each distinct call and f
 - json: keys in the order of their code units, no white space, UTF-8 not escaped; equal records give equal texts. Arguments that
   aren't JSON stay the text that they are.
 
-Levels are found in rounds: a round places the calls whose dependencies are all placed, and only what is left goes on to the
-next, so there are as many rounds as the longest chain has calls. Each round is written to the shared folder.
+Levels: chains of calls with one dependency each are shortened by pointer doubling, in rounds that grow with the logarithm of their
+length. What is left are the calls with several dependencies; a round places those whose dependencies are all placed, so there
+are as many rounds as such calls depend on one another. Each round is written to the shared folder.
 
 Skew: equal calls and equal results are counted before any shuffle; of the results of an identifier the smallest content is its
 answer, a minimum that combines before the shuffle, so no join makes more than a row for each distinct call or result.
@@ -70,19 +71,51 @@ def levels(calls: DataFrame) -> DataFrame:
     ids = written(calls.select("call_id").distinct(), "ids")
     edges = calls.select("call_id", F.explode("after").alias("dep")).where("dep is not null").distinct()
     edges = written(edges.join(ids.select(F.col("call_id").alias("dep")), "dep", "left_semi"), "edges")
-    waiting = written(edges.groupBy("call_id").agg(F.count("*").alias("missing")), "waiting")
-    placed = ids.join(waiting, "call_id", "left_anti").select("call_id", F.lit(0).alias("level"))
-    placed = written(placed, "level0")
-    out, level = placed, 0
-    while not waiting.isEmpty():
-        level += 1
-        met = edges.join(placed.select(F.col("call_id").alias("dep")), "dep", "left_semi").groupBy("call_id").agg(F.count("*").alias("now"))
-        left = written(waiting.join(met, "call_id", "left").select("call_id", (F.col("missing") - F.coalesce("now", F.lit(0))).alias("missing")), "waiting")
-        placed = left.where("missing = 0").select("call_id", F.lit(level).alias("level"))
-        if placed.isEmpty():
+    degrees = written(edges.groupBy("call_id").agg(F.count("*").alias("n"), F.min("dep").alias("dep")), "degrees")
+    chained = degrees.where("n = 1").select("call_id", "dep")
+    anchors = ids.join(chained, "call_id", "left_anti")
+    places = _along_chains(chained).union(anchors.select("call_id", F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("steps")))
+    first = anchors.join(degrees, "call_id", "left_anti").select(F.col("call_id").alias("anchor"), F.lit(0).cast("long").alias("level"))
+    forks = degrees.where("n > 1").select("call_id")
+    if not forks.isEmpty():
+        places, first = written(places, "places"), written(first, "first")
+        first = _over_forks(edges.join(forks, "call_id", "left_semi"), places, first)
+    return places.join(first, "anchor").select("call_id", (F.col("steps") + F.col("level")).cast("int").alias("level"))
+
+
+def _along_chains(chained: DataFrame) -> DataFrame:
+    """(call_id, anchor, steps) of calls (call_id, dep) with one dependency: where following it ends, by pointer doubling.
+
+    The rounds grow with the logarithm of the longest chain. What has no end by then is on a cycle or after one and has no row.
+    """
+    is_link = chained.select(F.col("call_id").alias("dep"), F.lit(True).alias("on"))
+    hops = chained.join(is_link, "dep", "left").select("call_id", F.col("dep").alias("anchor"), F.lit(1).cast("long").alias("steps"), F.col("on").isNull().alias("ended"))
+    hops = written(hops, "hops")
+    for _ in range(hops.count().bit_length() + 1):
+        going = hops.where("not ended")
+        if going.isEmpty():
             break
-        out, waiting = out.union(placed), left.where("missing > 0")
-    return out
+        next_ = hops.select(F.col("call_id").alias("anchor"), F.col("anchor").alias("_a"), F.col("steps").alias("_s"), F.col("ended").alias("_e"))
+        moved = going.join(next_, "anchor").select("call_id", F.col("_a").alias("anchor"), (F.col("steps") + F.col("_s")).alias("steps"), F.col("_e").alias("ended"))
+        hops = written(hops.where("ended").union(moved), "hops")
+    return hops.where("ended").select("call_id", "anchor", "steps")
+
+
+def _over_forks(edges: DataFrame, places: DataFrame, placed: DataFrame) -> DataFrame:
+    """(anchor, level) of placed and of the calls with several dependencies (edges: call_id, dep), round by round."""
+    far = edges.join(places.select(F.col("call_id").alias("dep"), "anchor", "steps"), "dep", "left")
+    far = written(far.groupBy("call_id", "anchor").agg((F.max("steps") + 1).alias("steps")), "forks")
+    waiting = written(far.groupBy("call_id").agg(F.count("*").alias("missing"), F.lit(0).cast("long").alias("level")), "waiting")
+    out = placed
+    while True:
+        met = far.join(placed, "anchor").groupBy("call_id").agg(F.count("*").alias("now"), F.max(F.col("level") + F.col("steps")).alias("_l"))
+        left = waiting.join(met, "call_id", "left")
+        waiting = written(left.select("call_id", (F.col("missing") - F.coalesce("now", F.lit(0))).alias("missing"), F.greatest("level", "_l").alias("level")), "waiting")
+        placed = waiting.where("missing = 0").select(F.col("call_id").alias("anchor"), "level")
+        waiting = waiting.where("missing > 0")
+        if placed.isEmpty():
+            return out
+        out = out.union(placed)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] = SCHEMAS) -> DataFrame:

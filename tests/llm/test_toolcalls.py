@@ -61,9 +61,13 @@ def test_levels_against_brute_force(spark, seed):
     want = {}
     for i in after:
         want[str(i)] = 1 + max((want[str(j)] for j in after[i]), default=-1)
-    after[40], after[41], after[42] = [41], [40], [41, 3]
+    for i in range(100, 140):  # a chain
+        after[i] = [i - 1] if i > 100 else []
+        want[str(i)] = i - 100
+    after[140], want["140"] = [139, 5], 40
+    after[40], after[41], after[42], after[43], after[44] = [41], [40], [41, 3], [41], [44]
     got = {r.call_id: r.level for r in linked(spark, [(str(i), "search", "{}", [*map(str, d), "absent", None]) for i, d in after.items()])}
-    assert got == want | {"40": None, "41": None, "42": None}
+    assert got == want | dict.fromkeys(map(str, range(40, 45)))
 
 
 def test_query_against_sql(spark):
