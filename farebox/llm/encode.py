@@ -22,7 +22,7 @@ _PLAIN = re.compile(r"[ \n]?[!-~À-ÖØ-öø-ÿ]{1,64}").fullmatch
 _BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words and parts of words that are remembered. The frequent ones come early; once it is full, others are encoded for each batch.
-REMEMBERED = 800_000
+REMEMBERED = 200_000
 #: Ids are below 2 ** 24, so neither this nor a separator's id is found across two ids.
 _CUT = b"\xff" * 4
 

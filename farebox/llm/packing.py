@@ -27,7 +27,7 @@ WINDOW = 4096
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 SHARD_DOCS = 2048
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 20
 QUERY_TERMS = 64
 K1, B = 1.2, 0.75
 
