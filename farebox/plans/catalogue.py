@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from farebox.plans import choice, network
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = choice.QUERIES | network.QUERIES
+ORACLES: dict[str, str] = choice.ORACLES | network.ORACLES
