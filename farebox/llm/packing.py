@@ -1,13 +1,19 @@
 """Packing by lexical retrieval: each window of ids is a seed document and the unused documents that are nearest to it.
 
-Every task streams its documents through shards of SHARD_DOCS documents or SHARD_IDS ids at most, and nothing is shuffled. A
-shard has an inverted index of its ids' postings with BM25 weights. The first unused document is the seed: its
-QUERY_TERMS strongest terms are looked up, and the unused documents fill the window in order of their scores (ties: the earlier
-one; those without a common term come last). The document that reaches the window's end is cut there and its rest
-is the next seed. So only a shard's last window isn't full. That one is cut into sequences whose lengths are powers of two, which
-need no padding.
+Retrieval covers the whole corpus, by exact BM25 scores whose document frequencies and mean length are the corpus's too. Windows are
+filled in rounds. In each round a CHAINS-th of the windows to come have a seed: first the windows that are still open, then the
+rests of documents that a full window cut, then the first unused documents. Every seed is scored against every unused document, and
+takes the nearest ones that fill its window; a document that several seeds want goes to the one with the highest score, and a seed
+that lost one searches again in the next round. When what is left fits a shard (SHARD_DOCS documents and SHARD_IDS ids), one
+task packs it window by window. Only there a window isn't full: what is left over is cut into sequences whose lengths are powers of
+two, which need no padding.
 
-Memory is bounded by a shard and one document. A lost task gives the same sequences again: they depend on its input alone.
+Frequent terms are scored as a matrix product, the others by their postings. The search grows with windows times documents,
+nothing of it is cut. Ties: the document whose hash comes first; documents without a common term come last. Documents are ordered by a
+hash of doc_id and ids, so sequences don't depend on how the input is split (but for the rounding of scores).
+
+Memory: a task holds SCORED documents or SCORED_IDS ids, and a broadcast of at most SEEDS seeds. The driver keeps about 50 bytes a
+document and the pieces, and the table of pieces goes to the tasks by a join.
 
 Edge cases: a null text is empty, so its ids are the end id; a document longer than a window fills windows of its own and
 its rest is packed like any other; repeated rows are separate documents; an empty table gives an empty result.
@@ -17,10 +23,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farebox.llm.common import table, text_or_empty
+from farebox.llm.common import table, text_or_empty, written
 from farebox.llm.encode import encoder
 
 WINDOW = 4096
@@ -30,12 +36,33 @@ SHARD_DOCS = 2048
 SHARD_IDS = 1 << 20
 QUERY_TERMS = 64
 K1, B = 1.2, 0.75
+#: A round has seeds for one in CHAINS of the windows to come, SEEDS at most.
+CHAINS = 4
+SEEDS = 1 << 14
+#: Documents and ids that a task scores at a time, and seeds at a time.
+SCORED = 1 << 13
+SCORED_IDS = 1 << 22
+BLOCK = 256
+#: Terms scored as a matrix: the most frequent ones, in over one of RARE documents.
+DENSE = 1024
+RARE = 64
+
+
+class Corpus:
+    """What BM25 knows of all documents: their number, mean length and the idf of each id."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray) -> None:
+        self.n, self.mean, self.df = n, mean, df
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / self.mean))
 
 
 class Index:
-    """BM25 over the ids of a shard's documents."""
+    """BM25 over the ids of a shard's documents, with the shard's statistics if there are none of the corpus."""
 
-    def __init__(self, docs: list[np.ndarray]) -> None:
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None) -> None:
         each = [np.unique(d, return_counts=True) for d in docs]
         sizes = np.array([t.size for t, _ in each])
         terms = np.concatenate([t for t, _ in each]).astype(np.int64)
@@ -43,8 +70,8 @@ class Index:
         owner = np.repeat(np.arange(len(docs)), sizes)
         lengths = np.array([d.size for d in docs], np.float64)
         df = np.bincount(terms)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        self.weights = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / lengths.mean())[owner])
+        corpus = corpus or Corpus(len(docs), lengths.mean(), df)
+        self.weights = corpus.weights(terms, tf, lengths[owner])
         order = np.argsort(terms, kind="stable")
         self.owners, self.posted = owner[order], self.weights[order]
         self.starts = np.concatenate([[0], np.cumsum(df)])
@@ -65,12 +92,20 @@ class Index:
         return np.bincount(self.owners[picked], self.posted[picked], self.n)
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """The sequences of a shard, each a list of pieces (document, start, length)."""
+def pack_shard(
+    docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None, starts: list[int] | None = None, opened: list[tuple[int, list[tuple[int, int, int]]]] | None = None
+) -> list[list[tuple[int, int, int]]]:
+    """The sequences of a shard, each a list of pieces (document, start, length).
+
+    starts: the place from which on a document isn't packed yet (its length: not at all). opened: the seeds and pieces of windows that
+    are open, which are filled first; their pieces may be of documents outside of the shard (negative numbers).
+    """
     sequences: list[list[tuple[int, int, int]]] = []
-    unused = np.ones(len(docs), bool)
-    index = Index(docs)
+    starts = starts or [0] * len(docs)
+    unused = np.array([at < d.size for at, d in zip(starts, docs, strict=True)], bool)
+    index = Index(docs, corpus)
     pieces: list[tuple[int, int, int]] = []
+    left: list[tuple[int, int, int]] = []
     room, seed, at = window, 0, 0
 
     def place(doc: int, start: int) -> int:
@@ -84,29 +119,52 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[
             pieces, room = [], window
         return start + n
 
-    while True:
-        unused[seed] = False
-        while docs[seed].size - at >= window:
-            at = place(seed, at)
-        if at < docs[seed].size:
+    def fill(seed: int) -> tuple[int, int] | None:
+        """Puts the nearest unused documents into the window; the one that was cut, and where."""
+        near = index.scores(seed)
+        near[~unused] = -1.0
+        for doc in _by_score(near, int(unused.sum())):
+            unused[doc] = False
+            cut = place(doc, starts[doc])
+            if not pieces:
+                return (doc, cut) if cut < docs[doc].size else None
+        return None
+
+    for seed, own in opened or []:
+        pieces, room = list(own), window - sum(n for *_, n in own)
+        cut = fill(seed)
+        if cut:
+            starts[cut[0]], unused[cut[0]] = cut[1], True
+        left += pieces
+        pieces, room = [], window
+    while unused.any():
+        seed = int(np.argmax(unused))
+        at = starts[seed]
+        while True:
+            unused[seed] = False
+            while docs[seed].size - at >= window:
+                at = place(seed, at)
+            if at == docs[seed].size:
+                break
             at = place(seed, at)
-            near = index.scores(seed)
-            near[~unused] = -1.0
-            next_, cut = None, 0
-            for doc in _by_score(near, int(unused.sum())):
-                unused[doc] = False
-                cut = place(doc, 0)
-                if not pieces:
-                    if cut < docs[doc].size:
-                        next_ = doc
-                    break
-            if next_ is not None:
-                seed, at = next_, cut
-                continue
-        rest = np.flatnonzero(unused)
-        if not rest.size:
-            break
-        seed, at = int(rest[0]), 0
+            if not pieces:
+                if at < docs[seed].size:
+                    continue
+                break
+            next_ = fill(seed)
+            if next_ is None:
+                break
+            seed, at = next_
+    left += pieces
+    pieces, room = [], window
+    for doc, start, n in left:
+        while n:
+            m = min(n, room)
+            pieces.append((doc, start, m))
+            start, n, room = start + m, n - m, room - m
+            if not room:
+                sequences.append(pieces)
+                pieces, room = [], window
     if pieces:
         sequences += _powers_of_two(pieces)
     return sequences
@@ -141,47 +199,256 @@ def _powers_of_two(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, i
     return out
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
-_DDL = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+class _Scored:
+    """BM25 weights of some documents: frequent terms as a matrix, the others as postings."""
+
+    def __init__(self, corpus: Corpus, columns: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], lengths: np.ndarray) -> None:
+        self.n, self.columns = len(terms), columns
+        owner = np.repeat(np.arange(self.n), [t.size for t in terms])
+        term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(tfs).astype(np.float64)
+        weight = corpus.weights(term, tf, lengths[owner].astype(np.float64))
+        at = columns[term]
+        dense = at >= 0
+        self.matrix = np.zeros((self.n, columns.max(initial=-1) + 1), np.float32)
+        self.matrix[owner[dense], at[dense]] = weight[dense]
+        term, owner, weight = term[~dense], owner[~dense], weight[~dense]
+        order = np.argsort(term, kind="stable")
+        self.owners, self.posted = owner[order], weight[order]
+        self.counts = np.bincount(term, minlength=columns.size)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
+
+    def scores(self, queries: list[np.ndarray]) -> np.ndarray:
+        """The score of each document for each set of terms."""
+        asked = np.zeros((len(queries), self.matrix.shape[1]), np.float32)
+        rare = []
+        for i, terms in enumerate(queries):
+            at = self.columns[terms]
+            asked[i, at[at >= 0]] = 1
+            rare.append(terms[(at < 0) & (self.counts[terms] > 0)])
+        out = asked @ self.matrix.T
+        for i, terms in enumerate(rare):
+            if terms.size:
+                at, counts = self.starts[terms], self.counts[terms]
+                picked = np.arange(counts.sum()) + np.repeat(at - np.cumsum(counts) + counts, counts)
+                out[i] += np.bincount(self.owners[picked], self.posted[picked], self.n).astype(np.float32)
+        return np.round(out, 3)
+
+
+def _enough(scores: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
+    """The documents with the highest scores, best first (ties: the earlier one), as many as fill the room."""
+    few = 32
+    while few < scores.size:
+        bar = np.partition(scores, scores.size - few)[scores.size - few]
+        top = np.flatnonzero(scores >= bar)
+        if sizes[top].sum() >= room:
+            break
+        few *= 4
+    else:
+        top = np.arange(scores.size)
+    top = top[np.argsort(-scores[top], kind="stable")]
+    return top[: int(np.searchsorted(np.cumsum(sizes[top]), room)) + 1]
 
 
-def pack(df: DataFrame, vocabulary: str = VOCABULARY, end: int = END, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pieces of the sequences: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids (little-endian unsigned 32 bits)."""
+_IDS_DDL = "part int, row long, size long, hash long, ids binary, terms binary, tfs binary"
+_PIECES_DDL = "part int, row long, start long, length long, sequence_id long, offset long"
+
+
+def _encoded(df: DataFrame, vocabulary: str, end: int, doc_id: str, text: str) -> DataFrame:
+    """Each document with its ids, its distinct ids and their counts, numbered by the task and its rows."""
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("size", pa.int64()), ("hash", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary()), ("tfs", pa.binary())])
 
     def run(batches):
+        import xxhash
         from pyspark import TaskContext
 
-        coder, tail, sequence = encoder(vocabulary), np.array([end], np.uint32), TaskContext.get().partitionId() << 40
-        names: list = []
-        docs: list[np.ndarray] = []
-
-        def shard():
-            nonlocal sequence
-            rows = []
-            for pieces in pack_shard(docs, window):
-                offset = 0
-                for doc, start, n in pieces:
-                    rows.append((names[doc], start, n, docs[doc].size, sequence, offset, docs[doc][start : start + n].astype("<u4").tobytes()))
-                    offset += n
-                sequence += 1
-            for i in range(0, len(rows), 2048):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 2048], strict=True), _PIECES, strict=True)], schema=_PIECES)
-
-        held = 0
+        coder, tail, part, row = encoder(vocabulary), np.array([end], np.uint32), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for d, ids in zip(part.column(0).to_pylist(), coder.ids(part.column(1).to_pylist()), strict=True):
-                    names.append(d)
-                    docs.append(np.concatenate([ids, tail]))
-                    held += ids.size + 1
-                    if len(docs) >= SHARD_DOCS or held >= SHARD_IDS:
-                        yield from shard()
-                        names, docs, held = [], [], 0
-        if docs:
-            yield from shard()
-
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, _DDL)
+                some = batch.slice(at, 512)
+                rows = []
+                for d, ids in zip(some.column(0).to_pylist(), coder.ids(some.column(1).to_pylist()), strict=True):
+                    ids = np.concatenate([ids, tail]).astype("<u4")
+                    terms, tfs = np.unique(ids, return_counts=True)
+                    raw = ids.tobytes()
+                    h = xxhash.xxh64_intdigest(f"{d} {xxhash.xxh64_hexdigest(raw)}") >> 1
+                    rows.append((d, part, row, ids.size, h, raw, terms.tobytes(), tfs.astype("<u4").tobytes()))
+                    row += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, f"doc_id long, {_IDS_DDL}")
+
+
+def _corpus(docs: DataFrame) -> Corpus:
+    """One aggregation over all documents; each task sums its own first, so at most a row for each task and id is shuffled."""
+
+    def run(batches):
+        df = np.zeros(0, np.int64)
+        for batch in batches:
+            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=df.size)
+            found[: df.size] += df
+            df = found
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": terms, "n": df[terms]})
+
+    found = docs.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    n, total = docs.agg(F.count("*"), F.sum("size")).first()
+    df = np.zeros(max(found["term"].to_pylist(), default=0) + 1, np.int64)
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    return Corpus(n, total / max(n, 1), df)
+
+
+def _terms_of(docs: DataFrame, numbers: np.ndarray, rank, offsets: np.ndarray, column: str = "terms") -> dict[int, np.ndarray]:
+    """The terms (or ids) of some documents."""
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(numbers))
+
+    def run(batches):
+        for batch in batches:
+            own = rank.value[offsets[batch.column(0).to_numpy()] + batch.column(1).to_numpy()]
+            keep = np.flatnonzero(np.isin(own, wanted.value))
+            yield pa.RecordBatch.from_pydict({"number": own[keep].astype(np.int64), "x": batch.column(2).take(pa.array(keep))})
+
+    got = docs.select("part", "row", column).mapInArrow(run, "number long, x binary").toArrow()
+    wanted.destroy()
+    return {n: np.frombuffer(x, "<u4") for n, x in zip(got["number"].to_pylist(), got["x"].to_pylist(), strict=True)}
+
+
+def _nearest(docs: DataFrame, corpus, columns: np.ndarray, rank, offsets: np.ndarray, seeds: list[tuple[int, np.ndarray, int]], left: np.ndarray):
+    """(seed, number, score): for each (document, terms, room) the nearest documents with something left that fill its room, best first."""
+    sc = docs.sparkSession.sparkContext
+    asked, free = sc.broadcast(seeds), sc.broadcast(left)
+
+    def run(batches):
+        held: list[tuple] = []
+        count = ids = 0
+
+        def search():
+            number, size = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            order = np.argsort(number)
+            terms, tfs = ([x for h in held for x in h[k]] for k in (2, 3))
+            some = _Scored(corpus.value, columns, [np.frombuffer(terms[i], "<u4") for i in order], [np.frombuffer(tfs[i], "<u4") for i in order], size[order])
+            number = number[order]
+            sizes = free.value[number]
+            for at in range(0, len(asked.value), BLOCK):
+                block = asked.value[at : at + BLOCK]
+                for i, (scores, (_, _, room)) in enumerate(zip(some.scores([t for _, t, _ in block]), block, strict=True)):
+                    top = _enough(scores, sizes, room)
+                    yield pa.RecordBatch.from_pydict({"seed": np.full(top.size, at + i), "number": number[top].astype(np.int64), "score": scores[top], "size": sizes[top].astype(np.int64)})
+
+        def merged(batches):
+            got = pa.Table.from_batches(batches)
+            return got.combine_chunks().to_batches()
+
+        for batch in batches:
+            number = rank.value[offsets[batch.column(0).to_numpy()] + batch.column(1).to_numpy()]
+            keep = np.flatnonzero(free.value[number] > 0)
+            if not keep.size:
+                continue
+            part = batch.take(pa.array(keep))
+            size = part.column(2).to_numpy()
+            held.append((number[keep], size, part.column(3).to_pylist(), part.column(4).to_pylist()))
+            count, ids = count + keep.size, ids + int(size.sum())
+            if count >= SCORED or ids >= SCORED_IDS:
+                yield from merged(search())
+                held, count, ids = [], 0, 0
+        if held:
+            yield from merged(search())
+
+    found = docs.select("part", "row", "size", "terms", "tfs").mapInArrow(run, "seed long, number long, score float, size long")
+    by = Window.partitionBy("seed").orderBy(F.desc("score"), "number")
+    room = docs.sparkSession.createDataFrame(pa.table({"seed": np.arange(len(seeds)), "room": np.array([r for *_, r in seeds], np.int64)}))
+    best = found.withColumn("before", F.sum("size").over(by) - F.col("size")).join(F.broadcast(room), "seed").where("before < room")
+    got = best.select("seed", "number", "score").toArrow()
+    asked.destroy()
+    free.destroy()
+    return got["seed"].to_numpy(), got["number"].to_numpy(), got["score"].to_numpy()
+
+
+def pack(df: DataFrame, vocabulary: str = VOCABULARY, end: int = END, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pieces of the sequences: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids (little-endian unsigned 32 bits)."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    docs = written(_encoded(df, vocabulary, end, doc_id, text), "ids")
+    known = docs.select("part", "row", "size", "hash").toArrow()
+    part, row, sizes, hashes = (known[c].to_numpy().astype(np.int64) for c in ("part", "row", "size", "hash"))
+    order = np.lexsort([row, part, hashes])
+    counts = np.bincount(part)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    ranks = np.empty(part.size, np.int32)
+    ranks[(offsets[part] + row)[order]] = np.arange(part.size)
+    part, row, sizes = part[order], row[order], sizes[order]
+    sequences = _sequences(docs, sizes, sc.broadcast(ranks), offsets, window) if part.size else []
+    rows = np.array([(doc, start, n, s, 0) for s, pieces in enumerate(sequences) for doc, start, n in pieces], np.int64).reshape(-1, 5)
+    ends = np.cumsum(rows[:, 2])
+    firsts = np.searchsorted(rows[:, 3], rows[:, 3])
+    rows[:, 4] = ends - rows[:, 2] - (ends - rows[:, 2])[firsts] if len(rows) else 0
+    cut = pa.table({"part": part[rows[:, 0]].astype(np.int32), "row": row[rows[:, 0]], "start": rows[:, 1], "length": rows[:, 2], "sequence_id": rows[:, 3], "offset": rows[:, 4]})
+    pieces = written(spark.createDataFrame(cut, _PIECES_DDL), "pieces")
+    met = docs.select("doc_id", "part", "row", F.col("size").alias("doc_tokens"), "ids").join(pieces, ["part", "row"])
+    ids = F.expr("substring(ids, cast(start * 4 + 1 as int), cast(length * 4 as int))")
+    return met.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", ids.alias("ids"))
+
+
+def _sequences(docs: DataFrame, sizes: np.ndarray, rank, offsets: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
+    """The sequences of all documents, each a list of pieces (document, start, length)."""
+    known = _corpus(docs)
+    corpus = docs.sparkSession.sparkContext.broadcast(known)
+    common = np.argsort(-known.df, kind="stable")[:DENSE]
+    common = common[known.df[common] * RARE > known.n]
+    columns = np.full(known.df.size, -1, np.int64)
+    columns[common] = np.arange(common.size)
+    sequences: list[list[tuple[int, int, int]]] = []
+    starts = sizes // window * window
+    for doc in np.flatnonzero(starts).tolist():
+        sequences += [[(doc, at, window)] for at in range(0, int(starts[doc]), window)]
+    opened: dict[int, list[tuple[int, int, int]]] = {}
+    terms: dict[int, np.ndarray] = {}
+    rests: list[int] = []
+    while True:
+        left = sizes - starts
+        unused = np.flatnonzero(left)
+        if unused.size <= SHARD_DOCS and left.sum() <= SHARD_IDS:
+            break
+        chains = int(min(SEEDS, max(1, left.sum() // (CHAINS * window))))
+        for seed in [*rests, *unused[: chains + len(rests)].tolist()]:
+            if len(opened) >= chains:
+                break
+            if starts[seed] < sizes[seed] and seed not in opened:
+                opened[seed] = [(seed, int(starts[seed]), int(left[seed]))]
+                starts[seed] = sizes[seed]
+        rests = []
+        new = [d for d in opened if d not in terms]
+        terms = {d: t for d, t in terms.items() if d in opened} | (_terms_of(docs, np.array(new), rank, offsets) if new else {})
+        left = sizes - starts
+        asked = [(d, terms[d], window - sum(n for *_, n in p)) for d, p in opened.items()]
+        seed, number, score = _nearest(docs, corpus, columns, rank, offsets, asked, left.astype(np.int32))
+        best = np.lexsort([number, seed, -score])
+        room = [r for *_, r in asked]
+        for s, doc in zip(seed[best].tolist(), number[best].tolist(), strict=True):
+            if room[s] and starts[doc] < sizes[doc] and left[doc]:
+                n = min(room[s], int(left[doc]))
+                opened[asked[s][0]].append((doc, int(starts[doc]), n))
+                starts[doc] += n
+                left[doc] = 0
+                room[s] -= n
+                if not room[s] and starts[doc] < sizes[doc]:
+                    rests.append(doc)
+        for s, (d, _, _) in enumerate(asked):
+            if not room[s]:
+                sequences.append(opened.pop(d))
+    unused = np.flatnonzero(sizes - starts)
+    if not unused.size and not opened:
+        return sequences
+    held = [*unused.tolist(), *(d for d in opened if starts[d] == sizes[d])]
+    return sequences + _last(docs, held, starts, sizes, opened, rank, offsets, window, known)
+
+
+def _last(docs: DataFrame, held: list[int], starts: np.ndarray, sizes: np.ndarray, opened: dict, rank, offsets: np.ndarray, window: int, known: Corpus) -> list[list[tuple[int, int, int]]]:
+    """Packs what is left with pack_shard; pieces of other documents pass through it as negative numbers."""
+    ids = _terms_of(docs, np.array(held), rank, offsets, "ids")
+    at = {d: i for i, d in enumerate(held)}
+    own = [(at[d], [(-1 - doc, start, n) for doc, start, n in p]) for d, p in opened.items()]
+    found = pack_shard([ids[d] for d in held], window, known, [int(starts[d]) for d in held], own)
+    return [[(held[doc] if doc >= 0 else -1 - doc, start, n) for doc, start, n in pieces] for pieces in found]
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -85,3 +85,34 @@ def test_rows(spark, monkeypatch):
     got = {(r.doc_id, r.start, r.sequence_id, r.offset): r.ids_crc32 for r in packing.digest(packing.pack(df)).collect()}
     assert got == {(p.doc_id, p.start, p.sequence_id, p.offset): zlib.crc32(bytes(p.ids)) for p in pieces}
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_scores_of_matrix_and_postings_are_bm25():
+    rng = np.random.default_rng(5)
+    docs = [rng.zipf(1.5, 60).clip(max=200).astype(np.uint32) for _ in range(50)]
+    terms, tfs = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
+    df = np.bincount(np.concatenate(terms))
+    corpus = packing.Corpus(50, 60.0, df)
+    columns = np.full(df.size, -1)
+    columns[np.argsort(-df)[:10]] = np.arange(10)
+    got = packing._Scored(corpus, columns, list(terms), list(tfs), np.full(50, 60)).scores([terms[3], terms[7]])
+    for row, seed in zip(got, (3, 7), strict=True):
+        want = [sum(corpus.weights(np.array([t]), np.array([(d == t).sum()]), np.array([60.0]))[0] for t in terms[seed] if t in d) for d in docs]
+        assert np.abs(row - want).max() < 1e-2
+
+
+def test_retrieval_covers_the_table_however_it_is_split(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 16)
+    monkeypatch.setattr(packing, "SCORED", 30, raising=False)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"{'abcd'[i % 4]}{'efgh'[i % 4]}{k}" for k in rng.integers(0, 40, 100)) for i in range(160)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = []
+    for n in (1, 5):
+        windows = defaultdict(list)
+        for p in packing.pack(df.repartition(n), window=1024).collect():
+            windows[p.sequence_id].append((p.doc_id, p.start, p.length))
+        got.append(sorted(sorted(w) for w in windows.values()))
+        # each of the four kinds is met from the whole table: few windows are mixed
+        assert sum(len({d % 4 for d, *_ in w}) == 1 for w in windows.values()) >= 0.75 * len(windows)
+    assert got[0] == got[1]
