@@ -15,6 +15,11 @@ Skew: equal fingerprints are one node, joined before anything is paired. A key w
 paired at all: its fingerprints go the exact way of their balls of radius one (65 words each), since two words
 differ in at most two bits just if these balls meet. Rows grow with the fingerprints, never with their pairs.
 
+With a similarity, near_duplicates and keep_one go another way: links are pairs of sets of shingles (of any width) whose exact Jaccard
+similarity is at least that. Fingerprints don't take part, since texts as near as 0.8 differ in up to 11 bits, and no key of theirs meets
+there. Sets that similar share one of their rarest shingles (a prefix of |x| - ceil(similarity |x|) + 1 in one order of all), by which
+candidates are joined; hot shingles are the last in this order. Every candidate is verified, so none is missed and none is wrong.
+
 Edge cases: repeated rows and equal texts have one fingerprint and one component; a null doc_id takes part, and is
 never the smallest one unless all of a component are null; an empty table gives an empty result.
 """
@@ -25,7 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farebox.llm.common import table, written
@@ -146,20 +151,75 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row of df; component_id: the smallest doc_id that links reach, its own included."""
-    docs = written(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The distinct XXH64 hashes of a text's shingles, in order; words as in the fingerprint."""
+    import xxhash
+
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.int64)
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))}
+    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+
+
+def with_shingles(df: DataFrame, width: int, text: str = "text") -> DataFrame:
+    """df with the set of shingles as hashes, and the set's own hash as fp."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        import xxhash
+
+        sets = [shingles(t.as_py(), width) for t in texts]
+        prints = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+        offsets = np.concatenate([[0], np.cumsum([x.size for x in sets])]).astype(np.int32)
+        values = np.concatenate([np.zeros(0, np.int64), *sets])
+        return pa.StructArray.from_arrays([pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["fp", "hashes"])
+
+    return df.withColumn("_set", F.arrow_udf(run, "fp long, hashes array<long>")(F.col(text))).select(*df.columns, "_set.fp", "_set.hashes")
+
+
+def similar(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) between just the sets (columns fp, distinct, and hashes) whose Jaccard similarity is at least similarity."""
+    each = sets.select("fp", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    met = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("fp")
+    ranked = each.join(met, "h").withColumn("at", F.row_number().over(own.orderBy("df", "h"))).withColumn("shared", F.count("*").over(own))
+    # shingles of one set alone come first in the order, and meet nothing
+    prefix = written(ranked.where(F.col("at") <= F.col("shared") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("fp", "n", "h"), "prefixes")
+    u, v = (prefix.select("h", F.col("fp").alias(x), F.col("n").alias(f"n_{x}")) for x in "uv")
+    sized = (F.col("n_u") >= F.col("n_v") * similarity - 1e-9) & (F.col("n_v") >= F.col("n_u") * similarity - 1e-9)
+    pairs = u.join(v, "h").where((F.col("u") < F.col("v")) & sized).select("u", "v").distinct()
+    a, b = (sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "uv")
+    both = F.size(F.array_intersect("set_u", "set_v"))
+    return pairs.join(a, "u").join(b, "v").where(both >= (F.size("set_u") + F.size("set_v") - both) * similarity - 1e-9).select("u", "v")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of df; component_id: the smallest doc_id that links reach, its own included.
+
+    Without a similarity, fingerprints (of three-word shingles) are linked; with one, sets of shingles of width words that are as similar,
+    and fp is the set's hash.
+    """
+    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if similarity is None:
+        if width != 3:
+            raise ValueError("fingerprints are of three-word shingles; another width needs a similarity")
+        docs = written(with_fingerprint(docs).select("doc_id", "fp"), "fingerprints")
+    else:
+        if not 0 < similarity <= 1 or width < 1:
+            raise ValueError("similarity is over 0 and at most 1, width at least 1")
+        docs = written(with_shingles(docs, width).select("doc_id", "fp", "hashes"), "shingles")
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(nodes.select("fp")))
+    edges = links(nodes.select("fp")) if similarity is None else similar(docs.select("fp", "hashes").dropDuplicates(["fp"]), similarity)
+    roots = connected_components(edges)
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return docs.join(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of df whose doc_id is its component's smallest; of repeated rows of one doc_id all stay. Rows with a null doc_id in a
-    component without any other stay too."""
-    found = near_duplicates(df, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    component without any other stay too. width and similarity as in near_duplicates."""
+    found = near_duplicates(df, doc_id, text, width, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     return df.join(found, df[doc_id].eqNullSafe(found["_kept"]), "left_semi")
 
 

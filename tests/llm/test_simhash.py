@@ -91,3 +91,32 @@ def test_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u long, v long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_similar_texts_are_those_of_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(100_001, " ".join(map(str, range(104)))), (100_002, " ".join(map(str, range(1, 105)))), (100_003, None), (100_004, "one two")]
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    root, pairs = {d: d for d in sets}, 0
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) - 1e-9 and (x == y or len(x & y) >= 0.8 * len(x | y) - 1e-9):
+                pairs += x != y
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    assert pairs >= 10
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, width=5, similarity=0.8).collect()}
+    assert got == {d: find(d) for d in ids}
+    assert sorted(r.doc_id for r in simhash.keep_one(df, width=5, similarity=0.8).collect()) == [d for d in ids if find(d) == d]
