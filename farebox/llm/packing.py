@@ -34,7 +34,6 @@ VOCABULARY = "word_bpe_49k.json"
 END = 2
 SHARD_DOCS = 2048
 SHARD_IDS = 1 << 20
-QUERY_TERMS = 64
 K1, B = 1.2, 0.75
 #: A round has seeds for one in CHAINS of the windows to come, SEEDS at most.
 CHAINS = 4
@@ -79,12 +78,9 @@ class Index:
         self.firsts = np.concatenate([[0], np.cumsum(sizes)])
 
     def scores(self, doc: int) -> np.ndarray:
-        """The score of every document for the strongest terms of one."""
-        terms, weights = (x[self.firsts[doc] : self.firsts[doc + 1]] for x in (self.terms, self.weights))
-        shared = self.df[terms] > 1
-        terms, weights = terms[shared], weights[shared]
-        if terms.size > QUERY_TERMS:
-            terms = terms[np.argsort(-weights, kind="stable")[:QUERY_TERMS]]
+        """The score of every document for the terms of one."""
+        terms = self.terms[self.firsts[doc] : self.firsts[doc + 1]]
+        terms = terms[self.df[terms] > 1]
         if not terms.size:
             return np.zeros(self.n)
         at, counts = self.starts[terms], self.df[terms]

@@ -116,3 +116,10 @@ def test_retrieval_covers_the_table_however_it_is_split(spark, monkeypatch):
         # each of the four kinds is met from the whole table: few windows are mixed
         assert sum(len({d % 4 for d, *_ in w}) == 1 for w in windows.values()) >= 0.75 * len(windows)
     assert got[0] == got[1]
+
+
+def test_scores_take_all_shared_terms():
+    # 200 shared terms of one weight in the seed: all of them count
+    docs = [np.arange(200, dtype=np.uint32), np.arange(100, dtype=np.uint32), np.arange(100, 200, dtype=np.uint32)]
+    got = packing.Index(docs).scores(0)
+    assert got[1] > 0 and abs(got[1] - got[2]) < 1e-9
