@@ -168,14 +168,14 @@ def _spans(texts: pa.Array) -> pa.Array:
 
 
 def redact_text(text: str | None) -> str | None:
-    """The text with ``[KIND]`` in place of each span; of overlapping spans the first, or at one start the longest, counts."""
+    """The text with ``[KIND]`` in place of each span; overlapping spans are replaced as one, by the kind of the first, or at one start the longest."""
     if text is None:
         return None
     out, at = [], 0
     for a, k, b in sorted(find_spans(text), key=lambda s: (s[0], -s[2], s[1])):
         if a >= at:
             out += (text[at:a], f"[{KINDS[k].upper()}]")
-            at = b
+        at = max(at, b)
     return "".join((*out, text[at:])) if at else text
 
 

@@ -60,3 +60,8 @@ def test_frame(spark):
     got = {tuple(r) for r in pii.find_pii(df).selectExpr("doc_id", "size(spans)").collect()}
     assert got == {(1, 2), (None, 0), (3, 0)}
     assert pii.redact(df.limit(0)).count() == 0
+
+
+def test_overlapping_spans_leave_no_tail():
+    assert pii.redact_text("ftp://first.last@host.com") == "[URL]"
+    assert pii.redact_text("see ftp://first.last@host.com, or http://a.com/x4111 1111 1111 1111 now") == "see [URL], or [URL] now"
