@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,19 +39,24 @@ def transfers(stops: DataFrame, radius: float = 500.0) -> DataFrame:
     return within(stops, stops, radius).where("id <> other")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, bound: float, rounds: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, bound: float, rounds: int | None = None) -> DataFrame:
     """(source, node, cost) of every node reached: nodes whose cost is at most bound are expanded, others are ends.
 
     Bellman-Ford in rounds over edges (src, dst, cost); only what a round has improved goes on. Each round is checkpointed, so the plan
-    doesn't grow; it needs a checkpoint folder.
+    doesn't grow; it needs a checkpoint folder. Costs aren't negative, so the rounds end by themselves; if rounds are given and
+    don't suffice, that is an error.
     """
+    if not edges.where("cost < 0").isEmpty():
+        raise ValueError("an edge has a negative cost")
     best = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")).checkpoint()
     front = best
-    for _ in range(rounds):
+    for done in count():
         hop = front.where(F.col("cost") <= bound).select("source", F.col("node").alias("src"), F.col("cost").alias("so_far")).join(edges, "src")
         hop = hop.groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("so_far") + F.col("cost")).alias("new"))
         front = hop.join(best, ["source", "node"], "left").where("cost is null or new < cost").select("source", "node", F.col("new").alias("cost")).checkpoint()
         if front.isEmpty():
             break
+        if rounds is not None and done + 1 >= rounds:
+            raise RuntimeError(f"paths aren't complete after {rounds} rounds")
         best = best.union(front).groupBy("source", "node").agg(F.min("cost").alias("cost")).checkpoint()
     return best

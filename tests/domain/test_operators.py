@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from farebox.functions import arrays, geo, text, times
@@ -96,3 +97,14 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("quarters").count() == 12
     assert sorted(r.legs for r in spark.table("journeys").collect()) == [6, 6]
+
+
+def test_shortest_paths_go_beyond_64_hops(spark):
+    from farebox.operators.spatial import shortest_paths
+
+    edges = spark.createDataFrame([(i, i + 1, 0.0 if i % 2 else 1.0) for i in range(70)], "src long, dst long, cost double")
+    sources = spark.createDataFrame([(0,)], "source long")
+    got = {r.node: r.cost for r in shortest_paths(edges, sources, 100.0).collect()}
+    assert got == {i: float((i + 1) // 2) for i in range(71)}
+    with pytest.raises(RuntimeError):
+        shortest_paths(edges, sources, 100.0, rounds=3)
