@@ -99,8 +99,8 @@ def write_ids(df: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int =
         bits = width(max(coder.tokenizer.get_vocab_size(), end + 1))
         docs, ids, tail = [], [], np.array([end], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 for d, got in zip(part.column(0).to_pylist(), coder.ids(part.column(1).to_pylist()), strict=True):
                     docs.append(d)
                     ids.append(np.concatenate([got, tail]))

@@ -1,5 +1,6 @@
-import glob
+import json
 
+import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -33,6 +34,23 @@ def test_real_texts(name):
 def test_small_memory(name, monkeypatch):
     monkeypatch.setattr(encode, "REMEMBERED", 50)
     texts = [f"word{i} other{i % 7}, and {i}" for i in range(600)]
-    e = encode.Encoder(__import__("public_tokenizers").path(name), name.startswith("byte"))
+    e = encode.Encoder(public_tokenizers.path(name))
     for t, got in zip(texts, e.ids(texts), strict=True):
         assert got.tolist() == whole(name, t)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_long_and_many(name):
+    texts = ["a" * 70_000, "ab1, " * 3_000, " ".join(f"Wörd{i}x" for i in range(70_000)), "漢字" * 40_000]
+    for t, got in zip(texts, encode.encoder(name).ids(texts), strict=True):
+        assert got.tolist() == whole(name, t)
+
+
+def test_other_vocabularies_go_whole(tmp_path):
+    with open(public_tokenizers.path(NAMES[0]), encoding="utf-8") as file:
+        said = json.load(file)
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    e = encode.Encoder(str(tmp_path / "other.json"))
+    assert e.spaced is None
+    assert e.ids(["some words"])[0].tolist() == e.tokenizer.encode("some words", add_special_tokens=False).ids
