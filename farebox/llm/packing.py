@@ -1,50 +1,48 @@
 """Packing by lexical retrieval: each window of ids is a seed document and the unused documents that are nearest to it.
 
-Retrieval covers the whole corpus, by exact BM25 scores whose document frequencies and mean length are the corpus's too. Windows are
-filled in rounds. In each round a CHAINS-th of the windows to come have a seed: first the windows that are still open, then the
-rests of documents that a full window cut, then the first unused documents. Every seed is scored against every unused document, and
-takes the nearest ones that fill its window; a document that several seeds want goes to the one with the highest score, and a seed
-that lost one searches again in the next round. When what is left fits a shard (SHARD_DOCS documents and SHARD_IDS ids), one
-task packs it window by window. Only there a window isn't full: what is left over is cut into sequences whose lengths are powers of
-two, which need no padding.
+Documents are encoded and routed by content, so that lexical neighbours meet in one shard: a tree of ROUTED sampled documents (two means,
+again and again, on random projections of their BM25 weights) gives each document a leaf and a place in it. Documents are
+dealt out by range of (leaf, place), a hash splits what is alike, and consecutive ones form shards of up to SHARD_DOCS documents
+and SHARD_IDS ids. Only the routing is fitted on a sample; the number of documents, their mean length and the document frequencies of BM25
+are those of the whole table, and every document is scored with all terms of its seed.
 
-Frequent terms are scored as a matrix product, the others by their postings. The search grows with windows times documents,
-nothing of it is cut. Ties: the document whose hash comes first; documents without a common term come last. Documents are ordered by a
-hash of doc_id and ids, so sequences don't depend on how the input is split (but for the rounding of scores).
+In a shard the first unused document is the seed of a window. Its nearest unused documents fill it greedily; the one that the end of
+the window cuts is the next seed. A window takes a text once, and the same text again only when nothing else is left in the shard.
+What a shard can't fill goes on with the next one; what a task leaves is cut into sequences whose lengths are
+powers of two, which need no padding. Ties: the first document in the order of (leaf, place, hash).
 
-Memory: a task holds SCORED documents or SCORED_IDS ids, and a broadcast of at most SEEDS seeds. The driver keeps about 50 bytes a
-document and the pieces, and the table of pieces goes to the tasks by a join.
+Frequent terms are scored as a matrix product for some seeds at a time, the others by their postings. Work grows with the documents, and
+with the documents of a shard, of which the size is bounded. A task holds one shard.
 
 Edge cases: a null text is empty, so its ids are the end id; a document longer than a window fills windows of its own and
-its rest is packed like any other; repeated rows are separate documents; an empty table gives an empty result.
+its rest is packed like any other; repeated rows are separate documents; other columns don't count; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farebox.llm.common import table, text_or_empty, written
+from farebox.llm.common import new_path, table, text_or_empty
 from farebox.llm.encode import encoder
 
 WINDOW = 4096
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 SHARD_DOCS = 2048
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 22
 K1, B = 1.2, 0.75
-#: A round has seeds for one in CHAINS of the windows to come, SEEDS at most.
-CHAINS = 4
-SEEDS = 1 << 14
-#: Documents and ids that a task scores at a time, and seeds at a time.
-SCORED = 1 << 13
-SCORED_IDS = 1 << 22
-BLOCK = 256
 #: Terms scored as a matrix: the most frequent ones, in over one of RARE documents.
 DENSE = 1024
 RARE = 64
+#: Documents that the routing is fitted on, those of them in a leaf, and the dimensions of their projections.
+ROUTED = 4096
+LEAF = 16
+DIMENSIONS = 32
 
 
 class Corpus:
@@ -52,11 +50,19 @@ class Corpus:
 
     def __init__(self, n: int, mean: float, df: np.ndarray) -> None:
         self.n, self.mean, self.df = n, mean, df
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        self.idf = np.log1p(np.maximum(n - df + 0.5, 0) / (df + 0.5))
 
     def weights(self, terms: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return self.idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths / self.mean))
 
+    def columns(self) -> np.ndarray:
+        """For each term its column of the matrix of frequent terms, -1: none."""
+        common = np.argsort(-self.df, kind="stable")[:DENSE]
+        common = common[self.df[common] * RARE > self.n]
+        columns = np.full(self.df.size, -1, np.int64)
+        columns[common] = np.arange(common.size)
+        return columns
+
 
 class Index:
     """BM25 over the ids of a shard's documents, with the shard's statistics if there are none of the corpus."""
@@ -88,26 +94,32 @@ class Index:
         return np.bincount(self.owners[picked], self.posted[picked], self.n)
 
 
-def pack_shard(
-    docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None, starts: list[int] | None = None, opened: list[tuple[int, list[tuple[int, int, int]]]] | None = None
-) -> list[list[tuple[int, int, int]]]:
-    """The sequences of a shard, each a list of pieces (document, start, length).
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
+    """The sequences of a shard, each a list of pieces (document, start, length)."""
+    sequences, left = fill_windows(docs, window, corpus)
+    return sequences + cut_rest(left, window)
+
 
-    starts: the place from which on a document isn't packed yet (its length: not at all). opened: the seeds and pieces of windows that
-    are open, which are filled first; their pieces may be of documents outside of the shard (negative numbers).
-    """
+def fill_windows(docs: list[np.ndarray], window: int, corpus: Corpus | None) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
+    """Full windows of a shard's documents, and the pieces of those that couldn't be filled."""
+    each = [np.unique(d, return_counts=True) for d in docs]
+    lengths = np.array([d.size for d in docs])
+    if corpus is None:
+        df = np.bincount(np.concatenate([t for t, _ in each]).astype(np.int64))
+        corpus = Corpus(len(docs), lengths.mean(), df)
+    index = Shard(corpus, [t for t, _ in each], [n for _, n in each], lengths)
+    kinds: dict[bytes, int] = {}
+    same = np.array([kinds.setdefault(d.tobytes(), len(kinds)) for d in docs])
     sequences: list[list[tuple[int, int, int]]] = []
-    starts = starts or [0] * len(docs)
-    unused = np.array([at < d.size for at, d in zip(starts, docs, strict=True)], bool)
-    index = Index(docs, corpus)
-    pieces: list[tuple[int, int, int]] = []
     left: list[tuple[int, int, int]] = []
-    room, seed, at = window, 0, 0
+    unused = np.ones(len(docs), bool)
+    pieces: list[tuple[int, int, int]] = []
+    room = window
 
     def place(doc: int, start: int) -> int:
         """Puts the document from start on into the window as far as there is room; the place where it was cut."""
         nonlocal pieces, room
-        n = min(room, docs[doc].size - start)
+        n = min(room, int(lengths[doc]) - start)
         pieces.append((doc, start, n))
         room -= n
         if not room:
@@ -118,41 +130,54 @@ def pack_shard(
     def fill(seed: int) -> tuple[int, int] | None:
         """Puts the nearest unused documents into the window; the one that was cut, and where."""
         near = index.scores(seed)
+        held = {same[d] for d, *_ in pieces}
+        near[np.isin(same, list(held))] = -0.5
         near[~unused] = -1.0
+        again = []
         for doc in _by_score(near, int(unused.sum())):
+            if near[doc] >= 0 and same[doc] in held:
+                again.append(doc)
+                continue
+            held.add(same[doc])
             unused[doc] = False
-            cut = place(doc, starts[doc])
+            cut = place(doc, 0)
             if not pieces:
-                return (doc, cut) if cut < docs[doc].size else None
+                return (doc, cut) if cut < lengths[doc] else None
+        for doc in again:
+            unused[doc] = False
+            cut = place(doc, 0)
+            if not pieces:
+                return (doc, cut) if cut < lengths[doc] else None
         return None
 
-    for seed, own in opened or []:
-        pieces, room = list(own), window - sum(n for *_, n in own)
-        cut = fill(seed)
-        if cut:
-            starts[cut[0]], unused[cut[0]] = cut[1], True
-        left += pieces
-        pieces, room = [], window
-    while unused.any():
-        seed = int(np.argmax(unused))
-        at = starts[seed]
+    first = 0
+    while True:
+        while first < len(docs) and not unused[first]:
+            first += 1
+        if first == len(docs):
+            break
+        seed, at = first, 0
         while True:
             unused[seed] = False
-            while docs[seed].size - at >= window:
+            while lengths[seed] - at >= window:
                 at = place(seed, at)
-            if at == docs[seed].size:
-                break
-            at = place(seed, at)
-            if not pieces:
-                if at < docs[seed].size:
-                    continue
+            if at == lengths[seed]:
                 break
+            place(seed, at)
             next_ = fill(seed)
             if next_ is None:
                 break
             seed, at = next_
-    left += pieces
-    pieces, room = [], window
+        left += pieces
+        pieces, room = [], window
+    return sequences, left
+
+
+def cut_rest(left: list[tuple[int, int, int]], window: int) -> list[list[tuple[int, int, int]]]:
+    """Pieces put one after the other into full windows, and the last ones into sequences whose lengths are powers of two."""
+    sequences: list[list[tuple[int, int, int]]] = []
+    pieces: list[tuple[int, int, int]] = []
+    room = window
     for doc, start, n in left:
         while n:
             m = min(n, room)
@@ -161,9 +186,7 @@ def pack_shard(
             if not room:
                 sequences.append(pieces)
                 pieces, room = [], window
-    if pieces:
-        sequences += _powers_of_two(pieces)
-    return sequences
+    return sequences + _powers_of_two(pieces) if pieces else sequences
 
 
 def _by_score(near: np.ndarray, n: int):
@@ -213,238 +236,244 @@ class _Scored:
         self.counts = np.bincount(term, minlength=columns.size)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
 
+    def rare(self, terms: np.ndarray) -> np.ndarray:
+        """The score of each document for the infrequent ones of some terms."""
+        terms = terms[(self.columns[terms] < 0) & (self.counts[terms] > 0)]
+        if not terms.size:
+            return np.zeros(self.n, np.float32)
+        at, counts = self.starts[terms], self.counts[terms]
+        picked = np.arange(counts.sum()) + np.repeat(at - np.cumsum(counts) + counts, counts)
+        return np.bincount(self.owners[picked], self.posted[picked], self.n).astype(np.float32)
+
     def scores(self, queries: list[np.ndarray]) -> np.ndarray:
         """The score of each document for each set of terms."""
         asked = np.zeros((len(queries), self.matrix.shape[1]), np.float32)
-        rare = []
         for i, terms in enumerate(queries):
             at = self.columns[terms]
             asked[i, at[at >= 0]] = 1
-            rare.append(terms[(at < 0) & (self.counts[terms] > 0)])
-        out = asked @ self.matrix.T
-        for i, terms in enumerate(rare):
-            if terms.size:
-                at, counts = self.starts[terms], self.counts[terms]
-                picked = np.arange(counts.sum()) + np.repeat(at - np.cumsum(counts) + counts, counts)
-                out[i] += np.bincount(self.owners[picked], self.posted[picked], self.n).astype(np.float32)
-        return np.round(out, 3)
-
-
-def _enough(scores: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
-    """The documents with the highest scores, best first (ties: the earlier one), as many as fill the room."""
-    few = 32
-    while few < scores.size:
-        bar = np.partition(scores, scores.size - few)[scores.size - few]
-        top = np.flatnonzero(scores >= bar)
-        if sizes[top].sum() >= room:
-            break
-        few *= 4
-    else:
-        top = np.arange(scores.size)
-    top = top[np.argsort(-scores[top], kind="stable")]
-    return top[: int(np.searchsorted(np.cumsum(sizes[top]), room)) + 1]
+        return np.round(asked @ self.matrix.T + np.stack([self.rare(terms) for terms in queries]), 3)
+
+
+class Shard:
+    """The scores of a shard's documents for each of them: of frequent terms in one product, of the others when they are asked for."""
+
+    def __init__(self, corpus: Corpus, terms: list[np.ndarray], tfs: list[np.ndarray], lengths: np.ndarray) -> None:
+        self.terms = [t.astype(np.int64) for t in terms]
+        self.scored = _Scored(corpus, corpus.columns(), self.terms, tfs, lengths)
+        self.frequent = (self.scored.matrix > 0).astype(np.float32) @ self.scored.matrix.T
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The score of each document for all terms of one."""
+        return np.round(self.frequent[seed] + self.scored.rare(self.terms[seed]), 3)
+
+
+@lru_cache(maxsize=1)
+def _directions(n: int) -> np.ndarray:
+    """A fixed random direction for each term."""
+    return np.random.default_rng(7).choice(np.array([-1.0, 1.0], np.float32), (n, DIMENSIONS))
+
+
+class Router:
+    """A tree of two means over projected documents: inner nodes have two centres, leaves the mean of their documents."""
+
+    def __init__(self, corpus: Corpus, sample: np.ndarray) -> None:
+        self.corpus = corpus
+        self.centres: list[np.ndarray] = []
+        self.children: list[tuple[int, int]] = []
+        self.means: list[np.ndarray] = []
+        self._grow(sample)
+
+    def _grow(self, rows: np.ndarray) -> int:
+        """The number of a new node; leaves are negative, in their order."""
+        if len(rows) > LEAF:
+            a = rows[np.argmax(((rows - rows.mean(0)) ** 2).sum(1))]
+            b = rows[np.argmax(((rows - a) ** 2).sum(1))]
+            for _ in range(10):
+                to_a = ((rows - a) ** 2).sum(1) <= ((rows - b) ** 2).sum(1)
+                if to_a.all():
+                    break
+                a, b = rows[to_a].mean(0), rows[~to_a].mean(0)
+            to_a = ((rows - a) ** 2).sum(1) <= ((rows - b) ** 2).sum(1)
+            if to_a.any() and not to_a.all():
+                node = len(self.centres)
+                self.centres.append(np.stack([a, b]))
+                self.children.append((0, 0))
+                self.children[node] = (self._grow(rows[to_a]), self._grow(rows[~to_a]))
+                return node
+        self.means.append(rows.mean(0) if len(rows) else np.zeros(DIMENSIONS))
+        return -len(self.means)
+
+    def route(self, projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each document and its place there: how far it lies in the direction of the leaf's mean."""
+        leaf, stack = np.zeros(len(projected), np.int32), [(0 if self.centres else -1, np.arange(len(projected)))]
+        while stack:
+            node, rows = stack.pop()
+            if node < 0:
+                leaf[rows] = -1 - node
+            elif rows.size:
+                a, b = self.centres[node]
+                to_a = ((projected[rows] - a) ** 2).sum(1) <= ((projected[rows] - b) ** 2).sum(1)
+                stack += [(self.children[node][0], rows[to_a]), (self.children[node][1], rows[~to_a])]
+        return leaf, np.round(np.einsum("ij,ij->i", projected, np.stack(self.means)[leaf]), 6)
+
+
+def _projected(corpus: Corpus, each: list[tuple[np.ndarray, np.ndarray]], lengths: np.ndarray) -> np.ndarray:
+    """Each document's BM25 weights, scaled to length one, in few dimensions."""
+    out = np.zeros((len(each), DIMENSIONS), np.float32)
+    for at in range(0, len(each), 128):
+        some = each[at : at + 128]
+        sizes = np.array([t.size for t, _ in some])
+        terms = np.concatenate([t for t, _ in some]).astype(np.int64)
+        weights = corpus.weights(terms, np.concatenate([n for _, n in some]), np.repeat(lengths[at : at + 128], sizes))
+        firsts = np.cumsum(sizes) - sizes
+        weights /= np.repeat(np.sqrt(np.add.reduceat(weights * weights, firsts)), sizes)
+        out[at : at + 128] = np.add.reduceat(_directions(corpus.df.size)[terms] * weights[:, None].astype(np.float32), firsts)
+    return out
 
 
-_IDS_DDL = "part int, row long, size long, hash long, ids binary, terms binary, tfs binary"
-_PIECES_DDL = "part int, row long, start long, length long, sequence_id long, offset long"
+_ROWS = pa.schema([("doc_id", pa.int64()), ("leaf", pa.int32()), ("place", pa.float64()), ("hash", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()), ("df", pa.list_(pa.int64()))])
+_ROWS_DDL = "doc_id long, leaf int, place double, hash long, size long, ids binary, df array<long>"
 
 
-def _encoded(df: DataFrame, vocabulary: str, end: int, doc_id: str, text: str) -> DataFrame:
-    """Each document with its ids, its distinct ids and their counts, numbered by the task and its rows."""
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("row", pa.int64()), ("size", pa.int64()), ("hash", pa.int64()), ("ids", pa.binary()), ("terms", pa.binary()), ("tfs", pa.binary())])
+def _encoded(df: DataFrame, vocabulary: str, end: int, router) -> DataFrame:
+    """Each document (doc_id, text) with its ids and its route, if there is a router; the last row of a task has its document frequencies."""
 
     def run(batches):
         import xxhash
-        from pyspark import TaskContext
 
-        coder, tail, part, row = encoder(vocabulary), np.array([end], np.uint32), TaskContext.get().partitionId(), 0
+        coder, tail = encoder(vocabulary), np.array([end], np.uint32)
+        total = np.zeros(max(coder.tokenizer.get_vocab_size(), end + 1), np.int64)
+        kind = _kind(total.size)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                rows = []
-                for d, ids in zip(some.column(0).to_pylist(), coder.ids(some.column(1).to_pylist()), strict=True):
-                    ids = np.concatenate([ids, tail]).astype("<u4")
-                    terms, tfs = np.unique(ids, return_counts=True)
-                    raw = ids.tobytes()
-                    h = xxhash.xxh64_intdigest(f"{d} {xxhash.xxh64_hexdigest(raw)}") >> 1
-                    rows.append((d, part, row, ids.size, h, raw, terms.tobytes(), tfs.astype("<u4").tobytes()))
-                    row += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    return df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).mapInArrow(run, f"doc_id long, {_IDS_DDL}")
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                own = some.column(0).to_pylist()
+                ids = [np.concatenate([x, tail]).astype(kind) for x in coder.ids(some.column(1).to_pylist())]
+                each = [np.unique(x, return_counts=True) for x in ids]
+                total += np.bincount(np.concatenate([t for t, _ in each]), minlength=total.size)
+                sizes = np.array([x.size for x in ids])
+                if router is not None:
+                    leaf, place = router.value.route(_projected(router.value.corpus, each, sizes))
+                else:
+                    leaf, place = np.zeros(len(ids), np.int32), np.zeros(len(ids))
+                raw = [x.tobytes() for x in ids]
+                hashes = [xxhash.xxh64_intdigest(x, d or 0) >> 1 for d, x in zip(own, raw, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((own, leaf, place, hashes, sizes, raw, [None] * len(ids)), _ROWS, strict=True)], schema=_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, None, None, None, None, None, total), _ROWS, strict=True)], schema=_ROWS)
+
+    return df.mapInArrow(run, _ROWS_DDL)
+
+
+def _kind(ids: int) -> str:
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written with a strong compression (ids are most of it) and read again."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(_ROWS_DDL).parquet(path)
+
+
+def _corpus(rows: DataFrame) -> Corpus:
+    """What BM25 needs of all documents, summed up from the tasks' frequencies; the vocabulary bounds its size."""
+    n, total = rows.where("df is null").agg(F.count("*"), F.sum("size")).first()
+    found = rows.where("df is not null").select(F.posexplode("df").alias("term", "n")).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(found.num_rows, np.int64)
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    return Corpus(n, (total or 0) / max(n, 1), df)
 
 
-def _corpus(docs: DataFrame) -> Corpus:
-    """One aggregation over all documents; each task sums its own first, so at most a row for each task and id is shuffled."""
+def _fitted(docs: DataFrame, vocabulary: str, end: int) -> Router:
+    """The routing, from about ROUTED documents: those with the least hashes."""
+    n = docs.count()
+    bound = ROUTED * (1 << 31) // max(n, ROUTED)
+    rows = _stored(_encoded(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31)) < bound).limit(2 * ROUTED), vocabulary, end, None), "routed")
+    corpus = _corpus(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)  # a number for each id of the vocabulary
+    kind = _kind(corpus.df.size)
 
-    def run(batches):
-        df = np.zeros(0, np.int64)
+    def project(batches):
         for batch in batches:
-            found = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=df.size)
-            found[: df.size] += df
-            df = found
-        terms = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"term": terms, "n": df[terms]})
-
-    found = docs.select("terms").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    n, total = docs.agg(F.count("*"), F.sum("size")).first()
-    df = np.zeros(max(found["term"].to_pylist(), default=0) + 1, np.int64)
-    df[found["term"].to_numpy()] = found["n"].to_numpy()
-    return Corpus(n, total / max(n, 1), df)
+            ids = [np.frombuffer(x, kind) for x in batch.column(0).to_pylist()]
+            found = _projected(shared.value, [np.unique(x, return_counts=True) for x in ids], np.array([x.size for x in ids])) if ids else np.zeros((0, DIMENSIONS))
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(float).tolist(), pa.list_(pa.float64()))], names=["x"])
 
+    found = rows.where("df is null").orderBy("hash", "doc_id").select("ids").mapInArrow(project, "x array<double>").toArrow()["x"].to_pylist()
+    shared.destroy()
+    return Router(corpus, np.array(found).reshape(-1, DIMENSIONS))
 
-def _terms_of(docs: DataFrame, numbers: np.ndarray, rank, offsets: np.ndarray, column: str = "terms") -> dict[int, np.ndarray]:
-    """The terms (or ids) of some documents."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(numbers))
 
-    def run(batches):
-        for batch in batches:
-            own = rank.value[offsets[batch.column(0).to_numpy()] + batch.column(1).to_numpy()]
-            keep = np.flatnonzero(np.isin(own, wanted.value))
-            yield pa.RecordBatch.from_pydict({"number": own[keep].astype(np.int64), "x": batch.column(2).take(pa.array(keep))})
-
-    got = docs.select("part", "row", column).mapInArrow(run, "number long, x binary").toArrow()
-    wanted.destroy()
-    return {n: np.frombuffer(x, "<u4") for n, x in zip(got["number"].to_pylist(), got["x"].to_pylist(), strict=True)}
+_PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
-def _nearest(docs: DataFrame, corpus, columns: np.ndarray, rank, offsets: np.ndarray, seeds: list[tuple[int, np.ndarray, int]], left: np.ndarray):
-    """(seed, number, score): for each (document, terms, room) the nearest documents with something left that fill its room, best first."""
-    sc = docs.sparkSession.sparkContext
-    asked, free = sc.broadcast(seeds), sc.broadcast(left)
+def pack(df: DataFrame, vocabulary: str = VOCABULARY, end: int = END, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pieces of the sequences: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids (little-endian unsigned 32 bits)."""
+    sc = df.sparkSession.sparkContext
+    docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    rows = _stored(_encoded(docs, vocabulary, end, sc.broadcast(_fitted(docs, vocabulary, end))), "ids")
+    corpus = sc.broadcast(_corpus(rows))
+    kind = _kind(corpus.value.df.size)
 
     def run(batches):
-        held: list[tuple] = []
-        count = ids = 0
-
-        def search():
-            number, size = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            order = np.argsort(number)
-            terms, tfs = ([x for h in held for x in h[k]] for k in (2, 3))
-            some = _Scored(corpus.value, columns, [np.frombuffer(terms[i], "<u4") for i in order], [np.frombuffer(tfs[i], "<u4") for i in order], size[order])
-            number = number[order]
-            sizes = free.value[number]
-            for at in range(0, len(asked.value), BLOCK):
-                block = asked.value[at : at + BLOCK]
-                for i, (scores, (_, _, room)) in enumerate(zip(some.scores([t for _, t, _ in block]), block, strict=True)):
-                    top = _enough(scores, sizes, room)
-                    yield pa.RecordBatch.from_pydict({"seed": np.full(top.size, at + i), "number": number[top].astype(np.int64), "score": scores[top], "size": sizes[top].astype(np.int64)})
-
-        def merged(batches):
-            got = pa.Table.from_batches(batches)
-            return got.combine_chunks().to_batches()
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        left: list[tuple] = []
+        held: list[tuple[int | None, np.ndarray]] = []
+        size = 0
+
+        def rows_of(sequences: list[list[tuple]]):
+            """Pieces as ((doc_id, its ids), start, length)."""
+            nonlocal number
+            out = []
+            for pieces in sequences:
+                offset = 0
+                for (d, ids), start, n in pieces:
+                    out.append((d, start, n, ids.size, number, offset, ids[start : start + n].astype("<u4").tobytes()))
+                    offset += n
+                number += 1
+            for at in range(0, len(out), 1024):
+                columns = zip(*out[at : at + 1024], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECES, strict=True)], schema=_PIECES)
+
+        def shard():
+            nonlocal left
+            sequences, rest = fill_windows([ids for _, ids in held], window, corpus.value)
+            left += [(held[d], start, n) for d, start, n in rest]
+            yield from rows_of([[(held[d], start, n) for d, start, n in pieces] for pieces in sequences])
+            if sum(n for *_, n in left) >= 64 * window:
+                whole = cut_rest(left, window)
+                while whole and sum(n for *_, n in whole[-1]) < window:
+                    whole.pop()
+                yield from rows_of(whole)
+                left = _after(left, window * len(whole))
 
         for batch in batches:
-            number = rank.value[offsets[batch.column(0).to_numpy()] + batch.column(1).to_numpy()]
-            keep = np.flatnonzero(free.value[number] > 0)
-            if not keep.size:
-                continue
-            part = batch.take(pa.array(keep))
-            size = part.column(2).to_numpy()
-            held.append((number[keep], size, part.column(3).to_pylist(), part.column(4).to_pylist()))
-            count, ids = count + keep.size, ids + int(size.sum())
-            if count >= SCORED or ids >= SCORED_IDS:
-                yield from merged(search())
-                held, count, ids = [], 0, 0
+            for d, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.append((d, np.frombuffer(raw, kind)))
+                size += len(raw) // held[-1][1].itemsize
+                if len(held) >= SHARD_DOCS or size >= SHARD_IDS:
+                    yield from shard()
+                    held, size = [], 0
         if held:
-            yield from merged(search())
-
-    found = docs.select("part", "row", "size", "terms", "tfs").mapInArrow(run, "seed long, number long, score float, size long")
-    by = Window.partitionBy("seed").orderBy(F.desc("score"), "number")
-    room = docs.sparkSession.createDataFrame(pa.table({"seed": np.arange(len(seeds)), "room": np.array([r for *_, r in seeds], np.int64)}))
-    best = found.withColumn("before", F.sum("size").over(by) - F.col("size")).join(F.broadcast(room), "seed").where("before < room")
-    got = best.select("seed", "number", "score").toArrow()
-    asked.destroy()
-    free.destroy()
-    return got["seed"].to_numpy(), got["number"].to_numpy(), got["score"].to_numpy()
-
-
-def pack(df: DataFrame, vocabulary: str = VOCABULARY, end: int = END, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pieces of the sequences: doc_id, start, length, doc_tokens, sequence_id, offset and the piece's ids (little-endian unsigned 32 bits)."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    docs = written(_encoded(df, vocabulary, end, doc_id, text), "ids")
-    known = docs.select("part", "row", "size", "hash").toArrow()
-    part, row, sizes, hashes = (known[c].to_numpy().astype(np.int64) for c in ("part", "row", "size", "hash"))
-    order = np.lexsort([row, part, hashes])
-    counts = np.bincount(part)
-    offsets = np.concatenate([[0], np.cumsum(counts)])
-    ranks = np.empty(part.size, np.int32)
-    ranks[(offsets[part] + row)[order]] = np.arange(part.size)
-    part, row, sizes = part[order], row[order], sizes[order]
-    sequences = _sequences(docs, sizes, sc.broadcast(ranks), offsets, window) if part.size else []
-    rows = np.array([(doc, start, n, s, 0) for s, pieces in enumerate(sequences) for doc, start, n in pieces], np.int64).reshape(-1, 5)
-    ends = np.cumsum(rows[:, 2])
-    firsts = np.searchsorted(rows[:, 3], rows[:, 3])
-    rows[:, 4] = ends - rows[:, 2] - (ends - rows[:, 2])[firsts] if len(rows) else 0
-    cut = pa.table({"part": part[rows[:, 0]].astype(np.int32), "row": row[rows[:, 0]], "start": rows[:, 1], "length": rows[:, 2], "sequence_id": rows[:, 3], "offset": rows[:, 4]})
-    pieces = written(spark.createDataFrame(cut, _PIECES_DDL), "pieces")
-    met = docs.select("doc_id", "part", "row", F.col("size").alias("doc_tokens"), "ids").join(pieces, ["part", "row"])
-    ids = F.expr("substring(ids, cast(start * 4 + 1 as int), cast(length * 4 as int))")
-    return met.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", ids.alias("ids"))
-
-
-def _sequences(docs: DataFrame, sizes: np.ndarray, rank, offsets: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
-    """The sequences of all documents, each a list of pieces (document, start, length)."""
-    known = _corpus(docs)
-    corpus = docs.sparkSession.sparkContext.broadcast(known)
-    common = np.argsort(-known.df, kind="stable")[:DENSE]
-    common = common[known.df[common] * RARE > known.n]
-    columns = np.full(known.df.size, -1, np.int64)
-    columns[common] = np.arange(common.size)
-    sequences: list[list[tuple[int, int, int]]] = []
-    starts = sizes // window * window
-    for doc in np.flatnonzero(starts).tolist():
-        sequences += [[(doc, at, window)] for at in range(0, int(starts[doc]), window)]
-    opened: dict[int, list[tuple[int, int, int]]] = {}
-    terms: dict[int, np.ndarray] = {}
-    rests: list[int] = []
-    while True:
-        left = sizes - starts
-        unused = np.flatnonzero(left)
-        if unused.size <= SHARD_DOCS and left.sum() <= SHARD_IDS:
-            break
-        chains = int(min(SEEDS, max(1, left.sum() // (CHAINS * window))))
-        for seed in [*rests, *unused[: chains + len(rests)].tolist()]:
-            if len(opened) >= chains:
-                break
-            if starts[seed] < sizes[seed] and seed not in opened:
-                opened[seed] = [(seed, int(starts[seed]), int(left[seed]))]
-                starts[seed] = sizes[seed]
-        rests = []
-        new = [d for d in opened if d not in terms]
-        terms = {d: t for d, t in terms.items() if d in opened} | (_terms_of(docs, np.array(new), rank, offsets) if new else {})
-        left = sizes - starts
-        asked = [(d, terms[d], window - sum(n for *_, n in p)) for d, p in opened.items()]
-        seed, number, score = _nearest(docs, corpus, columns, rank, offsets, asked, left.astype(np.int32))
-        best = np.lexsort([number, seed, -score])
-        room = [r for *_, r in asked]
-        for s, doc in zip(seed[best].tolist(), number[best].tolist(), strict=True):
-            if room[s] and starts[doc] < sizes[doc] and left[doc]:
-                n = min(room[s], int(left[doc]))
-                opened[asked[s][0]].append((doc, int(starts[doc]), n))
-                starts[doc] += n
-                left[doc] = 0
-                room[s] -= n
-                if not room[s] and starts[doc] < sizes[doc]:
-                    rests.append(doc)
-        for s, (d, _, _) in enumerate(asked):
-            if not room[s]:
-                sequences.append(opened.pop(d))
-    unused = np.flatnonzero(sizes - starts)
-    if not unused.size and not opened:
-        return sequences
-    held = [*unused.tolist(), *(d for d in opened if starts[d] == sizes[d])]
-    return sequences + _last(docs, held, starts, sizes, opened, rank, offsets, window, known)
-
-
-def _last(docs: DataFrame, held: list[int], starts: np.ndarray, sizes: np.ndarray, opened: dict, rank, offsets: np.ndarray, window: int, known: Corpus) -> list[list[tuple[int, int, int]]]:
-    """Packs what is left with pack_shard; pieces of other documents pass through it as negative numbers."""
-    ids = _terms_of(docs, np.array(held), rank, offsets, "ids")
-    at = {d: i for i, d in enumerate(held)}
-    own = [(at[d], [(-1 - doc, start, n) for doc, start, n in p]) for d, p in opened.items()]
-    found = pack_shard([ids[d] for d in held], window, known, [int(starts[d]) for d in held], own)
-    return [[(held[doc] if doc >= 0 else -1 - doc, start, n) for doc, start, n in pieces] for pieces in found]
+            yield from shard()
+        yield from rows_of(cut_rest(left, window))
+
+    key = ["leaf", "place", "hash"]
+    dealt = rows.where("df is null").select("doc_id", "ids", *key).repartitionByRange(*key).sortWithinPartitions(*key, "doc_id").select("doc_id", "ids")
+    return dealt.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+
+
+def _after(left: list[tuple], n: int) -> list[tuple]:
+    """The pieces without their first n ids."""
+    out = []
+    for doc, start, length in left:
+        m = min(n, length)
+        n -= m
+        if m < length:
+            out.append((doc, start + m, length - m))
+    return out
 
 
 def digest(pieces: DataFrame) -> DataFrame:
