@@ -37,7 +37,7 @@ SHARD_DOCS = 2048
 SHARD_IDS = 1 << 22
 K1, B = 1.2, 0.75
 #: Terms scored as a matrix: the most frequent ones, in over one of RARE documents.
-DENSE = 1024
+DENSE = 512
 RARE = 64
 #: Documents that the routing is fitted on, those of them in a leaf, and the dimensions of their projections.
 ROUTED = 4096
@@ -45,6 +45,15 @@ LEAF = 16
 DIMENSIONS = 32
 
 
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and how often each occurs."""
+    ids = np.sort(ids)
+    first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    ends = np.empty_like(first)
+    ends[:-1], ends[-1] = first[1:], ids.size
+    return ids[first], ends - first
+
+
 class Corpus:
     """What BM25 knows of all documents: their number, mean length and the idf of each id."""
 
@@ -64,36 +73,6 @@ class Corpus:
         return columns
 
 
-class Index:
-    """BM25 over the ids of a shard's documents, with the shard's statistics if there are none of the corpus."""
-
-    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None) -> None:
-        each = [np.unique(d, return_counts=True) for d in docs]
-        sizes = np.array([t.size for t, _ in each])
-        terms = np.concatenate([t for t, _ in each]).astype(np.int64)
-        tf = np.concatenate([c for _, c in each]).astype(np.float64)
-        owner = np.repeat(np.arange(len(docs)), sizes)
-        lengths = np.array([d.size for d in docs], np.float64)
-        df = np.bincount(terms)
-        corpus = corpus or Corpus(len(docs), lengths.mean(), df)
-        self.weights = corpus.weights(terms, tf, lengths[owner])
-        order = np.argsort(terms, kind="stable")
-        self.owners, self.posted = owner[order], self.weights[order]
-        self.starts = np.concatenate([[0], np.cumsum(df)])
-        self.terms, self.df, self.n = terms, df, len(docs)
-        self.firsts = np.concatenate([[0], np.cumsum(sizes)])
-
-    def scores(self, doc: int) -> np.ndarray:
-        """The score of every document for the terms of one."""
-        terms = self.terms[self.firsts[doc] : self.firsts[doc + 1]]
-        terms = terms[self.df[terms] > 1]
-        if not terms.size:
-            return np.zeros(self.n)
-        at, counts = self.starts[terms], self.df[terms]
-        picked = np.arange(counts.sum()) + np.repeat(at - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-        return np.bincount(self.owners[picked], self.posted[picked], self.n)
-
-
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[list[tuple[int, int, int]]]:
     """The sequences of a shard, each a list of pieces (document, start, length)."""
     sequences, left = fill_windows(docs, window, corpus)
@@ -102,12 +81,8 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | No
 
 def fill_windows(docs: list[np.ndarray], window: int, corpus: Corpus | None) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int, int]]]:
     """Full windows of a shard's documents, and the pieces of those that couldn't be filled."""
-    each = [np.unique(d, return_counts=True) for d in docs]
     lengths = np.array([d.size for d in docs])
-    if corpus is None:
-        df = np.bincount(np.concatenate([t for t, _ in each]).astype(np.int64))
-        corpus = Corpus(len(docs), lengths.mean(), df)
-    index = Shard(corpus, [t for t, _ in each], [n for _, n in each], lengths)
+    index = Shard(docs, corpus)
     kinds: dict[bytes, int] = {}
     same = np.array([kinds.setdefault(d.tobytes(), len(kinds)) for d in docs])
     sequences: list[list[tuple[int, int, int]]] = []
@@ -130,15 +105,16 @@ def fill_windows(docs: list[np.ndarray], window: int, corpus: Corpus | None) ->
     def fill(seed: int) -> tuple[int, int] | None:
         """Puts the nearest unused documents into the window; the one that was cut, and where."""
         near = index.scores(seed)
-        held = {same[d] for d, *_ in pieces}
-        near[np.isin(same, list(held))] = -0.5
+        held = np.zeros(len(kinds), bool)
+        held[[same[d] for d, *_ in pieces]] = True
+        near[held[same]] = -0.5
         near[~unused] = -1.0
         again = []
         for doc in _by_score(near, int(unused.sum())):
-            if near[doc] >= 0 and same[doc] in held:
+            if near[doc] >= 0 and held[same[doc]]:
                 again.append(doc)
                 continue
-            held.add(same[doc])
+            held[same[doc]] = True
             unused[doc] = False
             cut = place(doc, 0)
             if not pieces:
@@ -255,11 +231,17 @@ class _Scored:
 
 
 class Shard:
-    """The scores of a shard's documents for each of them: of frequent terms in one product, of the others when they are asked for."""
+    """The scores of a shard's documents for each of them: of frequent terms in one product, of the others when they are asked for.
 
-    def __init__(self, corpus: Corpus, terms: list[np.ndarray], tfs: list[np.ndarray], lengths: np.ndarray) -> None:
-        self.terms = [t.astype(np.int64) for t in terms]
-        self.scored = _Scored(corpus, corpus.columns(), self.terms, tfs, lengths)
+    Without a corpus the statistics are the shard's own.
+    """
+
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None) -> None:
+        each = [counted(d) for d in docs]
+        lengths = np.array([d.size for d in docs])
+        self.terms = [t.astype(np.int64) for t, _ in each]
+        corpus = corpus or Corpus(len(docs), lengths.mean(), np.bincount(np.concatenate(self.terms)))
+        self.scored = _Scored(corpus, corpus.columns(), self.terms, [n for _, n in each], lengths)
         self.frequent = (self.scored.matrix > 0).astype(np.float32) @ self.scored.matrix.T
 
     def scores(self, seed: int) -> np.ndarray:
@@ -349,7 +331,7 @@ def _encoded(df: DataFrame, vocabulary: str, end: int, router) -> DataFrame:
                 some = batch.slice(at, 2048)
                 own = some.column(0).to_pylist()
                 ids = [np.concatenate([x, tail]).astype(kind) for x in coder.ids(some.column(1).to_pylist())]
-                each = [np.unique(x, return_counts=True) for x in ids]
+                each = [counted(x) for x in ids]
                 total += np.bincount(np.concatenate([t for t, _ in each]), minlength=total.size)
                 sizes = np.array([x.size for x in ids])
                 if router is not None:
@@ -396,7 +378,7 @@ def _fitted(docs: DataFrame, vocabulary: str, end: int) -> Router:
     def project(batches):
         for batch in batches:
             ids = [np.frombuffer(x, kind) for x in batch.column(0).to_pylist()]
-            found = _projected(shared.value, [np.unique(x, return_counts=True) for x in ids], np.array([x.size for x in ids])) if ids else np.zeros((0, DIMENSIONS))
+            found = _projected(shared.value, [counted(x) for x in ids], np.array([x.size for x in ids])) if ids else np.zeros((0, DIMENSIONS))
             yield pa.RecordBatch.from_arrays([pa.array(found.astype(float).tolist(), pa.list_(pa.float64()))], names=["x"])
 
     found = rows.where("df is null").orderBy("hash", "doc_id").select("ids").mapInArrow(project, "x array<double>").toArrow()["x"].to_pylist()
