@@ -15,13 +15,16 @@ Skew: equal fingerprints are one node, joined before anything is paired. A key w
 paired at all: its fingerprints go the exact way of their balls of radius one (65 words each), since two words
 differ in at most two bits just if these balls meet. Rows grow with the fingerprints, never with their pairs.
 
-With a similarity, near_duplicates and keep_one go another way: links are pairs of sets of shingles (of any width) whose exact Jaccard
-similarity is at least that. Fingerprints don't take part, since texts as near as 0.8 differ in up to 11 bits, and no key of theirs meets
-there. Sets that similar share one of their rarest shingles (a prefix of |x| - ceil(similarity |x|) + 1 in one order of all), by which
-candidates are joined; hot shingles are the last in this order. Every candidate is verified, so none is missed and none is wrong.
+With a similarity, near_duplicates and keep_one go another way: links are pairs of texts whose sets of shingles (of any width) have an
+exact Jaccard similarity of at least that. Fingerprints don't take part: texts as near as 0.8 differ in some 10 bits of 64, and segments with so
+many errors have no codeword in common but by keys so short that all texts meet. Candidates share one of BANDS keys of ROWS minimal
+hashes each (a pair at 0.8 shares none with a probability of 7 in 100,000, at 0.9 below one in 10 ** 9), and every candidate is
+verified on the whole sets. Keys of up to PAIRED sets pair all of theirs. In a larger one, such as of a text with thousands of near copies,
+each set is compared with the least one, and what that doesn't connect is compared across the components that meet in the key.
 
 Edge cases: repeated rows and equal texts have one fingerprint and one component; a null doc_id takes part, and is
-never the smallest one unless all of a component are null; an empty table gives an empty result.
+never the smallest one unless all of a component are null; very long texts are hashed whole; texts without words have one set; other
+columns stay as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.llm.common import table, written
@@ -38,6 +41,10 @@ from farebox.llm.graph import connected_components
 
 #: Keys with more fingerprints than this take the linear way.
 PAIRED = 64
+#: Keys of a set of shingles, and the minimal hashes in each.
+BANDS, ROWS = 24, 5
+#: Pairs that one copy of a text meets in one task.
+MET = 64
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 _STEP = 1 << 14
 
@@ -162,35 +169,109 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
 
 
-def with_shingles(df: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """df with the set of shingles as hashes, and the set's own hash as fp."""
+@lru_cache(maxsize=1)
+def _multipliers() -> np.ndarray:
+    return np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The keys of a set of hashes; sets of one similarity share each key with its ROWS-th power as probability."""
+    import xxhash
+
+    if not hashes.size:
+        return []
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, hashes.size, 2048):
+        least = np.minimum(least, (hashes[at : at + 2048].view(np.uint64)[:, None] * _multipliers()).min(axis=0))
+    raw = least.tobytes()
+    return [xxhash.xxh64_intdigest(raw[8 * ROWS * k : 8 * ROWS * (k + 1)], k) - (1 << 63) for k in range(BANDS)]
+
+
+def with_bands(df: DataFrame, width: int, text: str = "text", out: str = "set") -> DataFrame:
+    """df with a struct of the set of shingles: fp, its hash, n, its size, and its keys."""
 
     def run(texts: pa.Array) -> pa.Array:
         import xxhash
 
-        sets = [shingles(t.as_py(), width) for t in texts]
-        prints = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-        offsets = np.concatenate([[0], np.cumsum([x.size for x in sets])]).astype(np.int32)
-        values = np.concatenate([np.zeros(0, np.int64), *sets])
-        return pa.StructArray.from_arrays([pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["fp", "hashes"])
+        rows = []
+        for t in texts:
+            x = shingles(t.as_py(), width)
+            rows.append({"fp": xxhash.xxh64_intdigest(x.tobytes(), 42) - (1 << 63), "n": x.size, "keys": bands(x)})
+        return pa.array(rows, pa.struct([("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+
+    return df.withColumn(out, F.arrow_udf(run, "struct<fp:bigint,n:bigint,keys:array<bigint>>")(F.col(text)))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (u, v) that are similar enough; texts: fp and text. A text that many pairs meet goes out in several copies."""
+    pairs = written(pairs.where("u <> v").distinct(), "candidates")
+    asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).groupBy("fp").agg(F.count("*").alias("n"))
+    own = written(texts.join(asked, "fp").groupBy("fp").agg(F.any_value("text").alias("text"), F.any_value("n").alias("n")), "texts")
+    copies = own.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / MET))))
+
+    def side(found: DataFrame, x: str) -> DataFrame:
+        dealt = found.join(own.select(F.col("fp").alias(x), F.floor(F.col("n") / MET).alias("more")), x)
+        dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("u", "v"), F.col("more") + 1)).drop("more")
+        return dealt.join(copies.select(F.col("fp").alias(x), "copy", F.col("text").alias(f"text_{x}")), [x, "copy"]).drop("copy")
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for s, t in zip(a, b, strict=True):
+            x, y = shingles(s.as_py(), width), shingles(t.as_py(), width)
+            both = np.intersect1d(x, y, assume_unique=True).size
+            out.append(both >= (x.size + y.size - both) * similarity - 1e-9)
+        return pa.array(out, pa.bool_())
+
+    return side(side(pairs, "u"), "v").where(F.arrow_udf(run, "boolean")("text_u", "text_v")).select("u", "v")
+
+
+def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect just the sets which links connect. docs: fp, n, keys and text."""
+    sets = docs.groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    keyed = written(sets.select("fp", "n", F.explode("keys").alias("key")), "keys")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("met"), F.min("fp").alias("least")).where("met > 1")
+    met = written(keyed.join(sizes, "key"), "met")
+    near = (F.col("n_u") >= F.col("n_v") * similarity - 1e-9) & (F.col("n_v") >= F.col("n_u") * similarity - 1e-9)
+
+    def paired(rows: DataFrame, *more: str) -> DataFrame:
+        u, v = (rows.select("key", F.col("fp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *more))) for x in "uv")
+        return u.join(v, "key").where(near)
+
+    small = paired(met.where(F.col("met") <= PAIRED)).where("u < v").select("u", "v")
+    large = met.where(F.col("met") > PAIRED)
+    texts = docs.select("fp", "text")
+    edges = written(_verified(small.union(large.select(F.col("fp").alias("u"), F.col("least").alias("v"))), texts, width, similarity), "similar")
+    if large.isEmpty():
+        return edges
+    roots = connected_components(edges)
+    placed = written(large.join(roots, large.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "placed")
+    several = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    across = paired(placed.join(several, "key"), "root").where("root_u < root_v").select("u", "v")
+    return edges.union(_verified(across, texts, width, similarity))
+
 
-    return df.withColumn("_set", F.arrow_udf(run, "fp long, hashes array<long>")(F.col(text))).select(*df.columns, "_set.fp", "_set.hashes")
+def _components(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """docs (doc_id, fp and others) with root, the least fp that edges reach, and component_id, the smallest doc_id there."""
+    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(edges)
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    return docs.join(placed.select("fp", "root").join(least, "root"), "fp")
 
 
-def similar(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) between just the sets (columns fp, distinct, and hashes) whose Jaccard similarity is at least similarity."""
-    each = sets.select("fp", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    met = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("fp")
-    ranked = each.join(met, "h").withColumn("at", F.row_number().over(own.orderBy("df", "h"))).withColumn("shared", F.count("*").over(own))
-    # shingles of one set alone come first in the order, and meet nothing
-    prefix = written(ranked.where(F.col("at") <= F.col("shared") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("fp", "n", "h"), "prefixes")
-    u, v = (prefix.select("h", F.col("fp").alias(x), F.col("n").alias(f"n_{x}")) for x in "uv")
-    sized = (F.col("n_u") >= F.col("n_v") * similarity - 1e-9) & (F.col("n_v") >= F.col("n_u") * similarity - 1e-9)
-    pairs = u.join(v, "h").where((F.col("u") < F.col("v")) & sized).select("u", "v").distinct()
-    a, b = (sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "uv")
-    both = F.size(F.array_intersect("set_u", "set_v"))
-    return pairs.join(a, "u").join(b, "v").where(both >= (F.size("set_u") + F.size("set_v") - both) * similarity - 1e-9).select("u", "v")
+def _linked(df: DataFrame, doc_id: str, text: str, width: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """The rows of df (row, a number; all, their columns; doc_id; fp), written, and the edges between fps."""
+    rows = df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("all"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if similarity is None:
+        if width != 3:
+            raise ValueError("fingerprints are of three-word shingles; another width needs a similarity")
+        rows = written(with_fingerprint(rows).drop("text").withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+        return rows, links(rows.select("fp").distinct())
+    if not 0 < similarity <= 1 or width < 1:
+        raise ValueError("similarity is over 0 and at most 1, width at least 1")
+    found = with_bands(rows, width).select("all", "doc_id", "text", "set.*").withColumn("row", F.monotonically_increasing_id())
+    rows = written(found, "shingles")
+    return rows, similar(rows, width, similarity)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
@@ -199,28 +280,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     Without a similarity, fingerprints (of three-word shingles) are linked; with one, sets of shingles of width words that are as similar,
     and fp is the set's hash.
     """
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if similarity is None:
-        if width != 3:
-            raise ValueError("fingerprints are of three-word shingles; another width needs a similarity")
-        docs = written(with_fingerprint(docs).select("doc_id", "fp"), "fingerprints")
-    else:
-        if not 0 < similarity <= 1 or width < 1:
-            raise ValueError("similarity is over 0 and at most 1, width at least 1")
-        docs = written(with_shingles(docs, width).select("doc_id", "fp", "hashes"), "shingles")
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = links(nodes.select("fp")) if similarity is None else similar(docs.select("fp", "hashes").dropDuplicates(["fp"]), similarity)
-    roots = connected_components(edges)
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(placed.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    rows, edges = _linked(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", width, similarity)
+    return _components(rows.select("doc_id", "fp"), edges).select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
-    """The rows of df whose doc_id is its component's smallest; of repeated rows of one doc_id all stay. Rows with a null doc_id in a
-    component without any other stay too. width and similarity as in near_duplicates."""
-    found = near_duplicates(df, doc_id, text, width, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(found, df[doc_id].eqNullSafe(found["_kept"]), "left_semi")
+    """One row of each component, that with the smallest doc_id (nulls last; ties: the least fp, then the first row). width and similarity as in
+    near_duplicates."""
+    rows, edges = _linked(df, doc_id, text, width, similarity)
+    placed = _components(rows.select("doc_id", "fp", "row"), edges)
+    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select("all.*")
 
 
 def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import pytest
 
-from farebox.llm import mixing, simhash
+from farebox.llm import mixing
 from farebox.llm.common import written
 
 SF = "/root/testdata/sf0.01"
@@ -37,18 +37,22 @@ def test_toxicity_takes_toxic_documents_only(spark, stages):
 
 def test_one_of_each_group_stays(stages):
     rows = stages[1].collect()
-    prints = {r.doc_id: simhash.fingerprint(r.text) & (1 << 64) - 1 for r in rows}
-    root = {d: d for d in prints}
+    sets = {}
+    for r in rows:
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    root = {d: d for d in sets}
 
     def find(d):
         while root[d] != d:
             d = root[d]
         return d
 
-    ids = sorted(prints)
+    ids = sorted(sets)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2 and find(a) != find(b):
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and (x == y or len(x & y) >= 0.8 * len(x | y)):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted(d for d in ids if find(d) == d)
 

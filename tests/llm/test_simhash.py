@@ -83,7 +83,7 @@ def test_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(5, 3), (3, 3), (9, 3), (2, 2), (4, 2), (None, None), (7, 7), (7, 7)], key=str)
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["2", "3", "7", "7", "None"]
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["2", "3", "7", "None"]  # of repeated rows one stays, too
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -120,3 +120,50 @@ def test_similar_texts_are_those_of_brute_force(spark):
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, width=5, similarity=0.8).collect()}
     assert got == {d: find(d) for d in ids}
     assert sorted(r.doc_id for r in simhash.keep_one(df, width=5, similarity=0.8).collect()) == [d for d in ids if find(d) == d]
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Two groups of near copies in common keys, and texts that share a passage only: as brute force, with and without the linear way."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    far = base[:90] + [f"x{i}" for i in range(30)]
+    texts = []
+    for source, n in ((base, 70), (far, 40)):
+        for _ in range(n):
+            t = list(source)
+            t[rng.randrange(120)] = f"y{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+    texts += [" ".join(base[:30] + [f"z{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(20)]
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for cap in (64, 4):
+        monkeypatch.setattr(simhash, "PAIRED", cap)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, width=5, similarity=0.8).collect()}
+        assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_keys_find_similar_sets():
+    rng = np.random.default_rng(12)
+    missed = 0
+    for _ in range(400):
+        x = rng.integers(-(1 << 63), 1 << 63, 90)
+        a, b = np.sort(x[:85]), np.sort(x[10:])  # 75 of 90: a similarity of 0.83
+        missed += not set(simhash.bands(a)) & set(simhash.bands(b))
+    assert missed <= 1
+
+
+def test_kept_columns_may_clash(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9, "k"), (2, "a b c d e f", 7, 8, 9, "k")], "doc_id long, text string, fp int, row int, n int, all string")
+    for kept in (simhash.keep_one(df), simhash.keep_one(df, width=5, similarity=0.8)):
+        assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 7, 8, 9, "k")]
