@@ -15,7 +15,8 @@ Skew: blocks are dealt by hash and hold about ARITY documents whatever the sourc
 Rows that agree in source, doc_id and words are counted before any shuffle and decided as one with a count.
 
 Edge cases: a null text has no words and takes none; documents without words get their whole copies and take 0 words; a null
-source is a source; repeated rows are separate documents; an empty table gives an empty result.
+source is a source; repeated rows are separate documents; very long texts count whole; other columns stay as they are, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,13 +120,16 @@ def _sized(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
 
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """df with each row as often as the mix takes it: not at all, once or repeatedly."""
-    keys = [F.col(doc_id).cast("long"), F.col(source), words(text)]
     decided = decide(_sized(df, doc_id, source, text), share, cap, weights)
-    decided = decided.select(F.xxhash64("doc_id", "source", "size").alias("_k"), F.struct("doc_id", "source", "size").alias("_d"), "count", "low", "more")
-    placed = df.select("*", F.xxhash64(*keys).alias("_k"), F.struct(*keys).alias("_r")).join(decided, "_k").where(F.col("_r").eqNullSafe(F.col("_d")))
-    turn = F.when(F.col("count") == 1, 1).otherwise(F.row_number().over(Window.partitionBy("_k", "_r").orderBy(F.xxhash64(text))))
-    copies = (F.col("low") + (turn <= F.col("more")).cast("long")).cast("int")
-    return placed.withColumn("_n", copies).where("_n > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns)
+    decided = decided.select(F.xxhash64("doc_id", "source", "size").alias("key"), F.struct("doc_id", "source", "size").alias("of"), "count", "low", "more")
+    own = F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
+    rows = df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("all"), own.alias("own"), F.xxhash64(text).alias("tie"))
+    rows = rows.select("all", "own", "tie", F.xxhash64("own.doc_id", "own.source", "own.size").alias("key"))
+    placed = rows.join(decided, "key").where(F.col("own").eqNullSafe(F.col("of"))).select("all", "own", "tie", "key", "count", "low", "more")
+    turn = F.row_number().over(Window.partitionBy("key", "own").orderBy("tie"))
+    single = placed.where("count = 1").select("all", (F.col("low") + F.col("more")).alias("n"))
+    several = placed.where("count > 1").withColumn("turn", turn).select("all", (F.col("low") + (F.col("turn") <= F.col("more")).cast("long")).alias("n"))
+    return single.union(several).where("n > 0").select("all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("all.*")
 
 
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

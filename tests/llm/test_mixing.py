@@ -86,3 +86,13 @@ def test_each_document_has_its_probability(spark, monkeypatch):
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(empty).count() == 0
+
+
+def test_mix_keeps_clashing_columns(spark):
+    names = ["count", "low", "more", "_k", "_n", "_c", "key", "own", "of", "tie", "all", "turn", "n", "size"]
+    rows = [(i // 2, f"one two three {'four ' * (i % 5)}", "ab"[i % 2], *([i] * len(names))) for i in range(120)] + [(7, "same", "a", *([1] * len(names)))] * 9
+    df = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'{c} int' for c in names)}")
+    got = mixing.mix(df)
+    assert got.columns == df.columns
+    assert {tuple(r) for r in got.collect()} <= set(rows)
+    assert got.count() == mixing.mix(df.select("doc_id", "text", "source")).count()
