@@ -9,8 +9,8 @@ Kinds, in the order in which spans with one start are listed:
 - email, ip, card, phone: exactly the leftmost non-overlapping matches of the patterns in PATTERNS that pass the
   kind's check.
 - url: a scheme of SCHEMES, ``://``, a host with a dot or ``localhost``, port and path.
-- account: the value behind an identifier cue (``token = "..."``, ``account no. 1234567``, ``IBAN DE..``), and
-  ``@name`` handles.
+- account: the value behind an identifier cue (``token = "..."``, ``account no. 1234567``, ``IBAN DE..`` in one or in groups), and
+  ``@name`` handles. A value has six characters and two digits, after a sign such as ``=`` one digit and any other characters.
 
 Edge cases: a null text has no span; spans count code points, the end is exclusive; repeated rows give repeated
 results; an empty table gives an empty one; a column of the input that has the name of the output column is replaced.
@@ -48,10 +48,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_URL = re.compile(r"(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|localhost)(?::[0-9]{1,5})?(?:[/?#][^\s<>\"']*)?")
-_LINK = re.compile(r"(?:s|[ _-]?(?:number|no\.?|id))?[ \t]{0,3}(?:[:=#][ \t]{0,3})?[\"']?")
+_URL = re.compile(r"(?:[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|localhost)(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
+_LINK = re.compile(r"(?:s|[ _-]?(?:number|no\.?|id))?[ \t]*([:=#])?[ \t]*[\"']?")
 _VALUE = re.compile(r"[A-Za-z0-9_-]{6,}")
-_HANDLE = re.compile(r"[A-Za-z0-9_]{3,30}")
+#: After a sign between cue and value, such as ``=``, any characters but white space, quotes and separators may be a value.
+_MARKED = re.compile(r"[^\s\"'<>,;]{6,}")
+_GROUPED = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9])*")
+_HANDLE = re.compile(r"[A-Za-z0-9_]{3,}")
 
 
 def luhn(digits: str) -> bool:
@@ -69,6 +72,34 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
+def _iban_end(text: str, at: int) -> int | None:
+    """Where the account number that starts at `at` ends, written in one or in groups; the longest that is valid."""
+    m = _GROUPED.match(text, at)
+    if not m:
+        return None
+    end = best = None
+    size = 0
+    for end in range(at, m.end()):
+        size += text[end] != " "
+        if size > 34:
+            break
+        if size >= 14 and text[end] != " " and not text[end + 1 : end + 2].isalnum() and iban(text[at : end + 1].replace(" ", "")):
+            best = end + 1
+    return best
+
+
+def _value_end(text: str, at: int, marked: bool) -> int | None:
+    """Where the value behind a cue ends: with two digits, or after a sign with one."""
+    m = _VALUE.match(text, at)
+    if m and sum(c.isdigit() for c in m[0]) >= 2 and not marked:
+        return m.end()
+    m = _MARKED.match(text, at) if marked else None
+    if not m:
+        return None
+    value = m[0].rstrip(".!?)]}:")
+    return at + len(value) if len(value) >= 6 and any(c.isdigit() for c in value) else None
+
+
 @lru_cache(maxsize=1)
 def automaton():
     import ahocorasick
@@ -154,10 +185,11 @@ def find_spans(text: str | None) -> list[tuple[int, int, int]]:
                 url_end = end
         elif at >= account_end and (at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")):
             link = _LINK.match(text, after)
-            m = _VALUE.match(text, link.end()) if link.end() > after else None
-            if m and (iban(m[0]) if what == "iban" else sum(c.isdigit() for c in m[0]) >= 2):
-                found.append((m.start(), 5, m.end()))
-                account_end = m.end()
+            if link.end() > after:
+                end = _iban_end(text, link.end()) if what == "iban" else _value_end(text, link.end(), bool(link[1]))
+                if end:
+                    found.append((link.end(), 5, end))
+                    account_end = end
     _numbers(text, found)
     found.sort()
     return found

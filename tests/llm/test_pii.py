@@ -65,3 +65,22 @@ def test_frame(spark):
 def test_overlapping_spans_leave_no_tail():
     assert pii.redact_text("ftp://first.last@host.com") == "[URL]"
     assert pii.redact_text("see ftp://first.last@host.com, or http://a.com/x4111 1111 1111 1111 now") == "see [URL], or [URL] now"
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("see @" + "a" * 40 + " there", "account", "@" + "a" * 40),
+        ("at http://a.bb:123456/secret now", "url", "http://a.bb:123456/secret"),
+        ("token" + " " * 9 + "=" + " " * 7 + "abc12345", "account", "abc12345"),
+        ("IBAN DE89 3704 0044 0532 0130 00 is it", "account", "DE89 3704 0044 0532 0130 00"),
+        ("iban: GB82WEST12345698765432.", "account", "GB82WEST12345698765432"),
+        ("password: h$nter!2x", "account", "h$nter!2x"),
+    ],
+)
+def test_spans_are_whole(text, kind, value):
+    assert (kind, value) in {(pii.KINDS[k], text[a:b]) for a, k, b in pii.find_spans(text)}
+
+
+def test_no_value_without_digits():
+    assert not pii.find_spans("the password is required, tokens are spent, account: closed by them")
