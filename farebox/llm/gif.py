@@ -3,7 +3,7 @@
 Texts are stored as 8-bit samples of an animation: the UTF-8 bytes, padded with blanks to a positive multiple of 192, are rows
 of 192 pixels, up to ROWS of them a frame, under a grey palette of 256 entries, compressed by LZW. The decoder reads any
 GIF: it decodes the LZW code streams, applies the global or a local palette, interlacing, transparency and the disposal
-of each frame, and gives timed frames with a histogram of the canvas that a viewer sees (16 grey levels).
+of each frame, and gives timed frames with a histogram of the canvas that a viewer sees (64 colours).
 
 Everything is done one document at a time, so memory is bounded by the largest text of a batch.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farebox.llm.common import table, text_or_empty, written
@@ -29,7 +29,7 @@ from farebox.llm.common import table, text_or_empty, written
 WIDTH = 192
 ROWS = 1024
 DELAY = 10
-BINS = 16
+BINS = 64
 _FULL = 4096
 
 
@@ -208,12 +208,11 @@ def decode_gif(data: bytes) -> Iterator[Frame]:
 
 
 def histogram(canvas: np.ndarray) -> np.ndarray:
-    """Opaque pixels by grey level, BINS of them."""
+    """Opaque pixels by colour: four levels of red, green and blue each, BINS together."""
     c = canvas.reshape(-1, 4)
     if not c[:, 3].all():
         c = c[c[:, 3] > 0]
-    grey = (c[:, :3] @ np.array([77, 150, 29], np.uint16)) >> 8
-    return np.bincount(grey >> 4, minlength=BINS)
+    return np.bincount((c[:, 0] >> 6 << 4) | (c[:, 1] >> 6 << 2) | c[:, 2] >> 6, minlength=BINS)
 
 
 _ENCODED = "doc_id long, n_bytes long, media binary"
@@ -259,21 +258,36 @@ def load_gif(stored: DataFrame) -> DataFrame:
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(_decode, _DECODED)
 
 
-def _features(batches):
-    """The digest columns, so that payloads need not return to the JVM."""
+def _digests(batches):
+    """The digest columns and frames, so that payloads need not return to the JVM."""
     for batch in batches:
-        doc_id, n_bytes, media = (batch.column(i) for i in range(3))
-        rows = []
-        for m in media:
-            stored = m.as_py()
-            payload, frames = _decode_one(stored)
-            seen = np.sum([f["histogram"] for f in frames], axis=0).tolist()
-            feature = f"frames={len(frames)};cs={sum(f['delay_cs'] for f in frames)};grey={','.join(map(str, seen))}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-        yield pa.RecordBatch.from_arrays([doc_id, n_bytes, *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        for at in range(0, batch.num_rows, 64):
+            doc_id, n_bytes, media = (batch.column(i).slice(at, 64) for i in range(3))
+            rows = []
+            for m in media:
+                stored = m.as_py()
+                payload, frames = _decode_one(stored)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), frames))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), _FRAMES)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([doc_id, n_bytes, *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames"])
+
+
+def store_frames(stored: DataFrame) -> DataFrame:
+    """Timed frames with their colour histograms, and digests of the samples, decoded from the stored GIFs and written."""
+    ddl = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames array<struct<{_FRAME}>>"
+    return written(stored.select("doc_id", "n_bytes", "media").mapInArrow(_digests, ddl), "frames")
+
+
+def feature(frames: str = "frames") -> Column:
+    """Number of frames, their time, and the filled bins of the sum of their histograms."""
+    none = F.array_repeat(F.lit(0).cast("long"), BINS)
+    total = F.aggregate(frames, none, lambda acc, f: F.zip_with(acc, f.histogram, lambda a, b: a + b))
+    bins = F.filter(F.transform(total, lambda n, i: F.when(n > 0, F.concat_ws(":", i.cast("string"), n.cast("string")))), lambda x: x.isNotNull())
+    time = F.aggregate(frames, F.lit(0).cast("long"), lambda acc, f: acc + f.delay_cs)
+    return F.concat(F.lit("frames="), F.size(frames).cast("string"), F.lit(";cs="), time.cast("string"), F.lit(";rgb="), F.concat_ws(",", bins))
 
 
 def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = written(store_gif(table(spark, sf_dir, "documents")), "gif")
-    return stored.mapInArrow(_features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return store_frames(stored).withColumn("feature", feature()).drop("frames")

@@ -20,7 +20,10 @@ answer, a minimum that combines before the shuffle, so no join makes more than a
 
 Edge cases: a null call_id never links: such calls are unanswered and such results orphans; dependencies on identifiers that no call has
 are ignored; several different calls of one identifier all get its answer and are told apart by n_ids; null arguments are
-an error; a null content is an answer with null content; an empty table gives an empty result; other columns aren't read.
+an error; a null content is an answer with null content; an empty table gives an empty result; other columns aren't read. Arguments of
+over 16 MiB, or nested over 1,000 deep, don't fit Spark's variant type: nothing of them is lost, they stay the text that they are, but the former
+are "too large to validate" and the latter "no JSON object". Numbers keep their notation as far as decimals do (1e2 and 100 are different
+texts); arguments with a number of over 38 digits stay as they are written.
 """
 
 from __future__ import annotations
@@ -35,13 +38,20 @@ SCHEMAS = {
     "assistant.configure": {"text": ("string", True), "turn": ("integer", True)},
     "assistant.reply": {"text": ("string", True), "turn": ("integer", True)},
 }
+#: Fixed values of the variant type: the digits of its decimals, and the bytes that one holds.
+DIGITS = 38
+LARGEST = 16 << 20
 #: The beginnings of the type names that a variant has for each type of JSON schema.
 TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 
 
 def canonical(text: Column) -> Column:
-    """The JSON text with sorted keys and no white space; null if it isn't JSON (or has a key twice)."""
-    return F.to_json(F.try_parse_json(text))
+    """The JSON text with sorted keys and no white space; null if it isn't JSON (or has a key twice).
+
+    A text with a number that a decimal of DIGITS digits can't hold stays as it is, so that no digit is lost.
+    """
+    made = F.to_json(F.try_parse_json(text))
+    return F.when(made.isNotNull() & F.rlike(text, F.lit(rf"[0-9.]{{{DIGITS + 1},}}")), text).otherwise(made)
 
 
 def errors_of(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
@@ -62,7 +72,8 @@ def errors_of(name: Column, arguments: Column, schemas: dict[str, dict[str, tupl
         each.append(F.transform(F.coalesce(unknown, none), lambda k: F.concat(F.lit("unknown "), k)))
         found = F.when(name == tool, F.concat(*each)).otherwise(found)
     is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
-    return F.when(F.coalesce(is_object, F.lit(False)), found).otherwise(F.array(F.lit("arguments are no JSON object")))
+    unread = F.when(parsed.isNull() & (F.octet_length(arguments) >= LARGEST), F.array(F.lit("arguments are too large to validate")))
+    return F.when(F.coalesce(is_object, F.lit(False)), found).otherwise(F.coalesce(unread, F.array(F.lit("arguments are no JSON object"))))
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -151,7 +162,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
 def _record(arguments: Column, call_id: Column, name: Column, result: Column) -> Column:
     """The canonical JSON of a call and its answer; arguments are JSON already."""
     rest = F.to_json(F.struct(call_id.alias("call"), name.alias("name"), result.alias("result")), {"ignoreNullFields": "false"})
-    return F.concat(F.lit('{"arguments":'), arguments, F.lit(","), F.substring(rest, 2, 1 << 30))
+    return F.concat(F.lit('{"arguments":'), arguments, F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
 
 
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,10 @@
 """A content-addressed web archive: payload bytes once, record headers apart, records rebuilt by joins.
 
 An archive is two tables in one folder:
-- payloads: sha256, sha1 (base32), size and the gzip member of each distinct payload;
+- payloads: sha256, sha1 (base32), size, the gzip member of each distinct payload and how many records have it;
 - headers: one row for each record with its exact header block (bytes up to and with the blank line), its kind
-  and the digest that its block refers to.
+  and the digest that its block refers to. Its identifier is made of the page_id and the payload's digest, and for a revisit a number
+  of its own; the date is a parameter, since pages have none.
 
 A payload's address is its SHA-256 digest together with its length. Reading verifies both digests of every stored payload against its bytes
 and fails on a mismatch. A record is its header block, its payload for a response, and two line ends; revisits
@@ -13,11 +14,12 @@ Of records with equal payloads of at least ``least`` bytes that with the largest
 revisit it. Smaller payloads are stored once too, but all their records are responses.
 
 Skew: payloads are combined per digest before the shuffle (one copy leaves each task), and what joins by digest afterwards is
-rows of headers without payloads, which adaptive execution splits where one digest is hot.
+rows of headers without payloads, which adaptive execution splits where one digest is hot. Records are rebuilt from as many copies of
+a payload as it has SHARED records, so a hot one is spread over tasks.
 
 Edge cases: a null html is an empty payload; a null url gives an empty target; repeated page ids: one of the rows with the
-largest id is written as the response of its digest and the others as further responses of it; a null id is smaller
-than any other; an empty table gives empty results.
+largest id is written as the response of its digest and the others as the same response again, of one identifier; a null id is smaller
+than any other; columns other than page_id, url and html aren't read; very long payloads are one member each; an empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -34,6 +36,11 @@ from farebox.llm.common import new_path, table
 
 _STORED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("sha256", pa.binary()), ("sha1", pa.string()), ("size", pa.int64()), ("member", pa.binary())])
 _STORED_DDL = "page_id long, url string, sha256 binary, sha1 string, size long, member binary"
+#: Fixed value: the profile of revisits with an identical payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DATE = "2000-01-01T00:00:00Z"
+#: Records that are rebuilt from one copy of a payload.
+SHARED = 256
 #: Fixed value: base32 digits in the order of their value.
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -54,33 +61,35 @@ def _address(batches):
             )
 
 
-def header_block(page_id: Column, url: Column, kind: Column, sha1: Column, size: Column, refers_to: Column) -> Column:
-    """The exact header block of a record, as bytes."""
+def header_block(page_id: Column, url: Column, kind: Column, sha1: Column, size: Column, refers_to: Column, number: Column, date: str = DATE) -> Column:
+    """The exact header block of a record, as bytes. number: what tells revisits of one page and payload apart."""
+    name = lambda page: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), sha1)
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     return F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(name(page_id), F.when(kind == "revisit", F.concat(F.lit(":"), number.cast("string"))).otherwise(""), F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce(url, F.lit("")), "[\r\n]", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
-        F.when(kind == "revisit", line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), refers_to.cast("string"), F.lit(">")))).otherwise(""),
+        F.when(kind == "revisit", F.concat(line("WARC-Refers-To", F.concat(name(refers_to), F.lit(">"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(kind == "revisit", F.lit("0")).otherwise(size.cast("string"))),
         F.lit("\r\n"),
     ).cast("binary")
 
 
-def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
+def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = DATE) -> None:
     """Writes the archive of pages (page_id, url, html) under path."""
     rows = pages.select("page_id", "url", "html").mapInArrow(_address, _STORED_DDL)
-    stored = rows.groupBy("sha256", "size").agg(F.max("page_id").alias("page_id"), F.first("sha1").alias("sha1"), F.first("member").alias("member"))
+    stored = rows.groupBy("sha256", "size").agg(F.max("page_id").alias("page_id"), F.first("sha1").alias("sha1"), F.first("member").alias("member"), F.count("*").alias("records"))
     stored.write.parquet(f"{path}/payloads")
-    holders = pages.sparkSession.read.schema("sha256 binary, size long, page_id long").parquet(f"{path}/payloads").withColumnRenamed("page_id", "holder")
+    holders = pages.sparkSession.read.schema("sha256 binary, size long, page_id long, records long").parquet(f"{path}/payloads").withColumnRenamed("page_id", "holder")
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     plain = pages.select("page_id", "url", F.unhex(F.sha2(html, 256)).alias("sha256"), F.octet_length(html).cast("long").alias("size"), _base32(F.sha1(html)).alias("sha1"))
     met = plain.join(holders, ["sha256", "size"])
     kind = F.when((F.col("size") < least) | F.col("page_id").eqNullSafe(F.col("holder")), "response").otherwise("revisit")
-    headers = met.withColumn("kind", kind).select("sha256", "size", header_block(F.col("page_id"), F.col("url"), F.col("kind"), F.col("sha1"), F.col("size"), F.col("holder")).alias("header"))
+    headers = met.withColumn("kind", kind).select("sha256", "size", header_block(F.col("page_id"), F.col("url"), F.col("kind"), F.col("sha1"), F.col("size"), F.col("holder"), F.monotonically_increasing_id(), date).alias("header"), "records")
     headers.write.parquet(f"{path}/headers")
 
 
@@ -108,7 +117,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     headers = spark.read.schema("sha256 binary, size long, header binary").parquet(f"{path}/headers")
     text = F.decode("header", "UTF-8")
     field = lambda name, pattern: F.regexp_extract(text, f"\r\n{name}: {pattern}\r\n", 1)
-    number = lambda name: F.nullif(field(name, "<urn:page:(-?[0-9]*)>"), F.lit("")).cast("long")
+    number = lambda name: F.nullif(field(name, "<urn:page:(-?[0-9]*):[^>]*>"), F.lit("")).cast("long")
     met = headers.join(sound, ["sha256", "size"], "left")
     return met.select(
         number("WARC-Record-ID").alias("page_id"),
@@ -123,23 +132,51 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 def _rebuild(batches):
     for batch in batches:
-        header, member = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i in range(0, len(header), 64):
-            yield pa.RecordBatch.from_arrays([pa.array([h + (b"" if b"\r\nWARC-Type: revisit\r\n" in h else gzip.decompress(m)) + b"\r\n\r\n" for h, m in zip(header[i : i + 64], member[i : i + 64], strict=True)], pa.binary())], names=["record"])
+        for at in range(0, batch.num_rows, 64):
+            header, member = (batch.column(c).slice(at, 64).to_pylist() for c in (0, 1))
+            data = [gzip.decompress(m) for m in member]
+            records = [h + (b"" if b"\r\nWARC-Type: revisit\r\n" in h else d) + b"\r\n\r\n" for h, d in zip(header, data, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary()), pa.array(map(base32_sha1, data), pa.string()), pa.array(map(len, data), pa.int64())], names=["record", "sha1", "size"])
+
+
+def _with_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """The header block of each record and the member of its payload."""
+    payloads = spark.read.schema("sha256 binary, size long, member binary, records long").parquet(f"{path}/payloads")
+    headers = spark.read.schema("sha256 binary, size long, header binary, records long").parquet(f"{path}/headers")
+    copies = payloads.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("records") / SHARED)))).drop("records")
+    dealt = headers.withColumn("copy", F.pmod(F.xxhash64("header"), F.floor(F.col("records") / SHARED) + 1))
+    return dealt.join(copies, ["sha256", "size", "copy"]).select("header", "member")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The original records, byte for byte: a column record."""
-    payloads = spark.read.schema("sha256 binary, size long, member binary").parquet(f"{path}/payloads")
-    headers = spark.read.schema("sha256 binary, size long, header binary").parquet(f"{path}/headers")
-    return headers.join(payloads, ["sha256", "size"]).select("header", "member").mapInArrow(_rebuild, "record binary")
+    """The original records, byte for byte (a column record), with the digest and size of their payload as it was read."""
+    return _with_payloads(spark, path).mapInArrow(_rebuild, "record binary, sha1 string, size long")
+
+
+def _parse(batches):
+    """The digest columns from rebuilt records; fails where a record isn't what its header says."""
+    import re
+
+    field = lambda name, head: m[1].decode() if (m := re.search(rb"\r\n" + name + rb": ([^\r\n]*)\r\n", head)) else None
+    page = lambda name, head: int(m) if (m := (field(name, head) or "::").split(":")[2]) else None
+    for batch in _rebuild(batches):
+        rows = []
+        for record, sha1, size in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            head, _, rest = record.partition(b"\r\n\r\n")
+            head += b"\r\n"
+            kind = field(b"WARC-Type", head)
+            if field(b"WARC-Payload-Digest", head) != f"sha1:{sha1}" or int(field(b"Content-Length", head)) != len(rest) - 4 or kind == "response" and base32_sha1(rest[:-4]) != sha1:
+                raise ValueError(f"a record isn't what its header says: {field(b'WARC-Record-ID', head)}")
+            rows.append((page(b"WARC-Record-ID", head), size, sha1, kind, page(b"WARC-Refers-To", head), field(b"WARC-Target-URI", head)))
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
 
 def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archive(table(spark, sf_dir, "pages"), path)
-    found = read_headers(spark, path).where("_sound is null")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+    return _with_payloads(spark, path).mapInArrow(_parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 ORACLE = """

@@ -121,5 +121,12 @@ def test_query(spark):
     for r in gif.op8_gif(spark, "/root/testdata/sf0.001").collect():
         data = texts[r.doc_id].ljust(max(192, -(-len(texts[r.doc_id]) // 192) * 192))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
-        grey = np.bincount(np.frombuffer(data, np.uint8) >> 4, minlength=16).tolist()
-        assert r.feature.endswith("grey=" + ",".join(map(str, grey)))
+        grey = np.bincount(np.frombuffer(data, np.uint8) >> 6, minlength=4).tolist()
+        assert r.feature.endswith("rgb=" + ",".join(f"{21 * k}:{n}" for k, n in enumerate(grey) if n))
+        assert r.feature.startswith(f"frames={-(-len(data) // (192 * gif.ROWS))};")
+
+
+def test_colours_of_a_canvas():
+    canvas = np.array([[[255, 0, 0, 255], [0, 255, 64, 255], [0, 0, 128, 0]]], np.uint8)
+    got = gif.histogram(canvas)
+    assert got[3 << 4] == 1 and got[3 << 2 | 1] == 1 and got.sum() == 2

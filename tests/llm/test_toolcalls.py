@@ -81,3 +81,12 @@ def test_query_against_sql(spark):
             want = con.sql(tc.ORACLE).fetchall()
         key = lambda r: tuple(str(x) for x in r)
         assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_large_and_long_arguments(spark):
+    digits = '{"a":' + "7" * 42 + "}"
+    large = '{"text":"' + "x" * (17 << 20) + '","turn":1}'
+    calls = spark.createDataFrame([("a", "assistant.reply", digits, []), ("b", "assistant.reply", large, [])], "call_id string, name string, arguments string, after array<string>")
+    got = {r.call_id: r for r in tc.link(calls, spark.createDataFrame([], "call_id string, content string")).collect()}
+    assert json.loads(got["a"].json)["arguments"] == {"a": int("7" * 42)}
+    assert got["b"].errors == ["arguments are too large to validate"] and json.loads(got["b"].json)["arguments"] == large

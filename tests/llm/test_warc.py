@@ -34,7 +34,8 @@ def test_records(spark, tmp_path):
     for record in records:
         head, _, rest = bytes(record).partition(b"\r\n\r\n")
         fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
-        page = next(r for r in ROWS if r[0] == int(fields[b"WARC-Record-ID"][10:-1]))
+        page = next(r for r in ROWS if r[0] == int(fields[b"WARC-Record-ID"].split(b":")[2]))
+        assert fields[b"WARC-Date"] == b"2000-01-01T00:00:00Z" and (b"WARC-Profile" in fields) == (fields[b"WARC-Type"] == b"revisit")
         assert int(fields[b"Content-Length"]) == len(rest) - 4 and rest.endswith(b"\r\n\r\n")
         assert rest[:-4] == (b"" if fields[b"WARC-Type"] == b"revisit" else (page[2] or "").encode())
 
@@ -43,11 +44,13 @@ def test_changed_payload_is_noticed(spark, tmp_path):
     path = archive(spark, tmp_path, ROWS)
     p = spark.read.parquet(f"{path}/payloads")
     rows = p.collect()
-    swap = [(r.sha256, r.size, r.page_id, r.sha1, rows[(i + 1) % len(rows)].member) for i, r in enumerate(rows)]
+    swap = [(r.sha256, r.size, r.page_id, r.sha1, rows[(i + 1) % len(rows)].member, r.records) for i, r in enumerate(rows)]
     spark.createDataFrame(swap, p.schema).write.parquet(f"{path}2/payloads")
     spark.read.parquet(f"{path}/headers").write.parquet(f"{path}2/headers")
     with pytest.raises(Exception, match="isn't what was stored"):
         warc.read_headers(spark, f"{path}2").collect()
+    with pytest.raises(Exception, match="isn't what its header says"):
+        warc._with_payloads(spark, f"{path}2").mapInArrow(warc._parse, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string").collect()
 
 
 def test_empty_and_repeated(spark, tmp_path):
@@ -64,3 +67,16 @@ def test_sql(spark):
     got = warc.op2_content_addressed_warc(spark, "/root/testdata/sf0.01")
     assert got.columns == [c[0] for c in con.sql(warc.ORACLE).description]
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_hot_payload_and_identifiers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SHARED", 8)
+    rows = [(i // 2, f"u{i}", "same" if i % 4 else f"own {i}", 0) for i in range(200)]
+    records = [bytes(r.record) for r in warc.read_records(spark, archive(spark, tmp_path, rows)).collect()]
+    assert len(records) == 200
+    names = [r.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for r in records]
+    assert len(set(names)) >= 199  # the response of page 99 stands there twice
+    known = set(names)
+    for r in records:
+        if b"WARC-Refers-To" in r:
+            assert r.split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0] in known
