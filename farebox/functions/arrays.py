@@ -69,3 +69,29 @@ def traversed(route: Column, board: Column, alight: Column) -> Column:
     none = F.slice(route, 1, 0)
     status = F.when(route.isNull(), "no_route").when(at == 0, "board_not_found").when(to == 0, "alight_not_found").otherwise("ok")
     return F.struct(status.alias("status"), F.when(status != "ok", none).when(at <= to, plain).otherwise(wrapped).alias("stops"))
+
+
+def ridden(stops: Column, board: Column, alight: Column) -> Column:
+    """The stops of a pattern from the first boarding to the first alighting after it, both included; empty without such a ride."""
+    at = F.array_position(stops, board).cast("int")
+    rest = F.slice(stops, at + 1, F.size(stops))
+    to = F.when(at > 0, F.array_position(rest, alight)).otherwise(0).cast("int")
+    return F.when(to > 0, F.slice(stops, F.greatest(at, F.lit(1)), to + 1)).otherwise(F.slice(stops, 1, 0))
+
+
+def between_stops(ride: Column) -> Column:
+    """What lies between the ends of a ride."""
+    return F.slice(ride, 2, F.greatest(F.size(ride) - 2, F.lit(0)))
+
+
+def rail_as_subway(modes: Column) -> Column:
+    return F.transform(modes, lambda m: F.when(m == "RAIL", "SUBWAY").otherwise(m))
+
+
+def boardable(pos: Column, stops: Column, pickup: Column) -> Column:
+    """Nobody boards at the last position, nor where the pickup type isn't 0."""
+    return (pos < F.size(stops) - 1) & (F.coalesce(pickup, F.lit(0)) == 0)
+
+
+def alightable(pos: Column, drop_off: Column) -> Column:
+    return (pos > 0) & (F.coalesce(drop_off, F.lit(0)) == 0)

@@ -30,10 +30,10 @@ def hhmmss(seconds: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """``41s``, ``12m``, ``3h 5m``."""
+    """``41s``, ``12m``, ``3h 5m``; ``-`` for a negative one."""
     minutes = F.floor(seconds / 60).cast("int")
     hours = F.format_string("%dh %dm", F.floor(seconds / 3600).cast("int"), F.pmod(minutes, F.lit(60)).cast("int"))
-    return F.when(seconds < 60, F.format_string("%ds", seconds.cast("int"))).when(seconds < 3600, F.format_string("%dm", minutes)).otherwise(hours)
+    return F.when(seconds < 0, "-").when(seconds < 60, F.format_string("%ds", seconds.cast("int"))).when(seconds < 3600, F.format_string("%dm", minutes)).otherwise(hours)
 
 
 def to_minutes(seconds: Column) -> Column:

@@ -55,7 +55,7 @@ def fit_statistics(df: DataFrame, parameters: int) -> DataFrame:
     return per.select(
         "chains", "ll", "ll0",
         (1 - F.col("ll") / F.col("ll0")).alias("rho2"), (1 - (F.col("ll") - k) / F.col("ll0")).alias("rho2_adj"),
-        (2 * k - 2 * F.col("ll")).alias("aic"), (k * F.log("chains") - 2 * F.col("ll")).alias("bic"),
+        (2 * k - 2 * F.col("ll")).alias("aic"), (k * F.log("chains") - 2 * F.col("ll")).alias("bic"), (k * (F.log("chains") + 1) - 2 * F.col("ll")).alias("caic"),
     )
 
 
@@ -79,21 +79,55 @@ def gradient(df: DataFrame, betas: dict[str, float]) -> DataFrame:
     return rows.agg(*outs)
 
 
-def fit_logit(df: DataFrame, names: list[str], rounds: int = 25, tolerance: float = 1e-8) -> dict[str, dict[str, float]]:
+def fit_logit(df: DataFrame, names: list[str], rounds: int = 100, tolerance: float = 1e-8) -> dict[str, dict[str, float]]:
     """Newton's method for a multinomial logit; each round is one distributed aggregation, the driver solves a system of len(names) unknowns.
 
-    Gives for each name its coefficient, standard error and t value.
+    Gives for each name its coefficient, standard error, t and two-sided p value. Only the columns needed are kept for the rounds, in
+    memory or on disk of the executors; steps are halved while the likelihood falls. Raises if it hasn't converged after `rounds`.
     """
-    import numpy as np
+    import math
 
-    beta = np.zeros(len(names))
-    for _ in range(rounds):
-        r = gradient(df, dict(zip(names, beta.tolist(), strict=True))).first()
-        g = np.array([r[f"g_{n}"] or 0.0 for n in names])
-        h = np.array([[r[f"h_{names[max(i, j)]}_{names[min(i, j)]}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
-        step = np.linalg.lstsq(h, g, rcond=None)[0]
-        beta = beta - step
-        if np.abs(step).max() < tolerance:
-            break
+    import numpy as np
+    from pyspark import StorageLevel
+
+    rows = df.select("chain_id", "choice", *names).repartition("chain_id").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+
+        def at(beta):
+            r = gradient(rows, dict(zip(names, beta.tolist(), strict=True))).first()
+            g = np.array([r[f"g_{n}"] or 0.0 for n in names])
+            h = np.array([[r[f"h_{names[max(i, j)]}_{names[min(i, j)]}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
+            return r["ll"] or 0.0, g, h
+
+        beta = np.zeros(len(names))
+        ll, g, h = at(beta)
+        for _ in range(rounds):
+            step = np.linalg.lstsq(h, g, rcond=None)[0]
+            if np.abs(step).max() < tolerance:
+                break
+            new = at(beta - step)
+            while new[0] < ll - 1e-9 * abs(ll) and np.abs(step).max() > tolerance:
+                step = step / 2
+                new = at(beta - step)
+            beta, (ll, g, h) = beta - step, new
+        else:
+            raise RuntimeError(f"no convergence after {rounds} rounds; the largest step was {np.abs(step).max():g}")
+    finally:
+        rows.unpersist()
     errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(-h)), 0))
-    return {n: {"beta": float(b), "se": float(s), "t": float(b / s) if s else float("nan")} for n, b, s in zip(names, beta, errors, strict=True)}
+    t = [float(b / s) if s else float("nan") for b, s in zip(beta, errors, strict=True)]
+    return {n: {"beta": float(b), "se": float(s), "t": x, "p": math.erfc(abs(x) / math.sqrt(2))} for n, b, s, x in zip(names, beta, errors, t, strict=True)}
+
+
+def fit_by_segment(df: DataFrame, names: list[str], segment: str, least: int = 500) -> dict[object, dict]:
+    """A fit for each segment of at least `least` chains; the number of segments is small, and each fit is distributed."""
+    sizes = df.where("choice = 1").groupBy(segment).agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()
+    return {r[segment]: fit_logit(df.where(F.col(segment).eqNullSafe(F.lit(r[segment]))), names) for r in sorted(sizes, key=lambda r: str(r[segment]))}
+
+
+def choice_metrics(df: DataFrame, score: str, *by: str) -> DataFrame:
+    """Chains, hit rate, mean probability of the choice and log likelihood of any model's positive scores, normalised within the chain."""
+    share = F.col(score) / F.sum(score).over(of_chain())
+    rows = df.withColumn("_p", share).withColumn("_top", F.row_number().over(of_chain().orderBy(F.desc(score), "alt_id")))
+    chosen = rows.where("choice = 1")
+    return chosen.groupBy(*by).agg(F.count("*").alias("chains"), F.avg((F.col("_top") == 1).cast("int")).alias("hit_rate"), F.avg("_p").alias("mean_p"), F.sum(F.log(F.greatest("_p", F.lit(1e-300)))).alias("ll"))

@@ -47,8 +47,10 @@ def left_closed(value: Column, edges: list[float]) -> Column:
 
 
 def index_percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """One row: the value at place int(n * share) from 0 of the sorted values. A distributed sort numbers the values; nothing is gathered."""
-    counts = df.groupBy(value).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy(value)))
-    n = F.sum("c").over(Window.partitionBy())
-    placed = counts.withColumn("n", n)
-    return placed.agg(*(F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * s), F.col("n") - 1), F.col(value))).alias(name) for name, s in shares.items()))
+    """One row: the value at place int(n * share) from 0 of the sorted values; sums of parts of the value range give the places."""
+    from farebox.operators.calibration import cumulative
+
+    placed = cumulative(df, value)
+    n = placed.agg(F.sum("c")).first()[0] or 0
+    at = {name: min(int(n * s), n - 1) for name, s in shares.items()}
+    return placed.agg(*(F.min(F.when(F.col("before") + F.col("c") > i, F.col(value))).alias(name) for name, i in at.items()))

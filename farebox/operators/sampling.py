@@ -28,3 +28,33 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, shares: dict, total
 def split_share(key: str) -> Column:
     """A number in [0, 1) for each key: rows below the training share train. No shuffle, and no key on both sides."""
     return F.conv(F.substring(hash_order(key), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def topped_up_sample(df: DataFrame, stratum: Column, key: str, total: int) -> DataFrame:
+    """total rows: of each stratum max(1, floor(its share of total)), the first ones by hash; then rows go, or others come, in the order of the
+    hash over all strata until there are total rows (all of them, if there are fewer).
+
+    Only the rows of the sample and the first `total` of the others are ordered as a whole, a number that the caller gives.
+    """
+    rows = df.withColumn("_s", stratum).withColumn("_h", hash_order(key))
+    sizes = rows.groupBy("_s").agg(F.count("*").alias("_n"))
+    n = sizes.agg(F.sum("_n")).first()[0] or 0
+    quota = F.greatest(F.lit(1), F.floor(F.col("_n") / F.lit(float(max(n, 1))) * total))
+    turned = rows.withColumn("_turn", F.row_number().over(Window.partitionBy("_s").orderBy("_h", key))).join(F.broadcast(sizes), "_s")
+    first = turned.withColumn("_extra", (F.col("_turn") > quota).cast("int"))
+    return first.orderBy("_extra", "_h", key).limit(total).drop("_s", "_h", "_n", "_turn", "_extra")
+
+
+def proportional_groups(df: DataFrame, kind: str, group: list[str], share: float) -> DataFrame:
+    """The rows of some groups: of each kind ceil(share * its groups), the first ones by the hash of the group. Groups stay whole."""
+    keys = df.select(kind, *group).distinct().withColumn("_h", F.md5(F.concat_ws("|", *group).cast("binary")))
+    sizes = keys.groupBy(kind).agg(F.ceil(F.count("*") * share).alias("_quota"))
+    turned = keys.withColumn("_turn", F.row_number().over(Window.partitionBy(kind).orderBy("_h", *group))).join(F.broadcast(sizes), kind)
+    return df.join(turned.where(F.col("_turn") <= F.col("_quota")).select(kind, *group), [kind, *group], "left_semi")
+
+
+def stratified_split(df: DataFrame, stratum: str, key: str, share: float) -> DataFrame:
+    """df with part: of each stratum exactly floor(share * n) keys train, the first ones by hash; the others test. df has one row a key."""
+    size = F.count("*").over(Window.partitionBy(stratum))
+    turn = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_order(key), key))
+    return df.withColumn("_n", size).withColumn("_turn", turn).withColumn("part", F.when(F.col("_turn") <= F.floor(F.col("_n") * share), "train").otherwise("test")).drop("_n", "_turn")

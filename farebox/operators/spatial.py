@@ -15,15 +15,17 @@ from farebox.functions.geo import cell, haversine
 def within(left: DataFrame, right: DataFrame, radius: float, size: float | None = None, max_lat: float = 60.0) -> DataFrame:
     """Pairs of left (id, lat, lon) and right (id, lat, lon) at most radius metres apart: id, other, metres.
 
-    Cells are as large as the radius reaches at latitude max_lat, so that three by three of them suffice. Points beyond max_lat aren't
-    supported. The side that is exploded is the left one.
+    Cells are as large as the radius reaches at latitude max_lat, so that three by three of them suffice; they go on across 180 degrees of
+    longitude. A point beyond max_lat raises; a larger max_lat gives wider cells. The side that is exploded is the left one.
     """
     step = size or radius / 111_000.0 * 1.01
-    lon_step = step / math.cos(math.radians(max_lat))
+    columns = max(1, int(360.0 / (step / math.cos(math.radians(max_lat)))))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = left.select("id", "lat", "lon", F.explode(F.transform(near, lambda d: cell(F.col("lat"), step) + d)).alias("cy"))
-    a = a.select("*", F.explode(F.transform(near, lambda d: cell(F.col("lon"), lon_step) + d)).alias("cx"))
-    b = right.select(F.col("id").alias("other"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), cell(F.col("lat"), step).alias("cy"), cell(F.col("lon"), lon_step).alias("cx"))
+    known = lambda lat: F.when(F.abs(lat) > max_lat, F.raise_error(F.lit(f"a latitude is beyond {max_lat}; give a larger max_lat")).cast("double")).otherwise(lat)
+    cx = lambda lon, d: F.pmod(F.floor((lon + 180.0) / (360.0 / columns)) + d, F.lit(columns)).cast("long")
+    a = left.select("id", "lat", "lon", F.explode(F.transform(near, lambda d: cell(known(F.col("lat")), step) + d)).alias("cy"))
+    a = a.select("*", F.explode(F.array_distinct(F.transform(near, lambda d: cx(F.col("lon"), d)))).alias("cx"))
+    b = right.select(F.col("id").alias("other"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), cell(known(F.col("lat")), step).alias("cy"), cx(F.col("lon"), F.lit(0)).alias("cx"))
     metres = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
     return a.join(b, ["cy", "cx"]).withColumn("metres", metres).where(F.col("metres") <= radius).select("id", "other", "metres")
 
@@ -48,6 +50,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, bound: float, rounds: i
     """
     if not edges.where("cost < 0").isEmpty():
         raise ValueError("an edge has a negative cost")
+    edges = edges.select("src", "dst", "cost").groupBy("src", "dst").agg(F.min("cost").alias("cost")).checkpoint()
     best = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")).checkpoint()
     front = best
     for done in count():

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Seconds of a slice of departures.
+SLICE = 1800
+
+
 def service_window(events: DataFrame) -> DataFrame:
     """One row: the first departure and the last arrival; -1 is missing, four and twenty-six o'clock stand for none."""
     known = lambda c: F.when(F.col(c) >= 0, F.col(c))
@@ -24,37 +28,54 @@ def routes_by_stop(events: DataFrame) -> DataFrame:
     return events.groupBy("stop").agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_set("route")), lambda r: r.cast("string"))).alias("routes"), F.countDistinct("route").alias("n_routes"))
 
 
-def as_of(queries: DataFrame, events: DataFrame, key: str, forward: bool = True) -> DataFrame:
+def as_of(queries: DataFrame, events: DataFrame, key: str, forward: bool = True, slice_seconds: int = 3600) -> DataFrame:
     """For each query (query_id, key, at) the event (key, event_id, at) that is next (or latest, if not forward) at its time, ties to the
     smaller event_id; queries without one have nulls.
 
-    No pairs are made: queries and events are sorted together within a key, and the nearest event is carried along.
+    No pairs are made: queries and events are sorted together within a key and a slice of time, and the nearest event is carried along. A
+    query without one in its slice takes the first (or last) event of the next slice that has any, from a table of one row for each
+    key and slice. So a key's rows are dealt over as many tasks as it has slices.
     """
-    q = queries.select(key, "at", F.col("query_id"), F.lit(None).cast("struct<at:bigint,event_id:bigint>").alias("e"))
-    e = events.select(key, "at", F.lit(None).cast("long").alias("query_id"), F.struct(F.col("at").cast("long").alias("at"), F.col("event_id").cast("long").alias("event_id")).alias("e"))
-    both = q.unionByName(e)
-    if forward:
-        order = [F.desc("at"), F.col("query_id").isNotNull(), F.desc("e.event_id")]
-    else:
-        order = ["at", F.col("query_id").isNotNull(), F.desc("e.event_id")]
-    found = F.last("e", ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("found", found).where("query_id is not null").select("query_id", key, "at", F.col("found.event_id").alias("event_id"), F.col("found.at").alias("event_at"))
+    in_slice = lambda: F.floor(F.col("at") / slice_seconds).alias("slice")
+    q = queries.select(key, "at", "query_id", in_slice(), F.lit(None).cast("struct<at:bigint,event_id:bigint>").alias("e"))
+    one = F.struct(F.col("at").cast("long").alias("at"), F.col("event_id").cast("long").alias("event_id"))
+    e = events.select(key, "at", F.lit(None).cast("long").alias("query_id"), in_slice(), one.alias("e"))
+    order = [F.desc("at") if forward else "at", F.col("query_id").isNotNull(), F.desc("e.event_id")]
+    own = Window.partitionBy(key, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = q.unionByName(e).withColumn("own", F.last("e", ignorenulls=True).over(own)).where("query_id is not null")
+    # the event of each slice that the slices before (or after) it look for, carried over slices without any
+    edge = F.min(F.struct("at", "event_id")) if forward else F.max_by(F.struct("at", "event_id"), F.struct(F.col("at"), -F.col("event_id")))
+    edges = events.select(key, in_slice(), F.col("at").cast("long").alias("at"), F.col("event_id").cast("long").alias("event_id")).groupBy(key, "slice").agg(edge.alias("edge"))
+    asked = queries.select(key, in_slice()).distinct().join(edges, [key, "slice"], "full")
+    side = Window.partitionBy(key).orderBy(F.desc("slice") if forward else "slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = asked.select(F.col(key).alias("_key"), F.col("slice").alias("_slice"), F.last("edge", ignorenulls=True).over(side).alias("carried"))
+    met = found.join(carried, (F.col(key) == F.col("_key")) & (F.col("slice") == F.col("_slice")), "left")
+    e = F.coalesce("own", "carried")
+    return met.select("query_id", key, "at", e.event_id.alias("event_id"), e.at.alias("event_at"))
 
 
 def earliest_arrivals(events: DataFrame, footpaths: DataFrame, origins: DataFrame, boardings: int = 4, slack: int = 60) -> DataFrame:
     """(origin, stop, boardings, arr): the earliest arrival at each stop with each number of boardings, if it is earlier than with fewer.
 
     Rounds of joins: board the earliest trip of each route that leaves a stop late enough, ride to all later stops, walk on. Only
-    stops that a round has improved are boarded in the next. Each round is checkpointed.
+    stops that a round has improved are boarded in the next. The timetable is checkpointed once, each round too.
+
+    A departure is found by an equi-join: it is the one to board for arrivals after the departure before it, up to its own time, and stands in
+    each slice of SLICE seconds that this interval meets. So a stop's arrival meets the departures of one slice, not those of the day.
     """
     best = origins.select("origin", F.col("origin").alias("stop"), F.lit(0).alias("boardings"), F.col("at").alias("arr")).checkpoint()
     out, front = best, best
-    rides = events.select("route", "trip", "pos", "stop", "arr", "dep")
+    each = events.groupBy("stop", "route", "pos", "dep").agg(F.min("trip").alias("trip"))
+    covered = each.withColumn("before", F.coalesce(F.lag("dep").over(Window.partitionBy("stop", "route", "pos").orderBy("dep")), F.lit(-1)))
+    slices = F.sequence(F.floor((F.col("before") + 1) / SLICE), F.floor(F.col("dep") / SLICE))
+    boards = covered.where("dep >= 0").select("stop", "route", "pos", "dep", "trip", "before", F.explode(slices).alias("slice")).checkpoint()
+    rides = events.select("trip", F.col("pos").alias("to"), "stop", "arr").checkpoint()
     for n in range(1, boardings + 1):
-        wait = F.lit(0 if n == 1 else slack)
-        board = front.join(rides.select("route", "trip", "pos", "stop", "dep"), "stop").where(F.col("dep") >= F.col("arr") + wait)
-        board = board.groupBy("origin", "route", "pos").agg(F.min(F.struct("dep", "trip")).alias("b")).select("origin", F.col("b.trip").alias("trip"), "pos")
-        ride = board.join(rides.select("trip", F.col("pos").alias("to"), F.col("stop"), F.col("arr")), "trip").where("to > pos").select("origin", "stop", "arr")
+        ready = front.select("origin", "stop", (F.col("arr") + F.lit(0 if n == 1 else slack)).alias("ready"))
+        met = ready.withColumn("slice", F.floor(F.col("ready") / SLICE)).join(boards, ["stop", "slice"]).where("before < ready and ready <= dep")
+        board = met.groupBy("origin", "route", "pos").agg(F.min(F.struct("dep", "trip")).alias("b"))
+        board = board.groupBy("origin", F.col("b.trip").alias("trip")).agg(F.min("pos").alias("pos"))
+        ride = board.join(rides, "trip").where("to > pos").groupBy("origin", "stop").agg(F.min("arr").alias("arr"))
         walk = ride.join(footpaths, ride.stop == footpaths.src).select("origin", F.col("dst").alias("stop"), (F.col("arr") + F.col("seconds")).alias("arr"))
         new = ride.union(walk).groupBy("origin", "stop").agg(F.min("arr").alias("arr"))
         known = best.groupBy("origin", "stop").agg(F.min("arr").alias("old"))
@@ -69,6 +90,11 @@ def pareto_front(df: DataFrame, key: str, *costs: str) -> DataFrame:
     """The rows that no other row of their key dominates (at most as large everywhere and smaller somewhere). Rows are compared within a
     key only after equal ones are one, and only with those that lead in the first cost."""
     unique = df.select(key, *costs).distinct()
+    if len(costs) == 2:
+        # in order of both costs, a row is dominated if one before it isn't larger in the second
+        before = Window.partitionBy(key).orderBy(*costs).rowsBetween(Window.unboundedPreceding, -1)
+        least = unique.withColumn("_least", F.min(costs[1]).over(before))
+        return df.join(least.where(F.col("_least").isNull() | (F.col("_least") > F.col(costs[1]))).select(key, *costs), [key, *costs], "left_semi")
     other = unique.select(key, *(F.col(c).alias(f"_{c}") for c in costs))
     same, less = F.lit(True), F.lit(False)
     for c in costs:
@@ -121,5 +147,41 @@ def overlay(base: DataFrame, disabled: DataFrame, changed: DataFrame, added: Dat
     return base.join(gone, key, "left_anti").unionByName(now).unionByName(added)
 
 
-def route_search(routes: DataFrame, name: Column, tier: Column, limit: int) -> DataFrame:
-    return routes.withColumn("tier", tier).where("tier is not null").orderBy("tier", name).limit(limit)
+def _turned(events: DataFrame) -> DataFrame:
+    """The trips of each route (route, trip, turn, dep0), numbered from 0 by their first departure."""
+    first = events.groupBy("route", "trip").agg(F.min_by("dep", "pos").alias("dep0"))
+    return first.withColumn("turn", (F.row_number().over(Window.partitionBy("route").orderBy("dep0", "trip")) - 1).cast("int"))
+
+
+def thinned_trips(events: DataFrame, factor: float) -> DataFrame:
+    """The stop events (route, trip, pos, stop, arr, dep) of the trips that `thinned` keeps, whole and as they are."""
+    return events.join(thinned(_turned(events), factor).select("route", "trip"), ["route", "trip"], "left_semi")
+
+
+def interpolated_trips(events: DataFrame, factor: float) -> DataFrame:
+    """Stop events (route, turn, pos, stop, arr, dep) of new trips at the departures that `interpolated` gives.
+
+    They ride and dwell like the first trip of their route, starting without a dwell and ending with none; a route of one trip keeps it.
+    """
+    trips = _turned(events)
+    starts = interpolated(trips.select("route", F.col("dep0").alias("dep")), factor)
+    single = trips.groupBy("route").agg(F.count("*").alias("n")).where("n = 1").select("route", F.lit(True).alias("single"))
+    model = events.join(trips.where("turn = 0").select("route", "trip", "dep0"), ["route", "trip"])
+    last = F.max("pos").over(Window.partitionBy("route"))
+    model = model.join(single, "route", "left").withColumn("one", F.coalesce("single", F.lit(False)))
+    own = lambda c: F.col(c) - F.col("dep0")
+    at_start, at_end = F.col("pos") == F.min("pos").over(Window.partitionBy("route")), F.col("pos") == last
+    model = model.select("route", "pos", "stop", F.when(at_start & ~F.col("one"), 0).otherwise(own("arr")).alias("a"), F.when(at_end & ~F.col("one"), F.when(at_start, 0).otherwise(own("arr"))).otherwise(own("dep")).alias("d"))
+    return starts.join(model, "route").select("route", "turn", "pos", "stop", (F.col("dep") + F.col("a")).alias("arr"), (F.col("dep") + F.col("d")).alias("dep"))
+
+
+def edited(base: DataFrame, edits: DataFrame, key: str = "route") -> DataFrame:
+    """base (routes with a value) after an ordered list of edits (position, route, action, value): for each route the last one counts.
+
+    Actions: disable drops the route, change sets its value if it exists, add sets it whether or not it does.
+    """
+    last = edits.groupBy(key).agg(F.max_by(F.struct("action", "value"), "position").alias("e"))
+    met = base.select(key, F.col("value").alias("_old"), F.lit(True).alias("_is")).join(last, key, "full")
+    value = F.when(F.col("e").isNull(), F.col("_old")).otherwise(F.col("e.value"))
+    kept = F.when(F.col("e").isNull(), True).when(F.col("e.action") == "disable", False).when(F.col("e.action") == "change", F.coalesce("_is", F.lit(False))).otherwise(True)
+    return met.where(kept).select(key, value.alias("value"))

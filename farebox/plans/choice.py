@@ -168,7 +168,7 @@ def mnl_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def mnl_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = ch.fit_logit(d.alternatives(spark, sf_dir), _NAMES)
-    return spark.createDataFrame([(n, v["beta"], v["se"], v["t"]) for n, v in fit.items()], "name string, beta double, se double, t double")
+    return spark.createDataFrame([(n, v["beta"], v["se"], v["t"], v["p"]) for n, v in fit.items()], "name string, beta double, se double, t double, p double")
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS size, count(*) OVER () AS total FROM orders),

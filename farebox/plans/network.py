@@ -196,11 +196,14 @@ def shortest_path_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkpointed(spark: SparkSession) -> None:
-    """Sessions without a checkpoint folder (on one machine) get one."""
+    """The checkpoint folder of the session; one on this machine only where the session runs on this machine alone and names none."""
     import tempfile
 
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="farebox-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a shared folder")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="farebox-"))
 
 
 # Timetables: an order is a trip, its lines are stops; a supplier's remainder is the stop.
