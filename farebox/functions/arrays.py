@@ -6,8 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The longest second sequence whose positions are bits of one number.
+BITS = 61
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence. The fold over a keeps one row of the table, as long as b."""
+    """Length of the longest common subsequence.
+
+    Up to BITS elements of b are the bits of a number: each element of a has a mask of its places in b, and a sum carries the row of the
+    table on, so a pair of sequences costs as many steps as it has cells. Longer ones fold over a with the row as an array.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    shifted = lambda n: F.call_function("shiftleft", one, n)
+    full = shifted(F.least(F.size(b), F.lit(BITS))) - 1
+    places = lambda x: F.aggregate(F.transform(b, lambda y, i: F.when(y == x, shifted(i)).otherwise(none)), none, lambda s, v: s.bitwiseOR(v))
+    row = F.aggregate(F.transform(a, places), full, lambda v, m: (v + v.bitwiseAND(m)).bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(full))
+    short = F.size(b) - F.bit_count(row)
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(F.size(b) <= BITS, short).otherwise(_folded_lcs(a, b)).cast("int")
+
+
+def _folded_lcs(a: Column, b: Column) -> Column:
     zeros = F.transform(b, lambda _: F.lit(0))
 
     def row(above: Column, x: Column) -> Column:
@@ -20,8 +38,7 @@ def lcs_length(a: Column, b: Column) -> Column:
         pairs = F.zip_with(b, above, lambda y, up: F.struct(y.alias("y"), up.alias("up")))
         return F.aggregate(pairs, start, step, lambda s: s.row)
 
-    table = F.aggregate(a, zeros, row)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.try_element_at(table, F.lit(-1)))
+    return F.try_element_at(F.aggregate(a, zeros, row), F.lit(-1))
 
 
 def _edge(a: Column, b: Column, otherwise: Column) -> Column:

@@ -172,3 +172,19 @@ def test_samples_have_their_size(spark):
 def test_empty_tables(spark):
     assert cleaning.unfinished(spark.createDataFrame([], "id long, chunk long"), spark.createDataFrame([(1,)], "chunk long")).count() == 0
     assert calibration.spearman(spark.createDataFrame([], "a double, b double"), "a", "b").first().n == 0
+
+
+def test_common_subsequences_of_any_length(spark):
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(6)
+    rows = [([int(x) for x in rng.integers(0, 6, n)], [int(x) for x in rng.integers(0, 6, m)]) for n, m in [(0, 0), (0, 4), (5, 0), (1, 1), (20, 61), (61, 20), (70, 62), (30, 90), *(map(int, x) for x in rng.integers(0, 75, (60, 2)))]]
+    got = spark.createDataFrame(rows, "a array<int>, b array<int>").select("a", "b", arrays.lcs_length(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(r.n == lcs(r.a, r.b) for r in got) and len(got) == len(rows)
