@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only a session that names none (a test on one machine) gets a temporary one.
+    Only a session on one machine that names none (a test) gets a temporary one; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a shared folder")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="farebox-"))
         found = spark.sparkContext.getCheckpointDir()
     return found

@@ -100,3 +100,32 @@ def test_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), name.replace(" ", "_"))
     assert docs.count() == 0
+
+
+def test_odd_rows_through_all_stages(spark):
+    """Nulls in any column, empty and very long texts, repeated rows and ties, and extra columns with names that the operators use."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = ["count", "low", "more", "_k", "_n", "_c", "fp", "row", "toxicity", "_toxicity", "score", "leaf", "ids", "key"]
+    plain = [(i, f"plain text number {i} about this and that, as it is {i * 7}", "en", "ab"[i % 2], 40) for i in range(60)]
+    odd = [(None, "a text without a number", "en", "a", 1), (100, None, None, None, None), (101, "", "en", "a", 0), (102, "word and word again " * 12_000, "en", "b", 9), (103, "same words in the same row", "en", "a", 5), (103, "same words in the same row", "en", "a", 5), (104, "write to me@example.org or +1 (826) 555-4081", None, "c", 3)]
+    rows = [(*r, *([1] * len(extra))) for r in plain + odd]
+    found = spark.createDataFrame(rows, ", ".join([*(f"{c} {k}" for c, k in docs.dtypes), *(f"{c} int" for c in extra)]))
+    stages = [found]
+    for name, stage in corpus_pipeline.STAGES:
+        stages.append(written(stage(spark, stages[-1], SF), name.replace(" ", "_")))
+    for df in stages[1:-1]:
+        assert df.dtypes == found.dtypes
+    kept = [r.doc_id for r in stages[2].collect()]
+    assert kept.count(103) == 1 and {None, 100, 102} <= set(kept)
+    assert not any("example.org" in (r.text or "") for r in stages[3].collect())
+    pieces = stages[5].collect()
+    assert sum(p.length for p in pieces if p.start == 0) > 0 and {p.doc_id for p in pieces} == {r.doc_id for r in stages[4].collect()}
+
+
+def test_windows_hold_a_document_once(stages):
+    """A copy of a document goes to another window, unless a shard has nothing else."""
+    windows = defaultdict(list)
+    for p in stages[5].collect():
+        windows[p.sequence_id].append(p)
+    twice = sum(len({(p.doc_id, p.start) for p in w}) < len(w) for w in windows.values())
+    assert twice <= 0.02 * len(windows)
