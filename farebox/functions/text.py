@@ -55,3 +55,21 @@ def search_tier(name: Column, keyword: str) -> Column:
     """1 for an exact match, 2 for a beginning, 3 for any other occurrence, else null; case doesn't count."""
     low, key = F.lower(name), keyword.lower()
     return F.when(low == key, 1).when(low.startswith(key), 2).when(low.contains(key), 3)
+
+
+#: Prefixes of a search for routes and the kind that each asks for.
+SEARCH_EXACT, SEARCH_KINDS = "ROUTE:", {"버스_": "bus", "지하철_": "subway"}
+
+
+def search_hit(route_id: Column, name: Column, route_type: Column, pattern: str) -> Column:
+    """Whether a route is meant: by its exact identifier, by its kind and a part of its name, or by a part of its name; an empty pattern means none."""
+    pattern = pattern.strip()
+    if not pattern:
+        return F.lit(False)
+    if pattern.startswith(SEARCH_EXACT):
+        return F.coalesce(route_id == pattern.removeprefix(SEARCH_EXACT), F.lit(False))
+    for prefix, kind in SEARCH_KINDS.items():
+        if pattern.startswith(prefix):
+            part = pattern.removeprefix(prefix).lower()
+            return F.coalesce(is_kind(route_type, kind) & F.lower(name).contains(part), F.lit(False))
+    return F.coalesce(F.lower(name).contains(pattern.lower()), F.lit(False))

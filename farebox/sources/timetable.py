@@ -18,6 +18,15 @@ FILES = {
 KEYS = {"stops": "stop_id", "routes": "route_id", "trips": "trip_id"}
 
 
+def check_columns(spark: SparkSession, path: str, name: str) -> None:
+    """Raises unless the first line of a file names all the columns that are read from it."""
+    first = spark.read.text(path).select(F.regexp_replace("value", "^\\uFEFF", "").alias("value")).first()
+    named = {c.strip().strip('"') for c in first[0].split(",")} if first else set()
+    missing = [c.rsplit(" ", 1)[0] for c in FILES[name][0].split(", ") if c.rsplit(" ", 1)[0] not in named]
+    if missing:
+        raise ValueError(f"{name} lacks the columns {', '.join(missing)}")
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A file of a timetable: fields are split at commas (quotes mean nothing), trimmed and cast; of rows with one key the last counts."""
     ddl, least = FILES[name]
@@ -68,3 +77,57 @@ def write_requests(df: DataFrame, path: str) -> None:
     from farebox.functions.times import hhmm
 
     df.select("from_lat", "from_lon", "to_lat", "to_lon", hhmm(F.col("at")).alias("departure_time")).write.option("header", True).csv(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(config, result) of lines ``config,result``: split at the first comma; blank lines, comments (#) and lines without a comma go."""
+    lines = spark.read.text(path).select(F.trim("value").alias("v")).where("v <> '' and not startswith(v, '#') and contains(v, ',')")
+    parts = F.split("v", ",", 2)
+    return lines.select(F.trim(parts[0]).alias("config"), F.trim(parts[1]).alias("result"))
+
+
+def read_line_mapping(spark: SparkSession, path: str, routes: DataFrame) -> DataFrame:
+    """(line, route) of a JSON dictionary of lines with the name each has in a timetable, and the first subway or rail route of that name."""
+    text = spark.read.text(path, wholetext=True)
+    named = text.select(F.explode(F.from_json("value", "map<string,struct<gtfs_name:string>>")).alias("line", "x")).select("line", F.col("x.gtfs_name").alias("route_short_name"))
+    first = routes.where(F.col("route_type").isin(1, 2)).groupBy("route_short_name").agg(F.min("route_id").alias("route"))
+    return named.join(first, "route_short_name").select("line", "route")
+
+
+def trips_with_routes(stop_times: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
+    """Stop events with the route of their trip; events of unknown trips or routes go."""
+    return stop_times.join(trips.select("trip_id", "route_id"), "trip_id").join(routes.select("route_id", "route_short_name", "route_type"), "route_id")
+
+
+def closed_strings(line):
+    """A line in which a backslash stands before the quote that ends a string (before }, ] or a comma), with the backslash escaped."""
+    return F.regexp_replace(line, '\\\\("[}\\],])', '\\\\\\\\$1')
+
+
+def write_results(results: DataFrame, path: str, chunk: str = "chunk") -> None:
+    """One JSON text a line, in a folder for each chunk; a run that goes on replaces only the chunks that it has."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(chunk).json(path)
+
+
+def finished_chunks(spark: SparkSession, path: str, chunk: str = "chunk") -> DataFrame:
+    """The chunks that are there; empty where nothing has been written."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.json(path).select(F.col(chunk).cast("long").alias(chunk)).distinct()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return spark.createDataFrame([], f"{chunk} long")
+        raise
+
+
+def resolved(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """df with columns under the names that are expected: each the first of its aliases that df has; raises where it has none."""
+    out = df
+    for name, options in aliases.items():
+        have = next((c for c in [name, *options] if c in df.columns), None)
+        if have is None:
+            raise ValueError(f"no column for {name} among {', '.join(options)}")
+        if have != name:
+            out = out.withColumnRenamed(have, name)
+    return out
