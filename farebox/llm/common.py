@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,33 @@ def work_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Lists that take note of the tables written meanwhile.
+_noted: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for paths in _noted:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def noted(paths: list[str]):
+    """Adds the paths of what is written in this block to a list, so that it can be deleted once nothing reads it."""
+    _noted.append(paths)
+    try:
+        yield
+    finally:
+        _noted.pop()
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables and empties the list."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    paths.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

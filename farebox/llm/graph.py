@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farebox.llm.common import written
+from farebox.llm.common import delete, noted, written
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -31,10 +31,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round is written to the shared folder. It ends when no root is itself below another node, after a number of
     rounds that grows with the logarithm of the longest path.
     """
-    stars = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark, old, new = edges.sparkSession, [], []
+    with noted(new):
+        stars = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
         parents = stars.select(F.col("v").alias("u")).distinct()
         many = stars.groupBy("u").agg(F.count("*").alias("n"))
         if many.join(parents, "u", "left").where("n > 1").union(many.join(parents, "u", "left_semi")).isEmpty():
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        stars = written(_small_star(_large_star(stars)), "stars")
+        old, new = new, []
+        with noted(new):
+            stars = written(_small_star(_large_star(stars)), "stars")
+        delete(spark, old)  # the round before; what is left is read until the caller has its result

@@ -20,7 +20,9 @@ exact Jaccard similarity of at least that. Fingerprints don't take part: texts a
 many errors have no codeword in common but by keys so short that all texts meet. Candidates share one of BANDS keys of ROWS minimal
 hashes each (a pair at 0.8 shares none with a probability of 7 in 100,000, at 0.9 below one in 10 ** 9), and every candidate is
 verified on the whole sets. Keys of up to PAIRED sets pair all of theirs. In a larger one, such as of a text with thousands of near copies,
-each set is compared with the least one, and what that doesn't connect is compared across the components that meet in the key.
+each set is compared with one centre, the set that meets most others. Between the components that this leaves, candidates are those members of
+large keys that share one of their rarest shingles (a prefix of |x| - ceil(similarity |x|) + 1 in one order of all, from the rarest on), which
+similar sets always do; so work grows with the members and not with their pairs, and nothing is lost.
 
 Edge cases: repeated rows and equal texts have one fingerprint and one component; a null doc_id takes part, and is
 never the smallest one unless all of a component are null; very long texts are hashed whole; texts without words have one set; other
@@ -33,10 +35,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farebox.llm.common import table, written
+from farebox.llm.common import delete, noted, table, written
 from farebox.llm.graph import connected_components
 
 #: Keys with more fingerprints than this take the linear way.
@@ -204,13 +206,12 @@ def with_bands(df: DataFrame, width: int, text: str = "text", out: str = "set")
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Those of the pairs (u, v) that are similar enough; texts: fp and text. A text that many pairs meet goes out in several copies."""
-    pairs = written(pairs.where("u <> v").distinct(), "candidates")
     asked = pairs.select(F.col("u").alias("fp")).union(pairs.select("v")).groupBy("fp").agg(F.count("*").alias("n"))
-    own = written(texts.join(asked, "fp").groupBy("fp").agg(F.any_value("text").alias("text"), F.any_value("n").alias("n")), "texts")
+    own = texts.join(asked, "fp")
     copies = own.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / MET))))
 
     def side(found: DataFrame, x: str) -> DataFrame:
-        dealt = found.join(own.select(F.col("fp").alias(x), F.floor(F.col("n") / MET).alias("more")), x)
+        dealt = found.join(asked.select(F.col("fp").alias(x), F.floor(F.col("n") / MET).alias("more")), x)
         dealt = dealt.withColumn("copy", F.pmod(F.xxhash64("u", "v"), F.col("more") + 1)).drop("more")
         return dealt.join(copies.select(F.col("fp").alias(x), "copy", F.col("text").alias(f"text_{x}")), [x, "copy"]).drop("copy")
 
@@ -225,28 +226,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return side(side(pairs, "u"), "v").where(F.arrow_udf(run, "boolean")("text_u", "text_v")).select("u", "v")
 
 
+def _near(similarity: float) -> Column:
+    return (F.col("n_u") >= F.col("n_v") * similarity - 1e-9) & (F.col("n_v") >= F.col("n_u") * similarity - 1e-9)
+
+
+def _across(members: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Candidates (u, v) between different components: members (fp, n, root) that share a shingle of their prefixes."""
+
+    def run(found: pa.Array) -> pa.Array:
+        sets = [shingles(t.as_py(), width) for t in found]
+        offsets = np.concatenate([[0], np.cumsum([x.size for x in sets])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
+    hashed = texts.join(members, "fp").select("fp", "n", "root", F.explode(F.arrow_udf(run, "array<bigint>")("text")).alias("h"))
+    each = written(hashed, "members")
+    sizes = each.groupBy("h").agg(F.count("*").alias("df"))
+    turn = F.row_number().over(Window.partitionBy("fp").orderBy("df", "h"))
+    kept = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    prefix = written(each.join(sizes, "h").withColumn("turn", turn).where(F.col("turn") <= kept).where("df > 1").select("fp", "n", "root", "h"), "prefixes")
+    # a shingle's most frequent component only meets the others, not itself
+    shared = prefix.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", "c").alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    u = prefix.join(shared, "h").where("root <> top").select("h", F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"))
+    v = prefix.select("h", F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
+    met = u.join(v, "h").where(_near(similarity) & (F.col("root_u") != F.col("root_v")))
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (u, v) that connect just the sets which links connect. docs: fp, n, keys and text."""
+    """Edges (u, v) that connect just the sets which links connect, written. docs: fp, n, keys and text."""
+    scratch: list[str] = []
+    with noted(scratch):
+        found = _similar(docs, width, similarity)
+    edges = written(found, "links")
+    delete(docs.sparkSession, scratch)
+    return edges
+
+
+def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     sets = docs.groupBy("fp").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     keyed = written(sets.select("fp", "n", F.explode("keys").alias("key")), "keys")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("met"), F.min("fp").alias("least")).where("met > 1")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     met = written(keyed.join(sizes, "key"), "met")
-    near = (F.col("n_u") >= F.col("n_v") * similarity - 1e-9) & (F.col("n_v") >= F.col("n_u") * similarity - 1e-9)
-
-    def paired(rows: DataFrame, *more: str) -> DataFrame:
-        u, v = (rows.select("key", F.col("fp").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *more))) for x in "uv")
-        return u.join(v, "key").where(near)
-
-    small = paired(met.where(F.col("met") <= PAIRED)).where("u < v").select("u", "v")
-    large = met.where(F.col("met") > PAIRED)
-    texts = docs.select("fp", "text")
-    edges = written(_verified(small.union(large.select(F.col("fp").alias("u"), F.col("least").alias("v"))), texts, width, similarity), "similar")
-    if large.isEmpty():
+    small, large = met.where(F.col("met") <= PAIRED), met.where(F.col("met") > PAIRED)
+    u, v = (small.select("key", F.col("fp").alias(x), F.col("n").alias(f"n_{x}")) for x in "uv")
+    pairs = u.join(v, "key").where(_near(similarity) & (F.col("u") < F.col("v"))).select("u", "v")
+    members = written(large.groupBy("fp").agg(F.any_value("n").alias("n"), F.sum("met").alias("meets")), "large")
+    placed = large.select("key", "fp").join(members, "fp")
+    centres = placed.groupBy("key").agg(F.max_by("fp", F.struct("meets", "fp")).alias("v"))
+    stars = placed.join(centres, "key").where("fp <> v").select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v"))
+    candidates = written(pairs.union(stars).distinct(), "candidates")
+    wanted = candidates.select(F.col("u").alias("fp")).union(candidates.select("v")).union(members.select("fp")).distinct()
+    texts = written(docs.select("fp", "text").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text")), "texts")
+    edges = written(_verified(candidates, texts, width, similarity), "similar")
+    if members.isEmpty():
         return edges
     roots = connected_components(edges)
-    placed = written(large.join(roots, large.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root")), "placed")
-    several = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    across = paired(placed.join(several, "key"), "root").where("root_u < root_v").select("u", "v")
+    rooted = members.join(roots, members.fp == roots.node, "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    across = written(_across(rooted, texts, width, similarity), "across")
     return edges.union(_verified(across, texts, width, similarity))
 
 
@@ -262,6 +298,7 @@ def _components(docs: DataFrame, edges: DataFrame) -> DataFrame:
 def _linked(df: DataFrame, doc_id: str, text: str, width: int, similarity: float | None) -> tuple[DataFrame, DataFrame]:
     """The rows of df (row, a number; all, their columns; doc_id; fp), written, and the edges between fps."""
     rows = df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("all"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    in_all = F.col("all")[text].alias("text")  # written once
     if similarity is None:
         if width != 3:
             raise ValueError("fingerprints are of three-word shingles; another width needs a similarity")
@@ -269,9 +306,9 @@ def _linked(df: DataFrame, doc_id: str, text: str, width: int, similarity: float
         return rows, links(rows.select("fp").distinct())
     if not 0 < similarity <= 1 or width < 1:
         raise ValueError("similarity is over 0 and at most 1, width at least 1")
-    found = with_bands(rows, width).select("all", "doc_id", "text", "set.*").withColumn("row", F.monotonically_increasing_id())
+    found = with_bands(rows, width).select("all", "doc_id", "set.*").withColumn("row", F.monotonically_increasing_id())
     rows = written(found, "shingles")
-    return rows, similar(rows, width, similarity)
+    return rows, similar(rows.select("fp", "n", "keys", in_all), width, similarity)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
