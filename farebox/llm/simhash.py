@@ -243,12 +243,15 @@ def _across(members: DataFrame, texts: DataFrame, width: int, similarity: float)
     sizes = each.groupBy("h").agg(F.count("*").alias("df"))
     turn = F.row_number().over(Window.partitionBy("fp").orderBy("df", "h"))
     kept = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    prefix = written(each.join(sizes, "h").withColumn("turn", turn).where(F.col("turn") <= kept).where("df > 1").select("fp", "n", "root", "h"), "prefixes")
+    prefix = written(each.join(sizes, "h").withColumn("turn", turn).where(F.col("turn") <= kept).where("df > 1").select("fp", "n", "root", "h", "turn"), "prefixes")
     # a shingle's most frequent component only meets the others, not itself
     shared = prefix.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", "c").alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    u = prefix.join(shared, "h").where("root <> top").select("h", F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"))
-    v = prefix.select("h", F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
-    met = u.join(v, "h").where(_near(similarity) & (F.col("root_u") != F.col("root_v")))
+    u = prefix.join(shared, "h").where("root <> top").select("h", F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"), F.col("turn").alias("turn_u"))
+    v = prefix.select("h", F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"), F.col("turn").alias("turn_v"))
+    # what follows the first shingle that two sets share has to hold the rest of what they need in common
+    most = 1 + F.least(F.col("n_u") - F.col("turn_u"), F.col("n_v") - F.col("turn_v"))
+    enough = most >= (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-9
+    met = u.join(v, "h").where(_near(similarity) & enough & (F.col("root_u") != F.col("root_v")))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
