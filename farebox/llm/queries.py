@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from farebox.llm.bitpack import op5_bit_packing
+from farebox.llm.boundaries import op12_forced_boundaries
 from farebox.llm.gif import op8_gif
 from farebox.llm.mixing import op6_pivotal_mixing
 from farebox.llm.neighbours import op10_pruned_graph
 from farebox.llm.packing import op9_lexical_packing
 from farebox.llm.pii import op4_anchor_pii
+from farebox.llm.resampling import op13_crc_resampling
 from farebox.llm.simhash import op3_golay_simhash
 from farebox.llm.toolcalls import ORACLE as CALLS_SQL
 from farebox.llm.toolcalls import op1_tool_call_linking
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_gif": op8_gif,
     "op9_lexical_packing": op9_lexical_packing,
     "op10_pruned_graph": op10_pruned_graph,
+    "op12_forced_boundaries": op12_forced_boundaries,
+    "op13_crc_resampling": op13_crc_resampling,
 }
 ORACLES: dict[str, str] = {
     "op1_tool_call_linking": CALLS_SQL,
