@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from farebox.llm.bitpack import op5_bit_packing
 from farebox.llm.boundaries import op12_forced_boundaries
+from farebox.llm.collocations import ORACLE as COLLOCATIONS_SQL
+from farebox.llm.collocations import op11_collocations
 from farebox.llm.gif import op8_gif
 from farebox.llm.mixing import op6_pivotal_mixing
 from farebox.llm.neighbours import op10_pruned_graph
@@ -28,10 +30,12 @@ QUERIES = {
     "op8_gif": op8_gif,
     "op9_lexical_packing": op9_lexical_packing,
     "op10_pruned_graph": op10_pruned_graph,
+    "op11_collocations": op11_collocations,
     "op12_forced_boundaries": op12_forced_boundaries,
     "op13_crc_resampling": op13_crc_resampling,
 }
 ORACLES: dict[str, str] = {
     "op1_tool_call_linking": CALLS_SQL,
     "op2_content_addressed_warc": WARC_SQL,
+    "op11_collocations": COLLOCATIONS_SQL,
 }
