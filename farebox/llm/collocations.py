@@ -392,18 +392,21 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CUT = "[.,;:!?\\x0A-\\x0D]"
+_PHRASES = " UNION ALL ".join(f"SELECT lang, {m} AS m, list_slice(ws, i, i + {m - 1}) AS p FROM spots WHERE i + {m - 1} <= len(ws)" for m in range(1, LONGEST + 1))
+_CUTS = " UNION ALL ".join(f"SELECT lang, m, p, f, {k} AS k, p[1:{k}] AS first, p[{k + 1}:m] AS rest FROM c WHERE m > {k}" for k in range(1, LONGEST))
+_INNER = " UNION ALL ".join(f"SELECT lang, p[{i}:{i + m - 1}] AS p, f FROM c WHERE m > {m} AND m >= {i + m - 1}" for m in range(2, LONGEST) for i in range(1, LONGEST - m + 2))
 ORACLE = f"""WITH pieces AS (
   SELECT lang, unnest(string_split_regex(text, '{_CUT}')) AS piece
   FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
-w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY 1),
 spots AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-g AS (SELECT lang, m, ws[i:i + m - 1] AS p, count(*) AS f FROM spots, range(1, 5) AS t(m) WHERE i + m - 1 <= len(ws) GROUP BY 1, 2, 3),
-total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE m = 1 GROUP BY 1),
-c AS (SELECT * FROM g WHERE m > 1 AND f >= 30),
+g AS MATERIALIZED (SELECT lang, m, p, count(*) AS f FROM ({_PHRASES}) GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT * FROM g WHERE m > 1),
 cut AS (SELECT c.lang, c.m, c.p, c.f, k, a.f AS l, b.f AS r, CAST(2000000::HUGEINT * c.f // (a.f + b.f) AS BIGINT) AS score
-  FROM c, range(1, 4) AS t(k), g a, g b WHERE k < c.m AND a.lang = c.lang AND a.p = c.p[1:k] AND b.lang = c.lang AND b.p = c.p[k + 1:c.m]),
+  FROM ({_CUTS}) c JOIN g a ON a.lang = c.lang AND a.p = c.first JOIN g b ON b.lang = c.lang AND b.p = c.rest),
 scored AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
-inner_ AS (SELECT lang, p[j:j + s - 1] AS p, max(f) AS longer FROM c, range(1, 4) AS t(j), range(2, 4) AS u(s) WHERE s < m AND j + s - 1 <= m GROUP BY 1, 2),
-kept AS (SELECT s.* FROM scored s LEFT JOIN inner_ i ON i.lang = s.lang AND i.p = s.p WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * s.f),
+held AS (SELECT lang, p, max(f) AS longer FROM ({_INNER}) GROUP BY 1, 2),
+kept AS (SELECT s.* FROM scored s LEFT JOIN held i ON i.lang = s.lang AND i.p = s.p WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * s.f),
 ranked AS (SELECT *, array_to_string(p, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, array_to_string(p, ' ')) AS rank FROM kept)
 SELECT lang, rank, phrase, f AS a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
