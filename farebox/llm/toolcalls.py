@@ -20,10 +20,11 @@ answer, a minimum that combines before the shuffle, so no join makes more than a
 
 Edge cases: a null call_id never links: such calls are unanswered and such results orphans; dependencies on identifiers that no call has
 are ignored; several different calls of one identifier all get its answer and are told apart by n_ids; null arguments are
-an error; a null content is an answer with null content; an empty table gives an empty result; other columns aren't read. Arguments of
-over 16 MiB, or nested over 1,000 deep, don't fit Spark's variant type: nothing of them is lost, they stay the text that they are, but the former
-are "too large to validate" and the latter "no JSON object". Numbers keep their notation as far as decimals do (1e2 and 100 are different
-texts); arguments with a number of over 38 digits stay as they are written.
+an error; a null content is an answer with null content; an empty table gives an empty result; other columns aren't read. Arguments
+that Spark's variant type can't take stay the text that they are, so nothing of them is lost: a string of over 20,000,000 characters, 128 MiB in
+all, nesting over 1,000 deep, a number of over 1,000 digits, a key of over 50,000 characters or a key twice. They can't be validated, and count as "no JSON
+object"; texts of over 20,000,000 characters that can't be read as "too large or no JSON object". Numbers keep their notation as far as
+decimals do (1e2 and 100 are different texts); arguments with a number of over 38 digits (digits within strings don't matter) stay as they are written.
 """
 
 from __future__ import annotations
@@ -38,9 +39,9 @@ SCHEMAS = {
     "assistant.configure": {"text": ("string", True), "turn": ("integer", True)},
     "assistant.reply": {"text": ("string", True), "turn": ("integer", True)},
 }
-#: Fixed values of the variant type: the digits of its decimals, and the bytes that one holds.
+#: Fixed values of the variant type: the digits of its decimals, and the characters of its longest string.
 DIGITS = 38
-LARGEST = 16 << 20
+LARGEST = 20_000_000
 #: The beginnings of the type names that a variant has for each type of JSON schema.
 TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 
@@ -50,8 +51,9 @@ def canonical(text: Column) -> Column:
 
     A text with a number that a decimal of DIGITS digits can't hold stays as it is, so that no digit is lost.
     """
-    made = F.to_json(F.try_parse_json(text))
-    return F.when(made.isNotNull() & F.rlike(text, F.lit(rf"[0-9.]{{{DIGITS + 1},}}")), text).otherwise(made)
+    made, many = F.to_json(F.try_parse_json(text)), F.lit(rf"[0-9.]{{{DIGITS + 1},}}")
+    outside = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), '"[^"]*"', '""')  # without strings, in valid JSON
+    return F.when(made.isNotNull() & F.rlike(text, many) & F.rlike(outside, many), text).otherwise(made)
 
 
 def errors_of(name: Column, arguments: Column, schemas: dict[str, dict[str, tuple[str, bool]]]) -> Column:
@@ -72,7 +74,7 @@ def errors_of(name: Column, arguments: Column, schemas: dict[str, dict[str, tupl
         each.append(F.transform(F.coalesce(unknown, none), lambda k: F.concat(F.lit("unknown "), k)))
         found = F.when(name == tool, F.concat(*each)).otherwise(found)
     is_object = F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
-    unread = F.when(parsed.isNull() & (F.octet_length(arguments) >= LARGEST), F.array(F.lit("arguments are too large to validate")))
+    unread = F.when(parsed.isNull() & (F.length(arguments) > LARGEST), F.array(F.lit("arguments are too large or no JSON object")))
     return F.when(F.coalesce(is_object, F.lit(False)), found).otherwise(F.coalesce(unread, F.array(F.lit("arguments are no JSON object"))))
 
 

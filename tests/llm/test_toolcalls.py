@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from farebox.llm import toolcalls as tc
 
@@ -85,8 +86,20 @@ def test_query_against_sql(spark):
 
 def test_large_and_long_arguments(spark):
     digits = '{"a":' + "7" * 42 + "}"
-    large = '{"text":"' + "x" * (17 << 20) + '","turn":1}'
-    calls = spark.createDataFrame([("a", "assistant.reply", digits, []), ("b", "assistant.reply", large, [])], "call_id string, name string, arguments string, after array<string>")
+    text = lambda n: '{"turn":1, "text":"' + "x" * n + '"}'
+    rows = [("a", digits), ("b", text(20_000_000)), ("c", text(20_000_001)), ("d", "x" * 20_000_001), ("e", "[" * 1001 + "]" * 1001), ("f", "[" * 1000 + "]" * 1000)]
+    calls = spark.createDataFrame([(i, "assistant.reply", x, []) for i, x in rows], "call_id string, name string, arguments string, after array<string>")
     got = {r.call_id: r for r in tc.link(calls, spark.createDataFrame([], "call_id string, content string")).collect()}
-    assert json.loads(got["a"].json)["arguments"] == {"a": int("7" * 42)}
-    assert got["b"].errors == ["arguments are too large to validate"] and json.loads(got["b"].json)["arguments"] == large
+    told = {i: json.loads(got[i].json)["arguments"] for i in "abcdf"}
+    assert told["a"] == {"a": int("7" * 42)}
+    assert got["b"].errors == [] and told["b"] == {"text": "x" * 20_000_000, "turn": 1}
+    assert all(got[i].errors == ["arguments are too large or no JSON object"] and told[i] == dict(rows)[i] for i in "cd")
+    assert got["e"].errors == got["f"].errors == ["arguments are no JSON object"] and isinstance(told["f"], list)
+
+
+def test_digits_within_strings_dont_matter(spark):
+    texts = ['{"b": 1, "a": "%s"}' % ("." * 40), '{ "a":"%s", "b":1}' % ("." * 40), '{"b": "\\\\", "a": "\\"%s"}' % ("1" * 50), '{"b": %s, "a": "x"}' % ("1" * 39)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in frame.orderBy("i").select(tc.canonical(F.col("t"))).collect()]
+    assert got[0] == got[1] == '{"a":"%s","b":1}' % ("." * 40)
+    assert got[2] == '{"a":"\\"%s","b":"\\\\"}' % ("1" * 50) and got[3] == texts[3]
