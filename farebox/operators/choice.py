@@ -79,14 +79,12 @@ def gradient(df: DataFrame, betas: dict[str, float]) -> DataFrame:
     return rows.agg(*outs)
 
 
-def fit_logit(df: DataFrame, names: list[str], rounds: int = 100, tolerance: float = 1e-8) -> dict[str, dict[str, float]]:
-    """Newton's method for a multinomial logit; each round is one distributed aggregation, the driver solves a system of len(names) unknowns.
+def fitted(df: DataFrame, names: list[str], rounds: int = 100, tolerance: float = 1e-8) -> dict:
+    """Newton's method for a multinomial logit: beta, covariance and log likelihood (ll) at the largest likelihood.
 
-    Gives for each name its coefficient, standard error, t and two-sided p value. Only the columns needed are kept for the rounds, in
+    Each round is one distributed aggregation, the driver solves a system of len(names) unknowns. Only the columns needed are kept for the rounds, in
     memory or on disk of the executors; steps are halved while the likelihood falls. Raises if it hasn't converged after `rounds`.
     """
-    import math
-
     import numpy as np
     from pyspark import StorageLevel
 
@@ -114,9 +112,19 @@ def fit_logit(df: DataFrame, names: list[str], rounds: int = 100, tolerance: flo
             raise RuntimeError(f"no convergence after {rounds} rounds; the largest step was {np.abs(step).max():g}")
     finally:
         rows.unpersist()
-    errors = np.sqrt(np.maximum(np.diag(np.linalg.pinv(-h)), 0))
-    t = [float(b / s) if s else float("nan") for b, s in zip(beta, errors, strict=True)]
-    return {n: {"beta": float(b), "se": float(s), "t": x, "p": math.erfc(abs(x) / math.sqrt(2))} for n, b, s, x in zip(names, beta, errors, t, strict=True)}
+    return {"beta": beta, "covariance": np.linalg.pinv(-h), "ll": float(ll)}
+
+
+def fit_logit(df: DataFrame, names: list[str], rounds: int = 100, tolerance: float = 1e-8) -> dict[str, dict[str, float]]:
+    """For each name its coefficient in the logit of the largest likelihood, with standard error, t and two-sided p value."""
+    import math
+
+    import numpy as np
+
+    found = fitted(df, names, rounds, tolerance)
+    errors = np.sqrt(np.maximum(np.diag(found["covariance"]), 0))
+    t = [float(b / s) if s else float("nan") for b, s in zip(found["beta"], errors, strict=True)]
+    return {n: {"beta": float(b), "se": float(s), "t": x, "p": math.erfc(abs(x) / math.sqrt(2))} for n, b, s, x in zip(names, found["beta"], errors, t, strict=True)}
 
 
 def fit_by_segment(df: DataFrame, names: list[str], segment: str, least: int = 500) -> dict[object, dict]:

@@ -53,13 +53,13 @@ def clean_places(trips: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def mapped_stops(stops: DataFrame, known: DataFrame, radius: dict[str, float] = MAP_RADIUS) -> DataFrame:
-    """(id, mode, other, metres): the nearest known stop within the radius of the stop's mode; nulls without one."""
-    out = None
+    """(id, mode, other, metres): the nearest known stop within the radius of the stop's mode; nulls without one, and for modes without a radius."""
+    nothing = stops.where(F.col("mode").isNull() | ~F.col("mode").isin(*radius))
+    out = nothing.select("id", "mode", F.lit(None).cast(dict(known.dtypes)["id"]).alias("other"), F.lit(None).cast("double").alias("metres"))
     for mode, metres in sorted(radius.items()):
         own = stops.where(F.col("mode") == mode)
         near = spatial.nearest(own, known, metres, 1).select("id", "other", "metres")
-        rows = own.select("id", "mode").join(near, "id", "left")
-        out = rows if out is None else out.union(rows)
+        out = out.union(own.select("id", "mode").join(near, "id", "left"))
     return out
 
 

@@ -9,23 +9,33 @@ from farebox.functions import arrays
 
 #: The share of each measure in the total similarity.
 WEIGHTS = {"route_seq": 0.25, "mode_seq": 0.10, "jaccard": 0.20, "lcs": 0.25, "boarding_alighting": 0.10, "time": 0.10}
-#: Entries that a mapping may have to go to every task as one map.
-MAPPED = 1_000_000
+def last_entries(pairs: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
+    """(key, value) of a mapping: of rows with one key the last in the order counts (without an order, the largest value); null keys go, and so do keys that end up
+    with a null value."""
+    last = F.max_by(value, order) if order else F.max(value)
+    return pairs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(last.alias("_value")).where("_value is not null")
 
 
-def mapping(pairs: DataFrame, key: str, value: str, most: int = MAPPED) -> DataFrame:
-    """One row with pairs as a map in column mapping; raises if there are over `most` entries, which then need an ordinary join."""
-    n = pairs.where(F.col(key).isNotNull()).select(key).distinct().count()
-    if n > most:
-        raise ValueError(f"{n} entries are too many for a map; join them")
-    first = pairs.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(value))
-    return first.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value)))).alias("mapping"))
+def with_translated(df: DataFrame, pairs: DataFrame, key: str, value: str, *columns: str, by: str, order: str | None = None) -> DataFrame:
+    """df with the identifiers in some array columns translated, in their order; those without a translation go, and null arrays stay null.
 
-
-def with_translated(df: DataFrame, pairs: DataFrame, key: str, value: str, *columns: str) -> DataFrame:
-    """df with the identifiers in some array columns translated; those without a translation go."""
-    joined = df.crossJoin(F.broadcast(mapping(pairs, key, value)))  # one row, of a checked size
-    return joined.withColumns({c: arrays.translated(F.col(c), F.col("mapping")) for c in columns}).drop("mapping")
+    by: a column of df that tells its rows apart. Every element of all the columns becomes a row, which meets the dictionary by an ordinary join
+    on the identifier (frequent identifiers are split by adaptive execution; a small dictionary is sent to the tasks), and one shuffle by `by` puts
+    the arrays together again. Work grows with elements and dictionary, and no task holds the dictionary. df is read twice.
+    """
+    entries = last_entries(pairs, key, value, order)
+    kind = dict(entries.dtypes)["_value"]
+    place = lambda c, i: F.transform(c, lambda x, at: F.struct(F.lit(i).alias("column"), at.alias("at"), x.alias("_key")))
+    empty = F.array().cast(f"array<struct<column:int,at:int,_key:{dict(df.dtypes)[columns[0]][6:-1]}>>")
+    listed = F.flatten(F.array(*(F.coalesce(place(F.col(c), i), empty) for i, c in enumerate(columns))))
+    none = F.lit(None).cast(f"struct<column:int,at:int,value:{kind}>")
+    each = df.select(F.col(by).alias("_by"), F.explode(listed).alias("e")).select("_by", "e.*").where(F.col("_key").isNotNull()).join(entries, "_key")
+    elements = each.select("_by", F.struct("column", "at", F.col("_value").alias("value")).alias("e"), F.lit(None).cast(df.schema).alias("_row"))
+    rows = df.select(F.col(by).alias("_by"), none.alias("e"), F.struct(*df.columns).alias("_row"))
+    met = elements.unionByName(rows).groupBy("_by").agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.collect_list("e")).alias("_all"))
+    own = lambda i: F.transform(F.filter("_all", lambda e: e.column == i), lambda e: e.value)
+    out = [F.when(F.col(f"_row.{c}").isNotNull(), own(columns.index(c))).alias(c) if c in columns else F.col(f"_row.{c}").alias(c) for c in df.columns]
+    return met.select(*out)
 
 
 def traversed_by_chain(legs: DataFrame) -> DataFrame:

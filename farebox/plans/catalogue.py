@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farebox.plans import choice, matching, network
+from farebox.plans import choice, estimation, matching, network, sequences
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = choice.QUERIES | network.QUERIES | matching.QUERIES
-ORACLES: dict[str, str] = choice.ORACLES | network.ORACLES | matching.ORACLES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = choice.QUERIES | network.QUERIES | matching.QUERIES | estimation.QUERIES | sequences.QUERIES
+ORACLES: dict[str, str] = choice.ORACLES | network.ORACLES | matching.ORACLES | estimation.ORACLES | sequences.ORACLES

@@ -77,7 +77,7 @@ def _journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = listed.select("chain_id", "legs", F.col("l.route").alias("routes"), F.col("l.mode").alias("modes"), F.col("l.board").alias("board"), F.col("l.alight").alias("alight"))
     both = listed.join(matching.traversed_by_chain(rides), "chain_id", "left").withColumn("stops", F.coalesce("stops", F.array().cast("array<bigint>")))
     ids = d.read(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 40).alias("id")).where("id % 6 <> 5").distinct().withColumn("code", F.col("id") + 100)
-    return matching.with_translated(both, ids, "id", "code", "board", "alight", "stops")
+    return matching.with_translated(both, ids, "id", "code", "board", "alight", "stops", by="chain_id")
 
 
 @query(f"""WITH RECURSIVE {_LEGS_SQL}{_lcs_sql("r", "cr", "ar")}{_lcs_sql("m", "cm", "am")}{_lcs_sql("s", "cq", "aq")},

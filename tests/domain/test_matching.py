@@ -1,5 +1,6 @@
 """Operators against plain computations of the same."""
 
+import hashlib
 import itertools
 import math
 
@@ -60,16 +61,20 @@ def test_latent_classes_are_found(spark):
     assert first[0] < -2 and abs(first[1]) < 0.8 and second[1] > 2 and abs(second[0]) < 0.8
     mixed = latent.with_mixture(df, ["x", "y"], got["betas"], ["z"], got["classes"])
     assert mixed.where("choice = 1").agg(F.sum(F.log("p"))).first()[0] == pytest.approx(got["ll"], abs=1e-3)
-    # the gradient is that of the likelihood
-    b, c = [[0.3, -0.2], [0.1, 0.4]], [[0.2, -0.3]]
-    _, g = latent._gradient(df, ["x", "y"], ["z"], b, c)
-    for i, at in enumerate([(0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0, 1)]):
-        sides = []
-        for e in (1e-4, -1e-4):
-            p = [[list(x) for x in b], [list(x) for x in c]]
-            p[at[0]][at[1]][at[2]] += e
-            sides.append(latent._gradient(df, ["x", "y"], ["z"], *p)[0])
-        assert (sides[0] - sides[1]) / 2e-4 == pytest.approx(g[i], abs=1e-2)
+    assert got["starts"] == [{"ll": got["ll"], "converged": True}]
+    # the gradient of every set is that of its likelihood, in one pass
+    rows = latent.packed(df, ["x", "y"], ["z"])
+    at, e = np.array([0.3, -0.2, 0.1, 0.4, 0.2, -0.3]), 1e-4
+    ll, g = latent.evaluate(rows, ["x", "y"], ["z"], 2, np.concatenate([[at], at + e * np.eye(6), at - e * np.eye(6)]))
+    assert (ll[1:7] - ll[7:]) / (2 * e) == pytest.approx(g[0], abs=1e-2)
+    mixed = latent.with_mixture(df, ["x", "y"], [[0.3, -0.2], [0.1, 0.4]], ["z"], [[0.2, -0.3]])
+    assert mixed.where("choice = 1").agg(F.sum(F.log("p"))).first()[0] == pytest.approx(ll[0], abs=1e-6)
+
+
+def test_latent_starts_report_themselves(spark):
+    df = spark.createDataFrame(logit_rows(3, 300, [[-2.0, 0.0], [0.0, 2.0]]), DDL)
+    got = latent.fit(df, ["x", "y"], ["z"], 2, starts=3, rounds=3)
+    assert len(got["starts"]) == 3 and not got["converged"] and got["ll"] == max(s["ll"] for s in got["starts"])
 
 
 def test_paths_of_any_number_of_edges_and_far_north(spark, tmp_path):
@@ -114,12 +119,23 @@ def test_polylines_and_texts(spark):
     assert row.f == pytest.approx(111.0) and row.w == 2 and row.k and row.b == 1 and row.l == 0.5 and not row.o and not row.a
 
 
-def test_translation_checks_its_size(spark):
-    pairs = spark.createDataFrame([(1, 10), (2, 20), (2, 19), (None, 5)], "a long, b long")
-    df = spark.createDataFrame([([1, 2, 3, 1],)], "x array<long>")
-    assert matching.with_translated(df, pairs, "a", "b", "x").first().x == [10, 19, 10]
-    with pytest.raises(ValueError, match="too many"):
-        matching.mapping(pairs, "a", "b", most=1)
+def test_translation_keeps_order_and_takes_the_last_entry(spark):
+    pairs = spark.createDataFrame([(1, 10, 1), (2, 20, 3), (2, 19, 2), (None, 5, 4), (3, None, 5)], "a long, b long, place int")
+    rows = [(1, [1, 2, 3, 1], [9, 2], "x"), (2, [], None, "y"), (3, None, [None, 1], "z")]
+    df = spark.createDataFrame(rows, "e long, a array<long>, value array<long>, _key string")
+    got = matching.with_translated(df, pairs, "a", "b", "a", "value", by="e", order="place")
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, [10, 20, 10], [20], "x"), (2, [], None, "y"), (3, None, [10], "z")]
+    assert matching.with_translated(df.limit(0), pairs, "a", "b", "a", by="e").collect() == []
+
+
+def test_translation_with_a_large_dictionary(spark):
+    """A million entries, joined without a map: the time is that of a join."""
+    pairs = spark.range(1_000_000).select(F.col("id").alias("a"), (F.col("id") * 3).alias("b"))
+    df = spark.range(20_000).select(F.col("id").alias("chain"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.pmod(F.col("id") * 7919 + i * 104_729, F.lit(1_100_000))).alias("x"))
+    got = matching.with_translated(df, pairs, "a", "b", "x", by="chain")
+    want = df.select("chain", F.transform(F.filter("x", lambda v: v < 1_000_000), lambda v: v * 3).alias("x"))
+    assert got.exceptAll(want).count() == 0 and got.count() == 20_000
 
 
 def test_as_of_over_slices(spark):
@@ -169,6 +185,46 @@ def test_samples_have_their_size(spark):
     assert sampling.topped_up_sample(df, F.col("h"), "id", 400).count() == 100
 
 
+@pytest.mark.parametrize("digits", [0, 1, 4])
+def test_quotas_are_exact_whatever_the_strata(spark, digits):
+    """A stratum of a third of the rows, one with a single key, a null one, an empty quota; each by the hash of its key."""
+    rows = [(i, "large") for i in range(3000)] + [(7, "same")] * 500 + [(i, None) for i in range(60)] + [(None, "odd"), (1, "odd"), (2, "none")]
+    df = spark.createDataFrame(rows, "id long, s string").repartition(6)
+    quotas = {"large": 1001, "same": 123, "odd": 9, "none": 0}
+    quota = lambda n, s: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), s), F.lit(20))
+    got = sampling.with_taken(df, F.col("s"), quota, "id", digits=digits).collect()
+    assert len(got) == len(rows)
+    key = lambda i: (hashlib.md5(str(i).encode()).hexdigest() if i is not None else "", i or -1)
+    for stratum in {s for _, s in rows}:
+        own = sorted((i for i, s in rows if s == stratum), key=key)
+        n = quotas.get(stratum, 20)
+        assert sorted((r.id for r in got if r.s == stratum and r._taken), key=key) == own[:n]
+
+
+def test_no_stratum_is_lost(spark):
+    df = spark.createDataFrame([(i, i % 2 or None, i % 3) for i in range(20)], "id long, s long, taken long")
+    assert sampling.topped_up_sample(df, F.col("s"), "id", 20).count() == 20
+    assert sampling.topped_up_sample(df.drop("taken"), F.col("s"), "id", 10).where("s is null").count() == 5
+    assert sampling.proportional_groups(df, "s", ["id"], 0.5).where("s is null").count() == 5
+    split = sampling.stratified_split(df.select("id", "s"), "s", "id", 0.5)
+    assert sorted(map(tuple, split.groupBy("s", "part").count().collect()), key=str) == sorted([(1, "train", 5), (1, "test", 5), (None, "train", 5), (None, "test", 5)], key=str)
+
+
+def test_short_strata_are_filled_up_with_weights(spark):
+    assert sampling.filled_quotas({"a": 5, "b": 100}, {"a": 0.5, "b": 0.2, "c": 0.3}, 40) == {"a": 5, "b": 35, "c": 0}
+    assert sampling.filled_quotas({"a": 5, "b": 9}, {"a": 0.5, "b": 0.5}, 40) == {"a": 5, "b": 9}
+    df = spark.createDataFrame([(i, "a" if i < 5 else "b") for i in range(105)] + [(200, "z"), (201, None)], "id long, s string")
+    got = sampling.filled_sample(df, F.col("s"), "id", {"a": 0.5, "b": 0.5}, 40)
+    assert {(r.s, r["count"], round(r.weight, 9)) for r in got.groupBy("s", "weight").count().collect()} == {("a", 5, round(5 / 105 / (5 / 40), 9)), ("b", 35, round(100 / 105 / (35 / 40), 9))}
+    assert sampling.filled_sample(df.limit(0), F.col("s"), "id", {"a": 1.0}, 3).count() == 0
+
+
+def test_stops_of_other_modes_stay(spark):
+    stops = spark.createDataFrame([(1, "BUS", 37.5, 127.0), (2, "OTHER", 37.5, 127.0), (3, None, 37.5, 127.0), (4, "SUBWAY", 10.0, 10.0)], "id long, mode string, lat double, lon double")
+    known = spark.createDataFrame([(9, 37.5, 127.0)], "id long, lat double, lon double")
+    assert sorted((r.id, r.mode, r.other) for r in cleaning.mapped_stops(stops, known).collect()) == [(1, "BUS", 9), (2, "OTHER", None), (3, None, None), (4, "SUBWAY", None)]
+
+
 def test_empty_tables(spark):
     assert cleaning.unfinished(spark.createDataFrame([], "id long, chunk long"), spark.createDataFrame([(1,)], "chunk long")).count() == 0
     assert calibration.spearman(spark.createDataFrame([], "a double, b double"), "a", "b").first().n == 0
