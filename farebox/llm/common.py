@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,13 @@ def work_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Lists that take note of the tables written meanwhile.
-_noted: list[list[str]] = []
+#: Lists that take note of the tables written meanwhile, by this thread or task alone.
+_noted: ContextVar[tuple[list[str], ...]] = ContextVar("noted", default=())
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for paths in _noted:
+    for paths in _noted.get():
         paths.append(path)
     return path
 
@@ -47,19 +48,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 @contextmanager
 def noted(paths: list[str]):
     """Adds the paths of what is written in this block to a list, so that it can be deleted once nothing reads it."""
-    _noted.append(paths)
+    token = _noted.set((*_noted.get(), paths))
     try:
         yield
     finally:
-        _noted.pop()
+        _noted.reset(token)
 
 
-def delete(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes written tables and empties the list."""
-    for path in paths:
+def delete(spark: SparkSession, paths: list[str], read_by: DataFrame | None = None) -> None:
+    """Deletes written tables and takes them off the list; those that read_by still reads stay."""
+    files = read_by.inputFiles() if read_by is not None and paths else []
+    still = [p for p in paths if any(p.rsplit("/", 1)[1] in f for f in files)]
+    for path in set(paths) - set(still):
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    paths.clear()
+    paths[:] = still
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

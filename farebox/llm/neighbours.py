@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by inner product, over robust-pruned directed graphs.
 
-Equal vectors are one node, with the smallest vec_ids that have it (KEPT of them: no answer needs more). Nodes are dealt out by the hash of
+Equal vectors are one node, with the smallest vec_ids that have it: one more than the k neighbours that an index is built for, as no answer needs more. Nodes are dealt out by the hash of
 their vector to shards of about SHARD nodes, apart for each dimension and each octave of the norm. A shard's graph is built
 in one task, in batches: a greedy search proposes neighbours for the new nodes, and relaxed distance pruning (ALPHA) keeps at most DEGREE
 diverse edges, which are then also entered backwards. One more coordinate, sqrt(M^2 - |x|^2) with M the largest norm of
@@ -26,7 +26,6 @@ from pyspark.sql.window import Window
 from farebox.llm.common import table, written
 
 K = 20
-KEPT = K + 1
 SHARD = 3072
 BLOCK = 1024
 DEGREE = 28
@@ -36,7 +35,7 @@ ALPHA = 1.2
 #: Nodes that a search expands at once.
 WIDE = 4
 _BATCH = 256
-_GRAPHS = "shard long, dim int, ids array<array<long>>, vectors binary, edges binary"
+_GRAPHS = "shard long, dim int, most int, ids array<array<long>>, vectors binary, edges binary"
 
 
 def _closest(x: np.ndarray, q: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -201,9 +200,9 @@ def _octave(embedding: str = "embedding"):
     return F.floor(F.log2(most) + F.log2(square) / 2 + 0.5).cast("int")
 
 
-def build_index(rows: DataFrame, shard: int = SHARD) -> DataFrame:
-    """The shards of rows (vec_id, embedding), each one row with its nodes' vec_ids, vectors and edges."""
-    nodes = rows.withColumn("turn", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("turn") <= KEPT)
+def build_index(rows: DataFrame, shard: int = SHARD, k: int = K) -> DataFrame:
+    """The shards of rows (vec_id, embedding), each one row with its nodes' vec_ids, vectors and edges, for searches of up to k neighbours."""
+    nodes = rows.withColumn("turn", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("turn") <= k + 1)
     nodes = nodes.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     nodes = written(nodes.select("ids", "embedding", F.size("embedding").alias("dim"), _octave().alias("octave")), "nodes")
     sizes = nodes.groupBy("dim", "octave").agg(F.ceil(F.count("*") / F.lit(shard)).alias("shards"))
@@ -217,15 +216,17 @@ def build_index(rows: DataFrame, shard: int = SHARD) -> DataFrame:
         vectors = rows.column("embedding").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         edges = build_graph(lifted(vectors))
         return pa.table(
-            [pa.array([rows.column("shard")[0].as_py()], pa.int64()), pa.array([dim], pa.int32()), pa.array([rows.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))), pa.array([vectors.astype("<f8").tobytes()]), pa.array([edges.astype("<i4").tobytes()])],
-            names=["shard", "dim", "ids", "vectors", "edges"],
+            [pa.array([rows.column("shard")[0].as_py()], pa.int64()), pa.array([dim], pa.int32()), pa.array([k], pa.int32()), pa.array([rows.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))), pa.array([vectors.astype("<f8").tobytes()]), pa.array([edges.astype("<i4").tobytes()])],
+            names=["shard", "dim", "most", "ids", "vectors", "edges"],
         )
 
     return dealt.withColumn("ids0", F.element_at("ids", 1)).groupBy("shard").applyInArrow(build, _GRAPHS)
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = K, beam: int = BEAM, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) of queries (vec_id, embedding), one for each vec_id, in an index."""
+    """(query_id, rank, vec_id, score) of queries (vec_id, embedding), one for each vec_id, in an index. A beam is as wide as k at least; an index that
+    was built for fewer than k neighbours is an error."""
+    beam = max(beam, k + 1)
     queries = written(queries.select("vec_id", "embedding", F.size("embedding").alias("dim")), "queries")
     ranges = index.groupBy("dim").agg(F.min("shard").alias("first"), F.max("shard").alias("last"))
     blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks")).join(ranges, "dim")
@@ -236,7 +237,9 @@ def search(queries: DataFrame, index: DataFrame, k: int = K, beam: int = BEAM, b
     def find(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                names, q, ids, vectors, edges, dim = (batch.column(c)[i] for c in ("names", "q", "ids", "vectors", "edges", "dim"))
+                names, q, ids, vectors, edges, dim, most = (batch.column(c)[i] for c in ("names", "q", "ids", "vectors", "edges", "dim", "most"))
+                if most.as_py() < k:
+                    raise ValueError(f"the index is for {most.as_py()} neighbours at most, not {k}")
                 dim = dim.as_py()
                 vectors = np.frombuffer(vectors.as_buffer(), "<f8").reshape(-1, dim)
                 edges = np.frombuffer(edges.as_buffer(), "<i4").reshape(len(vectors), -1).astype(np.int64)
@@ -246,7 +249,7 @@ def search(queries: DataFrame, index: DataFrame, k: int = K, beam: int = BEAM, b
                     names=["query_id", "ids", "scores"],
                 )
 
-    found = met.select("names", "q", "ids", "vectors", "edges", "dim").mapInArrow(find, "query_id long, ids array<long>, scores array<double>")
+    found = met.select("names", "q", "ids", "vectors", "edges", "dim", "most").mapInArrow(find, "query_id long, ids array<long>, scores array<double>")
     each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("f")).select("query_id", F.col("f.ids").alias("vec_id"), F.col("f.scores").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

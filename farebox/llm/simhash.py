@@ -43,6 +43,8 @@ from farebox.llm.graph import connected_components
 
 #: Keys with more fingerprints than this take the linear way.
 PAIRED = 64
+#: Parities that stand for a set of shingles where candidates are sifted.
+BITS = 512
 #: Keys of a set of shingles, and the minimal hashes in each.
 BANDS, ROWS = 24, 5
 #: Pairs that one copy of a text meets in one task.
@@ -243,15 +245,23 @@ def _across(members: DataFrame, texts: DataFrame, width: int, similarity: float)
     sizes = each.groupBy("h").agg(F.count("*").alias("df"))
     turn = F.row_number().over(Window.partitionBy("fp").orderBy("df", "h"))
     kept = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    prefix = written(each.join(sizes, "h").withColumn("turn", turn).where(F.col("turn") <= kept).where("df > 1").select("fp", "n", "root", "h", "turn"), "prefixes")
+    # the set as BITS parities: sets that differ in x shingles differ in x of them at most
+    whole, bits = Window.partitionBy("fp"), [f"bits{i}" for i in range(BITS // 64)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    word = F.pmod(F.shiftright("h", 6), F.lit(len(bits)))
+    parities = {b: F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).over(whole) for i, b in enumerate(bits)}
+    ranked = each.join(sizes, "h").withColumns({"turn": turn} | parities)
+    prefix = written(ranked.where(F.col("turn") <= kept).where("df > 1").select("fp", "n", "root", "h", "turn", *bits), "prefixes")
     # a shingle's most frequent component only meets the others, not itself
     shared = prefix.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", "c").alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    u = prefix.join(shared, "h").where("root <> top").select("h", F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"), F.col("turn").alias("turn_u"))
-    v = prefix.select("h", F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"), F.col("turn").alias("turn_v"))
+    u = prefix.join(shared, "h").where("root <> top").select("h", F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"), F.col("turn").alias("turn_u"), *(F.col(b).alias(f"{b}_u") for b in bits))
+    v = prefix.select("h", F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"), F.col("turn").alias("turn_v"), *(F.col(b).alias(f"{b}_v") for b in bits))
     # what follows the first shingle that two sets share has to hold the rest of what they need in common
     most = 1 + F.least(F.col("n_u") - F.col("turn_u"), F.col("n_v") - F.col("turn_v"))
     enough = most >= (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-9
-    met = u.join(v, "h").where(_near(similarity) & enough & (F.col("root_u") != F.col("root_v")))
+    apart = sum((F.bit_count(F.col(f"{b}_u").bitwiseXOR(F.col(f"{b}_v"))) for b in bits), F.lit(0))
+    alike = apart <= (F.col("n_u") + F.col("n_v")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    met = u.join(v, "h").where(_near(similarity) & enough & alike & (F.col("root_u") != F.col("root_v")))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 

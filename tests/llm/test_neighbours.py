@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import pyarrow.parquet as pq
 
 from farebox.llm import neighbours as nb
@@ -71,3 +72,13 @@ def test_pruning_keeps_the_nearest_and_diverse():
     x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2], [-3, 0]], np.float32)
     out = nb.robust_prune(x, np.array([0]), np.array([[1, 2, 3, 4, 0, 1]]), 3, 1.2)
     assert out.tolist() == [[1, 3, 4]]
+
+
+def test_an_index_knows_how_many_neighbours_it_is_for(spark):
+    rows = spark.createDataFrame([(i, [1.0, float(i // 40)]) for i in range(120)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id = 0")
+    got = nb.search(asked, nb.build_index(rows, k=70), k=70).collect()
+    scores = sorted((r.score for r in got), reverse=True)
+    assert len(got) == 70 and scores == [1.0] * 70 and {r.vec_id for r in got} == set(range(1, 71))
+    with pytest.raises(Exception, match="20 neighbours at most"):
+        nb.search(asked, nb.build_index(rows), k=21).collect()

@@ -129,3 +129,11 @@ def test_windows_hold_a_document_once(stages):
         windows[p.sequence_id].append(p)
     twice = sum(len({(p.doc_id, p.start) for p in w}) < len(w) for w in windows.values())
     assert twice <= 0.02 * len(windows)
+
+
+def test_stages_compose_without_writing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lazily = corpus_pipeline.mixed(spark, corpus_pipeline.duplicates(spark, docs, "/root/testdata/sf0.001"), "/root/testdata/sf0.001")
+    one = corpus_pipeline.duplicates(spark, docs, "/root/testdata/sf0.001")
+    n = lazily.count()
+    assert n > 0 and one.count() > 0
