@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from farebox.functions import tolerant
+from farebox.functions import notation, tolerant
+from farebox.operators import journeys, legs
 from farebox.plans import derive as d
 from farebox.plans.registry import Registry, r6
 
@@ -50,3 +51,124 @@ def tolerant_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = following.join(a, "chain_id").join(b, "next")
     stops, modes = tolerant.tolerant_similarity(F.col("sa"), F.col("sb")), tolerant.mode_similarity(F.col("ma"), F.col("mb"))
     return pairs.select("chain_id", r6(stops, "near_stops"), r6(modes, "near_modes"))
+
+
+_LINES = f"""lines AS (SELECT l_orderkey AS request, row_number() OVER w - 1 AS turn, count(*) OVER (PARTITION BY l_orderkey) AS n, l_suppkey AS src,
+  l_partkey % 10 + 1 AS dst, CASE WHEN l_partkey % 4 = 0 THEN 'SUBWAY' ELSE 'BUS' END AS mode, 'R' || (l_partkey % 9) AS route, 60 * (1 + l_partkey % 10) AS seconds
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY {_ORDER})),
+rides AS (SELECT *, 28800 + turn * 1200 AS start FROM lines),
+walks AS (SELECT request, start + seconds AS start, 30 + turn * 10 AS seconds, dst AS src, lead(src) OVER (PARTITION BY request ORDER BY turn) AS dst FROM rides),
+first AS (SELECT request, min_by(src, turn) AS stop, max_by(dst, turn) AS out, max(start + seconds) AS done FROM rides GROUP BY 1),
+reach AS (SELECT o_orderkey AS request, 60 + c_custkey % 500 AS seconds, 37.4 + c_custkey % 100 * 0.001 AS lat, 127.0 + c_custkey % 7 * 0.01 AS lon
+  FROM orders JOIN customer ON c_custkey = o_custkey),
+st AS (SELECT s_suppkey AS stop, s_name AS name, 37.5 + s_suppkey % 50 * 0.001 AS lat, 127.0 + s_suppkey % 30 * 0.001 AS lon FROM supplier WHERE s_suppkey % 13 <> 0),
+legs AS (
+  SELECT request, 0 AS kind, 28800 - seconds AS start, seconds, NULL::BIGINT AS src, stop AS dst, 'Origin' AS n0, lat AS y0, lon AS x0, 'WALK' AS mode, NULL::VARCHAR AS route
+    FROM reach JOIN first USING (request)
+  UNION ALL SELECT request, 1, start, seconds, src, dst, NULL, NULL, NULL, mode, route FROM rides
+  UNION ALL SELECT request, 2, start, seconds, src, dst, NULL, NULL, NULL, 'WALK', NULL FROM walks WHERE dst IS NOT NULL
+  UNION ALL SELECT request, 3, done, 40 + request % 300, out, NULL, 'Destination', 37.6, 127.1, 'WALK', NULL FROM first),
+met AS (SELECT l.*, a.name AS an, a.lat AS ay, a.lon AS ax, b.name AS bn, b.lat AS by_, b.lon AS bx FROM legs l LEFT JOIN st a ON a.stop = src LEFT JOIN st b ON b.stop = dst),
+told AS (SELECT request, kind, start, seconds, mode, {{'mode': mode, 'start': start, 'end': start + seconds, 'duration': seconds,
+    'distance': CASE WHEN kind = 1 THEN 0.0 ELSE round((seconds * 1.2)::DOUBLE, 2) END::DOUBLE, 'cost': seconds * CASE WHEN kind = 1 THEN 1 ELSE 2 END,
+    'from': {{'name': CASE WHEN kind = 0 THEN n0 ELSE an END, 'lat': round(CASE WHEN kind = 0 THEN y0 ELSE ay END::DOUBLE, 6), 'lon': round(CASE WHEN kind = 0 THEN x0 ELSE ax END::DOUBLE, 6), 'stop': src}},
+    'to': {{'name': CASE WHEN kind = 3 THEN n0 ELSE bn END, 'lat': round(CASE WHEN kind = 3 THEN y0 ELSE by_ END::DOUBLE, 6), 'lon': round(CASE WHEN kind = 3 THEN x0 ELSE bx END::DOUBLE, 6), 'stop': dst}},
+    'route': route}} AS leg FROM met),
+requests AS (SELECT request, list(leg ORDER BY start, kind) AS legs, sum(seconds) FILTER (kind <> 1) AS walk_seconds, sum(seconds) FILTER (kind = 1) AS ride_seconds,
+  count(*) FILTER (kind = 1) AS rides, min(start) AS start, max(start + seconds) AS end_, string_agg(mode, '>' ORDER BY start) FILTER (kind = 1) AS modes FROM told GROUP BY 1)"""
+
+
+@query(f"""WITH {_LINES}
+SELECT request, CAST(walk_seconds AS BIGINT) AS walk_seconds, CAST(ride_seconds AS BIGINT) AS ride_seconds, rides - 1 AS transfers, modes,
+  CAST(to_json({{'id': request, 'start': start, 'end': end_, 'legs': legs}}) AS VARCHAR) AS json FROM requests""")
+def assembled_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks to, between and from stops, and rides, as one journey of each request, with totals and as JSON; from five tables."""
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", "))) - 1
+    rides = d.read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("request"), number.alias("turn"), F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 10 + 1).alias("dst"),
+        F.when(F.col("l_partkey") % 4 == 0, "SUBWAY").otherwise("BUS").alias("mode"), F.concat(F.lit("R"), F.col("l_partkey") % 9).alias("route"),
+        (60 * (1 + F.col("l_partkey") % 10)).alias("seconds"),
+    ).withColumn("start", 28_800 + F.col("turn") * 1200)
+    end = F.col("start") + F.col("seconds")
+    following = F.lead("src").over(Window.partitionBy("request").orderBy("turn"))
+    walks = rides.select("request", end.alias("start"), (30 + F.col("turn") * 10).alias("seconds"), F.col("dst").alias("src"), following.alias("dst")).where("dst is not null")
+    ends = rides.groupBy("request").agg(F.min_by("src", "turn").alias("stop"), F.max_by("dst", "turn").alias("out"), F.max(end).alias("done"))
+    who = d.read(spark, sf_dir, "customer").join(d.read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("request"), F.col("c_custkey").alias("c"))
+    seconds = 60 + F.col("c") % 500
+    access = ends.join(who, "request").select("request", (28_800 - seconds).alias("start"), seconds.alias("seconds"), "stop", (37.4 + F.col("c") % 100 * 0.001).alias("lat"), (127.0 + F.col("c") % 7 * 0.01).alias("lon"))
+    egress = ends.select("request", F.col("done").alias("start"), (40 + F.col("request") % 300).alias("seconds"), F.col("out").alias("stop"), F.lit(37.6).alias("lat"), F.lit(127.1).alias("lon"))
+    key = F.col("s_suppkey")
+    stops = d.read(spark, sf_dir, "supplier").where(key % 13 != 0).select(key.alias("stop"), F.col("s_name").alias("name"), (37.5 + key % 50 * 0.001).alias("lat"), (127.0 + key % 30 * 0.001).alias("lon"))
+    told = legs.assembled(access, rides, walks, egress, stops)
+    return told.select("request", "walk_seconds", "ride_seconds", F.col("transfers").cast("long").alias("transfers"), F.array_join("modes", ">").alias("modes"), "json")
+
+
+_LOOPS = f"""st AS (SELECT l_orderkey AS route, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) - 1 AS pos, l_partkey % 5 AS stop FROM lineitem),
+leg AS (SELECT o_orderkey AS leg, CASE WHEN o_custkey % 11 = 0 THEN -1 ELSE o_orderkey END AS route, o_custkey % 5 AS board, (o_orderkey // 3) % 5 AS alight FROM orders)"""
+
+
+@query(f"""WITH {_LOOPS},
+known AS (SELECT DISTINCT route FROM st), b AS (SELECT leg, pos AS b FROM leg JOIN st ON st.route = leg.route AND stop = board),
+a AS (SELECT leg, pos AS a FROM leg JOIN st ON st.route = leg.route AND stop = alight),
+best AS (SELECT leg, min({{'long': a - b, 'b': b, 'a': a}}) AS r FROM b JOIN a USING (leg) WHERE a >= b GROUP BY 1),
+past AS (SELECT leg, max(b) AS b, min(a) AS a FROM b JOIN a USING (leg) GROUP BY 1),
+p AS (SELECT leg.*, CASE WHEN route NOT IN (SELECT route FROM known) THEN 'no_route' WHEN leg NOT IN (SELECT leg FROM b) THEN 'board_not_found'
+    WHEN leg NOT IN (SELECT leg FROM a) THEN 'alight_not_found' ELSE 'ok' END AS status, coalesce(r.b, past.b) AS b, coalesce(r.a, past.a) AS a
+  FROM leg LEFT JOIN best USING (leg) LEFT JOIN past USING (leg))
+SELECT leg, status, b AS boarded, a AS alighted, coalesce((SELECT string_agg(stop, '-' ORDER BY CASE WHEN b > a AND pos <= a THEN 1 ELSE 0 END, pos) FROM st
+  WHERE st.route = p.route AND CASE WHEN b <= a THEN pos BETWEEN b AND a ELSE pos >= b OR pos <= a END), '') AS stops FROM p""")
+def ridden_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rides on routes that come to a stop several times: where they board and alight, and the stops in between."""
+    stops, rides = _loops(spark, sf_dir)
+    told = legs.traversed_stops(legs.leg_positions(rides, stops), stops)
+    return told.select("leg", "status", F.col("at").cast("long").alias("boarded"), F.col("to").cast("long").alias("alighted"), F.array_join("stops", "-").alias("stops"))
+
+
+def _loops(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", "))) - 1
+    stops = d.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("route"), number.cast("long").alias("pos"), (F.col("l_partkey") % 5).alias("stop"))
+    route = F.when(F.col("o_custkey") % 11 == 0, -1).otherwise(F.col("o_orderkey"))
+    rides = d.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("leg"), route.alias("route"), (F.col("o_custkey") % 5).alias("board"), (F.floor(F.col("o_orderkey") / 3) % 5).alias("alight"))
+    return stops, rides
+
+
+@query(f"""WITH {_LOOPS} SELECT stop, count(*) AS visits, count(DISTINCT route) AS routes, string_agg(route || ':' || pos, ',' ORDER BY route, pos) FILTER (route < 40) AS first
+FROM st GROUP BY 1""")
+def visits_of_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All visits of a stop; a route that comes twice counts twice."""
+    stops, _ = _loops(spark, sf_dir)
+    told = legs.visits_by_stop(stops)
+    few = F.transform(F.filter("visits", lambda v: v.route < 40), lambda v: F.concat_ws(":", v.route, v.pos))
+    return told.select("stop", F.size("visits").cast("long").alias("visits"), F.size(F.array_distinct("visits.route")).cast("long").alias("routes"), F.when(F.size(few) > 0, F.array_join(few, ",")).alias("first"))
+
+
+_KIND = "CASE WHEN p_partkey % 23 = 0 THEN 'damaged' WHEN p_partkey % 2 = 0 THEN 'json' ELSE 'literal' END"
+
+
+@query(f"""WITH k AS (SELECT p_partkey, p_name, {_KIND} AS kind, string_split(p_name, ' ') AS words FROM part)
+SELECT p_partkey, CASE WHEN kind <> 'damaged' THEN kind END AS notation, CASE WHEN kind <> 'damaged' THEN array_to_string(words, '|') || '|' || (p_partkey % 7) END AS read,
+  CASE WHEN kind = 'damaged' THEN '[''' || p_name || ', ' END AS damaged,
+  CASE WHEN kind <> 'damaged' THEN '[' || array_to_string(list_transform(words, lambda w: '''' || w || ''''), ', ') || ', ''' || (p_partkey % 7) || ''']' END AS literal
+FROM k""")
+def lists_in_two_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists written as JSON or as literals with single quotes, read by one chain, damaged ones kept apart, and written as literals again."""
+    key, words = F.col("p_partkey"), F.split("p_name", " ")
+    number = (key % 7).cast("string")
+    as_json = F.concat(F.lit('["'), F.array_join(words, '", "'), F.lit('", '), number, F.lit("]"))
+    as_literal = F.concat(F.lit("['"), F.array_join(words, "', '"), F.lit("', "), number, F.lit(",]"))
+    text = F.when(key % 23 == 0, F.concat(F.lit("['"), F.col("p_name"), F.lit(", "))).when(key % 2 == 0, as_json).otherwise(as_literal)
+    told = d.read(spark, sf_dir, "part").select(key, notation.read_list(text).alias("r"))
+    values = F.when(F.col("r.values").isNotNull(), F.array_join("r.values", "|"))
+    return told.select("p_partkey", F.col("r.notation").alias("notation"), values.alias("read"), F.col("r.damaged").alias("damaged"), notation.as_literal(F.col("r.values")).alias("literal"))
+
+
+@query("""WITH t AS (SELECT user_id AS card, event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, event_id % 3 = 0 AS first FROM events),
+o AS (SELECT *, lag(s) OVER w AS before FROM t WINDOW w AS (PARTITION BY card ORDER BY s, event_id)),
+j AS (SELECT *, sum(CASE WHEN before IS NULL OR s - before > 3600 OR first THEN 1 ELSE 0 END) OVER (PARTITION BY card ORDER BY s, event_id) AS journey FROM o)
+SELECT card, CAST(journey AS BIGINT) AS journey, min(s) AS start, max(s) AS last, count(*) AS legs FROM j GROUP BY 1, 2""")
+def journeys_by_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journeys that begin after an hour's gap or at a tap without transfers."""
+    at = F.unix_timestamp("ts")
+    taps = d.read(spark, sf_dir, "events").select(F.col("user_id").alias("card"), F.col("event_id").alias("tap_id"), at.alias("at"), (F.col("event_id") % 3 == 0).alias("first"))
+    told = journeys.sessions(taps, start=F.col("first"))
+    return told.groupBy("card", "journey").agg(F.min("at").alias("start"), F.max("at").alias("last"), F.count("*").alias("legs"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from farebox.functions.times import parse_time
+from farebox.operators.ordinals import numbered
 
 #: The columns of each file by place, and the fewest fields of a row.
 FILES = {
@@ -44,12 +44,22 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Origin-destination requests (from_lat, from_lon, to_lat, to_lon, HH:MM), numbered from 0 in the order of the file."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at"))
-    parts = lines.select("_at", F.split("value", ",", -1).alias("p")).where((F.size("p") >= 5) & ~F.trim(F.col("p")[0]).rlike("[A-Za-z]"))
-    number = lambda i: F.trim(F.col("p")[i]).cast("double")
-    order = F.row_number().over(Window.orderBy("_at")) - 1  # requests are a list that people write, not data at scale
-    return parts.select(order.alias("id"), number(0).alias("from_lat"), number(1).alias("from_lon"), number(2).alias("to_lat"), number(3).alias("to_lon"), parse_time(F.col("p")[4]).alias("at"))
+    """Origin-destination requests (from_lat, from_lon, to_lat, to_lon, HH:MM), numbered from 0 in the order of the file.
+
+    Only the first line is a header; lines of fewer than five fields are left out, a field that should be a number and isn't is an error. Lines are
+    numbered by ranges of their place (file, block, line), so no task sees them all.
+    """
+    places = ["_file", "_block", "_at"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    first = lines.select(F.struct(*places).alias("place")).agg(F.min("place").alias("first"))
+    parts = lines.join(F.broadcast(first), F.struct(*places) != F.col("first")).select(*places, F.split("value", ",", -1).alias("p")).where(F.size("p") >= 5)  # one row
+
+    def number(i: int):
+        field = F.trim(F.col("p")[i])
+        return F.coalesce(field.try_cast("double"), F.raise_error(F.concat(F.lit("not a number: "), field)).cast("double"))
+
+    rows = numbered(parts, *places, name="id")
+    return rows.select(F.col("id").cast("int").alias("id"), number(0).alias("from_lat"), number(1).alias("from_lon"), number(2).alias("to_lat"), number(3).alias("to_lon"), parse_time(F.col("p")[4]).alias("at"))
 
 
 _LEG = "struct<mode:string,startTime:bigint,endTime:bigint,duration:int,distance:double,route:string>"
@@ -87,10 +97,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_line_mapping(spark: SparkSession, path: str, routes: DataFrame) -> DataFrame:
-    """(line, route) of a JSON dictionary of lines with the name each has in a timetable, and the first subway or rail route of that name."""
+    """(line, route) of a JSON dictionary of lines with the name each has in a timetable, and the first subway or rail route of that name.
+
+    routes: route_id, route_short_name, route_type, and place where the order is not that of the identifiers (a number for each row).
+    """
     text = spark.read.text(path, wholetext=True)
     named = text.select(F.explode(F.from_json("value", "map<string,struct<gtfs_name:string>>")).alias("line", "x")).select("line", F.col("x.gtfs_name").alias("route_short_name"))
-    first = routes.where(F.col("route_type").isin(1, 2)).groupBy("route_short_name").agg(F.min("route_id").alias("route"))
+    first = routes.where(F.col("route_type").isin(1, 2)).groupBy("route_short_name").agg(F.min_by("route_id", "place" if "place" in routes.columns else "route_id").alias("route"))
     return named.join(first, "route_short_name").select("line", "route")
 
 
@@ -104,19 +117,30 @@ def closed_strings(line):
     return F.regexp_replace(line, '\\\\("[}\\],])', '\\\\\\\\$1')
 
 
-def write_results(results: DataFrame, path: str, chunk: str = "chunk") -> None:
-    """One JSON text a line, in a folder for each chunk; a run that goes on replaces only the chunks that it has."""
+def _manifest(path: str) -> str:
+    return path.rstrip("/") + ".chunks"
+
+
+def write_results(results: DataFrame, path: str, chunk: str = "chunk", chunks: DataFrame | None = None) -> None:
+    """One JSON text a line, in a folder for each chunk; a run that goes on replaces only the chunks that it has. Then the chunks are committed.
+
+    chunks: the chunks of this run, those without results too (None: those of the results, which are then computed twice). They are appended to a
+    manifest beside the results after all files are there. A run that ends in between leaves its chunks uncommitted, and the next one does them
+    again.
+    """
     results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(chunk).json(path)
+    done = results if chunks is None else chunks
+    done.select(F.col(chunk).cast("long").alias("chunk")).distinct().coalesce(1).write.mode("append").json(_manifest(path))
 
 
 def finished_chunks(spark: SparkSession, path: str, chunk: str = "chunk") -> DataFrame:
-    """The chunks that are there; empty where nothing has been written."""
+    """The committed chunks, from the manifest alone; empty where nothing has been committed."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.json(path).select(F.col(chunk).cast("long").alias(chunk)).distinct()
+        return spark.read.schema("chunk long").json(_manifest(path)).select(F.col("chunk").alias(chunk)).distinct()
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        if "PATH_NOT_FOUND" in str(e):
             return spark.createDataFrame([], f"{chunk} long")
         raise
 
