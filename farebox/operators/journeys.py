@@ -47,10 +47,14 @@ def left_closed(value: Column, edges: list[float]) -> Column:
 
 
 def index_percentiles(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """One row: the value at place int(n * share) from 0 of the sorted values; sums of parts of the value range give the places."""
-    from farebox.operators.calibration import cumulative
+    """One row: the value at place int(n * share) from 0 of the sorted values; nulls without any."""
+    from farebox.operators.quantiles import values_at
 
-    placed = cumulative(df, value)
-    n = placed.agg(F.sum("c")).first()[0] or 0
-    at = {name: min(int(n * s), n - 1) for name, s in shares.items()}
-    return placed.agg(*(F.min(F.when(F.col("before") + F.col("c") > i, F.col(value))).alias(name) for name, i in at.items()))
+    places = {name: (lambda n, s=s: F.least(F.floor(n * F.lit(s)), n - 1)) for name, s in shares.items()}
+    return values_at(df, [], value, places).agg(*(F.max(name).alias(name) for name in places))
+
+
+def chain_lists(legs: DataFrame, *columns: str, by: str = "chain_id", order: str = "leg") -> DataFrame:
+    """One row for each chain: its legs less one as transfers, and the values of each column in the order of its legs, nulls in their places."""
+    listed = legs.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), *columns))).alias("_l"))
+    return listed.select(by, (F.size("_l") - 1).alias("transfers"), *(F.col("_l")[c].alias(c) for c in columns))

@@ -86,6 +86,25 @@ def with_similarity(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("sim_total", total)
 
 
+#: The share of each measure in the score of a baseline.
+BASELINE = {"route_lcs": 0.5, "mode_lcs": 0.10, "jaccard": 0.30, "time_sim": 0.10}
+
+
+def with_baseline_scores(pairs: DataFrame) -> DataFrame:
+    """pairs (c_ and a_: routes, modes, duration) with the measures of a baseline, which needs no stops: exact, mode_match, route_lcs, mode_lcs,
+    jaccard, time_sim and their weighted sum score. The alternative's modes are taken for SUBWAY or BUS; times compare to the chain's own."""
+    c, a = (lambda x: F.col(f"c_{x}")), (lambda x: F.col(f"a_{x}"))
+    modes = F.transform(a("modes"), lambda m: F.when(m.isin("SUBWAY", "RAIL"), "SUBWAY").otherwise("BUS"))
+    time = F.when(c("duration") > 0, 1.0 - F.least(F.abs(c("duration") - a("duration")) / c("duration"), F.lit(1.0))).otherwise(0.0)
+    both_empty = lambda x, y, value: F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(value)
+    rows = pairs.withColumns({
+        "exact": _same(c("routes"), a("routes")).cast("int"), "mode_match": _same(c("modes"), modes).cast("int"),
+        "route_lcs": arrays.lcs_ratio(c("routes"), a("routes")), "mode_lcs": arrays.lcs_ratio(c("modes"), modes),
+        "jaccard": both_empty(c("routes"), a("routes"), arrays.jaccard(c("routes"), a("routes"))), "time_sim": time,
+    })
+    return rows.withColumn("score", sum((F.col(n) * w for n, w in BASELINE.items()), F.lit(0.0)))
+
+
 def with_attributes(choice_set: DataFrame, attributes: DataFrame, *keys: str) -> DataFrame:
     """choice_set with the attributes of its alternatives; alternatives without any stay, with nulls."""
     return choice_set.join(attributes, list(keys), "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from farebox.functions.geo import cell, haversine
+from farebox.sources.shared import written
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, size: float | None = None, max_lat: float = 60.0) -> DataFrame:
@@ -23,8 +24,9 @@ def within(left: DataFrame, right: DataFrame, radius: float, size: float | None
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     known = lambda lat: F.when(F.abs(lat) > max_lat, F.raise_error(F.lit(f"a latitude is beyond {max_lat}; give a larger max_lat")).cast("double")).otherwise(lat)
     cx = lambda lon, d: F.pmod(F.floor((lon + 180.0) / (360.0 / columns)) + d, F.lit(columns)).cast("long")
-    a = left.select("id", "lat", "lon", F.explode(F.transform(near, lambda d: cell(known(F.col("lat")), step) + d)).alias("cy"))
-    a = a.select("*", F.explode(F.array_distinct(F.transform(near, lambda d: cx(F.col("lon"), d)))).alias("cx"))
+    own = left.select("id", "lat", "lon", cell(known(F.col("lat")), step).alias("_y"), F.floor((F.col("lon") + 180.0) / (360.0 / columns)).alias("_x"))
+    around = F.flatten(F.transform(near, lambda dy: F.transform(near, lambda dx: F.struct((F.col("_y") + dy).alias("cy"), F.pmod(F.col("_x") + dx, F.lit(columns)).cast("long").alias("cx")))))
+    a = own.select("id", "lat", "lon", F.explode(around if columns > 2 else F.array_distinct(around)).alias("c")).select("id", "lat", "lon", "c.cy", "c.cx")
     b = right.select(F.col("id").alias("other"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), cell(known(F.col("lat")), step).alias("cy"), cx(F.col("lon"), F.lit(0)).alias("cx"))
     metres = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
     return a.join(b, ["cy", "cx"]).withColumn("metres", metres).where(F.col("metres") <= radius).select("id", "other", "metres")
@@ -44,22 +46,24 @@ def transfers(stops: DataFrame, radius: float = 500.0) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame, bound: float, rounds: int | None = None) -> DataFrame:
     """(source, node, cost) of every node reached: nodes whose cost is at most bound are expanded, others are ends.
 
-    Bellman-Ford in rounds over edges (src, dst, cost); only what a round has improved goes on. Each round is checkpointed, so the plan
-    doesn't grow; it needs a checkpoint folder. Costs aren't negative, so the rounds end by themselves; if rounds are given and
+    Bellman-Ford in rounds over edges (src, dst, cost); only what a round has improved goes on. Each round is written, so the plan
+    doesn't grow. Costs aren't negative, so the rounds end by themselves; if rounds are given and
     don't suffice, that is an error.
     """
     if not edges.where("cost < 0").isEmpty():
         raise ValueError("an edge has a negative cost")
-    edges = edges.select("src", "dst", "cost").groupBy("src", "dst").agg(F.min("cost").alias("cost")).checkpoint()
-    best = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")).checkpoint()
+    edges = written(edges.select("src", "dst", "cost").groupBy("src", "dst").agg(F.min("cost").alias("cost")), "edges")
+    best = written(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")), "best")
     front = best
     for done in count():
         hop = front.where(F.col("cost") <= bound).select("source", F.col("node").alias("src"), F.col("cost").alias("so_far")).join(edges, "src")
-        hop = hop.groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("so_far") + F.col("cost")).alias("new"))
-        front = hop.join(best, ["source", "node"], "left").where("cost is null or new < cost").select("source", "node", F.col("new").alias("cost")).checkpoint()
+        hop = hop.select("source", F.col("dst").alias("node"), (F.col("so_far") + F.col("cost")).alias("new"), F.lit(None).cast("double").alias("cost"))
+        # hops and what is known meet in one aggregation, which gives both the new state and what has improved
+        both = hop.union(best.select("source", "node", F.lit(None).cast("double"), "cost")).groupBy("source", "node").agg(F.min("new").alias("new"), F.min("cost").alias("cost"))
+        better = F.col("cost").isNull() | (F.col("new") < F.col("cost"))
+        state = written(both.select("source", "node", F.least("cost", "new").alias("cost"), F.coalesce(better, F.lit(False)).alias("better")), "best")
+        best, front = state.select("source", "node", "cost"), state.where("better").select("source", "node", "cost")
         if front.isEmpty():
-            break
+            return best
         if rounds is not None and done + 1 >= rounds:
             raise RuntimeError(f"paths aren't complete after {rounds} rounds")
-        best = best.union(front).groupBy("source", "node").agg(F.min("cost").alias("cost")).checkpoint()
-    return best

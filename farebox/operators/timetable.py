@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from farebox.sources.shared import written
 
 #: Seconds of a slice of departures.
 SLICE = 1800
@@ -58,18 +59,18 @@ def earliest_arrivals(events: DataFrame, footpaths: DataFrame, origins: DataFram
     """(origin, stop, boardings, arr): the earliest arrival at each stop with each number of boardings, if it is earlier than with fewer.
 
     Rounds of joins: board the earliest trip of each route that leaves a stop late enough, ride to all later stops, walk on. Only
-    stops that a round has improved are boarded in the next. The timetable is checkpointed once, each round too.
+    stops that a round has improved are boarded in the next. The timetable is written once, and of each round what it has improved.
 
     A departure is found by an equi-join: it is the one to board for arrivals after the departure before it, up to its own time, and stands in
     each slice of SLICE seconds that this interval meets. So a stop's arrival meets the departures of one slice, not those of the day.
     """
-    best = origins.select("origin", F.col("origin").alias("stop"), F.lit(0).alias("boardings"), F.col("at").alias("arr")).checkpoint()
-    out, front = best, best
+    front = written(origins.select("origin", F.col("origin").alias("stop"), F.lit(0).alias("boardings"), F.col("at").alias("arr")), "round")
+    out = front
     each = events.groupBy("stop", "route", "pos", "dep").agg(F.min("trip").alias("trip"))
     covered = each.withColumn("before", F.coalesce(F.lag("dep").over(Window.partitionBy("stop", "route", "pos").orderBy("dep")), F.lit(-1)))
     slices = F.sequence(F.floor((F.col("before") + 1) / SLICE), F.floor(F.col("dep") / SLICE))
-    boards = covered.where("dep >= 0").select("stop", "route", "pos", "dep", "trip", "before", F.explode(slices).alias("slice")).checkpoint()
-    rides = events.select("trip", F.col("pos").alias("to"), "stop", "arr").checkpoint()
+    boards = written(covered.where("dep >= 0").select("stop", "route", "pos", "dep", "trip", "before", F.explode(slices).alias("slice")), "boards")
+    rides = written(events.select("trip", F.col("pos").alias("to"), "stop", "arr"), "rides")
     for n in range(1, boardings + 1):
         ready = front.select("origin", "stop", (F.col("arr") + F.lit(0 if n == 1 else slack)).alias("ready"))
         met = ready.withColumn("slice", F.floor(F.col("ready") / SLICE)).join(boards, ["stop", "slice"]).where("before < ready and ready <= dep")
@@ -77,12 +78,14 @@ def earliest_arrivals(events: DataFrame, footpaths: DataFrame, origins: DataFram
         board = board.groupBy("origin", F.col("b.trip").alias("trip")).agg(F.min("pos").alias("pos"))
         ride = board.join(rides, "trip").where("to > pos").groupBy("origin", "stop").agg(F.min("arr").alias("arr"))
         walk = ride.join(footpaths, ride.stop == footpaths.src).select("origin", F.col("dst").alias("stop"), (F.col("arr") + F.col("seconds")).alias("arr"))
-        new = ride.union(walk).groupBy("origin", "stop").agg(F.min("arr").alias("arr"))
-        known = best.groupBy("origin", "stop").agg(F.min("arr").alias("old"))
-        front = new.join(known, ["origin", "stop"], "left").where("old is null or arr < old").select("origin", "stop", F.lit(n).alias("boardings"), "arr").checkpoint()
+        # new arrivals and those known so far meet in one aggregation; what is known comes last among equals
+        none = F.lit(None).cast("long")
+        both = ride.union(walk).select("origin", "stop", F.col("arr").cast("long").alias("arr"), none.alias("old")).union(out.select("origin", "stop", none, F.col("arr").cast("long")))
+        least = both.groupBy("origin", "stop").agg(F.min("arr").alias("arr"), F.min("old").alias("old"))
+        front = written(least.where("arr is not null and (old is null or arr < old)").select("origin", "stop", F.lit(n).alias("boardings"), "arr"), "round")
         if front.isEmpty():
             break
-        best, out = best.union(front).checkpoint(), out.union(front)
+        out = out.union(front)
     return out
 
 
@@ -128,16 +131,19 @@ def interpolated(trips: DataFrame, factor: float) -> DataFrame:
     return made.union(single)
 
 
-def added_route(spark, route: int, stops: list[int], first: int, last: int, headway: int, legs: list[int], dwell: int = 30, missing: int = 300) -> DataFrame:
-    """The stop events of a new route: a trip every headway seconds, the last one included; legs that aren't given take missing seconds."""
-    base = spark.range(first, last + 1, headway).select(((F.col("id") - first) / headway).cast("int").alias("turn"), F.col("id").cast("int").alias("start"))
-    at, rows = 0, []
-    for pos, stop in enumerate(stops):
-        if pos:
-            at += legs[pos - 1] if pos - 1 < len(legs) else missing
-        rows.append(F.struct(F.lit(pos).alias("pos"), F.lit(stop).alias("stop"), (F.col("start") + at).alias("arr"), (F.col("start") + at + dwell).alias("dep")))
-        at += dwell
-    return base.select(F.lit(route).alias("route"), "turn", F.explode(F.array(*rows)).alias("e")).select("route", "turn", "e.*")
+def added_routes(routes: DataFrame, stops: DataFrame, dwell: int = 30, missing: int = 300) -> DataFrame:
+    """The stop events (route, turn, pos, stop, arr, dep) of new routes: routes (route, first, last, headway), a trip every headway seconds, the last
+    one included; stops (route, pos, stop, leg): leg is the ride from the stop before in seconds, `missing` where it isn't given.
+
+    Offsets are a sum along each route, departures an explosion of its row; both meet by route. Routes without stops have no events.
+    """
+    along = Window.partitionBy("route").orderBy("pos")
+    ride = F.when(F.row_number().over(along) == 1, 0).otherwise(F.coalesce("leg", F.lit(missing)))
+    timed = stops.withColumns({"_ride": ride, "_n": F.row_number().over(along) - 1})
+    offsets = timed.select("route", "pos", "stop", (F.sum("_ride").over(along) + F.col("_n") * dwell).alias("offset"))
+    starts = routes.select("route", F.posexplode(F.when(F.col("last") >= F.col("first"), F.sequence("first", "last", "headway"))).alias("turn", "start"))
+    arr = F.col("start") + F.col("offset")
+    return starts.join(offsets, "route").select("route", "turn", "pos", "stop", arr.alias("arr"), (arr + dwell).alias("dep"))
 
 
 def overlay(base: DataFrame, disabled: DataFrame, changed: DataFrame, added: DataFrame, key: str = "route") -> DataFrame:
@@ -185,3 +191,13 @@ def edited(base: DataFrame, edits: DataFrame, key: str = "route") -> DataFrame:
     value = F.when(F.col("e").isNull(), F.col("_old")).otherwise(F.col("e.value"))
     kept = F.when(F.col("e").isNull(), True).when(F.col("e.action") == "disable", False).when(F.col("e.action") == "change", F.coalesce("_is", F.lit(False))).otherwise(True)
     return met.where(kept).select(key, value.alias("value"))
+
+
+def compared(base: DataFrame, scenario: DataFrame, key: str = "request", order: str = "place") -> DataFrame:
+    """For each request of base the difference that a scenario makes: itineraries (their number), minutes and transfers of the first one, and change
+    (better, worse, same, or lost without any). Both: request, place, seconds, transfers. Each side is one row a request before they are joined."""
+    first = lambda df, x: df.groupBy(key).agg(F.min_by(F.struct("seconds", "transfers"), F.struct(order, "seconds", "transfers")).alias(f"f{x}"), F.count("*").alias(f"n{x}"))
+    met = first(base, 0).join(first(scenario, 1), key, "left")
+    seconds = F.col("f1.seconds") - F.col("f0.seconds")
+    change = F.when(F.col("n1").isNull(), "lost").when(seconds < 0, "better").when(seconds > 0, "worse").otherwise("same")
+    return met.select(key, (F.coalesce("n1", F.lit(0)) - F.col("n0")).alias("itineraries"), (seconds / 60).alias("minutes"), (F.col("f1.transfers") - F.col("f0.transfers")).alias("transfers"), change.alias("change"))

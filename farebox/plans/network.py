@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from farebox.functions import arrays, geo, text, times
-from farebox.operators import journeys, spatial
+from farebox.operators import journeys, quantiles, spatial
 from farebox.operators import timetable as tt
 from farebox.plans.derive import read
 
@@ -125,8 +125,11 @@ def index_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS least, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS most FROM events GROUP BY event_type")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(v).alias("n"), r6(F.avg(v), "mean"), r6(F.stddev_samp(v), "std"), F.min(v).alias("least"), *(r6(F.percentile(v, q), n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))), F.max(v).alias("most"))
+    v, rows = F.col("value"), read(spark, sf_dir, "events")
+    sums = rows.groupBy("event_type").agg(F.count(v).alias("n"), r6(F.avg(v), "mean"), r6(F.stddev_samp(v), "std"), F.min(v).alias("least"), F.max(v).alias("most"))
+    quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    found = quantiles.quantiles(rows, ["event_type"], "value", quarters).select(F.col("event_type").alias("_type"), *(r6(F.col(q), q) for q in quarters))
+    return sums.join(found, F.col("event_type").eqNullSafe(F.col("_type")), "left").drop("_type")
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.absent'), 'none') AS absent FROM events")
@@ -298,11 +301,20 @@ def headway_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tt.interpolated(_trips(spark, sf_dir), 0.4).select("route", F.col("turn").cast("long").alias("turn"), "dep")
 
 
-@query("SELECT 99 AS route, (s - 18000) // 1200 AS turn, pos, 100 + pos AS stop, s + [0, 210, 540][pos + 1] AS arr, s + [0, 210, 540][pos + 1] + 30 AS dep FROM range(18000, 36001, 1200) r(s), range(0, 3) p(pos)")
+@query("""WITH r AS (SELECT 100 + n_nationkey AS route, 18000 + n_nationkey * 60 AS first, 18000 + n_nationkey * 500 AS last, 600 + n_nationkey % 5 * 300 AS headway, n_nationkey FROM nation),
+ s AS (SELECT route, row_number() OVER w - 1 AS pos, s_suppkey AS stop, CASE WHEN s_suppkey % 4 = 0 THEN 300 ELSE 60 + s_suppkey * 7 % 500 END AS leg
+   FROM supplier JOIN r ON n_nationkey = s_nationkey WINDOW w AS (PARTITION BY route ORDER BY s_suppkey)),
+ c AS (SELECT *, sum(CASE WHEN pos = 0 THEN 0 ELSE leg END) OVER (PARTITION BY route ORDER BY pos) + pos * 30 AS at_ FROM s),
+ t AS (SELECT route, unnest(range(first, last + 1, headway)) AS start, first, headway FROM r)
+ SELECT route, (start - first) // headway AS turn, pos, stop, CAST(start + at_ AS BIGINT) AS arr, CAST(start + at_ + 30 AS BIGINT) AS dep FROM t JOIN c USING (route)""")
 def add_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A trip every 20 minutes; the second leg's time isn't given, so it takes five minutes."""
-    made = tt.added_route(spark, 99, [100, 101, 102], 18_000, 36_000, 1200, [180])
-    return made.select("route", *(F.col(c).cast("long").alias(c) for c in ("turn", "pos", "stop", "arr", "dep")))
+    """A route for each nation along its suppliers; legs whose time isn't given take five minutes."""
+    n, key = F.col("n_nationkey"), F.col("s_suppkey")
+    routes = read(spark, sf_dir, "nation").select((100 + n).alias("route"), (18_000 + n * 60).alias("first"), (18_000 + n * 500).alias("last"), (600 + n % 5 * 300).alias("headway"))
+    order = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    stops = read(spark, sf_dir, "supplier").select((100 + F.col("s_nationkey")).alias("route"), (F.row_number().over(order) - 1).alias("pos"), key.alias("stop"), F.when(key % 4 != 0, 60 + key * 7 % 500).alias("leg"))
+    made = tt.added_routes(routes, stops)
+    return made.select(*(F.col(c).cast("long").alias(c) for c in ("route", "turn", "pos", "stop", "arr", "dep")))
 
 
 @query(f"WITH {_TRIPS_SQL} SELECT route, turn, dep FROM t WHERE route NOT IN (3, 4, 5) UNION ALL SELECT route, turn, dep + 60 FROM t WHERE route = 5 UNION ALL SELECT 77, 0, 20000")

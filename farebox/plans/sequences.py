@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from farebox.functions import notation, tolerant
-from farebox.operators import journeys, legs
+from farebox.operators import journeys, legs, matching
+from farebox.operators import timetable as tt
 from farebox.plans import derive as d
+from farebox.plans import matching as matching_plans
 from farebox.plans.registry import Registry, r6
 
 _registry = Registry()
@@ -172,3 +174,78 @@ def journeys_by_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     taps = d.read(spark, sf_dir, "events").select(F.col("user_id").alias("card"), F.col("event_id").alias("tap_id"), at.alias("at"), (F.col("event_id") % 3 == 0).alias("first"))
     told = journeys.sessions(taps, start=F.col("first"))
     return told.groupBy("card", "journey").agg(F.min("at").alias("start"), F.max("at").alias("last"), F.count("*").alias("legs"))
+
+
+@query("""WITH t AS (SELECT o_custkey % 40 AS origin, o_orderkey % 40 AS destination, (o_orderkey * 37) % 86400 // 900 AS bucket FROM orders)
+SELECT origin, destination, bucket, count(*) AS trips FROM t WHERE origin <> destination GROUP BY 1, 2, 3""")
+def od_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips by origin, destination and quarter of an hour."""
+    trips = d.read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("origin"), (F.col("o_orderkey") % 40).alias("destination"), F.pmod(F.col("o_orderkey") * 37, F.lit(86_400)).alias("at"))
+    return journeys.demand(trips.where("origin <> destination"), "origin", "destination")
+
+
+@query(f"""SELECT l_orderkey AS chain_id, count(*) - 1 AS transfers, string_agg(CASE WHEN l_suppkey % 3 = 0 THEN 'SUBWAY' ELSE 'BUS' END, '>' ORDER BY {_ORDER}) AS modes,
+  string_agg(CASE WHEN l_partkey % 5 = 0 THEN '-' ELSE CAST(l_suppkey AS VARCHAR) END, '>' ORDER BY {_ORDER}) AS stops FROM lineitem GROUP BY 1""")
+def chain_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The modes and boardings of a chain in the order of its legs; an unknown boarding keeps its place."""
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_ORDER.split(", ")))
+    mode, stop = F.when(F.col("l_suppkey") % 3 == 0, "SUBWAY").otherwise("BUS"), F.when(F.col("l_partkey") % 5 != 0, F.col("l_suppkey").cast("string"))
+    rides = d.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chain_id"), number.alias("leg"), mode.alias("mode"), stop.alias("stop"))
+    told = journeys.chain_lists(rides, "mode", "stop")
+    return told.select("chain_id", F.col("transfers").cast("long").alias("transfers"), F.array_join("mode", ">").alias("modes"), F.array_join("stop", ">", "-").alias("stops"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, min(CASE WHEN l_returnflag <> 'R' THEN l_quantity END) AS ride FROM lineitem GROUP BY 1)
+SELECT o_orderkey, round(ride, 6) AS ride, substr(o_orderpriority, 1, 1) AS user_type FROM orders JOIN a ON l_orderkey = o_orderkey WHERE ride IS NOT NULL""")
+def known_rides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains with a ride whose time is known: those that the join leaves without one go."""
+    ride = F.min(F.when(F.col("l_returnflag") != "R", F.col("l_quantity"))).alias("ride")
+    known = d.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(ride)
+    rows = d.read(spark, sf_dir, "orders").join(known, "o_orderkey", "left").na.drop(subset=["ride"])
+    return rows.select("o_orderkey", r6("ride", "ride"), F.substring("o_orderpriority", 1, 1).alias("user_type"))
+
+
+@query("""WITH b AS (SELECT o_orderkey, l_linenumber, l_quantity * 60 AS seconds, l_suppkey % 3 AS transfers, l_partkey % 4 AS group_ FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+base AS (SELECT o_orderkey, min((l_linenumber, seconds, transfers)) AS f, count(*) AS n FROM b GROUP BY 1),
+now AS (SELECT o_orderkey, min((l_linenumber, seconds, transfers)) AS f, count(*) AS n
+  FROM (SELECT * REPLACE (seconds + CASE WHEN group_ = 1 THEN 240 ELSE 0 END AS seconds) FROM b WHERE group_ <> 0) GROUP BY 1)
+SELECT o_orderkey, coalesce(now.n, 0) - base.n AS itineraries, round((now.f[2] - base.f[2]) / 60, 6) AS minutes, now.f[3] - base.f[3] AS transfers,
+  CASE WHEN now.n IS NULL THEN 'lost' WHEN now.f[2] < base.f[2] THEN 'better' WHEN now.f[2] > base.f[2] THEN 'worse' ELSE 'same' END AS change
+FROM base LEFT JOIN now USING (o_orderkey)""")
+def compared_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request with and without a scenario, which closes some routes and slows others: the first itinerary's minutes and transfers, the number of itineraries."""
+    group = F.col("l_partkey") % 4
+    base = d.read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("place"), (F.col("l_quantity") * 60).alias("seconds"), (F.col("l_suppkey") % 3).alias("transfers"), group.alias("group"))
+    base = base.join(d.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request")), F.col("l_orderkey") == F.col("request"))
+    slowed = base.where("group <> 0").withColumn("seconds", F.col("seconds") + F.when(F.col("group") == 1, 240).otherwise(0))
+    told = tt.compared(base, slowed, "request", "place")
+    return told.select(F.col("request").alias("o_orderkey"), F.col("itineraries").cast("long").alias("itineraries"), r6("minutes", "minutes"), "transfers", "change")
+
+
+@query(f"""WITH RECURSIVE {matching_plans._LEGS_SQL}{matching_plans._lcs_sql("r", "cr", "ar")}{matching_plans._lcs_sql("m", "cm", "am")},
+s AS (SELECT q.*, coalesce(l_r.n, 0) / greatest(len(cr), len(ar)) AS route_lcs, coalesce(l_m.n, 0) / greatest(len(cm), len(am)) AS mode_lcs,
+  len(list_intersect(cr, ar)) / len(list_distinct(list_concat(cr, ar))) AS jaccard, CASE WHEN cd > 0 THEN 1 - least(abs(cd - ad) / cd, 1) ELSE 0 END AS time_sim
+  FROM q LEFT JOIN l_r USING (chain_id, alt_id) LEFT JOIN l_m USING (chain_id, alt_id))
+SELECT chain_id, alt_id, CASE WHEN cr = ar THEN 1 ELSE 0 END AS exact, CASE WHEN cm = am THEN 1 ELSE 0 END AS mode_match, round(route_lcs, 6) AS route_lcs,
+  round(0.5 * route_lcs + 0.1 * mode_lcs + 0.3 * jaccard + 0.1 * time_sim, 6) AS score FROM s""")
+def baseline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simplified score of every alternative of a chain, from routes, modes and times alone."""
+    orders = d.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chain_id"), F.col("o_custkey").alias("od_id"), "o_orderstatus", F.col("o_totalprice").alias("duration"))
+    lists = journeys.chain_lists(matching_plans._legs(spark, sf_dir), "route", "mode").select("chain_id", F.col("route").alias("routes"), F.col("mode").alias("modes"))
+    trips = orders.where("o_orderstatus in ('P', 'O')").join(lists, "chain_id")
+    chains = trips.where("o_orderstatus = 'P'").drop("o_orderstatus")
+    alternatives = trips.where("o_orderstatus = 'O'").drop("o_orderstatus").withColumnRenamed("chain_id", "alt_id")
+    rows = matching.with_baseline_scores(matching.pairs_of(chains, alternatives))
+    return rows.select(F.col("c_chain_id").alias("chain_id"), F.col("a_alt_id").alias("alt_id"), "exact", "mode_match", r6("route_lcs", "route_lcs"), r6("score", "score"))
+
+
+@query("""WITH r AS (SELECT o_orderkey, (o_orderkey * 37) % 86400 // 3600 AS hour, count(l_orderkey) FILTER (l_returnflag = 'R') AS found FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT hour, count(*) AS failed, round(count(*) / sum(count(*)) OVER (), 6) AS share, CASE WHEN hour = 23 OR hour <= 5 THEN 1 ELSE 0 END AS night FROM r WHERE found = 0 GROUP BY 1""")
+def failed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the requests leave for which no itinerary was found."""
+    found = d.read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    failed = d.read(spark, sf_dir, "orders").join(found, "o_orderkey", "left_anti")
+    hour = F.floor(F.pmod(F.col("o_orderkey") * 37, F.lit(86_400)) / 3600)
+    rows = failed.groupBy(hour.alias("hour")).agg(F.count("*").alias("failed"))
+    share = F.col("failed") / F.sum("failed").over(Window.partitionBy())  # 24 rows
+    return rows.select("hour", "failed", r6(share, "share"), ((F.col("hour") == 23) | (F.col("hour") <= 5)).cast("int").alias("night"))

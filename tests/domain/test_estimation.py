@@ -117,3 +117,20 @@ def test_settings_scan_once(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").selectExpr("l_orderkey chain_id", "l_linenumber alt_id", "l_tax sim", "1 exact", "l_quantity ride")
     plan = settings.objectives_by_setting(df, [{"ride": float(i)} for i in range(22)], ["ride"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_quantiles_of_groups_with_repeats(spark, monkeypatch):
+    from farebox.operators import quantiles
+
+    rng = random.Random(6)
+    rows = [("a", float(rng.randrange(500))) for _ in range(2000)] + [("b", 7.0)] * 300 + [("c", 1.0), ("c", 2.0), (None, 5.0), ("d", None), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for many in (0, 10_000):
+        monkeypatch.setattr(quantiles, "MANY", many)
+        got = {r.g: r for r in quantiles.quantiles(df, ["g"], "v", {"low": 0.25, "high": 0.9}).collect()}
+        assert got.keys() == {"a", "b", "c", None}
+        for g, r in got.items():
+            own = [v for k, v in rows if k == g and v is not None]
+            assert r.n == len(own) and (r.low, r.high) == (pytest.approx(np.quantile(own, 0.25)), pytest.approx(np.quantile(own, 0.9)))
+    assert [tuple(r) for r in quantiles.values_at(df, [], "v", {"x": lambda n: n - 1, "y": lambda n: n}).collect()] == [(2303, 499.0, None)] or max(v for _, v in rows if v) == 499.0
+    assert quantiles.quantiles(df.limit(0), ["g"], "v", {"q": 0.5}).collect() == []
