@@ -6,7 +6,8 @@ in one task, in batches: a greedy search proposes neighbours for the new nodes,
 diverse edges, which are then also entered backwards. One more coordinate, sqrt(M^2 - |x|^2) with M the largest norm of
 the shard, makes the largest inner product the smallest distance. Shards are written as one row each.
 
-Queries come in blocks of about BLOCK and meet every shard of their dimension in an equi-join. A beam search of width BEAM proposes a
+Queries come in blocks of about BLOCK. A shard goes to one task, once, and is followed there by all blocks of its dimension, which stream past it
+in the order of a sort; so a task holds one shard and one block. A beam search of width BEAM proposes a
 shard's nodes, their inner products are computed in double precision from the original vectors, and the best K of all
 shards stay. A shard with at most BEAM nodes is searched whole.
 
@@ -28,6 +29,8 @@ from farebox.llm.common import table, written
 K = 20
 SHARD = 3072
 BLOCK = 1024
+#: Tasks of a search at most.
+TASKS = 10_000
 DEGREE = 28
 BEAM = 64
 BUILD_BEAM = 48
@@ -232,24 +235,29 @@ def search(queries: DataFrame, index: DataFrame, k: int = K, beam: int = BEAM, b
     blocks = queries.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks")).join(ranges, "dim")
     dealt = queries.join(blocks, "dim").groupBy("dim", "first", "last", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"))
     dealt = dealt.agg(F.collect_list("vec_id").alias("names"), F.flatten(F.collect_list("embedding")).alias("q"))
-    met = dealt.select("names", "q", F.explode(F.sequence("first", "last")).alias("shard")).join(index, "shard")
+    asked = dealt.select(F.explode(F.sequence("first", "last")).alias("shard"), F.lit(True).alias("asks"), "names", "q")
+    shards = index.withColumn("asks", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    tasks = max(1, min(index.count(), TASKS))
+    met = shards.repartition(tasks, "shard").sortWithinPartitions("shard", "asks")
 
     def find(batches):
+        here = None
         for batch in batches:
             for i in range(batch.num_rows):
-                names, q, ids, vectors, edges, dim, most = (batch.column(c)[i] for c in ("names", "q", "ids", "vectors", "edges", "dim", "most"))
-                if most.as_py() < k:
-                    raise ValueError(f"the index is for {most.as_py()} neighbours at most, not {k}")
-                dim = dim.as_py()
-                vectors = np.frombuffer(vectors.as_buffer(), "<f8").reshape(-1, dim)
-                edges = np.frombuffer(edges.as_buffer(), "<i4").reshape(len(vectors), -1).astype(np.int64)
-                got = [*_search_shard(ids.as_py(), vectors, lifted(vectors), edges, names.values.to_numpy(), q.values.to_numpy().reshape(-1, dim), k, beam)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
-                    names=["query_id", "ids", "scores"],
-                )
-
-    found = met.select("names", "q", "ids", "vectors", "edges", "dim", "most").mapInArrow(find, "query_id long, ids array<long>, scores array<double>")
+                shard, asks, names, q, ids, vectors, edges, dim, most = (batch.column(c)[i] for c in ("shard", "asks", "names", "q", "ids", "vectors", "edges", "dim", "most"))
+                if not asks.as_py():
+                    if most.as_py() < k:
+                        raise ValueError(f"the index is for {most.as_py()} neighbours at most, not {k}")
+                    own = np.frombuffer(vectors.as_buffer(), "<f8").reshape(-1, dim.as_py())
+                    here = shard.as_py(), ids.as_py(), own, lifted(own), np.frombuffer(edges.as_buffer(), "<i4").reshape(len(own), -1).astype(np.int64)
+                elif here and here[0] == shard.as_py():
+                    got = [*_search_shard(*here[1:], names.values.to_numpy(), q.values.to_numpy().reshape(len(names), -1), k, beam)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
+                        names=["query_id", "ids", "scores"],
+                    )
+
+    found = met.mapInArrow(find, "query_id long, ids array<long>, scores array<double>")
     each = found.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("f")).select("query_id", F.col("f.ids").alias("vec_id"), F.col("f.scores").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
