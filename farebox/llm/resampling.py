@@ -193,10 +193,13 @@ def noise(doc_id: str = "doc_id", seed: int = 7) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / F.lit(4294967296.0)))).cast("long")
 
 
-def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", least_words: int = LEAST_WORDS, share: int = SHARE, longest: int = LONGEST, buckets: int = BUCKETS, seed: int = 7) -> DataFrame:
-    """docs with n_words, n_features, weight, score and rank: of the documents with enough words, share percent with the highest scores have ranks from 1 on."""
+def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", target_text: str = "text", least_words: int = LEAST_WORDS, share: int = SHARE, longest: int = LONGEST, buckets: int = BUCKETS, seed: int = 7, columns: list[str] | None = None) -> DataFrame:
+    """docs with n_words, n_features, weight, score and rank: of the documents with enough words, share percent with the highest scores have ranks from 1 on.
+
+    columns: those of docs that the result keeps, doc_id among them (None: all). What is kept is written and put in order with the scores.
+    """
     both = [{r.bucket: r.n for r in bucket_counts(df, c, longest, buckets).collect()} for df, c in ((docs, text), (target, target_text))]
-    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_features", "weight", "score", "rank", "_w")]
+    kept = [c for c in columns or docs.columns if c.lower() not in ("n_words", "n_features", "weight", "score", "rank", "_w")]
     rows = docs.select(*kept, weighed(text_or_empty(text), gains(*both, buckets), longest).alias("_w")).select(*kept, "_w.*")
     scored = written(rows.withColumn("score", F.col("weight") + noise(doc_id, seed)), "weights")
     enough = scored.where(F.col("n_words") >= least_words)
@@ -207,4 +210,4 @@ def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: s
 
 def op13_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+    return resample(docs, table(spark, sf_dir, "benchmark"), columns=["doc_id"]).select("doc_id", "n_features", "weight", "score", "rank")
