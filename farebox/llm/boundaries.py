@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -36,9 +37,9 @@ from farebox.llm.encode import Memory
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that are cut at once.
-WINDOW = 1 << 20
+WINDOW = 1 << 21
 #: Fragments that a generation of a worker's memory holds, each up to SHORT bytes.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 SHORT = 64
 #: Single bytes that some library takes for white space: controls 9 to 13 and 28 to 31, and the blank.
 _BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
@@ -131,13 +132,14 @@ class Boundaries:
 
     def _fragments(self, data: np.ndarray, texts: np.ndarray) -> np.ndarray:
         """Where the fragments of data start, and its end. texts: where texts start, and the end."""
-        inner = self.cuts(data) if data.size > 1 else np.empty(0, np.int64)
-        marked = self._marked(data, texts)
-        if marked:
-            starts, ends = np.array(marked).T
-            inner = inner[np.searchsorted(starts, inner, "left") == np.searchsorted(ends, inner, "right")]
-            inner = np.concatenate([inner, starts, ends])
-        return np.unique(np.concatenate([inner, texts]))
+        here = np.zeros(data.size + 1, bool)
+        if data.size > 1:
+            here[self.cuts(data)] = True
+        for start, end in self._marked(data, texts):
+            here[start : end + 1] = False
+            here[[start, end]] = True
+        here[texts] = True
+        return np.flatnonzero(here)
 
     def _ids_of(self, fragments: list[str]) -> list[bytes]:
         found = self.memory.get(fragments)
@@ -146,7 +148,7 @@ class Boundaries:
             got = self.tokenizer.encode_batch_fast([fragments[i] for i in missed], add_special_tokens=False)
             short_keys, short_ids = [], []
             for i, e in zip(missed, got, strict=True):
-                found[i] = np.array(e.ids, np.int32).tobytes()
+                found[i] = array("i", e.ids).tobytes()
                 if len(fragments[i]) <= SHORT:
                     short_keys.append(fragments[i])
                     short_ids.append(found[i])
