@@ -45,6 +45,8 @@ from farebox.llm.graph import connected_components
 PAIRED = 64
 #: Parities that stand for a set of shingles where candidates are sifted.
 BITS = 512
+#: Numbers of the table of frequencies, and blocks in which it is summed up.
+CELLS, CELL_BLOCKS = 1 << 20, 256
 #: Keys of a set of shingles, and the minimal hashes in each.
 BANDS, ROWS = 24, 5
 #: Pairs that one copy of a text meets in one task.
@@ -232,34 +234,65 @@ def _near(similarity: float) -> Column:
     return (F.col("n_u") >= F.col("n_v") * similarity - 1e-9) & (F.col("n_v") >= F.col("n_u") * similarity - 1e-9)
 
 
+def _frequencies(texts: DataFrame, width: int) -> np.ndarray:
+    """How often shingles occur in texts, by the last bits of their hash: at least their number, and exact for those that share theirs with no other.
+
+    A task adds its shingles up in one table, and gives a row for each block of it that isn't empty; blocks are summed up block by block. The table
+    has CELLS numbers whatever the input, so it may come to the driver and go to every task.
+    """
+    size = CELLS // CELL_BLOCKS
+
+    def counted(batches):
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                np.add.at(cells, shingles(t.as_py(), width) & (CELLS - 1), 1)
+        some = np.flatnonzero(cells.reshape(CELL_BLOCKS, size).any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([cells[i * size : (i + 1) * size].tobytes() for i in some], pa.binary())], names=["block", "cells"])
+
+    def summed(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.int64) for c in rows.column("cells").to_pylist())
+        return pa.table({"block": rows.column("block").slice(0, 1), "cells": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((CELL_BLOCKS, size), np.int64)
+    for r in texts.select("text").mapInArrow(counted, "block long, cells binary").groupBy("block").applyInArrow(summed, "block long, cells binary").collect():
+        out[r.block] = np.frombuffer(bytes(r.cells), np.int64)
+    return np.minimum(out.ravel(), (1 << 32) - 1).astype(np.uint32)
+
+
 def _across(members: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Candidates (u, v) between different components: members (fp, n, root) that share a shingle of their prefixes."""
+    """Candidates (u, v) between different components: members (fp, n, root) that share a shingle of their prefixes.
+
+    A prefix is the rarest shingles of a set, so many that two similar sets share one. What order they are in doesn't matter, as long as it is one for
+    all; by their frequencies few sets meet. So only prefixes become rows.
+    """
+    own = texts.join(members, "fp")
+    frequency = _frequencies(own, width)
 
     def run(found: pa.Array) -> pa.Array:
-        sets = [shingles(t.as_py(), width) for t in found]
-        offsets = np.concatenate([[0], np.cumsum([x.size for x in sets])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-
-    hashed = texts.join(members, "fp").select("fp", "n", "root", F.explode(F.arrow_udf(run, "array<bigint>")("text")).alias("h"))
-    each = written(hashed, "members")
-    sizes = each.groupBy("h").agg(F.count("*").alias("df"))
-    turn = F.row_number().over(Window.partitionBy("fp").orderBy("df", "h"))
-    kept = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    # the set as BITS parities: sets that differ in x shingles differ in x of them at most
-    whole, bits = Window.partitionBy("fp"), [f"bits{i}" for i in range(BITS // 64)]
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    word = F.pmod(F.shiftright("h", 6), F.lit(len(bits)))
-    parities = {b: F.bit_xor(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).over(whole) for i, b in enumerate(bits)}
-    ranked = each.join(sizes, "h").withColumns({"turn": turn} | parities)
-    prefix = written(ranked.where(F.col("turn") <= kept).where("df > 1").select("fp", "n", "root", "h", "turn", *bits), "prefixes")
+        out = []
+        for t in found:
+            x = shingles(t.as_py(), width)
+            often = frequency[x & (CELLS - 1)]
+            order = np.lexsort((x, often))[: x.size - int(np.ceil(x.size * similarity - 1e-9)) + 1]
+            met = order[often[order] > 1]
+            parity = np.bincount(x & (BITS - 1), minlength=BITS).astype(np.uint8) & 1
+            turn = (np.flatnonzero(often[order] > 1) + 1).tolist()
+            out.append({"bits": np.packbits(parity).view(np.int64).tolist(), "prefix": [{"h": h, "turn": i} for h, i in zip(x[met].tolist(), turn, strict=True)]})
+        return pa.array(out, pa.struct([("bits", pa.list_(pa.int64())), ("prefix", pa.list_(pa.struct([("h", pa.int64()), ("turn", pa.int64())])))]))
+
+    told = F.arrow_udf(run, "struct<bits:array<bigint>,prefix:array<struct<h:bigint,turn:bigint>>>")("text")
+    each = own.select("fp", "n", "root", told.alias("x")).select("fp", "n", "root", "x.bits", F.explode("x.prefix").alias("p"))
+    prefix = written(each.select("fp", "n", "root", "p.h", "p.turn", "bits"), "prefixes")
     # a shingle's most frequent component only meets the others, not itself
     shared = prefix.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("root", "c").alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    u = prefix.join(shared, "h").where("root <> top").select("h", F.col("fp").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"), F.col("turn").alias("turn_u"), *(F.col(b).alias(f"{b}_u") for b in bits))
-    v = prefix.select("h", F.col("fp").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"), F.col("turn").alias("turn_v"), *(F.col(b).alias(f"{b}_v") for b in bits))
+    u = prefix.join(shared, "h").where("root <> top").select("h", *(F.col(c).alias(f"{x}_u" if x else "u") for c, x in (("fp", ""), ("n", "n"), ("root", "root"), ("turn", "turn"), ("bits", "bits"))))
+    v = prefix.select("h", *(F.col(c).alias(f"{x}_v" if x else "v") for c, x in (("fp", ""), ("n", "n"), ("root", "root"), ("turn", "turn"), ("bits", "bits"))))
     # what follows the first shingle that two sets share has to hold the rest of what they need in common
     most = 1 + F.least(F.col("n_u") - F.col("turn_u"), F.col("n_v") - F.col("turn_v"))
     enough = most >= (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-9
-    apart = sum((F.bit_count(F.col(f"{b}_u").bitwiseXOR(F.col(f"{b}_v"))) for b in bits), F.lit(0))
+    # a set as BITS parities: sets that differ in x shingles differ in x of them at most
+    apart = sum((F.bit_count(F.col("bits_u")[i].bitwiseXOR(F.col("bits_v")[i])) for i in range(BITS // 64)), F.lit(0))
     alike = apart <= (F.col("n_u") + F.col("n_v")) * ((1 - similarity) / (1 + similarity)) + 1e-9
     met = u.join(v, "h").where(_near(similarity) & enough & alike & (F.col("root_u") != F.col("root_v")))
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
