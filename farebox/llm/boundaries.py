@@ -24,7 +24,7 @@ from __future__ import annotations
 import json
 import os
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,9 @@ from farebox.llm.encode import Memory
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text that are cut at once.
-WINDOW = 1 << 21
+WINDOW = 1 << 20
 #: Fragments that a generation of a worker's memory holds, each up to SHORT bytes.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 SHORT = 64
 #: Single bytes that some library takes for white space: controls 9 to 13 and 28 to 31, and the blank.
 _BLANK = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
@@ -66,9 +66,6 @@ class Boundaries:
     """A byte-level vocabulary with its certain cuts."""
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
         before = said["pre_tokenizer"] or {}
@@ -76,12 +73,10 @@ class Boundaries:
             raise ValueError("not a byte-level vocabulary with the usual split and no prefix")
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"]):
             raise ValueError("added tokens that take in what stands beside them aren't supported")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         self.added = [t["content"].encode() for t in said["added_tokens"]]
         byte, added = byte_of_character(), {t["id"]: t["content"].encode() for t in said["added_tokens"]}
-        vocab = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        vocab = {i: t for t, i in said["model"]["vocab"].items()} | dict.fromkeys(added)
         raw = [added[i] if i in added else bytes(map(byte.__getitem__, vocab[i])) if i in vocab else b"" for i in range(max(vocab) + 1)]
         #: The bytes of each token, and at the end those of an unknown one.
         self.tokens = pa.array([*raw, b""], pa.large_binary())
@@ -96,6 +91,17 @@ class Boundaries:
         self.certain = (~inside & ~_BLANK[:, None] & starts[None, :]).ravel()
         self.memory = Memory(REMEMBERED)
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer; where ids are only decoded it isn't loaded."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """The places of the certain cuts within the bytes of a text."""
         at = np.flatnonzero(self.certain[data[:-1].astype(np.uint16) << 8 | data[1:]]) + 1
