@@ -11,7 +11,8 @@ executor leaves no half file. A document's place in the whole is its place in it
 ids of the shards before; only one number for each shard is summed up for that.
 
 Edge cases: a null text is empty, so its ids are the end id alone; an empty table gives empty files; a file
-exceeds FILE_IDS ids only by its last document, and a document isn't larger in memory than its text.
+exceeds FILE_IDS ids only by its last document, and a document isn't larger in memory than its text; repeated rows are written each;
+other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

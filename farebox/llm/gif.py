@@ -8,7 +8,8 @@ of each frame, and gives timed frames with a histogram of the canvas that a view
 Everything is done one document at a time, so memory is bounded by the largest text of a batch.
 
 Edge cases: a null text is empty (one row of blanks); equal texts have equal bytes and features; a damaged or
-truncated file raises; an empty table gives an empty one.
+truncated file raises; texts are stored whole, the longest in many frames; other columns aren't read, whatever their names; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations

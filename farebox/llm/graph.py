@@ -1,4 +1,8 @@
-"""Connected components by alternating star contractions, one shuffle-only round after the other."""
+"""Connected components by alternating star contractions, one shuffle-only round after the other.
+
+Edge cases: edges with a null end, and loops, are left out; repeated edges count once; without edges the result is empty; other columns of
+the edges are never read.
+"""
 
 from __future__ import annotations
 
