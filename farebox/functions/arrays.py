@@ -68,6 +68,11 @@ def time_similarity(a: Column, b: Column) -> Column:
     return F.when((a <= 0) | (b <= 0), 0.0).otherwise(1.0 - F.least(F.lit(1.0), F.abs(a - b) / F.greatest(a, b)))
 
 
+def time_difference(a: Column, b: Column) -> Column:
+    """The difference of two durations; -1 where either isn't positive or is unknown."""
+    return F.when((a > 0) & (b > 0), F.abs(a - b)).otherwise(-1)
+
+
 def translated(a: Column, mapping: Column) -> Column:
     """The elements that a map knows, translated, in their order."""
     return F.filter(F.transform(a, lambda x: F.try_element_at(mapping, x)), lambda x: x.isNotNull())

@@ -86,3 +86,17 @@ def polyline(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 def to_seconds(minutes: Column) -> Column:
     """Minutes as text to whole seconds; null for what is no number."""
     return (minutes.try_cast("double") * 60).cast("int")
+
+
+#: How far walks between stops, and walks to and from stops, may be in metres.
+WALKABLE, ACCESSIBLE = 500.0, 800.0
+
+
+def walkable(metres: Column) -> Column:
+    """Whether a transfer may be walked; an unknown distance may not."""
+    return F.coalesce(metres <= WALKABLE, F.lit(False))
+
+
+def accessible(metres: Column) -> Column:
+    """Whether a stop may be walked to; an unknown distance may not."""
+    return F.coalesce(metres <= ACCESSIBLE, F.lit(False))

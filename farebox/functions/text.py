@@ -11,6 +11,11 @@ ROUTE_TYPES = {0: 3, 1: 1, 2: 4, 3: 3, 4: 2, 5: 3, 6: 2, 7: 1100}
 MODES = {1: "SUBWAY", 12: "SUBWAY", 2: "RAIL", 100: "RAIL", 101: "RAIL", 102: "RAIL", 4: "FERRY", 7: "FUNICULAR"}
 
 
+def bare(identifier: Column) -> Column:
+    """An identifier without the feed before its colon."""
+    return F.regexp_replace(identifier, "^[^:]*:", "")
+
+
 def code(identifier: Column) -> Column:
     """The part that matters of ``feed:KIND_REGION_CODE``: what follows the second underscore, or all behind the feed."""
     bare = F.regexp_replace(identifier, "^[^:]*:", "")

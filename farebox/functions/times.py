@@ -54,3 +54,21 @@ def compact_to_seconds(stamp: Column) -> Column:
     """``YYYYMMDDHHMMSS`` as a number to seconds of the day."""
     s = F.pmod(stamp.cast("long"), F.lit(1_000_000))
     return (F.floor(s / 10_000) * 3600 + F.floor(F.pmod(s, F.lit(10_000)) / 100) * 60 + F.pmod(s, F.lit(100))).cast("int")
+
+
+def from_minutes(minutes: Column) -> Column:
+    return (minutes * 60).cast("int")
+
+
+def valid_time(seconds: Column) -> Column:
+    """Whether seconds are within two days; a null time isn't."""
+    return F.coalesce(seconds.between(0, 48 * 3600), F.lit(False))
+
+
+def progress_text(millis: Column) -> Column:
+    """``3h 5m``, ``12m 7s`` or ``41s`` of milliseconds that a run takes; ``...`` for negative ones, which aren't known yet."""
+    seconds = F.floor(millis / 1000).cast("long")
+    whole = lambda n, of: F.pmod(F.floor(seconds / n), F.lit(of)).cast("long")
+    hours = F.floor(seconds / 3600).cast("long")
+    small = F.when(seconds >= 60, F.format_string("%dm %ds", whole(60, 60), whole(1, 60))).otherwise(F.format_string("%ds", seconds))
+    return F.when(millis < 0, "...").when(hours > 0, F.format_string("%dh %dm", hours, whole(60, 60))).otherwise(small)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from farebox.functions import notation, tolerant
+from farebox.functions import arrays, geo, notation, text, times, tolerant
 from farebox.operators import journeys, legs, matching
 from farebox.operators import timetable as tt
 from farebox.plans import derive as d
@@ -249,3 +249,25 @@ def failed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = failed.groupBy(hour.alias("hour")).agg(F.count("*").alias("failed"))
     share = F.col("failed") / F.sum("failed").over(Window.partitionBy())  # 24 rows
     return rows.select("hour", "failed", r6(share, "share"), ((F.col("hour") == 23) | (F.col("hour") <= 5)).cast("int").alias("night"))
+
+
+_SMALL = """s AS (SELECT o_orderkey, (o_orderkey * 7919) % 200000 - 5000 AS seconds, (o_custkey * 104729) % 1200 AS metres, o_custkey % 90 - 10 AS a, o_orderkey % 80 - 5 AS b,
+  '1:BS_' || o_custkey || '_' || o_orderkey AS id FROM orders)"""
+
+
+@query(f"""WITH {_SMALL} SELECT o_orderkey, CASE WHEN seconds < 0 THEN '...' WHEN seconds >= 3600 THEN (seconds // 3600) || 'h ' || (seconds % 3600 // 60) || 'm'
+    WHEN seconds >= 60 THEN (seconds // 60) || 'm ' || (seconds % 60) || 's' ELSE seconds || 's' END AS progress,
+  seconds BETWEEN 0 AND 172800 AS valid, CAST((seconds + 5000) * 60 AS INT) AS back, metres <= 500 AS walkable, metres <= 800 AS accessible,
+  CAST(ceil(metres / 72) AS INT) AS minutes, CASE WHEN a > 0 AND b > 0 THEN abs(a - b) ELSE -1 END AS difference, split_part(id, ':', 2) AS bare FROM s""")
+def small_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of runs, valid times, walks, differences of durations and identifiers without their feed."""
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = d.read(spark, sf_dir, "orders").select(
+        "o_orderkey", (o * 7919 % 200_000 - 5000).alias("seconds"), (c * 104_729 % 1200).alias("metres"), (c % 90 - 10).alias("a"), (o % 80 - 5).alias("b"),
+        F.concat(F.lit("1:BS_"), c, F.lit("_"), o).alias("id"),
+    )
+    s, m = F.col("seconds"), F.col("metres")
+    return rows.select(
+        "o_orderkey", times.progress_text(s * 1000).alias("progress"), times.valid_time(s).alias("valid"), times.from_minutes(s + 5000).alias("back"), geo.walkable(m).alias("walkable"),
+        geo.accessible(m).alias("accessible"), geo.walk_minutes(m).alias("minutes"), arrays.time_difference(F.col("a"), F.col("b")).alias("difference"), text.bare(F.col("id")).alias("bare"),
+    )
