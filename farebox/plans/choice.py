@@ -37,8 +37,10 @@ def mnl_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PICKS_SQL = f"""{d.SCORED_SQL},
 o AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY cost, alt_id) AS rc, row_number() OVER (PARTITION BY chain_id ORDER BY v DESC, alt_id) AS rv,
              row_number() OVER (PARTITION BY chain_id ORDER BY sim DESC, alt_id) AS rs FROM scored),
-picks AS (SELECT chain_id, any_value(user_type) AS user_type, any_value(board_s) AS board_s, any_value(n_alts) AS n_alts, max(CASE WHEN rc = 1 THEN alt_id END) AS cost_alt, max(CASE WHEN rc = 1 THEN sim END) AS cost_sim,
-  max(CASE WHEN rc = 1 THEN n_transfer END) AS transfers, max(CASE WHEN rv = 1 THEN alt_id END) AS v_alt, max(CASE WHEN rv = 1 THEN sim END) AS v_sim, max(CASE WHEN rs = 1 THEN sim END) AS best_sim, sum(p * sim) AS f1
+picks AS (SELECT chain_id, any_value(user_type) AS user_type, any_value(board_s) AS board_s, any_value(n_alts) AS n_alts, max(CASE
+  WHEN rc = 1 THEN alt_id END) AS cost_alt, max(CASE WHEN rc = 1 THEN sim END) AS cost_sim,
+  max(CASE WHEN rc = 1 THEN n_transfer END) AS transfers, max(CASE WHEN rv = 1 THEN alt_id END) AS v_alt, max(CASE WHEN rv = 1 THEN sim END) AS v_sim,
+  max(CASE WHEN rs = 1 THEN sim END) AS best_sim, sum(p * sim) AS f1
   FROM o GROUP BY chain_id)"""
 
 
@@ -93,7 +95,8 @@ def expected_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {d.SCORED_SQL}, t AS (SELECT *, max(v) OVER (PARTITION BY chain_id) AS mv FROM scored),
-  h AS (SELECT chain_id, any_value(user_type) AS user_type, max(CASE WHEN v = mv AND choice = 1 THEN 1 ELSE 0 END) AS hit, sum(CASE WHEN v = mv THEN 1 ELSE 0 END) AS tied, sum(p * choice) AS pc FROM t GROUP BY chain_id)
+  h AS (SELECT chain_id, any_value(user_type) AS user_type, max(CASE WHEN v = mv AND choice = 1 THEN 1 ELSE 0 END) AS hit, sum(CASE WHEN v = mv THEN 1
+  ELSE 0 END) AS tied, sum(p * choice) AS pc FROM t GROUP BY chain_id)
   SELECT user_type, round(avg(hit), 6) AS hit_rate, count(*) FILTER (tied > 1) AS tied_chains, round(avg(pc), 6) AS mean_p FROM h GROUP BY user_type""")
 def hit_rate_any_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hit is any alternative of the largest utility that is the chosen one."""
@@ -103,7 +106,8 @@ def hit_rate_any_tie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {d.SCORED_SQL}, s AS (SELECT count(*) AS chains, sum(ln(p)) AS ll, sum(-ln(n_alts)) AS ll0 FROM scored WHERE choice = 1)
-  SELECT chains, round(ll, 4) AS ll, round(ll0, 4) AS ll0, round(1 - ll / ll0, 6) AS rho2, round(1 - (ll - 4) / ll0, 6) AS rho2_adj, round(8 - 2 * ll, 4) AS aic, round(4 * ln(chains) - 2 * ll, 4) AS bic FROM s""")
+  SELECT chains, round(ll, 4) AS ll, round(ll0, 4) AS ll0, round(1 - ll / ll0, 6) AS rho2, round(1 - (ll - 4) / ll0, 6) AS rho2_adj,
+  round(8 - 2 * ll, 4) AS aic, round(4 * ln(chains) - 2 * ll, 4) AS bic FROM s""")
 def fit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ch.fit_statistics(d.scored(spark, sf_dir), 4)
     return s.select("chains", *(F.round(c, 6 if "rho" in c else 4).alias(c) for c in ("ll", "ll0", "rho2", "rho2_adj", "aic", "bic")))
@@ -171,8 +175,10 @@ def mnl_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, v["beta"], v["se"], v["t"], v["p"]) for n, v in fit.items()], "name string, beta double, se double, t double, p double")
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS size, count(*) OVER () AS total FROM orders),
-  t AS (SELECT *, count(*) OVER (PARTITION BY o_orderstatus) AS taken, count(*) OVER () AS drawn FROM o WHERE k <= floor(CASE o_orderstatus WHEN 'F' THEN 0.5 WHEN 'O' THEN 0.4 WHEN 'P' THEN 0.1 ELSE 0 END * 100))
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR)),
+  o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS size, count(*) OVER () AS total FROM orders),
+  t AS (SELECT *, count(*) OVER (PARTITION BY o_orderstatus) AS taken, count(*) OVER () AS drawn FROM o WHERE k <= floor(CASE o_orderstatus
+  WHEN 'F' THEN 0.5 WHEN 'O' THEN 0.4 WHEN 'P' THEN 0.1 ELSE 0 END * 100))
   SELECT o_orderkey, o_orderstatus, round((size / total) / (taken / drawn), 6) AS weight FROM t""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = d.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
@@ -184,7 +190,8 @@ def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chain_id"), F.when(sampling.split_share("o_orderkey") < 0.8, "train").otherwise("test").alias("part"))
 
 
-@query("""WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*) AS n FROM orders GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS t FROM c),
+@query("""WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*) AS n FROM orders GROUP BY 1, 2), m AS (SELECT *,
+  sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS t FROM c),
   s AS (SELECT sum(n * n / (na * nb / t)) - any_value(t) AS chi2, count(DISTINCT a) AS ra, count(DISTINCT b) AS rb, any_value(t) AS t FROM m)
   SELECT round(chi2, 4) AS chi2, CAST((ra - 1) * (rb - 1) AS BIGINT) AS dof, round(sqrt(chi2 / (t * least(ra - 1, rb - 1))), 6) AS cramers_v FROM s""")
 def contingency_chi2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,10 +38,12 @@ _LEGS_SQL = """codes AS (SELECT s_suppkey % 40 AS id, min(s_suppkey % 40 + 100)
    l_suppkey % 40 AS board, l_partkey % 40 AS alight, CASE WHEN l_returnflag = 'R' OR l_quantity < 10 THEN 'no_route' ELSE 'ok' END AS status
    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)),
  legs AS (SELECT l.*, b.code AS bc, a.code AS ac, m.code AS mc FROM legs0 l LEFT JOIN codes b ON b.id = board LEFT JOIN codes a ON a.id = alight LEFT JOIN codes m ON m.id = (board + alight) % 40),
- j AS (SELECT chain_id, list(route ORDER BY leg) AS routes, list(mode ORDER BY leg) AS modes, coalesce(list(bc ORDER BY leg) FILTER (bc IS NOT NULL), []) AS board, coalesce(list(ac ORDER BY leg) FILTER (ac IS NOT NULL), []) AS alight,
+ j AS (SELECT chain_id, list(route ORDER BY leg) AS routes, list(mode ORDER BY leg) AS modes, coalesce(list(bc
+  ORDER BY leg) FILTER (bc IS NOT NULL), []) AS board, coalesce(list(ac ORDER BY leg) FILTER (ac IS NOT NULL), []) AS alight,
    list_filter(coalesce(flatten(list([bc, mc, ac] ORDER BY leg) FILTER (status = 'ok')), []), lambda x: x IS NOT NULL) AS stops, count(*) AS legs FROM legs GROUP BY 1),
  trips AS (SELECT o_orderkey AS id, o_custkey AS od_id, o_orderstatus AS kind, o_totalprice AS duration, j.* EXCLUDE (chain_id) FROM orders JOIN j ON j.chain_id = o_orderkey),
- pairs AS (SELECT c.id AS chain_id, a.id AS alt_id, c.routes AS cr, a.routes AS ar, c.modes AS cm, a.modes AS am, c.board AS cb, a.board AS ab, c.alight AS ca, a.alight AS aa, c.stops AS cs, a.stops AS as_, c.legs AS cl, a.legs AS al, c.duration AS cd, a.duration AS ad
+ pairs AS (SELECT c.id AS chain_id, a.id AS alt_id, c.routes AS cr, a.routes AS ar, c.modes AS cm, a.modes AS am, c.board AS cb, a.board AS ab,
+  c.alight AS ca, a.alight AS aa, c.stops AS cs, a.stops AS as_, c.legs AS cl, a.legs AS al, c.duration AS cd, a.duration AS ad
    FROM trips c JOIN trips a ON c.od_id = a.od_id AND c.kind = 'P' AND a.kind = 'O'),
  q AS (SELECT *, CASE WHEN len(cs) > 0 THEN cs ELSE list_concat(cb, ca) END AS cq, CASE WHEN len(cs) > 0 THEN as_ ELSE list_concat(ab, aa) END AS aq FROM pairs)"""
 
@@ -49,7 +51,8 @@ _LEGS_SQL = """codes AS (SELECT s_suppkey % 40 AS id, min(s_suppkey % 40 + 100)
 def _lcs_sql(name: str, a: str, b: str) -> str:
     return f""",
  m_{name} AS (SELECT chain_id, alt_id, i.i, j.j FROM q, range(1, 40) i(i), range(1, 40) j(j) WHERE i.i <= len({a}) AND j.j <= len({b}) AND {a}[i.i] = {b}[j.j]),
- c_{name} AS (SELECT chain_id, alt_id, i, j, 1 AS n FROM m_{name} UNION SELECT m.chain_id, m.alt_id, m.i, m.j, c.n + 1 FROM c_{name} c JOIN m_{name} m ON m.chain_id = c.chain_id AND m.alt_id = c.alt_id AND m.i > c.i AND m.j > c.j),
+ c_{name} AS (SELECT chain_id, alt_id, i, j, 1 AS n FROM m_{name} UNION SELECT m.chain_id, m.alt_id, m.i, m.j, c.n + 1 FROM c_{name} c
+  JOIN m_{name} m ON m.chain_id = c.chain_id AND m.alt_id = c.alt_id AND m.i > c.i AND m.j > c.j),
  l_{name} AS (SELECT chain_id, alt_id, max(n) AS n FROM c_{name} GROUP BY 1, 2)"""
 
 
@@ -86,7 +89,8 @@ def _journeys(spark: SparkSession, sf_dir: str) -> DataFrame:
    ({_hits_sql("cb", "ab")} + {_hits_sql("ca", "aa")}) / (2.0 * greatest(len(cb), len(ab), 1)) AS sim_ends,
    CASE WHEN cd <= 0 OR ad <= 0 THEN 0 ELSE 1 - least(1, abs(cd - ad) / greatest(cd, ad)) END AS sim_time
    FROM q LEFT JOIN l_r USING (chain_id, alt_id) LEFT JOIN l_m USING (chain_id, alt_id) LEFT JOIN l_s USING (chain_id, alt_id))
- SELECT chain_id, alt_id, round(sim_route, 6) AS sim_route_seq, round(sim_mode, 6) AS sim_mode_seq, round(sim_jaccard, 6) AS sim_jaccard, round(sim_lcs, 6) AS sim_lcs, round(sim_ends, 6) AS sim_boarding_alighting, round(sim_time, 6) AS sim_time,
+ SELECT chain_id, alt_id, round(sim_route, 6) AS sim_route_seq, round(sim_mode, 6) AS sim_mode_seq, round(sim_jaccard, 6) AS sim_jaccard,
+  round(sim_lcs, 6) AS sim_lcs, round(sim_ends, 6) AS sim_boarding_alighting, round(sim_time, 6) AS sim_time,
   round(0.25 * sim_route + 0.10 * sim_mode + 0.20 * sim_jaccard + 0.25 * sim_lcs + 0.10 * sim_ends + 0.10 * sim_time, 6) AS sim_total,
   CASE WHEN cr = ar AND cm = am AND cb = ab AND ca = aa THEN 1 ELSE 0 END AS exact_match, CASE WHEN cl = al THEN 1 ELSE 0 END AS transfer_match, abs(cl - al) AS transfer_diff FROM sims""")
 def similarity_job(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +123,11 @@ def alternatives_with_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WEIGHTED_SQL = f"""{d.SCORED_SQL}, w AS (SELECT o_orderkey AS chain_id, CAST(CASE o_orderstatus WHEN 'F' THEN 0.5 WHEN 'P' THEN 4.0 END AS DOUBLE) AS weight FROM orders WHERE o_orderstatus <> 'O'),
- c AS (SELECT chain_id, any_value(user_type) AS user_type, sum(p * sim) AS f1, sum(p * choice) AS f2, arg_min(sim, (cost, alt_id)) AS ds, arg_min(choice, (cost, alt_id)) AS de, arg_max(sim, (v, -alt_id)) AS ms, arg_max(choice, (v, -alt_id)) AS me FROM scored GROUP BY 1),
+ c AS (SELECT chain_id, any_value(user_type) AS user_type, sum(p * sim) AS f1, sum(p * choice) AS f2, arg_min(sim, (cost, alt_id)) AS ds,
+  arg_min(choice, (cost, alt_id)) AS de, arg_max(sim, (v, -alt_id)) AS ms, arg_max(choice, (v, -alt_id)) AS me FROM scored GROUP BY 1),
  cw AS (SELECT c.*, coalesce(weight, 1.0) AS w FROM c LEFT JOIN w USING (chain_id)),
- byt AS (SELECT user_type, count(*) AS chains, sum(f1 * w) / sum(w) AS f1, sum(f2 * w) / sum(w) AS f2, sum(ds * w) / sum(w) AS det_sim, sum(de * w) / sum(w) AS det_exact, sum(ms * w) / sum(w) AS mnl_sim, sum(me * w) / sum(w) AS mnl_exact FROM cw GROUP BY 1)"""
+ byt AS (SELECT user_type, count(*) AS chains, sum(f1 * w) / sum(w) AS f1, sum(f2 * w) / sum(w) AS f2, sum(ds * w) / sum(w) AS det_sim,
+  sum(de * w) / sum(w) AS det_exact, sum(ms * w) / sum(w) AS mnl_sim, sum(me * w) / sum(w) AS mnl_exact FROM cw GROUP BY 1)"""
 _MEASURES = ("f1", "f2", "det_sim", "det_exact", "mnl_sim", "mnl_exact")
 
 
@@ -143,7 +149,9 @@ def population_objectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH c AS (SELECT c_custkey, c_acctbal, count(o_orderkey) AS n, CAST(max(o_totalprice) AS DOUBLE) AS most FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
- r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS a, rank() OVER (ORDER BY most) + (count(*) OVER (PARTITION BY most) - 1) / 2.0 AS b FROM c) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r""")
+ r AS (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2.0 AS a,
+  rank() OVER (ORDER BY most) + (count(*) OVER (PARTITION BY most) - 1) / 2.0 AS b FROM c) SELECT count(*) AS n, round(corr(a, b), 6) AS rho
+  FROM r""")
 def spearman_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("most"))
     return cal.spearman(rows, "n", "most").select("n", r6(F.col("rho"), "rho"))
@@ -158,10 +166,16 @@ def theta_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kind", cal.theta(F.col("walk"), F.col("ride"), F.col("transfer")).alias("t"), r6(scaled, "scaled")).select("kind", "t.*", "scaled")
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CAST(list_extract([0, 1, 2, 3, 4, 5, 6, 7, 12, 109, 202, 401, 715, 900, 1100, 1700], CAST(l_partkey % 16 + 1 AS INT)) AS INT) AS t, CAST(l_quantity AS INT) * 30 AS s, l_linenumber = 1 AS first FROM lineitem)
- SELECT l_orderkey, l_linenumber, t AS route_type, CASE WHEN t IN (0, 1, 2, 5, 6) OR t BETWEEN 400 AND 499 OR t BETWEEN 900 AND 999 THEN 0 WHEN t IN (4, 7) OR t BETWEEN 100 AND 299 THEN 2 WHEN t BETWEEN 1100 AND 1199 THEN 3 ELSE 1 END AS slack,
-  CASE WHEN t = 0 THEN '트램' WHEN t = 1 THEN '지하철' WHEN t = 2 THEN '철도' WHEN t = 3 THEN '버스' WHEN t = 4 THEN '페리' WHEN t IN (5, 6) THEN '케이블카' WHEN t = 7 THEN '푸니쿨라' WHEN t BETWEEN 100 AND 199 THEN '철도' WHEN t BETWEEN 400 AND 499 THEN '도시철도' WHEN t BETWEEN 700 AND 799 THEN '버스' WHEN t BETWEEN 1100 AND 1199 THEN '항공' ELSE '기타' END AS type_name,
-  CAST(floor(s * 100 * 1.75) AS INT) AS access, CAST(s * 100 AS INT) AS transfer, CAST(CASE WHEN first THEN 6000 ELSE 12000 END + floor(s * 100 * 1.5) AS INT) AS boarding, CAST(floor(s * 100 * CASE WHEN t IN (1, 12) THEN 0.75 ELSE 1 END) AS INT) AS ride, CAST(s * 100 + 2 * 12000 AS INT) AS remaining FROM r""")
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, CAST(list_extract([0, 1, 2, 3, 4, 5, 6, 7, 12, 109, 202, 401, 715, 900, 1100, 1700],
+  CAST(l_partkey % 16 + 1 AS INT)) AS INT) AS t, CAST(l_quantity AS INT) * 30 AS s, l_linenumber = 1 AS first FROM lineitem)
+ SELECT l_orderkey, l_linenumber, t AS route_type, CASE WHEN t IN (0, 1, 2, 5, 6) OR t BETWEEN 400 AND 499 OR t BETWEEN 900 AND 999 THEN 0
+  WHEN t IN (4, 7) OR t BETWEEN 100 AND 299 THEN 2 WHEN t BETWEEN 1100 AND 1199 THEN 3 ELSE 1 END AS slack,
+  CASE WHEN t = 0 THEN '트램' WHEN t = 1 THEN '지하철' WHEN t = 2 THEN '철도' WHEN t = 3 THEN '버스' WHEN t = 4 THEN '페리' WHEN t IN (5, 6) THEN '케이블카'
+  WHEN t = 7 THEN '푸니쿨라' WHEN t BETWEEN 100 AND 199 THEN '철도' WHEN t BETWEEN 400 AND 499 THEN '도시철도' WHEN t BETWEEN 700 AND 799 THEN '버스'
+  WHEN t BETWEEN 1100 AND 1199 THEN '항공' ELSE '기타' END AS type_name,
+  CAST(floor(s * 100 * 1.75) AS INT) AS access, CAST(s * 100 AS INT) AS transfer, CAST(CASE WHEN first THEN 6000
+  ELSE 12000 END + floor(s * 100 * 1.5) AS INT) AS boarding, CAST(floor(s * 100 * CASE WHEN t IN (1, 12) THEN 0.75 ELSE 1 END) AS INT) AS ride,
+  CAST(s * 100 + 2 * 12000 AS INT) AS remaining FROM r""")
 def leg_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slacks, names and generalised costs of legs."""
     types = F.array(*map(F.lit, (0, 1, 2, 3, 4, 5, 6, 7, 12, 109, 202, 401, 715, 900, 1100, 1700)))
@@ -176,12 +190,17 @@ def leg_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # A way for each order through its suppliers' places; suppliers with a negative balance are missing nodes.
 _PLACE = ("37.4 + (s_suppkey * 6271 % 1000) * 0.0002", "126.9 + (s_suppkey * 15485 % 1000) * 0.0002")
 _STREET_SQL = f"""node AS (SELECT s_suppkey AS id, {_PLACE[0]} AS lat, {_PLACE[1]} AS lon FROM supplier WHERE s_acctbal >= 0),
- hw AS (SELECT o_orderkey AS way, list_extract(['footway', 'steps', 'motorway', 'secondary', 'primary', 'service'], CAST(o_orderkey % 6 + 1 AS INT)) AS road, list_extract(['yes', 'no', 'designated', NULL], CAST(o_custkey % 4 + 1 AS INT)) AS foot,
+ hw AS (SELECT o_orderkey AS way, list_extract(['footway', 'steps', 'motorway', 'secondary', 'primary', 'service'],
+  CAST(o_orderkey % 6 + 1 AS INT)) AS road, list_extract(['yes', 'no', 'designated', NULL], CAST(o_custkey % 4 + 1 AS INT)) AS foot,
   CASE WHEN o_custkey % 3 = 0 THEN 'private' END AS access, o_orderkey % 5 = 0 AS oneway FROM orders),
  way_ AS (SELECT * FROM hw WHERE road <> 'motorway' AND coalesce(foot, '') <> 'no' AND (access IS NULL OR coalesce(foot, '') IN ('yes', 'designated'))),
  pts AS (SELECT l_orderkey AS way, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS pos, l_suppkey AS id FROM lineitem),
- hop AS (SELECT w.*, p.id AS src, n.lat, n.lon, lead(p.id) OVER o AS dst, lead(n.lat) OVER o AS lat2, lead(n.lon) OVER o AS lon2, bool_and(n.lat IS NOT NULL) OVER (PARTITION BY w.way) AS whole FROM way_ w JOIN pts p USING (way) LEFT JOIN node n ON n.id = p.id WINDOW o AS (PARTITION BY w.way ORDER BY p.pos)),
- len AS (SELECT src, dst, road, oneway, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) AS metres FROM (SELECT *, pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2) AS h FROM hop WHERE whole AND dst IS NOT NULL)),
+ hop AS (SELECT w.*, p.id AS src, n.lat, n.lon, lead(p.id) OVER o AS dst, lead(n.lat) OVER o AS lat2, lead(n.lon) OVER o AS lon2,
+  bool_and(n.lat IS NOT NULL) OVER (PARTITION BY w.way) AS whole FROM way_ w JOIN pts p USING (way) LEFT JOIN node n ON n.id = p.id
+  WINDOW o AS (PARTITION BY w.way ORDER BY p.pos)),
+ len AS (SELECT src, dst, road, oneway, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) AS metres FROM (SELECT *,
+  pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2) AS h FROM hop
+  WHERE whole AND dst IS NOT NULL)),
  both_ AS (SELECT src, dst, road, metres FROM len UNION ALL SELECT dst, src, road, metres FROM len WHERE NOT oneway)"""
 
 
@@ -200,7 +219,8 @@ def _street(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return ways.join(points, "way"), nodes
 
 
-@query(f"""WITH {_STREET_SQL} SELECT src, dst, road, count(*) AS n, round(any_value(metres), 4) AS metres, round(any_value(metres) / CASE road WHEN 'footway' THEN 1.3 WHEN 'steps' THEN 0.6 WHEN 'secondary' THEN 1.1 WHEN 'primary' THEN 1.0 ELSE 1.2 END, 4) AS seconds
+@query(f"""WITH {_STREET_SQL} SELECT src, dst, road, count(*) AS n, round(any_value(metres), 4) AS metres, round(any_value(metres) / CASE road
+  WHEN 'footway' THEN 1.3 WHEN 'steps' THEN 0.6 WHEN 'secondary' THEN 1.1 WHEN 'primary' THEN 1.0 ELSE 1.2 END, 4) AS seconds
  FROM both_ GROUP BY 1, 2, 3""")
 def street_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges of walkable ways, the number of ways that have them, and the time to walk them."""
@@ -209,8 +229,11 @@ def street_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("src", "dst", "road", "n", F.round("metres", 4).alias("metres"), F.round(F.col("metres") / street.walk_speed(F.col("road")), 4).alias("seconds"))
 
 
-@query("""WITH t AS (SELECT event_id, CASE WHEN user_id % 8 = 0 THEN 6 WHEN user_id % 9 = 0 THEN 7 ELSE user_id % 5 END AS user_type, CAST(195 + event_id % 110 AS INT) AS mode, CASE WHEN event_id % 13 <> 0 THEN event_id % 40 END AS alight, (event_id * 7) % 12000 AS ride FROM events)
- SELECT CASE WHEN mode BETWEEN 200 AND 289 THEN 'SUBWAY' ELSE 'BUS' END AS kind, count(*) AS n, sum(ride) AS seconds FROM t WHERE user_type NOT IN (6, 7) AND mode <> 290 AND alight IS NOT NULL AND ride BETWEEN 1 AND 10800 GROUP BY 1""")
+@query("""WITH t AS (SELECT event_id, CASE WHEN user_id % 8 = 0 THEN 6 WHEN user_id % 9 = 0 THEN 7 ELSE user_id % 5 END AS user_type,
+  CAST(195 + event_id % 110 AS INT) AS mode, CASE WHEN event_id % 13 <> 0 THEN event_id % 40 END AS alight, (event_id * 7) % 12000 AS ride
+  FROM events)
+ SELECT CASE WHEN mode BETWEEN 200 AND 289 THEN 'SUBWAY' ELSE 'BUS' END AS kind, count(*) AS n, sum(ride) AS seconds FROM t
+  WHERE user_type NOT IN (6, 7) AND mode <> 290 AND alight IS NOT NULL AND ride BETWEEN 1 AND 10800 GROUP BY 1""")
 def cleaned_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     taps = d.read(spark, sf_dir, "events").select(F.when(u % 8 == 0, 6).when(u % 9 == 0, 7).otherwise(u % 5).alias("user_type"), (195 + e % 110).cast("int").alias("mode"), F.when(e % 13 != 0, e % 40).alias("alight"), (e * 7 % 12_000).alias("ride"))
@@ -219,7 +242,8 @@ def cleaned_taps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH place AS (SELECT s_suppkey AS id, {_PLACE[0]} - 0.45 AS lat, {_PLACE[1]} AS lon FROM supplier WHERE s_suppkey % 10 <> 0),
  t AS (SELECT o_orderkey, o_custkey % (SELECT count(*) FROM supplier) + 1 AS a, o_orderkey % (SELECT count(*) FROM supplier) + 1 AS b, (o_orderkey * 11) % 18000 AS duration FROM orders),
- g AS (SELECT t.*, p.lat AS lat, p.lon AS lon, q.lat AS lat2, q.lon AS lon2 FROM t JOIN place p ON p.id = a JOIN place q ON q.id = b WHERE duration <= 14400 AND a <> b AND p.lat BETWEEN 37 AND 38 AND q.lat BETWEEN 37 AND 38 AND p.lon BETWEEN 126.5 AND 127.5 AND q.lon BETWEEN 126.5 AND 127.5),
+ g AS (SELECT t.*, p.lat AS lat, p.lon AS lon, q.lat AS lat2, q.lon AS lon2 FROM t JOIN place p ON p.id = a JOIN place q ON q.id = b
+  WHERE duration <= 14400 AND a <> b AND p.lat BETWEEN 37 AND 38 AND q.lat BETWEEN 37 AND 38 AND p.lon BETWEEN 126.5 AND 127.5 AND q.lon BETWEEN 126.5 AND 127.5),
  h AS (SELECT *, pow(sin(radians(lat2 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon) / 2), 2) AS h FROM g)
  SELECT o_orderkey, a AS origin, b AS destination, round(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)), 3) AS straight FROM h WHERE 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) >= 200""")
 def cleaned_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,9 +257,11 @@ def cleaned_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "origin", "destination", F.round("straight", 3).alias("straight"))
 
 
-@query(f"""WITH o AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'BUS' ELSE 'SUBWAY' END AS mode, 37.4 + (c_custkey * 7919 % 1000) * 0.0002 AS lat, 126.9 + (c_custkey * 104729 % 1000) * 0.0002 AS lon FROM customer),
+@query(f"""WITH o AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'BUS'
+  ELSE 'SUBWAY' END AS mode, 37.4 + (c_custkey * 7919 % 1000) * 0.0002 AS lat, 126.9 + (c_custkey * 104729 % 1000) * 0.0002 AS lon FROM customer),
  s AS (SELECT s_suppkey AS id, {_PLACE[0]} AS lat, {_PLACE[1]} AS lon FROM supplier),
- m AS (SELECT o.id, o.mode, s.id AS other, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) AS metres FROM o, s, LATERAL (SELECT pow(sin(radians(s.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - o.lon) / 2), 2) AS h)),
+ m AS (SELECT o.id, o.mode, s.id AS other, 2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h)) AS metres FROM o, s,
+  LATERAL (SELECT pow(sin(radians(s.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - o.lon) / 2), 2) AS h)),
  k AS (SELECT id, min((metres, other)) AS k FROM m WHERE metres <= CASE mode WHEN 'BUS' THEN 300 ELSE 800 END GROUP BY 1)
  SELECT o.id, o.mode, k.k[2] AS other, round(k.k[1], 3) AS metres FROM o LEFT JOIN k USING (id)""")
 def stop_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +270,9 @@ def stop_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.mapped_stops(stops, net._stops(spark, sf_dir), {"BUS": 300.0, "SUBWAY": 800.0}).select("id", "mode", "other", F.round("metres", 3).alias("metres"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_brand AS name FROM part), r AS (SELECT 'Brand#' || (10 + s_suppkey % 20) AS name, min(s_suppkey) AS same FROM supplier GROUP BY 1), h AS (SELECT 'Brand#' || (11 + n_nationkey) AS name, min(n_nationkey + 9000) AS hand FROM nation WHERE n_regionkey = 1 GROUP BY 1)
+@query("""WITH n AS (SELECT DISTINCT p_brand AS name FROM part), r AS (SELECT 'Brand#' || (10 + s_suppkey % 20) AS name, min(s_suppkey) AS same
+  FROM supplier GROUP BY 1), h AS (SELECT 'Brand#' || (11 + n_nationkey) AS name, min(n_nationkey + 9000) AS hand FROM nation WHERE n_regionkey = 1
+  GROUP BY 1)
  SELECT name, coalesce(hand, same) AS route, CASE WHEN hand IS NOT NULL THEN 'manual' WHEN same IS NOT NULL THEN 'name' END AS source FROM n LEFT JOIN r USING (name) LEFT JOIN h USING (name)""")
 def route_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = d.read(spark, sf_dir, "part").select(F.col("p_brand").alias("name"))
@@ -257,14 +285,16 @@ _HOUR = "CAST((o_orderkey * 37) % 86400 // 3600 AS BIGINT)"
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, {_HOUR} AS hour, md5(CAST(o_orderkey AS VARCHAR)) AS h, count(*) OVER (PARTITION BY {_HOUR}) AS n, count(*) OVER () AS total FROM orders),
- t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY hour ORDER BY h, o_orderkey) > greatest(1, floor(n / total * 200)) THEN 1 ELSE 0 END AS extra FROM o) SELECT o_orderkey, hour FROM t ORDER BY extra, h, o_orderkey LIMIT 200""")
+ t AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY hour ORDER BY h, o_orderkey) > greatest(1, floor(n / total * 200)) THEN 1
+  ELSE 0 END AS extra FROM o) SELECT o_orderkey, hour FROM t ORDER BY extra, h, o_orderkey LIMIT 200""")
 def hour_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """200 chains in proportion to the hours of their boarding."""
     rows = d.read(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.pmod(F.col("o_orderkey") * 37, F.lit(86_400)) / 3600).cast("long").alias("hour"))
     return sampling.topped_up_sample(rows, F.col("hour"), "o_orderkey", 200)
 
 
-@query("""WITH g AS (SELECT DISTINCT o_orderpriority AS kind, o_custkey AS od FROM orders), t AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5(CAST(od AS VARCHAR)), od) AS k, ceil(count(*) OVER (PARTITION BY kind) * 0.149) AS quota FROM g)
+@query("""WITH g AS (SELECT DISTINCT o_orderpriority AS kind, o_custkey AS od FROM orders), t AS (SELECT *, row_number() OVER (PARTITION BY kind
+  ORDER BY md5(CAST(od AS VARCHAR)), od) AS k, ceil(count(*) OVER (PARTITION BY kind) * 0.149) AS quota FROM g)
  SELECT o_orderkey, o_orderpriority AS kind FROM orders JOIN t ON kind = o_orderpriority AND od = o_custkey WHERE k <= quota""")
 def budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chains of 14.9 % of the origins and destinations of each type."""
@@ -272,14 +302,16 @@ def budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.proportional_groups(rows, "kind", ["od"], 0.149).select("o_orderkey", "kind")
 
 
-@query("""WITH t AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
+@query("""WITH t AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR)),
+  o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders)
  SELECT o_orderkey, CASE WHEN k <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM t""")
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.stratified_split(d.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "o_orderkey", 0.8).select("o_orderkey", "part")
 
 
 @query(f"""WITH {net._EV_SQL}, p AS (SELECT trip, list(stop ORDER BY pos) AS s, trip % 40 AS board, (trip // 40) % 40 AS alight FROM events_ GROUP BY trip),
- a AS (SELECT *, coalesce(list_position(s, board), 0) AS i FROM p), b AS (SELECT *, CASE WHEN i > 0 THEN coalesce(list_position(s[i + 1:], alight), 0) ELSE 0 END AS j FROM a), c AS (SELECT trip, CASE WHEN j > 0 THEN s[i:i + j] ELSE [] END AS r FROM b)
+ a AS (SELECT *, coalesce(list_position(s, board), 0) AS i FROM p), b AS (SELECT *, CASE WHEN i > 0 THEN coalesce(list_position(s[i + 1:], alight), 0)
+  ELSE 0 END AS j FROM a), c AS (SELECT trip, CASE WHEN j > 0 THEN s[i:i + j] ELSE [] END AS r FROM b)
  SELECT trip, array_to_string(r, ',') AS ride, array_to_string(r[2:len(r) - 1], ',') AS between_, len(r) AS n FROM c WHERE len(r) > 0""")
 def intermediate_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stops of a ride on a trip's pattern, and those between its ends."""
@@ -289,25 +321,35 @@ def intermediate_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips.withColumn("r", ride).where("size(r) > 0").select("trip", text(F.col("r")).alias("ride"), text(arrays.between_stops(F.col("r"))).alias("between_"), F.size("r").cast("long").alias("n"))
 
 
-@query(f"""WITH {net._EV_SQL}, t AS (SELECT route, trip, arg_min(dep, pos) AS dep0 FROM events_ GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY dep0, trip) - 1 AS turn, count(*) OVER (PARTITION BY route) AS n FROM t),
- k AS (SELECT DISTINCT route, least(CAST(floor(i.i * 2.5 + 0.5) AS BIGINT), n - 1) AS turn FROM (SELECT DISTINCT route, n FROM n), LATERAL (SELECT unnest(range(0, greatest(1, CAST(ceil(n / 2.5) AS BIGINT)))) AS i) i)
+@query(f"""WITH {net._EV_SQL}, t AS (SELECT route, trip, arg_min(dep, pos) AS dep0 FROM events_ GROUP BY 1, 2), n AS (SELECT *,
+  row_number() OVER (PARTITION BY route ORDER BY dep0, trip) - 1 AS turn, count(*) OVER (PARTITION BY route) AS n FROM t),
+ k AS (SELECT DISTINCT route, least(CAST(floor(i.i * 2.5 + 0.5) AS BIGINT), n - 1) AS turn FROM (SELECT DISTINCT route, n FROM n),
+  LATERAL (SELECT unnest(range(0, greatest(1, CAST(ceil(n / 2.5) AS BIGINT)))) AS i) i)
  SELECT e.trip, e.route, e.pos, e.stop, e.arr, e.dep FROM events_ e JOIN n USING (route, trip) JOIN k ON k.route = e.route AND k.turn = n.turn""")
 def headway_thin_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tt.thinned_trips(net._timetable(spark, sf_dir), 2.5).select("trip", "route", "pos", "stop", "arr", "dep")
 
 
-@query(f"""WITH {net._EV_SQL}, t AS (SELECT route, trip, arg_min(dep, pos) AS dep0 FROM events_ GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY dep0, trip) - 1 AS turn FROM t), g AS (SELECT route, count(*) AS n, min(dep0) AS first, max(dep0) AS last, CAST(ceil(count(*) / 0.5) AS BIGINT) AS m FROM t GROUP BY 1),
- s AS (SELECT route, i.i AS turn, first + i.i * ((last - first) // (m - 1)) AS start FROM g, LATERAL (SELECT unnest(range(0, m)) AS i) i WHERE n > 1 UNION ALL SELECT route, 0, first FROM g WHERE n = 1),
+@query(f"""WITH {net._EV_SQL}, t AS (SELECT route, trip, arg_min(dep, pos) AS dep0 FROM events_ GROUP BY 1, 2), n AS (SELECT *,
+  row_number() OVER (PARTITION BY route ORDER BY dep0, trip) - 1 AS turn FROM t), g AS (SELECT route, count(*) AS n, min(dep0) AS first,
+  max(dep0) AS last, CAST(ceil(count(*) / 0.5) AS BIGINT) AS m FROM t GROUP BY 1),
+ s AS (SELECT route, i.i AS turn, first + i.i * ((last - first) // (m - 1)) AS start FROM g, LATERAL (SELECT unnest(range(0, m)) AS i) i WHERE n > 1
+  UNION ALL SELECT route, 0, first FROM g WHERE n = 1),
  f AS (SELECT e.*, n.dep0, g.n, max(e.pos) OVER (PARTITION BY e.route) AS lastpos FROM events_ e JOIN n USING (route, trip) JOIN g ON g.route = e.route WHERE n.turn = 0)
- SELECT s.route, CAST(s.turn AS INT) AS turn, f.pos, f.stop, s.start + CASE WHEN f.pos = 0 AND f.n > 1 THEN 0 ELSE f.arr - f.dep0 END AS arr, s.start + CASE WHEN f.pos = f.lastpos AND f.n > 1 THEN CASE WHEN f.pos = 0 THEN 0 ELSE f.arr - f.dep0 END ELSE f.dep - f.dep0 END AS dep FROM s JOIN f USING (route)""")
+ SELECT s.route, CAST(s.turn AS INT) AS turn, f.pos, f.stop, s.start + CASE WHEN f.pos = 0 AND f.n > 1 THEN 0 ELSE f.arr - f.dep0 END AS arr,
+  s.start + CASE WHEN f.pos = f.lastpos AND f.n > 1 THEN CASE WHEN f.pos = 0 THEN 0 ELSE f.arr - f.dep0 END ELSE f.dep - f.dep0 END AS dep FROM s
+  JOIN f USING (route)""")
 def headway_interpolate_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tt.interpolated_trips(net._timetable(spark, sf_dir), 0.5)
 
 
-@query("""WITH base AS (SELECT o_custkey % 200 AS route, count(*) AS value FROM orders GROUP BY 1), e AS (SELECT n_nationkey AS position, (n_nationkey * 17) % 230 AS route, list_extract(['disable', 'change', 'add'], CAST(n_nationkey % 3 + 1 AS INT)) AS action, n_nationkey * 100 AS value FROM nation
+@query("""WITH base AS (SELECT o_custkey % 200 AS route, count(*) AS value FROM orders GROUP BY 1), e AS (SELECT n_nationkey AS position,
+  (n_nationkey * 17) % 230 AS route, list_extract(['disable', 'change', 'add'], CAST(n_nationkey % 3 + 1 AS INT)) AS action,
+  n_nationkey * 100 AS value FROM nation
   UNION ALL SELECT 100 + r_regionkey, (r_regionkey * 17) % 230, list_extract(['change', 'add', 'disable'], CAST(r_regionkey % 3 + 1 AS INT)), r_regionkey * 1000 FROM region),
  l AS (SELECT route, arg_max(action, position) AS action, arg_max(value, position) AS value FROM e GROUP BY 1)
- SELECT coalesce(b.route, l.route) AS route, CAST(CASE WHEN l.route IS NULL THEN b.value ELSE l.value END AS BIGINT) AS value FROM base b FULL JOIN l ON l.route = b.route WHERE l.route IS NULL OR l.action = 'add' OR l.action = 'change' AND b.route IS NOT NULL""")
+ SELECT coalesce(b.route, l.route) AS route, CAST(CASE WHEN l.route IS NULL THEN b.value ELSE l.value END AS BIGINT) AS value FROM base b FULL
+  JOIN l ON l.route = b.route WHERE l.route IS NULL OR l.action = 'add' OR l.action = 'change' AND b.route IS NOT NULL""")
 def scenario_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Routes after an ordered list of edits of which the last one on a route counts."""
     base = d.read(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 200).alias("route")).agg(F.count("*").alias("value"))
@@ -320,8 +362,11 @@ def scenario_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BETAS, _CLASSES = [[-0.08, -0.02, -0.3, 0.2], [-0.01, -0.1, -0.9, 0.0]], [[0.4, -0.7, 0.3]]
 _COVARIATES = ["morning", "pricey"]
-_LATENT_SQL = f"""{d.ALTS_SQL}, {d.CHAINS_SQL}, x AS (SELECT a.*, CASE WHEN board_s < 43200 THEN 1.0 ELSE 0.0 END AS morning, CASE WHEN user_type IN ('1', '2') THEN 1.0 ELSE 0.0 END AS pricey FROM alts a JOIN chains c USING (chain_id)),
- u AS (SELECT *, 1 / (1 + exp(-(0.4 - 0.7 * morning + 0.3 * pricey))) AS pi0, {" + ".join(f"{n} * ({b})" for n, b in zip(d.POOLED, _BETAS[0], strict=True))} AS v0, {" + ".join(f"{n} * ({b})" for n, b in zip(d.POOLED, _BETAS[1], strict=True))} AS v1 FROM x),
+_LATENT_SQL = f"""{d.ALTS_SQL}, {d.CHAINS_SQL}, x AS (SELECT a.*, CASE WHEN board_s < 43200 THEN 1.0 ELSE 0.0 END AS morning, CASE
+  WHEN user_type IN ('1', '2') THEN 1.0 ELSE 0.0 END AS pricey FROM alts a JOIN chains c USING (chain_id)),
+ u AS (SELECT *, 1 / (1 + exp(-(0.4 - 0.7 * morning + 0.3 * pricey))) AS pi0,
+  {" + ".join(f"{n} * ({b})" for n, b in zip(d.POOLED, _BETAS[0], strict=True))} AS v0,
+  {" + ".join(f"{n} * ({b})" for n, b in zip(d.POOLED, _BETAS[1], strict=True))} AS v1 FROM x),
  w AS (SELECT *, exp(v0 - max(v0) OVER (PARTITION BY chain_id)) AS e0, exp(v1 - max(v1) OVER (PARTITION BY chain_id)) AS e1 FROM u),
  z AS (SELECT *, e0 / sum(e0) OVER (PARTITION BY chain_id) AS p0, e1 / sum(e1) OVER (PARTITION BY chain_id) AS p1 FROM w),
  f AS (SELECT *, pi0 * p0 / (pi0 * p0 + (1 - pi0) * p1) AS post0 FROM z WHERE choice = 1)"""
@@ -332,7 +377,9 @@ def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.alternatives(spark, sf_dir).join(c, "chain_id")
 
 
-@query(f"""WITH {_LATENT_SQL} SELECT CASE WHEN round(post0, 9) >= round(1 - post0, 9) THEN 0 ELSE 1 END AS class, count(*) AS chains, round(avg(morning), 6) AS mean_morning, round(avg(pricey), 6) AS mean_pricey, round(count(*) / (SELECT count(*) FROM f), 6) AS share FROM f GROUP BY 1""")
+@query(f"""WITH {_LATENT_SQL} SELECT CASE WHEN round(post0, 9) >= round(1 - post0, 9) THEN 0 ELSE 1 END AS class, count(*) AS chains,
+  round(avg(morning), 6) AS mean_morning, round(avg(pricey), 6) AS mean_pricey, round(count(*) / (SELECT count(*) FROM f), 6) AS share FROM f
+  GROUP BY 1""")
 def latent_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains assigned to the class that is likeliest given their choice, and what the classes are like."""
     mixed = latent.with_mixture(_covered(spark, sf_dir), list(d.POOLED), _BETAS, _COVARIATES, _CLASSES)
@@ -343,7 +390,8 @@ def latent_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LATENT_SQL}, s AS (SELECT z.*, pi0 * p0 + (1 - pi0) * p1 AS p FROM z), k AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY p DESC, alt_id) AS top FROM s)
- SELECT user_type, count(*) AS chains, round(avg(CASE WHEN top = 1 THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(p), 6) AS mean_p, round(sum(ln(p)), 3) AS ll FROM k JOIN chains USING (chain_id) WHERE choice = 1 GROUP BY 1""")
+ SELECT user_type, count(*) AS chains, round(avg(CASE WHEN top = 1 THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(p), 6) AS mean_p,
+  round(sum(ln(p)), 3) AS ll FROM k JOIN chains USING (chain_id) WHERE choice = 1 GROUP BY 1""")
 def latent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit rates by type of the mixture of two classes with given parameters."""
     mixed = latent.with_mixture(_covered(spark, sf_dir), list(d.POOLED), _BETAS, _COVARIATES, _CLASSES)
@@ -351,7 +399,9 @@ def latent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("user_type", "chains", r6(F.col("hit_rate"), "hit_rate"), r6(F.col("mean_p"), "mean_p"), F.round("ll", 3).alias("ll"))
 
 
-@query("""WITH r AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 17 <> 0 THEN p_size END AS dst, CASE WHEN p_partkey % 11 = 0 THEN 'x' ELSE CAST(p_size * 0.25 AS VARCHAR) END AS minutes FROM part), t AS (SELECT CAST(floor(TRY_CAST(minutes AS DOUBLE) * 60) AS INT) AS s FROM r WHERE dst IS NOT NULL AND TRY_CAST(minutes AS DOUBLE) IS NOT NULL)
+@query("""WITH r AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 17 <> 0 THEN p_size END AS dst, CASE WHEN p_partkey % 11 = 0 THEN 'x'
+  ELSE CAST(p_size * 0.25 AS VARCHAR) END AS minutes FROM part), t AS (SELECT CAST(floor(TRY_CAST(minutes AS DOUBLE) * 60) AS INT) AS s FROM r
+  WHERE dst IS NOT NULL AND TRY_CAST(minutes AS DOUBLE) IS NOT NULL)
  SELECT count(*) AS n, round(avg(s), 6) AS mean, min(s) AS least, max(s) AS most FROM t""")
 def converted_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_partkey")
@@ -359,7 +409,8 @@ def converted_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.transfer_summary(cleaning.converted_transfers(rows)).select("n", r6(F.col("mean"), "mean"), "least", "most")
 
 
-@query("""WITH t AS (SELECT CAST(p_size % 8 AS INT) AS t FROM part), m AS (SELECT t, CASE t WHEN 0 THEN 3 WHEN 5 THEN 1100 WHEN 6 THEN 2 ELSE t END AS u FROM t), b AS (SELECT t AS type, count(*) AS before, 0 AS after FROM m GROUP BY 1 UNION ALL SELECT u, 0, count(*) FROM m GROUP BY 1)
+@query("""WITH t AS (SELECT CAST(p_size % 8 AS INT) AS t FROM part), m AS (SELECT t, CASE t WHEN 0 THEN 3 WHEN 5 THEN 1100 WHEN 6 THEN 2
+  ELSE t END AS u FROM t), b AS (SELECT t AS type, count(*) AS before, 0 AS after FROM m GROUP BY 1 UNION ALL SELECT u, 0, count(*) FROM m GROUP BY 1)
  SELECT CAST(type AS INT) AS type, CAST(sum(before) AS BIGINT) AS before, CAST(sum(after) AS BIGINT) AS after FROM b GROUP BY 1""")
 def type_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.read(spark, sf_dir, "part").select((F.col("p_size") % 8).cast("int").alias("t"))

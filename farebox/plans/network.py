@@ -32,7 +32,8 @@ def r6(c, name: str):
 # Sequences: the parts of an order are a journey's stops, a customer's next order is the journey to compare it with.
 _SEQ_SQL = """stops AS (SELECT l_orderkey, list((l_partkey % 7)::BIGINT ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS s FROM lineitem GROUP BY 1),
  o AS (SELECT o_orderkey, o_totalprice, lead(o_orderkey) OVER w AS next, lead(o_totalprice) OVER w AS next_price FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
- seq AS (SELECT o_orderkey AS chain_id, coalesce(a.s, []) AS a, coalesce(b.s, []) AS b, o_totalprice AS ta, next_price AS tb FROM o LEFT JOIN stops a ON a.l_orderkey = o_orderkey LEFT JOIN stops b ON b.l_orderkey = next WHERE next IS NOT NULL)"""
+ seq AS (SELECT o_orderkey AS chain_id, coalesce(a.s, []) AS a, coalesce(b.s, []) AS b, o_totalprice AS ta, next_price AS tb FROM o LEFT
+  JOIN stops a ON a.l_orderkey = o_orderkey LEFT JOIN stops b ON b.l_orderkey = next WHERE next IS NOT NULL)"""
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,9 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_SEQ_SQL},
  m AS (SELECT chain_id, i.i, j.j FROM seq, range(1, 20) i(i), range(1, 20) j(j) WHERE i.i <= len(a) AND j.j <= len(b) AND a[i.i] = b[j.j]),
  c AS (SELECT chain_id, i, j, 1 AS n FROM m UNION SELECT m.chain_id, m.i, m.j, c.n + 1 FROM c JOIN m ON m.chain_id = c.chain_id AND m.i > c.i AND m.j > c.j)
- SELECT chain_id, CAST(coalesce(max(n), 0) AS BIGINT) AS lcs, round(CASE WHEN len(any_value(a)) = 0 AND len(any_value(b)) = 0 THEN 1 WHEN len(any_value(a)) = 0 OR len(any_value(b)) = 0 THEN 0 ELSE 2.0 * coalesce(max(n), 0) / (len(any_value(a)) + len(any_value(b))) END, 6) AS similarity
+ SELECT chain_id, CAST(coalesce(max(n), 0) AS BIGINT) AS lcs, round(CASE WHEN len(any_value(a)) = 0 AND len(any_value(b)) = 0 THEN 1
+  WHEN len(any_value(a)) = 0 OR len(any_value(b)) = 0 THEN 0
+  ELSE 2.0 * coalesce(max(n), 0) / (len(any_value(a)) + len(any_value(b))) END, 6) AS similarity
  FROM seq LEFT JOIN c USING (chain_id) GROUP BY chain_id""")
 def lcs_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
@@ -66,9 +69,11 @@ def sequence_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir).select("chain_id", r6(arrays.jaccard(a, b), "jaccard"), r6(arrays.pair_match_rate(a, a, b, b), "pair_rate"), r6(arrays.time_similarity(F.col("ta"), F.col("tb")), "time_sim"), (a == b).cast("int").alias("equal"))
 
 
-@query(f"""WITH {_SEQ_SQL}, x AS (SELECT chain_id, list_distinct_sorted.a AS r, len(list_distinct_sorted.a) AS n, chain_id % 7 AS f, (chain_id // 7) % 7 AS t FROM (SELECT chain_id, list_sort(list_distinct(a)) AS a FROM seq) list_distinct_sorted),
+@query(f"""WITH {_SEQ_SQL}, x AS (SELECT chain_id, list_distinct_sorted.a AS r, len(list_distinct_sorted.a) AS n, chain_id % 7 AS f,
+  (chain_id // 7) % 7 AS t FROM (SELECT chain_id, list_sort(list_distinct(a)) AS a FROM seq) list_distinct_sorted),
  p AS (SELECT *, coalesce(list_position(r, f), 0) AS i, coalesce(list_position(r, t), 0) AS j FROM x),
- q AS (SELECT chain_id, CASE WHEN i = 0 THEN 'board_not_found' WHEN j = 0 THEN 'alight_not_found' ELSE 'ok' END AS status, CASE WHEN i = 0 OR j = 0 THEN [] WHEN i <= j THEN r[i:j] ELSE list_concat(r[i:], r[:j]) END AS s FROM p)
+ q AS (SELECT chain_id, CASE WHEN i = 0 THEN 'board_not_found' WHEN j = 0 THEN 'alight_not_found' ELSE 'ok' END AS status, CASE
+  WHEN i = 0 OR j = 0 THEN [] WHEN i <= j THEN r[i:j] ELSE list_concat(r[i:], r[:j]) END AS s FROM p)
  SELECT chain_id, status, array_to_string(s, ',') AS stops, len(s) AS n FROM q""")
 def circular_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stops that a ride on a circular route passes."""
@@ -162,14 +167,16 @@ def _stops(spark, sf_dir):
     return _places(spark, sf_dir, "supplier", "s_suppkey", 6271, 15485)
 
 
-@query(f"""WITH {_PLACES_SQL}, d AS (SELECT o.id, s.id AS other, {_dist("o", "s")} AS metres FROM o, s), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY metres, other) AS rank FROM d WHERE metres <= 2000)
+@query(f"""WITH {_PLACES_SQL}, d AS (SELECT o.id, s.id AS other, {_dist("o", "s")} AS metres FROM o, s), r AS (SELECT *,
+  row_number() OVER (PARTITION BY id ORDER BY metres, other) AS rank FROM d WHERE metres <= 2000)
  SELECT id, other, rank, round(metres, 3) AS metres, CAST(ceil(metres / 1.2) AS INT) AS seconds FROM r WHERE rank <= 30""")
 def haversine_knn30(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spatial.nearest(_origins(spark, sf_dir), _stops(spark, sf_dir), 2000.0, 30)
     return found.select("id", "other", "rank", F.round("metres", 3).alias("metres"), geo.walk_seconds(F.col("metres")).alias("seconds"))
 
 
-@query(f"""WITH {_PLACES_SQL}, t AS (SELECT id, lat, lon FROM s), d AS (SELECT s.id, t.id AS other, {_dist("s", "t")} AS metres FROM s, t WHERE s.id <> t.id) SELECT id, other, round(metres, 3) AS metres FROM d WHERE metres <= 1500""")
+@query(f"""WITH {_PLACES_SQL}, t AS (SELECT id, lat, lon FROM s), d AS (SELECT s.id, t.id AS other, {_dist("s", "t")} AS metres FROM s, t
+  WHERE s.id <> t.id) SELECT id, other, round(metres, 3) AS metres FROM d WHERE metres <= 1500""")
 def transfer_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.transfers(_stops(spark, sf_dir), 1500.0).select("id", "other", F.round("metres", 3).alias("metres"))
 
@@ -179,11 +186,13 @@ def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.within(_origins(spark, sf_dir), _stops(spark, sf_dir), 3000.0).groupBy("id").agg(F.min_by("other", F.struct("metres", "other")).alias("node"))
 
 
-_GRAPH_SQL = """e AS (SELECT s_suppkey AS src, s_suppkey + d AS dst, 50.0 + (s_suppkey * d * 31) % 200 AS cost FROM supplier, (VALUES (1), (3)) v(d) WHERE s_suppkey + d <= (SELECT max(s_suppkey) FROM supplier)),
+_GRAPH_SQL = """e AS (SELECT s_suppkey AS src, s_suppkey + d AS dst, 50.0 + (s_suppkey * d * 31) % 200 AS cost FROM supplier, (VALUES (1), (3)) v(d)
+  WHERE s_suppkey + d <= (SELECT max(s_suppkey) FROM supplier)),
  edges AS (SELECT src, dst, CAST(cost AS DOUBLE) AS cost FROM e UNION ALL SELECT dst, src, CAST(cost AS DOUBLE) FROM e WHERE src % 5 <> 0)"""
 
 
-@query(f"""WITH RECURSIVE {_GRAPH_SQL}, p AS (SELECT n_nationkey + 1 AS source, CAST(n_nationkey + 1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost FROM nation WHERE n_nationkey + 1 <= (SELECT max(s_suppkey) FROM supplier)
+@query(f"""WITH RECURSIVE {_GRAPH_SQL}, p AS (SELECT n_nationkey + 1 AS source, CAST(n_nationkey + 1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost
+  FROM nation WHERE n_nationkey + 1 <= (SELECT max(s_suppkey) FROM supplier)
   UNION SELECT p.source, edges.dst, p.cost + edges.cost FROM p JOIN edges ON edges.src = p.node WHERE p.cost <= 500)
  SELECT CAST(source AS BIGINT) AS source, node, min(cost) AS cost FROM p GROUP BY 1, 2""")
 def shortest_path_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +219,8 @@ def _checkpointed(spark: SparkSession) -> None:
 
 
 # Timetables: an order is a trip, its lines are stops; a supplier's remainder is the stop.
-_EV_SQL = """ev AS (SELECT l_orderkey AS trip, l_orderkey % 50 AS route, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 AS pos, l_suppkey % 40 AS stop FROM lineitem),
+_EV_SQL = """ev AS (SELECT l_orderkey AS trip, l_orderkey % 50 AS route, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
+  l_suppkey, l_extendedprice, l_quantity) - 1 AS pos, l_suppkey % 40 AS stop FROM lineitem),
  events_ AS (SELECT trip, route, pos, stop, (trip * 37) % 72000 + 14400 + pos * 300 AS arr, (trip * 37) % 72000 + 14430 + pos * 300 AS dep FROM ev)"""
 
 
@@ -273,7 +283,8 @@ def _boarding(n: int) -> str:
  b{n} AS (SELECT m.origin, m.stop, {n} AS boardings, m.arr FROM m{n} m LEFT JOIN k{n} k USING (origin, stop) WHERE k.arr IS NULL OR m.arr < k.arr)"""
 
 
-@query(f"""WITH {_EV_SQL}, f0 AS (SELECT CAST(n_nationkey % 40 AS BIGINT) AS origin, CAST(n_nationkey % 40 AS BIGINT) AS stop, 0 AS boardings, CAST(28800 AS BIGINT) AS arr FROM nation) {_boarding(1)} {_boarding(2)} {_boarding(3)}
+@query(f"""WITH {_EV_SQL}, f0 AS (SELECT CAST(n_nationkey % 40 AS BIGINT) AS origin, CAST(n_nationkey % 40 AS BIGINT) AS stop, 0 AS boardings,
+  CAST(28800 AS BIGINT) AS arr FROM nation) {_boarding(1)} {_boarding(2)} {_boarding(3)}
  SELECT * FROM f0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3""")
 def raptor_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Earliest arrivals with up to three boardings."""
@@ -327,7 +338,8 @@ def scenario_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tt.overlay(base, disabled, changed, added)
 
 
-@query(f"""WITH {_TRIPS_SQL}, b AS (SELECT route, count(*) AS n, min(dep) AS first FROM t GROUP BY 1), s AS (SELECT route, count(*) AS n, min(dep) + 60 AS first FROM t WHERE route NOT IN (3, 4) AND turn % 2 = 0 GROUP BY 1)
+@query(f"""WITH {_TRIPS_SQL}, b AS (SELECT route, count(*) AS n, min(dep) AS first FROM t GROUP BY 1), s AS (SELECT route, count(*) AS n,
+  min(dep) + 60 AS first FROM t WHERE route NOT IN (3, 4) AND turn % 2 = 0 GROUP BY 1)
  SELECT coalesce(b.route, s.route) AS route, coalesce(s.n, 0) - coalesce(b.n, 0) AS trips, s.first - b.first AS seconds FROM b LEFT JOIN s ON b.route = s.route""")
 def scenario_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _trips(spark, sf_dir)
@@ -339,7 +351,8 @@ def scenario_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1100 END AS route_type,
  CASE p_size % 8 WHEN 1 THEN 'SUBWAY' WHEN 2 THEN 'FERRY' WHEN 4 THEN 'RAIL' WHEN 6 THEN 'RAIL' ELSE 'BUS' END AS mode,
  split_part('1:BS_' || p_size || '_' || p_partkey, '_', 3) AS code, '1:' || p_partkey AS feed_id, to_base64(encode('Stop:1:' || p_partkey)) AS global_id,
- CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_name END AS shown, printf('%02d:%02d:%02d', (p_partkey * 97 % 100000) // 3600, (p_partkey * 97 % 100000) % 3600 // 60, (p_partkey * 97 % 100000) % 60) AS clock,
+ CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_name END AS shown, printf('%02d:%02d:%02d', (p_partkey * 97 % 100000) // 3600,
+  (p_partkey * 97 % 100000) % 3600 // 60, (p_partkey * 97 % 100000) % 60) AS clock,
  CAST(p_partkey * 97 % 100000 AS INT) AS parsed, CAST((p_partkey * 97 % 100000 + 30) // 60 AS INT) AS minutes FROM part""")
 def names_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part").withColumn("rt", text.standard_route_type(F.col("p_size") % 8)).withColumn("s", (F.col("p_partkey") * 97 % 100_000).cast("int"))
