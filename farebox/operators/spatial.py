@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,15 +32,42 @@ def within(left: DataFrame, right: DataFrame, radius: float, size: float | None
     return a.join(b, ["cy", "cx"]).withColumn("metres", metres).where(F.col("metres") <= radius).select("id", "other", "metres")
 
 
+def _parts(df: DataFrame) -> int:
+    """How many parts to deal small rows over that many rows follow from; by their own size they would be one."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def _place() -> Column:
+    return F.struct("lat", "lon")
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: float, k: int) -> DataFrame:
-    """The k nearest others within the radius, with their rank; ties go to the smaller id."""
+    """The k nearest others within the radius, with their rank; ties go to the smaller id.
+
+    Points at one place are equally far from everything: so each place of the left side is compared once, with the k smallest ids of each place of the
+    right side, and what it has found goes to all ids there. Work grows with the ids and with the pairs of different places near each other.
+    """
+    turn = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("id"))
+    few = right.select("id", "lat", "lon").withColumn("_turn", turn).where(F.col("_turn") <= k)
+    places = left.select("lat", "lon").distinct().select(_place().alias("id"), "lat", "lon").repartition(_parts(left), "lat", "lon")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("metres", "other"))
-    return within(left, right, radius).withColumn("rank", rank).where(F.col("rank") <= k)
+    found = within(places, few, radius).withColumn("rank", rank).where(F.col("rank") <= k)
+    lists = found.groupBy("id").agg(F.collect_list(F.struct("metres", "other")).alias("_l")).select("id.lat", "id.lon", "_l")
+    met = left.select("id", "lat", "lon").repartition(_parts(left), "lat", "lon").join(lists, ["lat", "lon"])
+    best = met.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("_l"))), 1, k).alias("_l"))  # an id may have several places
+    return best.select("id", F.posexplode("_l").alias("_n", "_x")).select("id", "_x.other", "_x.metres", (F.col("_n") + 1).alias("rank"))
 
 
-def transfers(stops: DataFrame, radius: float = 500.0) -> DataFrame:
-    """Footpaths between different stops within the radius."""
-    return within(stops, stops, radius).where("id <> other")
+def transfers(stops: DataFrame, radius: float = 500.0, digits: int | None = None) -> DataFrame:
+    """Footpaths between different stops within the radius; metres are rounded to digits, if given.
+
+    Pairs of places are compared once, and then met by the stops at both ends, so only what is asked for is made of stops at one place.
+    """
+    places = stops.select("lat", "lon").distinct().select(_place().alias("id"), "lat", "lon")
+    near = within(places, places, radius).select(F.col("id").alias("_from"), F.col("other").alias("_to"), "metres" if digits is None else F.round("metres", digits).alias("metres"))
+    starts = stops.select("id", _place().alias("_from")).join(near, "_from").repartition(_parts(stops), "_to")
+    return starts.join(stops.select(F.col("id").alias("other"), _place().alias("_to")), "_to").where("id <> other").select("id", "other", "metres")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, bound: float, rounds: int | None = None) -> DataFrame:
