@@ -57,8 +57,8 @@ def edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def snapped(places: DataFrame, nodes: DataFrame, radius: float) -> DataFrame:
     """places (id, lat, lon) with the nearest node within the radius and how far it is; nulls without one."""
-    near = spatial.within(places, nodes, radius).groupBy("id").agg(F.min(F.struct("metres", "other")).alias("n"))
-    return places.join(near.select("id", F.col("n.other").alias("node"), F.col("n.metres").alias("offset")), "id", "left")
+    near = spatial.nearest(places, nodes, radius, 1)
+    return places.join(near.select("id", F.col("other").alias("node"), F.col("metres").alias("offset")), "id", "left")
 
 
 def walks(pairs: DataFrame, nodes: DataFrame, network: DataFrame, radius: float = 500.0, bound: float = 5_000.0) -> DataFrame:

@@ -178,12 +178,12 @@ def haversine_knn30(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PLACES_SQL}, t AS (SELECT id, lat, lon FROM s), d AS (SELECT s.id, t.id AS other, {_dist("s", "t")} AS metres FROM s, t
   WHERE s.id <> t.id) SELECT id, other, round(metres, 3) AS metres FROM d WHERE metres <= 1500""")
 def transfer_selfjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.transfers(_stops(spark, sf_dir), 1500.0).select("id", "other", F.round("metres", 3).alias("metres"))
+    return spatial.transfers(_stops(spark, sf_dir), 1500.0, 3)
 
 
 @query(f"""WITH {_PLACES_SQL}, d AS (SELECT o.id, s.id AS other, {_dist("o", "s")} AS metres FROM o, s) SELECT id, arg_min(other, (metres, other)) AS node FROM d WHERE metres <= 3000 GROUP BY id""")
 def nearest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.within(_origins(spark, sf_dir), _stops(spark, sf_dir), 3000.0).groupBy("id").agg(F.min_by("other", F.struct("metres", "other")).alias("node"))
+    return spatial.nearest(_origins(spark, sf_dir), _stops(spark, sf_dir), 3000.0, 1).select("id", F.col("other").alias("node"))
 
 
 _GRAPH_SQL = """e AS (SELECT s_suppkey AS src, s_suppkey + d AS dst, 50.0 + (s_suppkey * d * 31) % 200 AS cost FROM supplier, (VALUES (1), (3)) v(d)
