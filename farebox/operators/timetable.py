@@ -10,6 +10,8 @@ from farebox.sources.shared import written
 
 #: Seconds of a slice of departures.
 SLICE = 1800
+#: Departures made from one row.
+MADE = 4096
 
 
 def service_window(events: DataFrame) -> DataFrame:
@@ -120,15 +122,30 @@ def thinned(trips: DataFrame, factor: float) -> DataFrame:
     return kept.where(hit).drop("_n", "_m")
 
 
+def _departures(span: DataFrame, factor: float, *columns: str) -> DataFrame:
+    """Rows of span (route, n, first, last and columns), one for each MADE of the ceil(n / factor) departures of a route: columns, first, headway, and
+    the turns since and until; a route of one trip has one."""
+    m = F.when(F.col("n") > 1, F.ceil(F.col("n") / F.lit(factor))).otherwise(1).cast("int")
+    headway = F.floor((F.col("last") - F.col("first")) / F.greatest(m - 1, F.lit(1))).cast("int")
+    rows = span.select("route", "first", *columns, headway.alias("headway"), m.alias("m"), F.explode(F.sequence(F.lit(0), m - 1, F.lit(MADE))).alias("since"))
+    return rows.withColumn("until", F.least(F.col("since") + (MADE - 1), F.col("m") - 1)).drop("m")
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows with each turn of their departures, dealt over the tasks before they become many.
+
+    Spark takes rows that are made by explode to be as few as those they come from, and would broadcast them; so nothing may join them after this.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    dealt = rows.repartition(parts, "route", "since", *keys)
+    return dealt.select("*", F.explode(F.sequence("since", "until")).alias("turn")).withColumn("dep", F.col("first") + F.col("turn") * F.col("headway"))
+
+
 def interpolated(trips: DataFrame, factor: float) -> DataFrame:
     """Headways shorter by a factor below 1: ceil(n / factor) departures at an even headway in whole seconds over each route's span."""
     span = trips.groupBy("route").agg(F.count("*").alias("n"), F.min("dep").alias("first"), F.max("dep").alias("last"))
-    m = F.ceil(F.col("n") / F.lit(factor)).cast("int")
-    headway = F.floor((F.col("last") - F.col("first")) / F.greatest(m - 1, F.lit(1))).cast("int")
-    made = span.where("n > 1").select("route", "first", headway.alias("headway"), F.explode(F.sequence(F.lit(0), m - 1)).alias("turn"))
-    made = made.select("route", "turn", (F.col("first") + F.col("turn") * F.col("headway")).alias("dep"))
-    single = span.where("n = 1").select("route", F.lit(0).alias("turn"), F.col("first").alias("dep"))
-    return made.union(single)
+    return _dealt(_departures(span, factor)).select("route", "turn", "dep")
 
 
 def added_routes(routes: DataFrame, stops: DataFrame, dwell: int = 30, missing: int = 300) -> DataFrame:
@@ -169,16 +186,15 @@ def interpolated_trips(events: DataFrame, factor: float) -> DataFrame:
 
     They ride and dwell like the first trip of their route, starting without a dwell and ending with none; a route of one trip keeps it.
     """
-    trips = _turned(events)
-    starts = interpolated(trips.select("route", F.col("dep0").alias("dep")), factor)
-    single = trips.groupBy("route").agg(F.count("*").alias("n")).where("n = 1").select("route", F.lit(True).alias("single"))
-    model = events.join(trips.where("turn = 0").select("route", "trip", "dep0"), ["route", "trip"])
-    last = F.max("pos").over(Window.partitionBy("route"))
-    model = model.join(single, "route", "left").withColumn("one", F.coalesce("single", F.lit(False)))
+    trips = events.groupBy("route", "trip").agg(F.min_by("dep", "pos").alias("dep0"))
+    span = trips.groupBy("route").agg(F.count("*").alias("n"), F.min("dep0").alias("first"), F.max("dep0").alias("last"), F.min(F.struct("dep0", "trip")).alias("_lead"))
+    model = events.join(span.select("route", F.col("_lead.trip").alias("trip"), F.col("_lead.dep0").alias("dep0"), (F.col("n") == 1).alias("one")), ["route", "trip"])
+    of_route = Window.partitionBy("route")
+    at_start, at_end = F.col("pos") == F.min("pos").over(of_route), F.col("pos") == F.max("pos").over(of_route)
     own = lambda c: F.col(c) - F.col("dep0")
-    at_start, at_end = F.col("pos") == F.min("pos").over(Window.partitionBy("route")), F.col("pos") == last
     model = model.select("route", "pos", "stop", F.when(at_start & ~F.col("one"), 0).otherwise(own("arr")).alias("a"), F.when(at_end & ~F.col("one"), F.when(at_start, 0).otherwise(own("arr"))).otherwise(own("dep")).alias("d"))
-    return starts.join(model, "route").select("route", "turn", "pos", "stop", (F.col("dep") + F.col("a")).alias("arr"), (F.col("dep") + F.col("d")).alias("dep"))
+    made = _dealt(_departures(span, factor).join(model, "route"), "pos")
+    return made.select("route", "turn", "pos", "stop", (F.col("dep") + F.col("a")).alias("arr"), (F.col("dep") + F.col("d")).alias("dep"))
 
 
 def edited(base: DataFrame, edits: DataFrame, key: str = "route") -> DataFrame:

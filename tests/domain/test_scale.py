@@ -2,9 +2,10 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from farebox.operators import spatial
+from farebox.operators import spatial, timetable
 
 
 def at_one_place(spark, n, lat=37.5):
@@ -31,3 +32,22 @@ def test_transfers_of_many_at_one_place(spark):
     assert spatial.transfers(stops, 500.0).groupBy(F.col("metres") > 0).count().orderBy("count").collect() == [(True, 600), (False, 300 * 299)]
     plan = spatial.transfers(stops, 500.0, 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("ATAN2")  # distances are of places, before stops meet
+
+
+def test_interpolated_trips_are_made_last(spark):
+    """Rows that explode makes are taken to be few: joined, they went to the driver as a broadcast."""
+    events = spark.range(60_000).select((F.col("id") % 2).alias("route"), F.col("id").alias("trip"), F.lit(0).alias("pos"), F.lit(5).alias("stop"), (F.col("id") * 3).alias("arr"), (F.col("id") * 3 + 1).alias("dep"))
+    made = timetable.interpolated_trips(events, 0.5)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Join")
+    got = made.groupBy("route").agg(F.count("*").alias("n"), F.countDistinct("turn").alias("d"), F.min("turn").alias("a"), F.max("turn").alias("z"), F.min("dep").alias("first"), F.max("dep").alias("last")).orderBy("route").collect()
+    step = (29_999 * 6) // 59_999
+    assert [tuple(r) for r in got] == [(k, 60_000, 60_000, 0, 59_999, 3 * k + 1, 3 * k + 1 + 59_999 * step) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 4097])
+def test_interpolated_departures(spark, n):
+    trips = spark.range(n).select(F.lit(1).alias("route"), (F.col("id") * 100).alias("dep"))
+    got = sorted((r.turn, r.dep) for r in timetable.interpolated(trips, 0.4).collect())
+    m = -(-n * 5 // 2) if n > 1 else 1
+    assert got == [(i, i * (((n - 1) * 100) // max(m - 1, 1))) for i in range(m)]
