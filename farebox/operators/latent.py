@@ -19,6 +19,8 @@ from farebox.operators.choice import of_chain
 
 #: Bounds of the coefficients of choice and of membership.
 CHOICE_BOUND, MEMBER_BOUND = 5.0, 10.0
+#: Decimals to which probabilities of classes are compared.
+DIGITS = 9
 
 
 def _linear(names: list[str], values: list[float]) -> Column:
@@ -47,14 +49,16 @@ def with_mixture(df: DataFrame, names: list[str], betas: list[list[float]], cova
 
 
 def posteriors(mixed: DataFrame, k: int) -> DataFrame:
-    """(chain_id, post_0.., class): the probability of each class given the choice, and the likeliest class, the first on ties."""
+    """(chain_id, post_0.., class): the probability of each class given the choice, and the likeliest class, the first on ties. Probabilities that are
+    equal to DIGITS decimals tie: the last bits depend on the order of sums, and many chains are as likely in both classes."""
     chosen = mixed.where("choice = 1")
     post = [F.col(f"pi_{i}") * F.col(f"p_{i}") / F.col("p") for i in range(k)]
     rows = chosen.select("chain_id", *(x.alias(f"post_{i}") for i, x in enumerate(post)))
-    best = F.greatest(*(F.col(f"post_{i}") for i in range(k)))
+    rounded = [F.round(f"post_{i}", DIGITS) for i in range(k)]
+    best = F.greatest(*rounded)
     out = F.lit(k - 1)
     for i in range(k - 2, -1, -1):
-        out = F.when(F.col(f"post_{i}") == best, i).otherwise(out)
+        out = F.when(rounded[i] == best, i).otherwise(out)
     return rows.withColumn("class", out)
 
 

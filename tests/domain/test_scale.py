@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from farebox.operators import spatial, timetable
+from farebox.operators import latent, spatial, timetable
 
 
 def at_one_place(spark, n, lat=37.5):
@@ -51,3 +51,9 @@ def test_interpolated_departures(spark, n):
     got = sorted((r.turn, r.dep) for r in timetable.interpolated(trips, 0.4).collect())
     m = -(-n * 5 // 2) if n > 1 else 1
     assert got == [(i, i * (((n - 1) * 100) // max(m - 1, 1))) for i in range(m)]
+
+
+def test_classes_that_differ_in_the_last_bits_tie(spark):
+    df = spark.createDataFrame([(1, 1, 0.5, 0.0), (2, 1, 0.5, 1.0)], "chain_id long, choice int, x double, z double")
+    mixed = latent.with_mixture(df, ["x"], [[0.3], [0.1]], ["z"], [[-1e-13, -1e-6]])
+    assert [r["class"] for r in latent.posteriors(mixed, 2).orderBy("chain_id").collect()] == [0, 1]
