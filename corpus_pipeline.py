@@ -50,7 +50,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard similarity of 0.8 or more), the one with the smallest doc_id."""
+    """One document of each group of near duplicates, the one with the smallest doc_id: candidates are those that op3's fingerprints link by Golay keys, and
+    those that minimal hashes add; all are verified (five-word shingles, Jaccard similarity of 0.8 or more)."""
     return simhash.keep_one(docs, width=5, similarity=0.8)
 
 

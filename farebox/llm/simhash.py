@@ -15,11 +15,11 @@ Skew: equal fingerprints are one node, joined before anything is paired. A key w
 paired at all: its fingerprints go the exact way of their balls of radius one (65 words each), since two words
 differ in at most two bits just if these balls meet. Rows grow with the fingerprints, never with their pairs.
 
-With a similarity, near_duplicates and keep_one go another way: links are pairs of texts whose sets of shingles (of any width) have an
-exact Jaccard similarity of at least that. Fingerprints don't take part: texts as near as 0.8 differ in some 10 bits of 64, and segments with so
-many errors have no codeword in common but by keys so short that all texts meet. Candidates share one of BANDS keys of ROWS minimal
-hashes each (a pair at 0.8 shares none with a probability of 7 in 100,000, at 0.9 below one in 10 ** 9), and every candidate is
-verified on the whole sets. Keys of up to PAIRED sets pair all of theirs. In a larger one, such as of a text with thousands of near copies,
+With a similarity, near_duplicates and keep_one verify the pairs that fingerprints link, and add others: links are then pairs of texts whose sets of
+shingles (of any width) have an exact Jaccard similarity of at least that. Fingerprints alone don't find them all: texts as near as 0.8 differ in some 10
+bits of 64, and segments with so many errors have no codeword in common but by keys so short that all texts meet. So further candidates share
+one of BANDS keys of ROWS minimal hashes each (a pair at 0.8 shares none with a probability of 7 in 100,000, at 0.9 below one in 10 ** 9), and
+every candidate, of either kind, is verified on the whole sets. Keys of up to PAIRED sets pair all of theirs. In a larger one, such as of a text with thousands of near copies,
 each set is compared with one centre, the set that meets most others. Between the components that this leaves, candidates are those members of
 large keys that share one of their rarest shingles (a prefix of |x| - ceil(similarity |x|) + 1 in one order of all, from the rarest on), which
 similar sets always do; so work grows with the members and not with their pairs, and nothing is lost.
@@ -194,7 +194,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def with_bands(df: DataFrame, width: int, text: str = "text", out: str = "set") -> DataFrame:
-    """df with a struct of the set of shingles: fp, its hash, n, its size, and its keys."""
+    """df with a struct of the set of shingles: fp, its hash, n, its size, and its keys; and print, the text's fingerprint."""
 
     def run(texts: pa.Array) -> pa.Array:
         import xxhash
@@ -202,10 +202,20 @@ def with_bands(df: DataFrame, width: int, text: str = "text", out: str = "set")
         rows = []
         for t in texts:
             x = shingles(t.as_py(), width)
-            rows.append({"fp": xxhash.xxh64_intdigest(x.tobytes(), 42) - (1 << 63), "n": x.size, "keys": bands(x)})
-        return pa.array(rows, pa.struct([("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64()))]))
+            rows.append({"fp": xxhash.xxh64_intdigest(x.tobytes(), 42) - (1 << 63), "n": x.size, "keys": bands(x), "print": fingerprint(t.as_py())})
+        return pa.array(rows, pa.struct([("fp", pa.int64()), ("n", pa.int64()), ("keys", pa.list_(pa.int64())), ("print", pa.int64())]))
 
-    return df.withColumn(out, F.arrow_udf(run, "struct<fp:bigint,n:bigint,keys:array<bigint>>")(F.col(text)))
+    return df.withColumn(out, F.arrow_udf(run, "struct<fp:bigint,n:bigint,keys:array<bigint>,print:bigint>")(F.col(text)))
+
+
+def _printed(docs: DataFrame) -> DataFrame:
+    """Candidates (u, v) among the sets of docs (fp, print): the sets of one fingerprint with the least of them, and the least sets of linked fingerprints."""
+    sets = written(docs.select("fp", "print").distinct(), "prints")
+    least = sets.groupBy("print").agg(F.min("fp").alias("least"))
+    same = sets.join(least, "print").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    end = lambda x, y: least.select(F.col("print").alias(x), F.col("least").alias(y))
+    linked = links(least.select(F.col("print").alias("fp"))).join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
+    return same.union(linked).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -299,7 +309,7 @@ def _across(members: DataFrame, texts: DataFrame, width: int, similarity: float)
 
 
 def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (u, v) that connect just the sets which links connect, written. docs: fp, n, keys and text."""
+    """Edges (u, v) that connect just the sets which links connect, written. docs: fp, n, keys, print and text."""
     scratch: list[str] = []
     with noted(scratch):
         found = _similar(docs, width, similarity)
@@ -320,7 +330,7 @@ def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     placed = large.select("key", "fp").join(members, "fp")
     centres = placed.groupBy("key").agg(F.max_by("fp", F.struct("meets", "fp")).alias("v"))
     stars = placed.join(centres, "key").where("fp <> v").select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v"))
-    candidates = written(pairs.union(stars).distinct(), "candidates")
+    candidates = written(pairs.union(stars).union(_printed(docs)).distinct(), "candidates")
     wanted = candidates.select(F.col("u").alias("fp")).union(candidates.select("v")).union(members.select("fp")).distinct()
     texts = written(docs.select("fp", "text").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text")), "texts")
     edges = written(_verified(candidates, texts, width, similarity), "similar")
@@ -354,7 +364,7 @@ def _linked(df: DataFrame, doc_id: str, text: str, width: int, similarity: float
         raise ValueError("similarity is over 0 and at most 1, width at least 1")
     found = with_bands(rows, width).select("all", "doc_id", "set.*").withColumn("row", F.monotonically_increasing_id())
     rows = written(found, "shingles")
-    return rows, similar(rows.select("fp", "n", "keys", in_all), width, similarity)
+    return rows, similar(rows.select("fp", "n", "keys", "print", in_all), width, similarity)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from farebox.llm import simhash
 from farebox.llm.graph import connected_components
@@ -167,3 +168,21 @@ def test_kept_columns_may_clash(spark):
     df = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9, "k"), (2, "a b c d e f", 7, 8, 9, "k")], "doc_id long, text string, fp int, row int, n int, all string")
     for kept in (simhash.keep_one(df), simhash.keep_one(df, width=5, similarity=0.8)):
         assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 7, 8, 9, "k")]
+
+
+def test_fingerprints_give_candidates_with_a_similarity_too(spark, monkeypatch):
+    """Without minimal hashes, what fingerprints link by Golay keys is still found, and verified."""
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words), " ".join(words) + " end", " ".join(words[:1500] + ["other"] + words[1500:]), "a b", "A  b", "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [simhash.fingerprint(t) & (1 << 64) - 1 for t in texts]
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= 2 or prints[0] == prints[1]
+    usual = simhash.with_bands
+
+    def without_keys(df, width):
+        return usual(df, width).withColumn("set", F.col("set").withField("keys", F.array().cast("array<bigint>")))
+
+    monkeypatch.setattr(simhash, "with_bands", without_keys)
+    found = simhash.near_duplicates(df, width=5, similarity=0.8).orderBy("doc_id").collect()
+    near = (prints[0] ^ prints[2]).bit_count() <= 2 or (prints[1] ^ prints[2]).bit_count() <= 2
+    assert [r.component_id for r in found] == [0, 0, 0 if near else 2, 3, 3, 5]
