@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,12 +35,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a part that one task sorts.
+PART_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, key: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """rows of a table by the hash of a key, in as many parts as leave about part_rows to each, so that what a task sorts and holds doesn't grow with
+    the table. (A table's rows are counted from the footers of its files.) What groups, orders or joins by the key needs no other shuffle."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / part_rows)), key)
+
+
 def alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from farebox.operators.choice import with_choice
 
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
-    rows = read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("chain_id"), (F.row_number().over(order) - 1).cast("long").alias("alt_id"), F.col("l_quantity").alias("t_ride"), (F.col("l_tax") * 100).alias("t_walk"),
+    order = Window.partitionBy("chain_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    lines = dealt(read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "chain_id"), "chain_id")
+    rows = lines.select(
+        "chain_id", (F.row_number().over(order) - 1).cast("long").alias("alt_id"), F.col("l_quantity").alias("t_ride"), (F.col("l_tax") * 100).alias("t_walk"),
         (F.col("l_suppkey") % 4).cast("double").alias("n_transfer"), F.when(F.col("l_returnflag") == "A", 1.0).otherwise(0.0).alias("d_subway"), F.col("l_extendedprice").alias("cost"),
         (1 - F.col("l_discount") * 10).alias("sim"), "l_partkey",
     )
