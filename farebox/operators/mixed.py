@@ -1,7 +1,7 @@
 """Mixed logit by simulated likelihood: some coefficients are normal over chains, their spreads positive by an exponential.
 
-Each chain's probability is its mean over the draws. The draws are a table of a few hundred rows that goes to every task; chains are
-dealt into groups of about CHAINS by the hash of their id, and a group gives one row of sums. So no group grows with the data.
+Each chain's probability is its mean over the draws. The draws are a few hundred rows that go to every task; a chain becomes one row of
+arrays, a task takes some thousand of them at a time, and gives one row of sums.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Chains of a group, and the bounds of the uniform draws before the inverse of the normal distribution.
-CHAINS = 2_000
+from farebox.operators import latent
+
+#: The bounds of the uniform draws before the inverse of the normal distribution.
 CLIP = (0.001, 0.999)
 PRIMES = (2, 3, 5, 7, 11, 13, 17, 19, 23, 29)
 
@@ -36,47 +37,51 @@ def normal_draws(n: int, dimensions: int) -> np.ndarray:
     return np.stack([inverse(np.clip(halton(n, p), *CLIP)) for p in PRIMES[:dimensions]], axis=1)
 
 
-def _sums(x: np.ndarray, chosen: np.ndarray, chain: np.ndarray, params: np.ndarray, fixed: int, draws: np.ndarray) -> np.ndarray:
-    """The log likelihood and its gradient over the chains of a group; rows of a chain follow one another."""
+def _sums(x: np.ndarray, first: np.ndarray, params: np.ndarray, fixed: int, draws: np.ndarray) -> np.ndarray:
+    """The number of some chains, their log likelihood and its gradient; rows of a chain follow one another, the choice first."""
     k = draws.shape[1]
     spread = np.exp(params[-k:])
-    first = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
-    sizes = np.diff(np.append(first, chain.size))
-    at = np.flatnonzero(chosen == 1)
+    sizes = np.diff(np.append(first, len(x)))
     total, weighted = np.zeros(first.size), np.zeros((first.size, params.size))
     for z in draws:
         v = x[:, :fixed] @ params[:fixed] + x[:, fixed:] @ (params[fixed:-k] + spread * z)
         e = np.exp(v - np.repeat(np.maximum.reduceat(v, first), sizes))
         p = e / np.repeat(np.add.reduceat(e, first), sizes)
-        mine = p[at]
+        mine = p[first]
         total += mine
-        off = x[at] - np.add.reduceat(p[:, None] * x, first, axis=0)
+        off = x[first] - np.add.reduceat(p[:, None] * x, first, axis=0)
         weighted += mine[:, None] * np.hstack([off, off[:, fixed:] * (spread * z)])
     mean = total / len(draws)
-    return np.concatenate([[np.log(mean + 1e-10).sum()], (weighted / len(draws) / (mean + 1e-10)[:, None]).sum(axis=0)])
+    return np.concatenate([[first.size, np.log(mean + 1e-10).sum()], (weighted / len(draws) / (mean + 1e-10)[:, None]).sum(axis=0)])
+
+
+def totals(chains: DataFrame, fixed: list[str], random: list[str], params: np.ndarray, draws: np.ndarray) -> tuple[int, float, np.ndarray]:
+    """The number of grouped chains, their simulated log likelihood and its gradient (coefficients of fixed, means of random, logarithms of their
+    spreads), in one pass."""
+    names, params = [*fixed, *random], np.asarray(params, float)
 
+    def run(batches):
+        found = np.zeros(2 + params.size)
+        for batch in batches:
+            if batch.num_rows:
+                first = batch.column(0).offsets.to_numpy()[:-1].astype(np.int64)
+                x = np.stack([c.flatten().to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+                found += _sums(x, first - first[0], params, len(fixed), draws)
+        yield pa.RecordBatch.from_arrays([pa.array([found.tolist()], pa.list_(pa.float64()))], names=["sums"])
 
-def likelihood(df: DataFrame, fixed: list[str], random: list[str], params: np.ndarray, draws: np.ndarray) -> tuple[float, np.ndarray]:
-    """The simulated log likelihood and its gradient: coefficients of fixed, means of random, logarithms of their spreads. df has column group."""
-    names = [*fixed, *random]
-    params = np.asarray(params, float)
+    each = chains.select(*names).mapInArrow(run, "sums array<double>")
+    row = [x or 0.0 for x in each.agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(2 + params.size))).first()]
+    return int(row[0]), row[1], np.array(row[2:])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("chain_id", kind="stable")
-        found = _sums(rows[names].to_numpy(float), rows["choice"].to_numpy(), rows["chain_id"].to_numpy(), params, len(fixed), draws)
-        return pd.DataFrame({"sums": [found.tolist()]})
 
-    each = df.groupBy("group").applyInPandas(run, "sums array<double>")
-    row = each.agg(*(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(1 + params.size))).first()
-    return row[0] or 0.0, np.array([x or 0.0 for x in row[1:]])
+def likelihood(chains: DataFrame, fixed: list[str], random: list[str], params: np.ndarray, draws: np.ndarray) -> tuple[float, np.ndarray]:
+    """The simulated log likelihood of grouped chains and its gradient."""
+    return totals(chains, fixed, random, params, draws)[1:]
 
 
 def grouped(df: DataFrame, *names: str) -> DataFrame:
-    """The rows of chains with exactly one choice, with the number of their group."""
-    one = df.groupBy("chain_id").agg(F.sum("choice").alias("n")).where("n = 1").select("chain_id")
-    rows = df.select("chain_id", "choice", *names).join(one, "chain_id", "left_semi")
-    groups = max(1, math.ceil(one.count() / CHAINS))
-    return rows.withColumn("group", F.pmod(F.xxhash64("chain_id"), F.lit(groups)))
+    """One row for each chain with exactly one choice: an array for each attribute, the choice first."""
+    return latent.packed(df, list(names), [])
 
 
 def fit(df: DataFrame, fixed: list[str], random: list[str], n_draws: int = 500, rounds: int = 100, tolerance: float = 1e-5) -> dict:
@@ -87,7 +92,7 @@ def fit(df: DataFrame, fixed: list[str], random: list[str], n_draws: int = 500,
     draws = normal_draws(n_draws, len(random))
     rows = grouped(df, *fixed, *random).persist()
     try:
-        chains = max(rows.where("choice = 1").count(), 1)
+        chains = max(rows.count(), 1)
         value = lambda x: tuple(-y / chains for y in likelihood(rows, fixed, random, x, draws))
         x = np.concatenate([np.zeros(len(fixed) + len(random)), np.full(len(random), math.log(0.1))])
         (f, g), inverse, converged = value(x), np.eye(x.size), False

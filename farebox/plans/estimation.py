@@ -156,6 +156,5 @@ def mixed_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The simulated likelihood of a mixed logit at given parameters."""
     fixed, random = ["t_ride", "t_walk", "d_subway"], ["n_transfer"]
     rows = mixed.grouped(d.alternatives(spark, sf_dir), *fixed, *random)
-    ll, _ = mixed.likelihood(rows, fixed, random, MIXED, mixed.normal_draws(_DRAWS, 1))
-    chains = rows.where("choice = 1").count()
+    chains, ll, _ = mixed.totals(rows, fixed, random, MIXED, mixed.normal_draws(_DRAWS, 1))
     return spark.createDataFrame([(chains, round(float(ll), 3))], "chains long, ll double")

@@ -1,6 +1,10 @@
 """What is shuffled, and what a task holds, on tables that grow."""
 
-from farebox.operators import latent
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from farebox.operators import latent, mixed
 from farebox.plans import derive as d
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +24,18 @@ def test_choice_sets_are_shuffled_once(spark):
     rows = d.alternatives(spark, SF)
     assert plan(rows).count("Exchange") == 1
     assert plan(latent.packed(rows, list(d.POOLED), [])).count("Exchange") == 1
+    assert plan(mixed.grouped(rows, *d.POOLED)).count("Exchange") == 1
+
+
+def test_mixed_likelihood_takes_one_choice(spark):
+    rows = [(1, 1, 0.5, 1.0), (1, 0, 2.0, 0.0), (2, 0, 1.0, 1.0), (3, 1, 1.0, 1.0), (3, 1, 0.0, 1.0), (4, 0, 1.0, 3.0), (4, 1, 0.0, 2.0), (4, 0, 0.5, 0.5)]
+    df = spark.createDataFrame(rows, "chain_id long, choice int, x double, y double").repartition(3)
+    at, z = [-0.5, 0.4, -0.2], mixed.normal_draws(8, 1)
+    chains, ll, g = mixed.totals(mixed.grouped(df, "x", "y"), ["x"], ["y"], at, z)
+    want = 0.0
+    for c in (1, 4):
+        own = [r for r in rows if r[0] == c]
+        e = np.array([[np.exp(at[0] * r[2] + (at[1] + np.exp(at[2]) * d) * r[3]) for r in own] for d in z[:, 0]])
+        want += np.log((e / e.sum(axis=1, keepdims=True))[:, [r[1] for r in own].index(1)].mean() + 1e-10)
+    assert chains == 2 and ll == pytest.approx(want) and g.shape == (3,)
+    assert mixed.totals(mixed.grouped(df.where(F.lit(False)), "x", "y"), ["x"], ["y"], at, z)[:2] == (0, 0.0)
