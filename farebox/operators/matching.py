@@ -38,6 +38,19 @@ def with_translated(df: DataFrame, pairs: DataFrame, key: str, value: str, *colu
     return met.select(*out)
 
 
+def with_translated_values(df: DataFrame, pairs: DataFrame, key: str, value: str, *columns: str, order: str | None = None) -> DataFrame:
+    """df with the identifiers in some plain columns translated, null where there is no translation; rows and their number stay.
+
+    Each column meets the dictionary by an ordinary join. Where lists are made of rows, this comes before: a small dictionary is sent to the tasks, and
+    rows that are dealt by the key of their lists stay where they are.
+    """
+    entries = last_entries(pairs, key, value, order)
+    for c in columns:
+        found = entries.select(F.col("_key").alias(c), F.col("_value").alias("_found"))
+        df = df.join(found, c, "left").select(*(F.col("_found").alias(c) if x == c else x for x in df.columns))
+    return df
+
+
 def traversed_by_chain(legs: DataFrame) -> DataFrame:
     """(chain_id, stops): the stops of a chain's legs (chain_id, leg, status, stops) with status ok, leg after leg."""
     ok = legs.where("status = 'ok'").groupBy("chain_id").agg(F.sort_array(F.collect_list(F.struct("leg", "stops"))).alias("_l"))
