@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,34 +18,52 @@ def _place(name: Column, lat: Column, lon: Column, stop: Column) -> Column:
     return F.struct(name.alias("name"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"), stop.alias("stop"))
 
 
+def leg(kind: str, start: Column, seconds: Column, key: str, src: Column | None = None, dst: Column | None = None, lat: Column | None = None, lon: Column | None = None, mode: Column | None = None, route: Column | None = None) -> Column:
+    """A leg as put_together takes it. kind: access, transit, transfer or egress; src and dst: stops (of type key) that it has; lat and lon: the origin
+    or the destination; mode and route of a ride."""
+    none = lambda kind: F.lit(None).cast(kind)
+    end = none("struct<name:string,lat:double,lon:double>")
+    if kind in ("access", "egress"):
+        end = F.struct(F.lit("Origin" if kind == "access" else "Destination").alias("name"), lat.cast("double").alias("lat"), lon.cast("double").alias("lon"))
+    return F.struct(
+        F.lit(_KINDS.index(kind)).alias("kind"), start.cast("long").alias("start"), seconds.cast("long").alias("seconds"), (none(key) if src is None else src.cast(key)).alias("src"),
+        (none(key) if dst is None else dst.cast(key)).alias("dst"), end.alias("end"), (F.lit("WALK") if mode is None else mode).alias("mode"), (none("string") if route is None else route.cast("string")).alias("route"),
+    )
+
+
 def assembled(access: DataFrame, transit: DataFrame, transfers: DataFrame, egress: DataFrame, stops: DataFrame) -> DataFrame:
     """One row for each request: its legs in their order, as an array of structs and as JSON, with totals.
 
     access (request, start, seconds, stop, lat, lon) walks from the origin to a stop, egress (the same) from a stop to the destination; transit (request,
     start, seconds, src, dst, mode, route) rides and transfers (request, start, seconds, src, dst) walks between stops; stops (stop, name,
-    lat, lon). All become rows of one shape, meet the places of their ends in two joins, and one aggregation by request sorts and sums them.
-    Legs are in order of start, at one start in the order access, transit, transfer, egress; an unknown stop has no name and place, a null start
-    comes first. A request has the legs that there are; requests without any have no row.
+    lat, lon). All become rows of one shape, which put_together takes.
     """
-    none = lambda kind: F.lit(None).cast(kind)
-    key = dict(stops.dtypes)["stop"]
-
-    def rows(df: DataFrame, kind: str, src: str | None, dst: str | None) -> DataFrame:
-        end = F.struct(F.lit("Origin" if kind == "access" else "Destination").alias("name"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")) if kind in ("access", "egress") else none("struct<name:string,lat:double,lon:double>")
-        return df.select(
-            "request", F.lit(_KINDS.index(kind)).alias("kind"), F.col("start").cast("long").alias("start"), F.col("seconds").cast("long").alias("seconds"),
-            (F.col(src) if src else none(key)).alias("src"), (F.col(dst) if dst else none(key)).alias("dst"), end.alias("end"),
-            (F.col("mode") if kind == "transit" else F.lit("WALK")).alias("mode"), (F.col("route").cast("string") if kind == "transit" else none("string")).alias("route"),
-        )
-
-    all_legs = rows(access, "access", None, "stop").unionByName(rows(transit, "transit", "src", "dst"))
-    all_legs = all_legs.unionByName(rows(transfers, "transfer", "src", "dst")).unionByName(rows(egress, "egress", "stop", None))
+    key, c = dict(stops.dtypes)["stop"], F.col
+    start, seconds = c("start"), c("seconds")
+    each = [
+        access.select("request", leg("access", start, seconds, key, dst=c("stop"), lat=c("lat"), lon=c("lon")).alias("leg")),
+        transit.select("request", leg("transit", start, seconds, key, c("src"), c("dst"), mode=c("mode"), route=c("route")).alias("leg")),
+        transfers.select("request", leg("transfer", start, seconds, key, c("src"), c("dst")).alias("leg")),
+        egress.select("request", leg("egress", start, seconds, key, src=c("stop"), lat=c("lat"), lon=c("lon")).alias("leg")),
+    ]
+    return put_together(reduce(DataFrame.unionByName, each), stops)
+
+
+def put_together(rows: DataFrame, stops: DataFrame) -> DataFrame:
+    """One row for each request of rows (request, leg), as assembled gives it.
+
+    Legs meet the places of their ends (stop, name, lat, lon) in two joins, and one aggregation by request sorts and sums them; rows that are dealt by
+    request stay where they are, if the stops are few enough to be sent to the tasks. Legs are in order of start, at one start in the order access,
+    transit, transfer, egress; an unknown stop has no name and place, a null start comes first. A request has the legs that there are;
+    requests without any have no row.
+    """
+    all_legs = rows.select("request", "leg.*")
     for end in ("src", "dst"):
         found = stops.select(F.col("stop").alias(end), F.struct("name", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).alias(f"at_{end}"))
         all_legs = all_legs.join(found, end, "left")
     walked = F.col("kind") != _KINDS.index("transit")
     origin, target = F.when(F.col("kind") == 0, F.col("end")).otherwise(F.col("at_src")), F.when(F.col("kind") == 3, F.col("end")).otherwise(F.col("at_dst"))
-    leg = F.struct(
+    told = F.struct(
         F.col("start"), F.col("kind"), F.col("mode"), (F.col("start") + F.col("seconds")).alias("end"), F.col("seconds").alias("duration"),
         F.when(walked, F.round(F.col("seconds") * WALK_SPEED, 2)).otherwise(0.0).alias("distance"),
         (F.col("seconds") * F.when(walked, WALK_COST).otherwise(1)).alias("cost"),
@@ -51,7 +71,7 @@ def assembled(access: DataFrame, transit: DataFrame, transfers: DataFrame, egres
         _place(target.getField("name"), target.getField("lat"), target.getField("lon"), F.col("dst")).alias("to"), F.col("route"),
     )
     listed = all_legs.groupBy("request").agg(
-        F.sort_array(F.collect_list(leg)).alias("legs"), F.sum(F.when(walked, F.col("seconds")).otherwise(0)).alias("walk_seconds"),
+        F.sort_array(F.collect_list(told)).alias("legs"), F.sum(F.when(walked, F.col("seconds")).otherwise(0)).alias("walk_seconds"),
         F.sum(F.when(walked, 0).otherwise(F.col("seconds"))).alias("ride_seconds"), F.count_if(~walked).alias("rides"),
         F.min("start").alias("start"), F.max(F.col("start") + F.col("seconds")).alias("end"),
     )

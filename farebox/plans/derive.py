@@ -39,10 +39,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PART_ROWS = 500_000
 
 
+def parts(rows: DataFrame, part_rows: int = PART_ROWS) -> int:
+    """How many parts leave about part_rows rows of a table to each. (They are counted from the footers of its files.)"""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / part_rows))
+
+
 def dealt(rows: DataFrame, key: str, part_rows: int = PART_ROWS) -> DataFrame:
     """rows of a table by the hash of a key, in as many parts as leave about part_rows to each, so that what a task sorts and holds doesn't grow with
-    the table. (A table's rows are counted from the footers of its files.) What groups, orders or joins by the key needs no other shuffle."""
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / part_rows)), key)
+    the table. What groups, orders or joins by the key needs no other shuffle."""
+    return rows.repartition(parts(rows, part_rows), key)
 
 
 def alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:

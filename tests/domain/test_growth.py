@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from farebox.operators import latent, mixed
+from farebox.operators import latent, matching, mixed
 from farebox.plans import derive as d
+from farebox.plans import matching as plans
+from farebox.plans import sequences
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +41,23 @@ def test_mixed_likelihood_takes_one_choice(spark):
         want += np.log((e / e.sum(axis=1, keepdims=True))[:, [r[1] for r in own].index(1)].mean() + 1e-10)
     assert chains == 2 and ll == pytest.approx(want) and g.shape == (3,)
     assert mixed.totals(mixed.grouped(df.where(F.lit(False)), "x", "y"), ["x"], ["y"], at, z)[:2] == (0, 0.0)
+
+
+def test_plain_identifiers_translate_where_they_are(spark):
+    pairs = spark.createDataFrame([(1, 10, 1), (2, 20, 3), (2, 19, 2), (None, 5, 4), (3, None, 5)], "a long, b long, place int")
+    df = spark.createDataFrame([(1, 1, 2), (2, None, 9), (2, 3, 1), (2, 3, 1)], "e long, a long, value long")
+    got = matching.with_translated_values(df, pairs, "a", "b", "a", "value", order="place")
+    assert got.columns == df.columns and sorted(got.collect(), key=str) == sorted([(1, 10, 20), (2, None, None), (2, None, 10), (2, None, 10)], key=str)
+    lines = d.dealt(df, "e")
+    made = matching.with_translated_values(lines, pairs, "a", "b", "a", "value").groupBy("e").agg(F.collect_list("a"))
+    assert plan(made).count("hashpartitioning(e") == 1
+
+
+def test_journeys_are_shuffled_once_by_chain(spark):
+    wanted = spark.range(50).select(F.col("id").alias("chain_id"))
+    assert plan(plans._journeys(spark, SF, wanted)).count("hashpartitioning(chain_id") == 1
+
+
+def test_legs_are_made_of_one_shuffle_of_lines(spark):
+    made = plan(sequences.assembled_legs(spark, SF))
+    assert made.count("lineitem.parquet") == 1 and made.count("hashpartitioning(request") + made.count("hashpartitioning(o_orderkey") <= 2
