@@ -1,9 +1,12 @@
 """What is shuffled, and what a task holds, on tables that grow."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from farebox.functions import tolerant
 from farebox.operators import latent, matching, mixed
 from farebox.plans import derive as d
 from farebox.plans import matching as plans
@@ -48,8 +51,8 @@ def test_plain_identifiers_translate_where_they_are(spark):
     df = spark.createDataFrame([(1, 1, 2), (2, None, 9), (2, 3, 1), (2, 3, 1)], "e long, a long, value long")
     got = matching.with_translated_values(df, pairs, "a", "b", "a", "value", order="place")
     assert got.columns == df.columns and sorted(got.collect(), key=str) == sorted([(1, 10, 20), (2, None, None), (2, None, 10), (2, None, 10)], key=str)
-    lines = d.dealt(df, "e")
-    made = matching.with_translated_values(lines, pairs, "a", "b", "a", "value").groupBy("e").agg(F.collect_list("a"))
+    few = spark.range(5).select(F.col("id").alias("a"), (F.col("id") * 2).alias("b"))
+    made = matching.with_translated_values(d.dealt(df, "e"), few, "a", "b", "a", "value").groupBy("e").agg(F.collect_list("a"))
     assert plan(made).count("hashpartitioning(e") == 1
 
 
@@ -61,3 +64,16 @@ def test_journeys_are_shuffled_once_by_chain(spark):
 def test_legs_are_made_of_one_shuffle_of_lines(spark):
     made = plan(sequences.assembled_legs(spark, SF))
     assert made.count("lineitem.parquet") == 1 and made.count("hashpartitioning(request") + made.count("hashpartitioning(o_orderkey") <= 2
+
+
+def test_tolerant_measures_of_many_pairs(spark):
+    """The cells of tables are computed for many pairs at once."""
+    stop = lambda k, i: F.struct(((k + i) % 50).alias("id"), (37.5 + (k + i) % 50 * 0.001).alias("lat"), F.lit(127.0).alias("lon"))
+    some = lambda k: F.array(*(stop(k, i) for i in range(7)))
+    df = spark.range(200_000).select(some(F.col("id")).alias("a"), some(F.col("id") + 1).alias("b"), F.array(*map(F.lit, ["BUS", None, "RAIL"])).alias("m"), F.array(*map(F.lit, ["BUS", None, "SUBWAY", "x"])).alias("n"))
+    start = time.monotonic()
+    got = df.select(F.round(tolerant.tolerant_similarity("a", "b"), 6).alias("s"), F.round(tolerant.mode_similarity("m", "n"), 6).alias("t")).groupBy("s", "t").count().collect()
+    assert time.monotonic() - start < 15
+    near = 1 - 6_371_000.0 * np.radians(0.001) / 300
+    wrapped = sum(r["count"] for r in got if abs(r.s - 6 / 7) > 1e-6)
+    assert near > 0 and {r.t for r in got} == {round(1 - 1.3 / 4, 6)} and wrapped <= 7 * 200_000 / 50 and sum(r["count"] for r in got) == 200_000
