@@ -126,11 +126,10 @@ class Encoder:
                 ids = array("I", e.ids)
                 blanks = np.flatnonzero(x == 32)
                 places = blanks - np.arange(blanks.size)
-                raw, first = ids.tobytes(), 0
-                for end in (4 * np.searchsorted(self.long[np.frombuffer(ids, np.uint32)].cumsum(), places) + 4).tolist():
-                    out.append(raw[first:end])
-                    first = end
-                if first != len(raw):
+                raw = ids.tobytes()
+                ends = (4 * np.searchsorted(self.long[np.frombuffer(ids, np.uint32)].cumsum(), places) + 4).tolist()
+                out += [raw[i:j] for i, j in zip([0, *ends], ends)]
+                if (ends[-1] if ends else 0) != len(raw):
                     raise ValueError("tokens and parts differ in length")
         return out
 
@@ -188,8 +187,10 @@ class Encoder:
             at = words.indices.to_numpy()
             distinct = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary.cast(pa.string()))
             found = self._ids_of(pc.binary_join(distinct, " ")[0].as_py().split(" "))
-            ends = np.cumsum((np.fromiter(map(len, found), np.int64, len(found)) >> 2)[at])
-            ids = np.frombuffer(b"".join(map(found.__getitem__, at.tolist())), np.uint32)
+            sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+            starts, each = np.cumsum(sizes) - sizes, sizes[at]
+            ends = np.cumsum(each)
+            ids = np.frombuffer(b"".join(found), np.uint32)[np.arange(ends[-1] if ends.size else 0) + np.repeat(starts[at] - ends + each, each)]
             cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
         k = 0
         for t, s in zip(texts, taken, strict=True):
