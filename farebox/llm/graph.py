@@ -32,18 +32,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node with an edge; edges: columns u and v, of one type. The root is the component's least node.
 
-    Each round is written to the shared folder. It ends when no root is itself below another node, after a number of
-    rounds that grows with the logarithm of the longest path.
+    Each half of a round is written to the shared folder, so the driver never has more than a few joins to plan. It ends when no
+    root is itself below another node, after a number of rounds that grows with the logarithm of the longest path.
     """
     spark, old, new = edges.sparkSession, [], []
     with noted(new):
         stars = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
-        parents = stars.select(F.col("v").alias("u")).distinct()
-        many = stars.groupBy("u").agg(F.count("*").alias("n"))
-        if many.join(parents, "u", "left").where("n > 1").union(many.join(parents, "u", "left_semi")).isEmpty():
+        ends = stars.select("u", F.lit(1).alias("below"), F.lit(0).alias("above")).union(stars.select("v", F.lit(0), F.lit(1)))
+        met = ends.groupBy("u").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if not met.where("below > 1 or below = 1 and above = 1").count():
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         old, new = new, []
+        with noted(old):
+            half = written(_large_star(stars), "half")
         with noted(new):
-            stars = written(_small_star(_large_star(stars)), "stars")
+            stars = written(_small_star(half), "stars")
         delete(spark, old)  # the round before; what is left is read until the caller has its result

@@ -27,6 +27,9 @@ similar sets always do; so work grows with the members and not with their pairs,
 Edge cases: repeated rows and equal texts have one fingerprint and one component; a null doc_id takes part, and is
 never the smallest one unless all of a component are null; very long texts are hashed whole; texts without words have one set; other
 columns stay as they are; an empty table gives an empty result.
+
+The driver's memory grows with the exchanges of a plan, which Spark plans anew after each of them: so what a step gathers from several joins is
+written join by join.
 """
 
 from __future__ import annotations
@@ -152,7 +155,7 @@ def links(prints: DataFrame) -> DataFrame:
     """Edges (u, v) that connect just the fingerprints (column fp, distinct) which a path of links connects."""
     keyed = written(prints.select("fp", F.explode(F.arrow_udf(_keys, "array<long>")("fp")).alias("key")), "keys")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(sizes, "key")
+    met = written(keyed.join(sizes, "key"), "shared")
     small = met.where(F.col("n") <= PAIRED).select("key", "fp")
     pairs = small.select("key", F.col("fp").alias("u")).join(small.select("key", F.col("fp").alias("v")), "key")
     pairs = pairs.where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v")
@@ -211,10 +214,10 @@ def with_bands(df: DataFrame, width: int, text: str = "text", out: str = "set")
 def _printed(docs: DataFrame) -> DataFrame:
     """Candidates (u, v) among the sets of docs (fp, print): the sets of one fingerprint with the least of them, and the least sets of linked fingerprints."""
     sets = written(docs.select("fp", "print").distinct(), "prints")
-    least = sets.groupBy("print").agg(F.min("fp").alias("least"))
+    least = written(sets.groupBy("print").agg(F.min("fp").alias("least")), "least")
     same = sets.join(least, "print").select(F.col("least").alias("a"), F.col("fp").alias("b"))
     end = lambda x, y: least.select(F.col("print").alias(x), F.col("least").alias(y))
-    linked = links(least.select(F.col("print").alias("fp"))).join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
+    linked = written(links(least.select(F.col("print").alias("fp"))), "linked").join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
     return same.union(linked).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
 
 
@@ -325,12 +328,13 @@ def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     met = written(keyed.join(sizes, "key"), "met")
     small, large = met.where(F.col("met") <= PAIRED), met.where(F.col("met") > PAIRED)
     u, v = (small.select("key", F.col("fp").alias(x), F.col("n").alias(f"n_{x}")) for x in "uv")
-    pairs = u.join(v, "key").where(_near(similarity) & (F.col("u") < F.col("v"))).select("u", "v")
+    pairs = written(u.join(v, "key").where(_near(similarity) & (F.col("u") < F.col("v"))).select("u", "v").distinct(), "pairs")
     members = written(large.groupBy("fp").agg(F.any_value("n").alias("n"), F.sum("met").alias("meets")), "large")
     placed = large.select("key", "fp").join(members, "fp")
     centres = placed.groupBy("key").agg(F.max_by("fp", F.struct("meets", "fp")).alias("v"))
-    stars = placed.join(centres, "key").where("fp <> v").select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v"))
-    candidates = written(pairs.union(stars).union(_printed(docs)).distinct(), "candidates")
+    stars = written(placed.join(centres, "key").where("fp <> v").select(F.least("fp", "v").alias("u"), F.greatest("fp", "v").alias("v")).distinct(), "stars")
+    printed = written(_printed(docs), "printed")
+    candidates = written(pairs.union(stars).union(printed).distinct(), "candidates")
     wanted = candidates.select(F.col("u").alias("fp")).union(candidates.select("v")).union(members.select("fp")).distinct()
     texts = written(docs.select("fp", "text").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text")), "texts")
     edges = written(_verified(candidates, texts, width, similarity), "similar")
@@ -339,11 +343,12 @@ def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     roots = connected_components(edges)
     rooted = members.join(roots, members.fp == roots.node, "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
     across = written(_across(rooted, texts, width, similarity), "across")
-    return edges.union(_verified(across, texts, width, similarity))
+    # a component stands for its edges from here on
+    return roots.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).union(_verified(across, texts, width, similarity))
 
 
 def _components(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """docs (doc_id, fp and others) with root, the least fp that edges reach, and component_id, the smallest doc_id there."""
+    """docs (doc_id, fp) with root, the least fp that edges reach, and component_id, the smallest doc_id there."""
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(edges)
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
@@ -381,8 +386,10 @@ def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     """One row of each component, that with the smallest doc_id (nulls last; ties: the least fp, then the first row). width and similarity as in
     near_duplicates."""
     rows, edges = _linked(df, doc_id, text, width, similarity)
-    placed = _components(rows.select("doc_id", "fp", "row"), edges)
-    kept = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("first")).select("first.row")
+    least = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "row")).alias("first"))
+    roots = connected_components(edges)
+    placed = least.join(roots, least.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = written(placed.select("first.row"), "kept")
     return rows.join(kept, "row", "left_semi").select("all.*")
 
 

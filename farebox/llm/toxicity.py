@@ -113,28 +113,27 @@ def _ranges(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Model:
     """What the scoring of a document needs; its size is bounded by the examples and their lengths."""
 
-    def __init__(self, vocabulary: list[str], df: np.ndarray, documents: int, examples: list[tuple[int, int, Counter]], share: tuple[float, float]) -> None:
+    def __init__(self, vocabulary: list[str], df: np.ndarray, documents: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: tuple[float, float]) -> None:
+        """examples: their doc_id and label, the numbers of their terms in the vocabulary, and how often each occurs."""
         self.vocabulary = vocabulary
-        ids = {t: i for i, t in enumerate(vocabulary)}
         self.names = [e[0] for e in examples]
         self.toxic = np.array([e[1] for e in examples], np.int64)
         own = np.bincount(self.toxic, minlength=2)[:2]
         self.share = np.array(share) / np.maximum(own, 1)
         self.prior = share[1] / max(sum(share), 1)
         met = np.zeros((2, len(vocabulary)))
-        for _, toxic, counts in examples:
-            met[toxic, [ids[t] for t in counts]] += 1
+        for _, toxic, terms, _ in examples:
+            met[toxic, terms] += 1
         self.rate = _idf(df, documents) * np.maximum(FLOOR, _relevance(met, own))
         self.strange = float(_idf(np.ones(1), documents)[0]) * FLOOR
-        vectors = [self.vector(c, ids) for _, _, c in examples]
+        vectors = [self.vector(terms, n) for _, _, terms, n in examples]
         self.index = BlockMaxIndex(vectors, len(vocabulary))
         votes = np.array([self.vote(*self.index.nearest(*v, K, without=i)) for i, v in enumerate(vectors)])
         self.curve = _logistic(votes, self.toxic, self.share[self.toxic] if examples else votes)
 
-    def vector(self, counts: Counter, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The terms that examples have and their weights, of a vector of length one over all terms."""
-        at = np.fromiter((ids.get(t, -1) for t in counts), np.int64, len(counts))
-        tf = np.fromiter(counts.values(), np.float64, len(counts)) / max(sum(counts.values()), 1)
+    def vector(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The terms that examples have and their weights, of a vector of length one over all terms; at: their numbers, -1 for those that none has."""
+        tf = n / max(n.sum(), 1)
         known = at >= 0
         terms, weights = at[known], np.sqrt(tf[known]) * self.rate[at[known]]
         length = np.sqrt(weights @ weights + self.strange**2 * tf[~known].sum())
@@ -147,7 +146,9 @@ class Model:
         return float(weight @ self.toxic[found] / weight.sum())
 
     def nearest(self, text: str | None, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        return self.index.nearest(*self.vector(terms_of(text), ids), K)
+        counts = terms_of(text)
+        at = np.fromiter((ids.get(t, -1) for t in counts), np.int64, len(counts))
+        return self.index.nearest(*self.vector(at, np.fromiter(counts.values(), np.int64, len(counts))), K)
 
     def score(self, found: np.ndarray, cosine: np.ndarray) -> float:
         a, b = self.curve
@@ -190,10 +191,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST).select("doc_id", "text")
     met = short.join(F.broadcast(first), "doc_id")  # 2 * per_class rows at most
     rows = met.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
-    examples = [(r.doc_id, r.toxic, terms_of(r.text)) for r in sorted(rows, key=lambda r: r.doc_id)]
+    # terms become numbers text by text: counters of all examples at once are most of what the driver would hold
+    number: dict[str, int] = {}
+    examples = []
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        counts = terms_of(r.text)
+        terms = np.fromiter((number.setdefault(t, len(number)) for t in counts), np.int64, len(counts))
+        examples.append((r.doc_id, r.toxic, terms, np.fromiter(counts.values(), np.int64, len(counts))))
+    del rows
     if len({e[1] for e in examples}) < 2:
         return Model([], np.empty(0), 0, [], (0.0, 0.0))
-    vocabulary = sorted(set().union(*(e[2] for e in examples)))
+    vocabulary = sorted(number)
+    place = np.empty(len(vocabulary), np.int64)
+    place[[number[t] for t in vocabulary]] = np.arange(len(vocabulary))
+    examples = [(name, toxic, place[terms], n) for name, toxic, terms, n in examples]
+    del number
     df, documents = _frequencies(docs, vocabulary)
     return Model(vocabulary, df, documents, examples, (share.get(0, 0), share.get(1, 0)))
 

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from farebox.llm import simhash
+from farebox.llm import graph, simhash
 from farebox.llm.graph import connected_components
 
 
@@ -186,3 +186,26 @@ def test_fingerprints_give_candidates_with_a_similarity_too(spark, monkeypatch):
     found = simhash.near_duplicates(df, width=5, similarity=0.8).orderBy("doc_id").collect()
     near = (prints[0] ^ prints[2]).bit_count() <= 2 or (prints[1] ^ prints[2]).bit_count() <= 2
     assert [r.component_id for r in found] == [0, 0, 0 if near else 2, 3, 3, 5]
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """The driver never plans many exchanges at once, also where large keys take the linear way: its memory follows the largest plan."""
+    rng, usual, planned = random.Random(6), simhash.written, {}
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[:90], *(f"{i % 3}x{j}" for j in range(rng.randrange(9, 12)))]) for i in range(40)] + ["alone", "alone", None]
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+    def noting(df, name):
+        planned[name] = max(planned.get(name, 0), exchanges(df))
+        return usual(df, name)
+
+    monkeypatch.setattr(simhash, "PAIRED", 4)
+    for module in (simhash, graph):
+        monkeypatch.setattr(module, "written", noting)
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=5, similarity=0.8)
+    planned["result"] = exchanges(kept)
+    print(planned)
+    assert {"candidates", "across", "links", "stars"} <= planned.keys() and max(planned.values()) <= 12
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 40, 42]

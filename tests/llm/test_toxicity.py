@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -104,3 +105,16 @@ def test_clashing_columns_stay(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
     kept = toxicity.keep_clean(docs, labels)
     assert kept.columns == docs.columns and all(r._toxicity == r.doc_id and r.doc_id % 2 == 0 for r in kept.collect())
+
+
+def test_driver_holds_numbers_of_terms(spark):
+    """The driver's Python holds the examples' terms as numbers while it fits, not as counters of strings."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("documents", "labels"))
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(docs.select("doc_id", "text"), labels)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    print(peak, len(model.names), len(model.vocabulary))
+    assert len(model.names) > 1000 and peak < 62
