@@ -73,5 +73,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As written(), but the rows are dealt once by a key and stored in buckets of it: later joins on the key read them where they are, unshuffled.
+
+    The session's catalogue knows the table only until it is read; what is left are the files.
+    """
+    spark = df.sparkSession
+    path, parts = new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = f"spark_catalog.default.{path.rsplit('/', 1)[1].replace('-', '_')}"
+    df.repartition(parts, key).write.option("path", path).bucketBy(parts, key).saveAsTable(own, format="parquet")
+    try:
+        return spark.table(own)
+    finally:
+        spark.sql(f"DROP TABLE {own}")
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))

@@ -121,15 +121,15 @@ def _sized(df: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", share: float = SHARE, cap: float = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """df with each row as often as the mix takes it: not at all, once or repeatedly."""
     decided = decide(_sized(df, doc_id, source, text), share, cap, weights)
-    decided = decided.select(F.xxhash64("doc_id", "source", "size").alias("key"), F.struct("doc_id", "source", "size").alias("of"), "count", "low", "more")
+    decided = decided.select(F.xxhash64("doc_id", "source", "size").alias("hash"), F.struct("doc_id", "source", "size").alias("of"), "low", "more")
     own = F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"))
     rows = df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("all"), own.alias("own"), F.xxhash64(text).alias("tie"))
     rows = rows.select("all", "own", "tie", F.xxhash64("own.doc_id", "own.source", "own.size").alias("key"))
-    placed = rows.join(decided, "key").where(F.col("own").eqNullSafe(F.col("of"))).select("all", "own", "tie", "key", "count", "low", "more")
-    turn = F.row_number().over(Window.partitionBy("key", "own").orderBy("tie"))
-    single = placed.where("count = 1").select("all", (F.col("low") + F.col("more")).alias("n"))
-    several = placed.where("count > 1").withColumn("turn", turn).select("all", (F.col("low") + (F.col("turn") <= F.col("more")).cast("long")).alias("n"))
-    return single.union(several).where("n > 0").select("all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("all.*")
+    # one join for rows that agree and others, on what the window deals by (structs with equal nulls are equal): texts are shuffled once
+    placed = rows.join(decided, (F.col("key") == F.col("hash")) & (F.col("own") == F.col("of")))
+    turn = F.row_number().over(Window.partitionBy("hash", "of").orderBy("tie"))
+    turned = placed.withColumn("turn", turn).select("all", (F.col("low") + (F.col("turn") <= F.col("more")).cast("long")).alias("n"))
+    return turned.where("n > 0").select("all", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("all.*")
 
 
 def op6_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

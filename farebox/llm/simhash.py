@@ -28,6 +28,8 @@ Edge cases: repeated rows and equal texts have one fingerprint and one component
 never the smallest one unless all of a component are null; very long texts are hashed whole; texts without words have one set; other
 columns stay as they are; an empty table gives an empty result.
 
+Texts move once, when their rows are dealt by number; what is asked of them later (the texts of candidates, the rows that stay) comes to where they are.
+
 The driver's memory grows with the exchanges of a plan, which Spark plans anew after each of them: so what a step gathers from several joins is
 written join by join.
 """
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farebox.llm.common import delete, noted, table, written
+from farebox.llm.common import dealt, delete, noted, table, written
 from farebox.llm.graph import connected_components
 
 #: Keys with more fingerprints than this take the linear way.
@@ -312,7 +314,7 @@ def _across(members: DataFrame, texts: DataFrame, width: int, similarity: float)
 
 
 def similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges (u, v) that connect just the sets which links connect, written. docs: fp, n, keys, print and text."""
+    """Edges (u, v) that connect just the sets which links connect, written. docs: fp, n, keys, print, text and row, a number by which they are dealt."""
     scratch: list[str] = []
     with noted(scratch):
         found = _similar(docs, width, similarity)
@@ -336,7 +338,9 @@ def _similar(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     printed = written(_printed(docs), "printed")
     candidates = written(pairs.union(stars).union(printed).distinct(), "candidates")
     wanted = candidates.select(F.col("u").alias("fp")).union(candidates.select("v")).union(members.select("fp")).distinct()
-    texts = written(docs.select("fp", "text").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.any_value("text").alias("text")), "texts")
+    # one row of each set that is asked for: texts stay in the buckets of their rows
+    places = written(docs.groupBy("fp").agg(F.min("row").alias("row")).join(wanted, "fp").select("row"), "places")
+    texts = written(docs.select("row", "fp", "text").join(places, "row", "left_semi").select("fp", "text"), "texts")
     edges = written(_verified(candidates, texts, width, similarity), "similar")
     if members.isEmpty():
         return edges
@@ -368,8 +372,8 @@ def _linked(df: DataFrame, doc_id: str, text: str, width: int, similarity: float
     if not 0 < similarity <= 1 or width < 1:
         raise ValueError("similarity is over 0 and at most 1, width at least 1")
     found = with_bands(rows, width).select("all", "doc_id", "set.*").withColumn("row", F.monotonically_increasing_id())
-    rows = written(found, "shingles")
-    return rows, similar(rows.select("fp", "n", "keys", "print", in_all), width, similarity)
+    rows = dealt(found, "shingles", "row")
+    return rows, similar(rows.select("fp", "n", "keys", "print", "row", in_all), width, similarity)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:

@@ -96,3 +96,15 @@ def test_mix_keeps_clashing_columns(spark):
     assert got.columns == df.columns
     assert {tuple(r) for r in got.collect()} <= set(rows)
     assert got.count() == mixing.mix(df.select("doc_id", "text", "source")).count()
+
+
+def test_texts_are_shuffled_once(spark):
+    """Rows that agree and others go one way, so a text isn't shuffled for each of two."""
+    df = spark.createDataFrame([(i // 3, f"text {'word ' * (i % 7)}", "ab"[i % 2]) for i in range(90)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and any(c in line for c in ("key#", "own#", "of#"))]
+    assert len(moved) == 2, moved  # the rows, and what is decided of them

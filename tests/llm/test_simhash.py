@@ -209,3 +209,25 @@ def test_plans_stay_small(spark, monkeypatch):
     print(planned)
     assert {"candidates", "across", "links", "stars"} <= planned.keys() and max(planned.values()) <= 12
     assert sorted(r.doc_id for r in kept.collect()) == [0, 40, 42]
+
+
+def test_texts_are_dealt_once(spark, monkeypatch):
+    """Texts stay where their rows were dealt, however many rows are asked for: only what asks for them moves."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[:90], *(f"{i % 3}x{j}" for j in range(9 + i % 3))]) for i in range(40)] + ["alone", "alone", None]
+    usual, plans, tables = simhash.written, {}, len(spark.catalog.listTables())
+
+    def noting(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return usual(df, name)
+
+    monkeypatch.setattr(simhash, "written", noting)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=5, similarity=0.8)
+        plans["result"] = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == [0, 40, 42]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [plans[name].count("Exchange ") for name in ("texts", "result")] == [1, 1]
+    assert len(spark.catalog.listTables()) == tables
